@@ -1,0 +1,628 @@
+"""Charges to evidence messages: blocking, scoring, ranking, routing, evaluation."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.money import format_money
+from ..functions.scale import bounded_rows, interval_join
+from ..functions.text import contains_any, in_senders, merchant_tokens, starts_with_any, subject_key
+
+
+@dataclass(frozen=True)
+class MatchPolicy:
+    """Thresholds and generic term lists, read from policy tables."""
+
+    bands: dict = field(default_factory=lambda: {"expense": (-2, 1), "card": (-1, 1)})
+    window: tuple = (10, 5)
+    strong: int = 70
+    possible: int = 45
+    weak: int = 25
+    forward_days: int = 40
+    terms: dict = field(default_factory=dict)
+
+    def list(self, name: str):
+        return self.terms.get(name, [])
+
+    @staticmethod
+    def from_terms(terms: DataFrame, **settings) -> "MatchPolicy":
+        """``terms`` has one row per (list name, term); its size is checked before it is read."""
+        rows = bounded_rows(terms.select("list", "term"))
+        if rows is None:
+            raise ValueError("the generic term lists are larger than a policy table may be")
+        lists: dict[str, list[str]] = {}
+        for r in rows:
+            lists.setdefault(r["list"], []).append(r["term"])
+        return MatchPolicy(terms=lists, **settings)
+
+
+# --------------------------------------------------------------------------- worklist to pairs
+
+def search_scope(expenses: DataFrame) -> DataFrame:
+    """Whether a row is searched at all, and if not why."""
+    reason = (
+        F.when(F.col("type") != "Card Purchase", "not a card purchase")
+        .when(F.coalesce("reconciled", F.lit("")) != "", "already reconciled")
+        .when(F.col("personal"), "marked personal")
+        .when(F.col("has_receipt"), "receipt present")
+        .when(F.col("tag").isin("personal", "skip"), F.concat(F.lit("not searched (tag "), "tag", F.lit(")")))
+    )
+    return expenses.withColumn("skip_reason", F.coalesce(reason, F.lit(""))).withColumn(
+        "search", F.col("skip_reason") == ""
+    )
+
+
+def with_vendor(worklist: DataFrame, vendors: DataFrame, policy: MatchPolicy) -> DataFrame:
+    """Worklist rows with their vendor's settings, search window and lag band."""
+    rows = worklist.join(vendors, "vendor_key", "left")
+    band_lo, band_hi = F.col("band_lo"), F.col("band_hi")
+    for ledger, (lo, hi) in policy.bands.items():
+        band_lo = F.coalesce(band_lo, F.when(F.col("ledger") == ledger, lo))
+        band_hi = F.coalesce(band_hi, F.when(F.col("ledger") == ledger, hi))
+    before = F.coalesce("before", F.lit(policy.window[0]))
+    after = F.coalesce("after", F.lit(policy.window[1]))
+    return (
+        rows.withColumn("band_lo", band_lo)
+        .withColumn("band_hi", band_hi)
+        .withColumn("window_from", F.date_sub("date", before))
+        .withColumn("window_to", F.date_add("date", after))
+    )
+
+
+def candidates(worklist: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages of the same mailbox inside each charge's window."""
+    return interval_join(worklist, messages, ["mailbox"], "window_from", "window_to", "day").withColumn(
+        "lag_days", F.datediff("day", "date")
+    )
+
+
+def _block(kind: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.cast("string").alias("key")))
+
+
+def _no_keys() -> Column:
+    return F.array().cast("array<string>")
+
+
+def charge_blocks(worklist: DataFrame, stopwords) -> DataFrame:
+    """Search keys of each charge: vendor senders, subject terms, merchant words, amounts."""
+    senders = F.concat(F.coalesce("senders", _no_keys()), F.coalesce("sender_exact", _no_keys()))
+    words = F.array_distinct(
+        F.concat(merchant_tokens(F.col("merchant"), stopwords), merchant_tokens(F.col("vendor_name"), stopwords))
+    )
+    amounts = F.array_distinct(F.array_compact(F.array("amount_sek", "foreign_amount")))
+    keys = F.concat(
+        _block("vendor", F.transform(senders, F.lower)),
+        _block("subject", F.transform(F.coalesce("subject_terms", _no_keys()), F.lower)),
+        _block("merchant", F.when(F.size(senders) == 0, F.slice(words, 1, 5)).otherwise(_no_keys())),
+        _block("amount", F.filter(amounts, lambda a: a >= 10)),
+    )
+    return worklist.select(
+        "row_key", "mailbox", "window_from", "window_to", F.explode(F.array_distinct(keys)).alias("_k")
+    ).select("row_key", "mailbox", "window_from", "window_to", "_k.kind", "_k.key")
+
+
+def message_blocks(messages: DataFrame, subject_terms, search_words) -> DataFrame:
+    """Keys a message can be found under: address and parent domains, subject terms, words, amounts."""
+    labels = F.split("from_domain", r"\.")
+    parents = F.transform(
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    )
+    subject = F.lower("subject")
+    named = [F.when(subject.contains(t.lower()), F.lit(t.lower())) for t in subject_terms]
+    terms = F.array_compact(F.array(*named)) if named else _no_keys()
+    words = F.when(contains_any(subject, search_words), merchant_tokens(F.col("subject"), [])).otherwise(_no_keys())
+    values = F.transform("mentions", lambda m: m["value"])
+    keys = F.concat(
+        _block("vendor", F.concat(F.array("from_addr"), parents)),
+        _block("subject", terms),
+        _block("merchant", words),
+        _block("amount", values),
+    )
+    return messages.select("message_id", "mailbox", "day", F.explode(F.array_distinct(keys)).alias("_k")).select(
+        "message_id", "mailbox", "day", "_k.kind", "_k.key"
+    )
+
+
+def blocked_pairs(
+    worklist: DataFrame, messages: DataFrame, stopwords, subject_terms, search_words, caps: dict | None = None
+) -> DataFrame:
+    """Pairs a search would find: one equi join over every blocking key and day bucket.
+
+    ``caps`` optionally keeps the newest hits per charge and kind, as a result page does; without
+    it every hit stays.
+    """
+    pairs = interval_join(
+        charge_blocks(worklist, stopwords),
+        message_blocks(messages, subject_terms, search_words),
+        ["mailbox", "kind", "key"],
+        "window_from",
+        "window_to",
+        "day",
+    )
+    hits = pairs.groupBy("row_key", "message_id").agg(
+        F.array_sort(F.collect_set("kind")).alias("kinds"), F.max("day").alias("day")
+    )
+    if caps:
+        spread = hits.select("row_key", "message_id", "day", F.explode("kinds").alias("kind"))
+        newest = Window.partitionBy("row_key", "kind").orderBy(F.desc("day"), F.desc("message_id"))
+        limit = F.lit(0)
+        for kind, n in caps.items():
+            limit = F.when(F.col("kind") == kind, n).otherwise(limit)
+        kept = spread.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= max(caps.values()))
+        hits = kept.filter(F.col("_n") <= limit).groupBy("row_key", "message_id").agg(
+            F.array_sort(F.collect_set("kind")).alias("kinds"), F.max("day").alias("day")
+        )
+    return hits.select("row_key", "message_id", "kinds")
+
+
+# --------------------------------------------------------------------------- scoring
+
+def message_class(policy: MatchPolicy) -> Column:
+    """What kind of mail a candidate is, first hit of an ordered list."""
+    subject = F.lower(F.trim("subject"))
+    vendor_decoy = F.exists(
+        F.coalesce("decoy_senders", _no_keys()),
+        lambda e: (F.col("from_domain") == e) | F.col("from_domain").endswith(F.concat(F.lit("."), e)) | (F.col("from_addr") == e),
+    )
+    addr, dom = F.col("from_addr"), F.col("from_domain")
+    return (
+        F.when(in_senders(addr, dom, policy.list("corroboration_senders")), "corroboration")
+        .when(vendor_decoy | in_senders(addr, dom, policy.list("decoy_senders")), "decoy")
+        .when(contains_any(subject, policy.list("decoy_terms")), "decoy")
+        .when((F.col("kind") != "refund") & contains_any(subject, policy.list("refund_terms")), "refund")
+        .when(
+            starts_with_any(subject, policy.list("forward_prefixes"))
+            | contains_any(F.lower(F.coalesce("to", F.lit(""))), policy.list("forward_addresses")),
+            "forward",
+        )
+        .when(addr.isin(*policy.list("own_senders")) if policy.list("own_senders") else F.lit(False), "own")
+        .when(starts_with_any(subject, policy.list("reply_prefixes")), "reply")
+        .otherwise("receipt")
+    )
+
+
+def band_distance(lag: Column, lo: Column, hi: Column) -> Column:
+    return F.greatest(lo - lag, lag - hi, F.lit(0))
+
+
+def amount_level(allow_fx: Column) -> Column:
+    """Best agreement between the charge and any money mention of the message."""
+    sek, foreign, currency = F.col("amount_sek"), F.col("foreign_amount"), F.col("foreign_currency")
+
+    def close(value, target):
+        return F.coalesce(F.abs(value - target) <= F.lit(Decimal("0.01")), F.lit(False))
+
+    def some(test):
+        return F.exists("mentions", test)
+
+    def in_sek(m):
+        return F.coalesce(m["currency"] == "SEK", F.lit(False)) & sek.isNotNull()
+
+    def in_foreign(m):
+        return F.coalesce(m["currency"] == currency, F.lit(False))
+
+    return (
+        F.when(some(lambda m: in_sek(m) & close(m["value"], sek)), "sek_exact")
+        .when(some(lambda m: in_foreign(m) & close(m["value"], foreign)), "foreign_exact")
+        .when(some(lambda m: m["currency"].isNull() & (close(m["value"], sek) | close(m["value"], foreign))), "unlabelled")
+        .when(allow_fx & (sek != 0) & some(lambda m: in_sek(m) & (F.abs(m["value"] - sek) <= sek * F.lit(Decimal("0.03")))), "sek_fx")
+        .when((F.col("class") == "receipt") & some(lambda m: in_sek(m) | in_foreign(m)), "contradiction")
+        .otherwise("none")
+    )
+
+
+# Points per amount agreement.
+AMOUNT_POINTS = {"sek_exact": 40, "foreign_exact": 35, "unlabelled": 20, "sek_fx": 15, "contradiction": -15, "none": 0}
+# Words that mark a failed payment.
+FAIL_TERMS = ["failed", "could not", "declined", "misslyckades"]
+# Company words that never identify a vendor by name.
+NAME_FILLERS = ["the", "inc", "llc", "ltd"]
+
+SCORE_PARTS = ["s_amount", "s_date", "s_sender", "s_subject", "s_attachment", "s_class"]
+
+
+def score(pairs: DataFrame, policy: MatchPolicy, stopwords, full: bool) -> DataFrame:
+    """Score every pair from -100 to 100, each part in its own column.
+
+    ``full`` adds the attachment part, for pairs whose detail columns have been joined.
+    """
+    out = band_distance(F.col("lag_days"), F.col("band_lo"), F.col("band_hi"))
+    rows = (
+        pairs.withColumn("class", message_class(policy))
+        .withColumn("band_gap", out)
+        .withColumn("in_window", F.col("day").between(F.col("window_from"), F.col("window_to")))
+        .withColumn("tokens", merchant_tokens(F.col("merchant"), stopwords))
+    )
+    foreign_billed = F.col("foreign_amount").isNotNull() | (F.coalesce("bill_currency", F.lit("SEK")) != "SEK")
+    rows = rows.withColumn(
+        "amount_match", amount_level(foreign_billed & F.col("in_window") & (F.col("band_gap") <= 5))
+    )
+    points = F.lit(0)
+    for level, n in AMOUNT_POINTS.items():
+        points = F.when(F.col("amount_match") == level, n).otherwise(points)
+    day = (
+        F.when(~F.col("in_window"), 0)
+        .when(F.col("band_gap") == 0, 25)
+        .otherwise(F.greatest(F.lit(5), F.lit(25) - F.col("band_gap") * 3))
+    )
+    known = F.col("vendor_key").isNotNull()
+
+    def listed(address, domain):
+        return F.exists(
+            F.coalesce("senders", _no_keys()),
+            lambda e: F.when(e.contains("@"), address == F.lower(e)).otherwise(
+                (domain == F.lower(e)) | domain.endswith(F.concat(F.lit("."), F.lower(e)))
+            ),
+        )
+
+    name = F.lower(F.coalesce("from_name", F.lit("")))
+    words = F.filter(
+        F.regexp_extract_all(F.lower(F.coalesce("vendor_name", F.lit(""))), F.lit("([a-z]{3,})"), F.lit(1)),
+        lambda w: ~w.isin(*NAME_FILLERS),
+    )
+    sender = (
+        F.when(known & F.exists(F.coalesce("sender_exact", _no_keys()), lambda e: F.lower(e) == F.col("from_addr")), 20)
+        .when(known & listed(F.col("from_addr"), F.col("from_domain")), 15)
+        .when(known & listed(F.col("reply_addr"), F.col("reply_domain")), 12)
+        .when(known & F.exists(words, lambda w: name.contains(w)), 10)
+        .when(
+            ~known
+            & F.exists("tokens", lambda t: F.concat_ws(" ", name, F.col("from_domain")).contains(F.lower(t))),
+            10,
+        )
+        .otherwise(0)
+    )
+    subject = F.lower("subject")
+    refund = contains_any(subject, policy.list("refund_terms"))
+    base = (
+        F.when(
+            F.exists(F.coalesce("subject_terms", _no_keys()), lambda t: subject.contains(F.lower(t)))
+            | (refund & (F.col("kind") == "refund")),
+            10,
+        )
+        .when(contains_any(subject, policy.list("receipt_terms")), 5)
+        .otherwise(0)
+    )
+    worded = F.when(F.exists("tokens", lambda t: subject.contains(F.lower(t))), 3).otherwise(0)
+    subject_points = F.when(refund & (F.col("kind") != "refund"), -20).otherwise(F.least(base + worded, F.lit(10)))
+    class_points = (
+        F.when(F.col("class") == "forward", -15).when(F.col("class") == "reply", -25).otherwise(0)
+        + F.when(contains_any(subject, FAIL_TERMS), -20).otherwise(0)
+    )
+    if full:
+        link = F.exists(
+            F.coalesce("links", _no_keys()),
+            lambda u: u.rlike("(?i)invoice|receipt|pdf|faktura|kvitto")
+            | listed(F.lit(""), F.lower(F.regexp_extract(u, "^https?://([^/:?#]+)", 1))),
+        )
+        kind = F.when(known, F.col("attachments"))
+        attachment = (
+            F.when(kind == "pdf", F.when(F.col("has_pdf"), 5).otherwise(0))
+            .when(kind.isin("html", "none"), F.when(F.col("has_html"), 5).otherwise(0))
+            .when(kind == "link", F.when(link, 5).otherwise(0))
+            .when(F.col("has_pdf"), 5)
+            .when(F.col("has_html"), 2)
+            .otherwise(0)
+        )
+    else:
+        attachment = F.lit(0)
+    rows = (
+        rows.withColumn("s_amount", points)
+        .withColumn("s_date", day.cast("int"))
+        .withColumn("s_sender", sender)
+        .withColumn("s_subject", subject_points)
+        .withColumn("s_attachment", attachment)
+        .withColumn("s_class", class_points)
+    )
+    total = sum((F.col(c) for c in SCORE_PARTS), F.lit(0))
+    return rows.withColumn("score", F.greatest(F.lit(-100), F.least(F.lit(100), total))).drop("tokens")
+
+
+def has_signal() -> Column:
+    """A vendor or amount signal, not just a day inside the window."""
+    return (F.col("s_sender") > 0) | (F.col("s_subject") >= 10) | ~F.col("amount_match").isin("none", "contradiction")
+
+
+def two_signals() -> Column:
+    """The amount agrees, or sender and subject both point at a receipt."""
+    return ~F.col("amount_match").isin("none", "contradiction") | ((F.col("s_sender") > 0) & (F.col("s_subject") >= 5))
+
+
+REJECTED_CLASSES = ("corroboration", "decoy", "own", "refund")
+
+
+def detail_gate(scored: DataFrame, max_full: int = 6) -> DataFrame:
+    """The few best signalled candidates per charge that earn a read of their details."""
+    best = Window.partitionBy("row_key").orderBy(F.desc("score"), F.desc("day"), "message_id")
+    eligible = scored.filter(~F.col("class").isin(*REJECTED_CLASSES) & has_signal())
+    return eligible.withColumn("gate_rank", F.row_number().over(best)).filter(F.col("gate_rank") <= max_full)
+
+
+def rescore(scored: DataFrame, details: DataFrame, policy: MatchPolicy, stopwords, max_full: int = 6) -> DataFrame:
+    """Second pass: detail columns joined for gated pairs only, every other pair as it was.
+
+    The metadata score stays as ``meta_score``.
+    """
+    derived = ["class", "band_gap", "in_window", "amount_match", *SCORE_PARTS, "score"]
+    gate = detail_gate(scored, max_full).select("row_key", "message_id", F.lit(True).alias("gated"))
+    flagged = scored.join(gate, ["row_key", "message_id"], "left").withColumn("meta_score", F.col("score"))
+    extra = details.select(
+        "message_id",
+        F.col("mentions").alias("_detail_mentions"),
+        F.col("has_pdf").alias("_pdf"),
+        F.col("has_html").alias("_html"),
+        F.col("links").alias("_links"),
+    )
+    first = flagged.filter("gated").drop("has_pdf", "has_html", "links").join(extra, "message_id", "left")
+    merged = (
+        first.withColumn("mentions", F.array_union("mentions", F.coalesce("_detail_mentions", F.col("mentions"))))
+        .withColumn("has_pdf", F.coalesce("_pdf", F.lit(False)))
+        .withColumn("has_html", F.coalesce("_html", F.lit(False)))
+        .withColumn("links", F.coalesce("_links", _no_keys()))
+        .drop("_detail_mentions", "_pdf", "_html", "_links", *derived)
+    )
+    again = score(merged, policy, stopwords, full=True)
+    rest = (
+        flagged.filter("gated IS NULL")
+        .withColumn("has_pdf", F.lit(False))
+        .withColumn("has_html", F.lit(False))
+        .withColumn("links", _no_keys())
+    )
+    return again.unionByName(rest.select(*again.columns))
+
+
+def confidence(policy: MatchPolicy) -> Column:
+    base = (
+        F.when(F.col("score") >= policy.strong, "strong")
+        .when(F.col("score") >= policy.possible, "possible")
+        .when(F.col("score") >= policy.weak, "weak")
+        .otherwise("dropped")
+    )
+    late = F.when((F.col("band_gap") > 14) & (base == "strong"), "possible").otherwise(base)
+    return F.when(late.isin("strong", "possible") & ~two_signals(), "weak").otherwise(late)
+
+
+def rank_candidates(scored: DataFrame, policy: MatchPolicy, top: int = 5) -> DataFrame:
+    """The candidates shown per charge.
+
+    One winner per thread, then strong and possible ones by score, distance from the band and age;
+    with none of those at most two weak ones that carry two signals. Good candidates sort first,
+    so keeping the first ``top`` rows per charge loses nothing and is done before the shuffle.
+    """
+    pool = scored.filter(~F.col("class").isin(*REJECTED_CLASSES))
+    order = [-F.col("score"), -F.col("meta_score"), -F.unix_date("day"), F.col("message_id")]
+    keep = [c for c in pool.columns if c not in ("row_key", "thread_id")]
+    winners = (
+        pool.groupBy("row_key", "thread_id")
+        .agg(
+            F.min_by(F.struct(*keep), F.struct(*order)).alias("_w"),
+            (F.count(F.lit(1)) - 1).alias("same_thread"),
+        )
+        .select("row_key", "thread_id", "_w.*", "same_thread")
+    )
+    rated = winners.withColumn("confidence", confidence(policy))
+    good = F.col("confidence").isin("strong", "possible")
+    hint = (F.col("confidence") == "weak") & two_signals()
+    shown = rated.withColumn("_tier", F.when(good, 0).when(hint, 1)).filter(F.col("_tier").isNotNull())
+    by = Window.partitionBy("row_key").orderBy(
+        "_tier", F.desc("score"), "band_gap", F.desc("day"), "message_id"
+    )
+    first = shown.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
+    lead = Window.partitionBy("row_key")
+    return (
+        first.withColumn("_best", F.min("_tier").over(lead))
+        .filter((F.col("_tier") == F.col("_best")) & ((F.col("_tier") == 0) | (F.col("rank") <= 2)))
+        .drop("_tier", "_best")
+    )
+
+
+def best_second(ranked: DataFrame) -> DataFrame:
+    """First and second candidate of each charge side by side."""
+    def at(n, c, name):
+        return F.max(F.when(F.col("rank") == n, F.col(c))).alias(name)
+
+    wide = ranked.groupBy("row_key").agg(
+        at(1, "message_id", "best"),
+        at(1, "thread_id", "best_thread"),
+        at(1, "day", "best_day"),
+        at(1, "subject", "best_subject"),
+        at(1, "score", "best_score"),
+        at(1, "confidence", "confidence"),
+        at(1, "has_pdf", "best_pdf"),
+        at(1, "band_gap", "best_gap"),
+        at(2, "message_id", "second"),
+        at(2, "confidence", "second_confidence"),
+        at(2, "has_pdf", "second_pdf"),
+        F.count(F.lit(1)).alias("candidates"),
+    )
+    extra = (F.col("second_confidence") == "strong") | (
+        (F.col("second_confidence") == "possible") & F.col("second_pdf") & ~F.col("best_pdf")
+    )
+    secondary = F.when(F.coalesce(extra, F.lit(False)) & F.col("confidence").isin("strong", "possible"), F.col("second"))
+    return wide.withColumn("secondary", secondary)
+
+
+def related_sends(best: DataFrame, sends: DataFrame, prefixes) -> DataFrame:
+    """Earlier sends that belong to a best message: same thread, or the same numbered subject."""
+    b = best.select(
+        "row_key", "best", "best_thread", "best_day", subject_key(F.col("best_subject"), prefixes).alias("_key")
+    )
+    s = sends.select(
+        F.col("message_id").alias("send_id"),
+        F.col("thread_id").alias("send_thread"),
+        F.col("day").alias("send_day"),
+        subject_key(F.col("subject"), prefixes).alias("_send_key"),
+    )
+    by_thread = b.join(s, F.col("best_thread") == F.col("send_thread"))
+    by_subject = b.filter(F.col("_key").rlike("[0-9]{3,}")).join(s, F.col("_key") == F.col("_send_key"))
+    both = by_thread.unionByName(by_subject.select(*by_thread.columns))
+    return both.filter(F.col("send_day") >= F.col("best_day")).select("row_key", "best", "send_id", "send_day").distinct()
+
+
+def route(rows: DataFrame, policy: MatchPolicy, run_date: Column) -> DataFrame:
+    """What to do with a charge: confirm, forward, attach, pack, portal or none, and why.
+
+    ``rows`` is the worklist with its vendor settings and its best candidate (nulls without one),
+    plus ``sent_day``, the latest earlier send of the best message.
+    """
+    age = F.datediff(run_date, "date")
+    deadline = F.date_add("date", policy.forward_days - 1)
+    usable = F.coalesce(F.col("confidence").isin("strong", "possible"), F.lit(False))
+    expense = F.col("ledger") == "expense"
+    sent = F.col("sent_day").isNotNull()
+    business = F.coalesce("tag", F.lit("")) == "business"
+    fallback = F.coalesce("route_if_none", F.lit("none"))
+    recent = age <= 1
+    decision = (
+        F.when(usable & expense & sent, "confirm")
+        .when(usable & expense & (age < policy.forward_days), "forward")
+        .when(usable & expense, "attach")
+        .when(usable & business, "pack")
+        .when(usable, "none")
+        .when(fallback == "portal", "portal")
+        .otherwise("none")
+    )
+    portal = F.coalesce(F.nullif("portal", F.lit("")), F.lit("vendor portal"))
+    best = F.col("best").cast("string")
+    reason = (
+        F.when(usable & expense & sent, F.concat(F.lit("already forwarded "), F.col("sent_day").cast("string"), F.lit("; confirm, do not forward again")))
+        .when(usable & expense & (age < policy.forward_days), F.concat(F.lit("forward "), best, F.lit(" before "), deadline.cast("string")))
+        .when(usable & expense, F.concat(F.lit("attach "), best, F.lit(" on expense "), "row_key"))
+        .when(usable & business, F.concat_ws("; ", F.concat(F.lit("include "), best), F.concat(F.lit("secondary "), F.col("secondary").cast("string"))))
+        .when(usable, F.concat(F.lit("receipt found ("), best, F.lit(") but the row needs a tag, now "), F.coalesce(F.nullif("tag", F.lit("")), F.lit("untagged"))))
+        .when(fallback == "portal", portal)
+        .when(fallback.isin("request", "ask"), F.coalesce(F.nullif("portal", F.lit("")), fallback))
+        .when(F.col("vendor_key").isNotNull() & recent, F.concat(F.lit("too recent, recheck after "), F.date_add("date", 2).cast("string")))
+        .otherwise("no receipt mail found in the search window")
+    )
+    notes = F.concat_ws(
+        "; ",
+        F.when(F.col("vendor_entity") != F.col("entity"), F.lit("the vendor is listed under another entity")),
+        F.when(usable & (F.col("confidence") == "possible"), "review amount first"),
+        F.when(usable & (F.col("best_gap") > 14), "verify the month"),
+    )
+    text = F.concat(
+        F.when(F.col("kind") == "refund", "refund ").otherwise(""),
+        reason,
+        F.when(notes != "", F.concat(F.lit(" ("), notes, F.lit(")"))).otherwise(""),
+    )
+    return (
+        rows.withColumn("age_days", age)
+        .withColumn("route", decision)
+        .withColumn("route_reason", text)
+        .withColumn("forward_deadline", F.when(F.col("route") == "forward", deadline))
+        .withColumn("recheck_after", F.when(~usable & recent, F.date_add("date", 2)))
+    )
+
+
+def fetch_decision(routed: DataFrame, min_confidence: str = "strong") -> DataFrame:
+    """Which messages to fetch for a charge, in order, or a note why none."""
+    rank = F.when(F.col("confidence") == "strong", 2).when(F.col("confidence") == "possible", 1).otherwise(0)
+    need = {"strong": 2, "possible": 1}[min_confidence]
+    go = (F.col("route") == "pack") & (rank >= need)
+    ids = F.when(go, F.array_compact(F.array("best", "secondary"))).otherwise(F.array().cast("array<bigint>"))
+    note = (
+        F.when(go, "")
+        .when(
+            (F.col("route") == "pack") & (F.col("confidence") == "possible"),
+            F.concat(F.lit("possible only, not fetched: "), "route_reason"),
+        )
+        .otherwise(F.concat("route", F.lit("/"), F.coalesce("confidence", F.lit("none")), F.lit(": "), "route_reason"))
+    )
+    return routed.withColumn("fetch_ids", ids).withColumn("fetch_note", note)
+
+
+def evaluate(truth: DataFrame, ranked: DataFrame) -> DataFrame:
+    """PASS, FAIL, INFO or SKIP per labelled charge, with the rank of the expected message.
+
+    ``truth``: row_key, set, expected and secondary message (null when none).
+    """
+    expected = ranked.select("row_key", F.col("message_id").alias("expected"), F.col("rank").alias("expected_rank"))
+    secondary = ranked.select("row_key", F.col("message_id").alias("secondary"), F.col("rank").alias("secondary_rank"))
+    lead = ranked.filter(F.col("rank") == 1).select("row_key", F.col("confidence").alias("lead_confidence"))
+    rows = (
+        truth.join(expected, ["row_key", "expected"], "left")
+        .join(secondary, ["row_key", "secondary"], "left")
+        .join(lead, "row_key", "left")
+    )
+    verdict = (
+        F.when(F.col("set").isin("pending", "positive_weak"), "INFO")
+        .when(F.col("set") == "negative", F.when(F.col("lead_confidence") == "strong", "FAIL").otherwise("PASS"))
+        .when(F.col("set") == "forward_only", F.when(F.col("secondary_rank").isNotNull(), "PASS").otherwise("FAIL"))
+        .when(F.col("expected").isNull(), "SKIP")
+        .when(F.col("expected_rank") == 1, "PASS")
+        .when((F.col("set") == "positive_medium") & F.col("expected_rank").isNotNull(), "PASS")
+        .otherwise("FAIL")
+    )
+    return rows.select("row_key", "set", verdict.alias("verdict"), F.col("expected_rank").alias("expected_rank"))
+
+
+def evaluation_summary(evaluated: DataFrame) -> DataFrame:
+    return evaluated.groupBy("set", "verdict").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("expected_rank") == 1).alias("at_rank_1")
+    )
+
+
+def latest_search(runs: DataFrame) -> DataFrame:
+    """Newest search per key; a row is reachable by its row key and by its expense id.
+
+    ``runs``: run_at, row_key, expense_id, queries (array of kind and hits), candidates, best.
+    """
+    keys = F.array_distinct(F.filter(F.array("row_key", "expense_id"), lambda k: F.coalesce(k, F.lit("")) != ""))
+    spread = runs.filter(F.size("queries") > 0).withColumn("key", F.explode(keys))
+    facts = F.struct(
+        "run_at",
+        F.size("queries").alias("query_count"),
+        F.array_join(F.array_distinct(F.transform("queries", lambda q: q["kind"])), ",").alias("kinds"),
+        F.aggregate("queries", F.lit(0).cast("bigint"), lambda a, q: a + q["hits"]).alias("hits"),
+        "candidates",
+        F.col("best").isNotNull().alias("has_best"),
+    )
+    order = F.struct("run_at", "row_key", "candidates", F.size("queries"))
+    return spread.groupBy("key").agg(F.max_by(facts, order).alias("_r")).select("key", "_r.*")
+
+
+def reusable(lists: DataFrame, now: Column) -> DataFrame:
+    """Whether a stored result list may still be used, by the age of its window at fetch time."""
+    age = F.unix_timestamp(now) - F.unix_timestamp("fetched_at")
+    closed = F.datediff(F.to_date("fetched_at"), "window_end")
+    ok = F.when(closed < 1, age <= 6 * 3600).otherwise((age <= 7 * 86400) | (closed > 14))
+    return lists.withColumn("closed_days", closed).withColumn("reuse", ok)
+
+
+def purge(details: DataFrame, lists: DataFrame, extract_version: int) -> DataFrame:
+    """Stored details to drop: referenced by no list, or extracted by an older version."""
+    used = lists.select(F.explode("ids").alias("message_id")).distinct().withColumn("_used", F.lit(True))
+    rows = details.join(used, "message_id", "left")
+    reason = (
+        F.when(F.col("_used").isNull(), "unreferenced").when(F.col("extract_version") != extract_version, "old extract")
+    )
+    return rows.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_used")
+
+
+def fetch_coverage(records: DataFrame) -> DataFrame:
+    """Rows by outcome, and how many of them have at least one file."""
+    return records.groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("files") > 0).alias("covered"),
+        F.sum(F.when(F.col("status") == "fetched", F.col("files")).otherwise(0)).alias("new_files"),
+    )
+
+
+def worklist_table(routed: DataFrame) -> DataFrame:
+    """The person-facing short table: one sentence per row, a deadline only where one is due."""
+    return routed.select(
+        "date",
+        "merchant",
+        format_money(F.col("amount_sek")).alias("amount"),
+        "route",
+        F.col("route_reason").alias("what_to_do"),
+        F.coalesce(F.col("forward_deadline").cast("string"), F.lit("")).alias("deadline"),
+        F.coalesce("confidence", F.lit("none")).alias("confidence"),
+        "row_key",
+    )
+

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scale import bounded_rows, containing_pairs
@@ -135,11 +137,11 @@ def resolve_vendor(charges: DataFrame, vendors: DataFrame, stopwords) -> DataFra
     def listed(c):
         return F.exists(
             c["amounts"],
-            lambda a: ((a["currency"] == F.col("foreign_currency")) & (F.abs(a["amount"] - F.col("foreign_amount")) <= 0.01))
+            lambda a: ((a["currency"] == F.col("foreign_currency")) & (F.abs(a["amount"] - F.col("foreign_amount")) <= F.lit(Decimal("0.01"))))
             | (
                 (c["bill_currency"] == "SEK")
                 & (a["currency"] == "SEK")
-                & (F.abs(a["amount"] - F.col("amount_sek")) <= 0.01)
+                & (F.abs(a["amount"] - F.col("amount_sek")) <= F.lit(Decimal("0.01")))
             ),
         )
 
@@ -220,7 +222,7 @@ def canonical_vendor(charges: DataFrame, vendors: DataFrame, rules: DataFrame, s
     def listed(c):
         return F.exists(
             c["amounts"],
-            lambda a: (F.abs(a["amount"] - F.col("amount")) <= 0.01) & (F.upper(a["currency"]) == F.col("currency")),
+            lambda a: (F.abs(a["amount"] - F.col("amount")) <= F.lit(Decimal("0.01"))) & (F.upper(a["currency"]) == F.col("currency")),
         )
 
     pick = F.coalesce(
