@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
 from ..operators import matching as mt
+from ..session import settle
 from . import bindings as b, query
 from .bindings import cte, with_
 
@@ -244,11 +245,11 @@ def pairs(spark, sf):
 
 
 def scored(spark, sf):
-    return mt.score(pairs(spark, sf), policy(spark), STOP, full=False)
+    return mt.score(pairs(spark, sf), policy(spark), STOP)
 
 
 def rescored(spark, sf):
-    return mt.rescore(scored(spark, sf), details(spark, sf), policy(spark), STOP)
+    return mt.rescore(scored(spark, sf), details(spark, sf))
 
 
 def ranked(spark, sf):
@@ -435,11 +436,11 @@ FROM best b JOIN messages m ON m."to" = 'forward@inbox.example' AND m.day >= b.b
 
 @query("j20_related_sends", with_("related", body="SELECT row_key, best, send_id, send_day FROM related"))
 def j20(spark, sf):
-    return mt.related_sends(best(spark, sf), sends(spark, sf), MARKS)
+    return mt.related_sends(settle(best(spark, sf)), sends(spark, sf), MARKS)
 
 
 def routed(spark, sf):
-    found = best(spark, sf)
+    found = settle(best(spark, sf))  # one narrow row per charge, read by three joins below
     sent = mt.related_sends(found, sends(spark, sf), MARKS).groupBy("row_key").agg(F.max("send_day").alias("sent_day"))
     rows = worklist(spark, sf).join(found, "row_key", "left").join(sent, "row_key", "left")
     return mt.route(rows, policy(spark), F.expr(RUN_DATE))

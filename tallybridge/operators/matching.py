@@ -189,7 +189,7 @@ def band_distance(lag: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(lo - lag, lag - hi, F.lit(0))
 
 
-def amount_level(allow_fx: Column) -> Column:
+def amount_level(mentions: str, allow_fx: Column) -> Column:
     """Best agreement between the charge and any money mention of the message."""
     sek, foreign, currency = F.col("amount_sek"), F.col("foreign_amount"), F.col("foreign_currency")
 
@@ -197,7 +197,7 @@ def amount_level(allow_fx: Column) -> Column:
         return F.coalesce(F.abs(value - target) <= F.lit(Decimal("0.01")), F.lit(False))
 
     def some(test):
-        return F.exists("mentions", test)
+        return F.exists(mentions, test)
 
     def in_sek(m):
         return F.coalesce(m["currency"] == "SEK", F.lit(False)) & sek.isNotNull()
@@ -225,58 +225,60 @@ NAME_FILLERS = ["the", "inc", "llc", "ltd"]
 SCORE_PARTS = ["s_amount", "s_date", "s_sender", "s_subject", "s_attachment", "s_class"]
 
 
-def score(pairs: DataFrame, policy: MatchPolicy, stopwords, full: bool) -> DataFrame:
-    """Score every pair from -100 to 100, each part in its own column.
+def _level_points(level: Column) -> Column:
+    points = F.lit(0)
+    for name, n in AMOUNT_POINTS.items():
+        points = F.when(level == name, n).otherwise(points)
+    return points
 
-    ``full`` adds the attachment part, for pairs whose detail columns have been joined.
-    """
-    out = band_distance(F.col("lag_days"), F.col("band_lo"), F.col("band_hi"))
-    rows = (
-        pairs.withColumn("class", message_class(policy))
-        .withColumn("band_gap", out)
-        .withColumn("in_window", F.col("day").between(F.col("window_from"), F.col("window_to")))
-        .withColumn("tokens", merchant_tokens(F.col("merchant"), stopwords))
+
+def _total() -> Column:
+    return F.greatest(F.lit(-100), F.least(F.lit(100), sum((F.col(c) for c in SCORE_PARTS), F.lit(0))))
+
+
+def _listed(address: Column, domain: Column) -> Column:
+    """Whether an address, or its domain or a parent of it, is among the vendor's senders."""
+    return F.exists(
+        F.coalesce("senders", _no_keys()),
+        lambda e: F.when(e.contains("@"), address == F.lower(e)).otherwise(
+            (domain == F.lower(e)) | domain.endswith(F.concat(F.lit("."), F.lower(e)))
+        ),
     )
-    foreign_billed = F.col("foreign_amount").isNotNull() | (F.coalesce("bill_currency", F.lit("SEK")) != "SEK")
-    rows = rows.withColumn(
-        "amount_match", amount_level(foreign_billed & F.col("in_window") & (F.col("band_gap") <= 5))
+
+
+def score(pairs: DataFrame, policy: MatchPolicy, stopwords) -> DataFrame:
+    """First pass: score every pair from -100 to 100 on message headers, each part in its own column."""
+    rows = pairs.withColumns(
+        {
+            "class": message_class(policy),
+            "band_gap": band_distance(F.col("lag_days"), F.col("band_lo"), F.col("band_hi")),
+            "in_window": F.col("day").between(F.col("window_from"), F.col("window_to")),
+            "tokens": F.transform(merchant_tokens(F.col("merchant"), stopwords), F.lower),
+            "subject_text": F.lower("subject"),
+            "name_text": F.lower(F.coalesce("from_name", F.lit(""))),
+        }
     )
-    points = F.lit(0)
-    for level, n in AMOUNT_POINTS.items():
-        points = F.when(F.col("amount_match") == level, n).otherwise(points)
+    foreign_billed = F.col("foreign_amount").isNotNull() | (F.coalesce("bill_currency", F.lit("SEK")) != "SEK")
+    fx = foreign_billed & F.col("in_window") & (F.col("band_gap") <= 5)
     day = (
         F.when(~F.col("in_window"), 0)
         .when(F.col("band_gap") == 0, 25)
         .otherwise(F.greatest(F.lit(5), F.lit(25) - F.col("band_gap") * 3))
     )
     known = F.col("vendor_key").isNotNull()
-
-    def listed(address, domain):
-        return F.exists(
-            F.coalesce("senders", _no_keys()),
-            lambda e: F.when(e.contains("@"), address == F.lower(e)).otherwise(
-                (domain == F.lower(e)) | domain.endswith(F.concat(F.lit("."), F.lower(e)))
-            ),
-        )
-
-    name = F.lower(F.coalesce("from_name", F.lit("")))
+    name, subject = F.col("name_text"), F.col("subject_text")
     words = F.filter(
         F.regexp_extract_all(F.lower(F.coalesce("vendor_name", F.lit(""))), F.lit("([a-z]{3,})"), F.lit(1)),
         lambda w: ~w.isin(*NAME_FILLERS),
     )
     sender = (
         F.when(known & F.exists(F.coalesce("sender_exact", _no_keys()), lambda e: F.lower(e) == F.col("from_addr")), 20)
-        .when(known & listed(F.col("from_addr"), F.col("from_domain")), 15)
-        .when(known & listed(F.col("reply_addr"), F.col("reply_domain")), 12)
+        .when(known & _listed(F.col("from_addr"), F.col("from_domain")), 15)
+        .when(known & _listed(F.col("reply_addr"), F.col("reply_domain")), 12)
         .when(known & F.exists(words, lambda w: name.contains(w)), 10)
-        .when(
-            ~known
-            & F.exists("tokens", lambda t: F.concat_ws(" ", name, F.col("from_domain")).contains(F.lower(t))),
-            10,
-        )
+        .when(~known & F.exists("tokens", lambda t: F.concat_ws(" ", name, F.col("from_domain")).contains(t)), 10)
         .otherwise(0)
     )
-    subject = F.lower("subject")
     refund = contains_any(subject, policy.list("refund_terms"))
     base = (
         F.when(
@@ -287,39 +289,23 @@ def score(pairs: DataFrame, policy: MatchPolicy, stopwords, full: bool) -> DataF
         .when(contains_any(subject, policy.list("receipt_terms")), 5)
         .otherwise(0)
     )
-    worded = F.when(F.exists("tokens", lambda t: subject.contains(F.lower(t))), 3).otherwise(0)
-    subject_points = F.when(refund & (F.col("kind") != "refund"), -20).otherwise(F.least(base + worded, F.lit(10)))
+    worded = F.when(F.exists("tokens", lambda t: subject.contains(t)), 3).otherwise(0)
     class_points = (
         F.when(F.col("class") == "forward", -15).when(F.col("class") == "reply", -25).otherwise(0)
         + F.when(contains_any(subject, FAIL_TERMS), -20).otherwise(0)
     )
-    if full:
-        link = F.exists(
-            F.coalesce("links", _no_keys()),
-            lambda u: u.rlike("(?i)invoice|receipt|pdf|faktura|kvitto")
-            | listed(F.lit(""), F.lower(F.regexp_extract(u, "^https?://([^/:?#]+)", 1))),
-        )
-        kind = F.when(known, F.col("attachments"))
-        attachment = (
-            F.when(kind == "pdf", F.when(F.col("has_pdf"), 5).otherwise(0))
-            .when(kind.isin("html", "none"), F.when(F.col("has_html"), 5).otherwise(0))
-            .when(kind == "link", F.when(link, 5).otherwise(0))
-            .when(F.col("has_pdf"), 5)
-            .when(F.col("has_html"), 2)
-            .otherwise(0)
-        )
-    else:
-        attachment = F.lit(0)
-    rows = (
-        rows.withColumn("s_amount", points)
-        .withColumn("s_date", day.cast("int"))
-        .withColumn("s_sender", sender)
-        .withColumn("s_subject", subject_points)
-        .withColumn("s_attachment", attachment)
-        .withColumn("s_class", class_points)
-    )
-    total = sum((F.col(c) for c in SCORE_PARTS), F.lit(0))
-    return rows.withColumn("score", F.greatest(F.lit(-100), F.least(F.lit(100), total))).drop("tokens")
+    parts = rows.withColumns(
+        {
+            "allow_fx": fx,
+            "amount_match": amount_level("mentions", fx),
+            "s_date": day.cast("int"),
+            "s_sender": sender,
+            "s_subject": F.when(refund & (F.col("kind") != "refund"), -20).otherwise(F.least(base + worded, F.lit(10))),
+            "s_attachment": F.lit(0),
+            "s_class": class_points,
+        }
+    ).drop("tokens", "subject_text", "name_text", "sender_exact", "subject_terms", "decoy_senders", "from_name", "to")
+    return parts.withColumn("s_amount", _level_points(F.col("amount_match"))).withColumn("score", _total())
 
 
 def has_signal() -> Column:
@@ -342,37 +328,62 @@ def detail_gate(scored: DataFrame, max_full: int = 6) -> DataFrame:
     return eligible.withColumn("gate_rank", F.row_number().over(best)).filter(F.col("gate_rank") <= max_full)
 
 
-def rescore(scored: DataFrame, details: DataFrame, policy: MatchPolicy, stopwords, max_full: int = 6) -> DataFrame:
-    """Second pass: detail columns joined for gated pairs only, every other pair as it was.
+CANDIDATE_COLUMNS = [
+    "row_key", "message_id", "thread_id", "day", "subject", "class", "lag_days", "band_gap", "amount_match",
+    *SCORE_PARTS, "score", "meta_score", "has_pdf", "has_html",
+]
+
 
-    The metadata score stays as ``meta_score``.
+def rescore(scored: DataFrame, details: DataFrame, max_full: int = 6) -> DataFrame:
+    """Second pass: mentions, attachments and links are read for gated pairs only.
+
+    Only the amount and attachment parts can change; the header score stays as ``meta_score``.
+    The gate is a handful of rows per charge, so the wide details meet nothing else.
     """
-    derived = ["class", "band_gap", "in_window", "amount_match", *SCORE_PARTS, "score"]
-    gate = detail_gate(scored, max_full).select("row_key", "message_id", F.lit(True).alias("gated"))
-    flagged = scored.join(gate, ["row_key", "message_id"], "left").withColumn("meta_score", F.col("score"))
-    extra = details.select(
-        "message_id",
-        F.col("mentions").alias("_detail_mentions"),
-        F.col("has_pdf").alias("_pdf"),
-        F.col("has_html").alias("_html"),
-        F.col("links").alias("_links"),
-    )
-    first = flagged.filter("gated").drop("has_pdf", "has_html", "links").join(extra, "message_id", "left")
-    merged = (
-        first.withColumn("mentions", F.array_union("mentions", F.coalesce("_detail_mentions", F.col("mentions"))))
-        .withColumn("has_pdf", F.coalesce("_pdf", F.lit(False)))
-        .withColumn("has_html", F.coalesce("_html", F.lit(False)))
-        .withColumn("links", F.coalesce("_links", _no_keys()))
-        .drop("_detail_mentions", "_pdf", "_html", "_links", *derived)
-    )
-    again = score(merged, policy, stopwords, full=True)
-    rest = (
-        flagged.filter("gated IS NULL")
-        .withColumn("has_pdf", F.lit(False))
-        .withColumn("has_html", F.lit(False))
-        .withColumn("links", _no_keys())
-    )
-    return again.unionByName(rest.select(*again.columns))
+    extra = (
+        detail_gate(scored, max_full)
+        .select("row_key", "message_id")
+        .join(details, "message_id", "left")
+        .select(
+            "row_key",
+            "message_id",
+            F.lit(True).alias("gated"),
+            F.col("mentions").alias("more"),
+            F.coalesce("has_pdf", F.lit(False)).alias("has_pdf"),
+            F.coalesce("has_html", F.lit(False)).alias("has_html"),
+            F.coalesce("links", _no_keys()).alias("links"),
+        )
+    )
+    rows = scored.join(extra, ["row_key", "message_id"], "left").withColumns(
+        {
+            "meta_score": F.col("score"),
+            "has_pdf": F.coalesce("has_pdf", F.lit(False)),
+            "has_html": F.coalesce("has_html", F.lit(False)),
+            "mentions": F.when(F.col("gated") & F.col("more").isNotNull(), F.array_union("mentions", "more")).otherwise(
+                F.col("mentions")
+            ),
+        }
+    )
+    kind = F.when(F.col("vendor_key").isNotNull(), F.col("attachments"))
+    link = F.exists(
+        F.coalesce("links", _no_keys()),
+        lambda u: u.rlike("(?i)invoice|receipt|pdf|faktura|kvitto")
+        | _listed(F.lit(""), F.lower(F.regexp_extract(u, "^https?://([^/:?#]+)", 1))),
+    )
+    attachment = (
+        F.when(kind == "pdf", F.when(F.col("has_pdf"), 5).otherwise(0))
+        .when(kind.isin("html", "none"), F.when(F.col("has_html"), 5).otherwise(0))
+        .when(kind == "link", F.when(link, 5).otherwise(0))
+        .when(F.col("has_pdf"), 5)
+        .when(F.col("has_html"), 2)
+        .otherwise(0)
+    )
+    level = F.when(F.col("gated"), amount_level("mentions", F.col("allow_fx"))).otherwise(F.col("amount_match"))
+    parts = rows.withColumns(
+        {"amount_match": level, "s_attachment": F.when(F.col("gated"), attachment).otherwise(F.lit(0))}
+    )
+    final = parts.withColumn("s_amount", _level_points(F.col("amount_match"))).withColumn("score", _total())
+    return final.select(*CANDIDATE_COLUMNS)
 
 
 def confidence(policy: MatchPolicy) -> Column:
@@ -395,7 +406,7 @@ def rank_candidates(scored: DataFrame, policy: MatchPolicy, top: int = 5) -> Dat
     """
     pool = scored.filter(~F.col("class").isin(*REJECTED_CLASSES))
     order = [-F.col("score"), -F.col("meta_score"), -F.unix_date("day"), F.col("message_id")]
-    keep = [c for c in pool.columns if c not in ("row_key", "thread_id")]
+    keep = ["message_id", "day", "subject", "score", "band_gap", "amount_match", "s_sender", "s_subject", "has_pdf"]
     winners = (
         pool.groupBy("row_key", "thread_id")
         .agg(
