@@ -10,7 +10,9 @@ MONEY = "decimal(18,2)"
 MINUS_CLASS = "[\u2212\u2010\u2011\u2012\u2013\u2014]"
 BLANK_CLASS = "[\\s\u00a0\u202f]"
 
-DIALECTS = ("statement", "archive", "swedish", "any", "export")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _compact(text: Column) -> Column:
@@ -18,70 +20,94 @@ def _compact(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, MINUS_CLASS, "-"), BLANK_CLASS, "")
 
 
-def _number(text: Column, shape: str) -> Column:
+def _number(text: Column, shape: str = r"^[+-]?(\d+\.?\d*|\.\d+)$") -> Column:
     """``text`` as money when it has the given shape, half-up to the öre, else null."""
-    return F.when(text.rlike(shape), F.round(text.try_cast("decimal(28,10)"), 2).try_cast(MONEY))
+    return let(text, lambda t: F.when(t.rlike(shape), F.round(t.try_cast("decimal(28,10)"), 2).try_cast(MONEY)))
 
 
-def parse_money(text: Column, dialect: str) -> Column:
-    """Localised money text as ``decimal(18,2)``; null where the dialect rejects the text."""
-    plain = r"^[+-]?(\d+\.?\d*|\.\d+)$"
-    t = _compact(text)
-    if dialect in ("statement", "export"):
-        # A comma is always the decimal sign; dots before it are thousands separators.
-        by_comma = F.when(t.contains(","), F.regexp_replace(F.replace(t, F.lit("."), F.lit("")), ",", "."))
-        if dialect == "export":
-            body = F.regexp_replace(F.replace(t, F.lit("."), F.lit("")), ",", ".")
-            return F.coalesce(_number(body, plain), F.lit(0).cast(MONEY))
-        return _number(F.coalesce(by_comma, t), plain)
-    if dialect == "swedish":
-        # A dot groups thousands and is never the decimal sign.
-        body = F.regexp_replace(F.replace(t, F.lit("."), F.lit("")), ",", ".")
-        grouped = r"^[+-]?\d{1,3}(\.\d{3})+(,\d+)?$"
-        return F.when(~t.contains(".") | t.rlike(grouped), _number(body, r"^[+-]?\d+(\.\d+)?$"))
-    if dialect == "any":
-        negative = t.startswith("-")
-        body = F.regexp_replace(t, r"^[+-]+", "")
-        last_sep = F.regexp_extract(body, r"([.,])[^.,]*$", 1)
-        both = body.contains(",") & body.contains(".")
-        seps = F.length(F.regexp_replace(body, r"\d", ""))
-        groups = body.rlike(r"^\d+[.,]\d{3}$") | ((seps > 1) & ~both)
-        # Where both signs occur the last one is the decimal sign, and it may occur only once.
-        one_decimal = F.when(last_sep == ",", F.regexp_replace(F.replace(body, F.lit("."), F.lit("")), ",", ".")).otherwise(
-            F.replace(body, F.lit(","), F.lit(""))
-        )
+def _without(text: Column, chars: str) -> Column:
+    return F.translate(text, chars, "")
+
+
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(_without(text, char))
+
+
+def _comma_decimal(text: Column) -> Column:
+    """Dots group, the comma is the decimal sign."""
+    return F.translate(_without(text, "."), ",", ".")
+
+
+def _statement(t: Column) -> Column:
+    return _number(F.when(t.contains(","), _comma_decimal(t)).otherwise(t))
+
+
+def _export(t: Column) -> Column:
+    return F.coalesce(_number(_comma_decimal(t)), F.lit(0).cast(MONEY))
+
+
+def _swedish(t: Column) -> Column:
+    grouped = r"^[+-]?\d{1,3}(\.\d{3})+(,\d+)?$"
+    return F.when(~t.contains(".") | t.rlike(grouped), _number(_comma_decimal(t), r"^[+-]?\d+(\.\d+)?$"))
+
+
+def _mixed(body: Column) -> Column:
+    """Both signs occur: the last one is the decimal sign."""
+    comma_last = body.rlike(r",[^.,]*$")
+    return F.when(comma_last, _comma_decimal(body)).otherwise(_without(body, ","))
+
+
+def _any(t: Column) -> Column:
+    def unsigned(body):
+        several = (_count(body, ",") + _count(body, ".")) > 1
+        one_group = body.rlike(r"^\d+[.,]\d{3}$")
         value = (
             F.when(~body.rlike(r"^[\d.,]+$"), F.lit(None))
-            .when(both, one_decimal)
-            .when(groups, F.regexp_replace(body, "[.,]", ""))
-            .otherwise(F.replace(body, F.lit(","), F.lit(".")))
+            .when(body.contains(",") & body.contains("."), _mixed(body))
+            .when(several | one_group, _without(body, ".,"))
+            .otherwise(F.translate(body, ",", "."))
         )
-        parsed = _number(value, r"^(\d+\.?\d*|\.\d+)$")
-        return F.when(negative, -parsed).otherwise(parsed).cast(MONEY)
-    if dialect == "archive":
-        # First number anywhere in the text; a following exponent disqualifies it.
-        num = F.regexp_extract(t, r"([-+]?(?:\d[\d.,]*|[.,]\d+))", 1)
-        rest = F.regexp_extract(t, r"[-+]?(?:\d[\d.,]*|[.,]\d+)(.*)$", 1)
-        negative = num.startswith("-")
-        body = F.regexp_replace(F.regexp_replace(num, r"^[+-]+", ""), r"[.,]+$", "")
-        last_sep = F.regexp_extract(body, r"([.,])[^.,]*$", 1)
-        both = body.contains(",") & body.contains(".")
-        commas = F.length(body) - F.length(F.replace(body, F.lit(","), F.lit("")))
-        dots = F.length(body) - F.length(F.replace(body, F.lit("."), F.lit("")))
-        value = (
-            F.when(
-                both & (last_sep == ","),
-                F.regexp_replace(F.replace(body, F.lit("."), F.lit("")), ",", "."),
+        return _number(value)
+
+    parsed = let(F.regexp_replace(t, r"^[+-]+", ""), unsigned)
+    return F.when(t.startswith("-"), -parsed).otherwise(parsed).cast(MONEY)
+
+
+def _archive(t: Column) -> Column:
+    number = r"[-+]?(?:\d[\d.,]*|[.,]\d+)"
+
+    def signed(num):
+        def unsigned(body):
+            value = (
+                F.when(body.contains(",") & body.contains("."), _mixed(body))
+                .when(_count(body, ",") > 1, _without(body, ","))
+                .when(_count(body, ".") > 1, _without(body, "."))
+                .otherwise(F.translate(body, ",", "."))
             )
-            .when(both | (commas > 1), F.replace(body, F.lit(","), F.lit("")))
-            .when(commas == 1, F.replace(body, F.lit(","), F.lit(".")))
-            .when(dots > 1, F.replace(body, F.lit("."), F.lit("")))
-            .otherwise(body)
-        )
-        parsed = _number(value, r"^(\d+\.?\d*|\.\d+)$")
-        signed = F.when(negative, -parsed).otherwise(parsed).cast(MONEY)
-        return F.when((num != "") & ~rest.rlike(r"^[eE][-+]?\d"), signed)
-    raise ValueError(f"unknown money dialect {dialect!r}; expected one of {DIALECTS}")
+            return _number(value)
+
+        parsed = let(F.regexp_replace(num, r"^[+-]+|[.,]+$", ""), unsigned)
+        return F.when(num.startswith("-"), -parsed).otherwise(parsed).cast(MONEY)
+
+    exponent = t.rlike(rf"^[^\d.,+-]*{number}[eE][-+]?\d")
+    return F.when(~exponent, let(F.regexp_extract(t, f"({number})", 1), signed))
+
+
+_READERS = {"statement": _statement, "archive": _archive, "swedish": _swedish, "any": _any, "export": _export}
+DIALECTS = tuple(_READERS)
+
+
+def parse_money(text: Column, dialect: str) -> Column:
+    """Localised money text as ``decimal(18,2)``; null where the dialect rejects the text.
+
+    ``statement`` and ``export`` read a comma as the decimal sign and dots before it as grouping;
+    ``swedish`` never reads a dot as the decimal sign; ``any`` and ``archive`` take the last sign
+    as the decimal one, ``any`` reads a lone three-digit tail as thousands, and ``archive`` takes
+    the first number found in the text.
+    """
+    if dialect not in _READERS:
+        raise ValueError(f"unknown money dialect {dialect!r}; expected one of {DIALECTS}")
+    return let(_compact(text), _READERS[dialect])
 
 
 def format_money(amount: Column, currency: str | Column | None = "SEK", keep_sign: bool = False) -> Column:

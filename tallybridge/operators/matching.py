@@ -226,10 +226,7 @@ SCORE_PARTS = ["s_amount", "s_date", "s_sender", "s_subject", "s_attachment", "s
 
 
 def _level_points(level: Column) -> Column:
-    points = F.lit(0)
-    for name, n in AMOUNT_POINTS.items():
-        points = F.when(level == name, n).otherwise(points)
-    return points
+    return F.element_at(F.create_map(*[F.lit(x) for pair in AMOUNT_POINTS.items() for x in pair]), level)
 
 
 def _total() -> Column:
