@@ -1 +1,460 @@
-"""Queries."""
+"""Queries over the status board: expenses, ledger rows, months, sources, to-do."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.money import MONEY
+from ..operators import archive as ar, status as st
+from ..session import settle
+from . import bindings as b, query
+from .archive import records
+from .bindings import cte, with_
+
+TODAY = "DATE '2001-08-20'"
+
+# --------------------------------------------------------------------------- expense export
+
+
+@query("s2_expense_export", with_("expenses", body="SELECT expense_id, date, type, amount_sek, export_status, has_receipt, payout FROM expenses"))
+def s2(spark, sf):
+    return b.expenses(spark, sf).select("expense_id", "date", "type", "amount_sek", "export_status", "has_receipt", "payout")
+
+
+@query("a2_export_profile", with_("expenses", body="""
+SELECT 'type' AS facet, type AS value, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM expenses GROUP BY type
+UNION ALL SELECT 'owner', owner, count(*), min(date), max(date) FROM expenses GROUP BY owner
+UNION ALL SELECT 'export_status', export_status, count(*), min(date), max(date) FROM expenses GROUP BY export_status
+UNION ALL SELECT 'missing', type, count(*), min(date), max(date) FROM expenses WHERE NOT has_receipt GROUP BY type
+UNION ALL SELECT 'all', '', count(*), min(date), max(date) FROM expenses"""))
+def a2(spark, sf):
+    return st.export_profile(b.expenses(spark, sf))
+
+
+@query("a3_expense_months", with_("expenses", body="""
+SELECT month, count(*) AS rows, count(*) FILTER (has_receipt) AS with_receipt, count(*) FILTER (NOT has_receipt AND NOT payout) AS missing, count(*) FILTER (NOT has_receipt AND payout) AS payouts,
+  CAST(sum(amount_sek) AS DECIMAL(18,2)) AS amount_sek, CAST(coalesce(sum(amount_sek) FILTER (NOT has_receipt AND NOT payout), 0) AS DECIMAL(18,2)) AS missing_sek,
+  CAST(coalesce(sum(amount_sek) FILTER (NOT has_receipt AND payout), 0) AS DECIMAL(18,2)) AS payouts_sek, count(*) FILTER (export_status = 'EXPORTED') AS exported, count(*) FILTER (export_status = 'QUEUED') AS queued,
+  count(*) FILTER (export_status = 'NOT_EXPORTED') AS not_exported
+FROM expenses GROUP BY ROLLUP (month)"""))
+def a3(spark, sf):
+    return st.expense_months(b.expenses(spark, sf))
+
+
+@query("j9_payout_gaps", with_("expenses", body="""
+WITH e AS (SELECT DISTINCT expense_id, CAST(unnest([CAST(expense_id AS BIGINT) + 1, CAST(expense_id AS BIGINT) * 2, CAST(expense_id AS BIGINT) + 1]) AS VARCHAR) AS entry FROM expenses WHERE payout)
+SELECT expense_id, count(*) AS entries, count(*) FILTER (entry NOT IN (SELECT expense_id FROM expenses)) AS absent FROM e GROUP BY expense_id"""))
+def j9(spark, sf):
+    key = F.col("expense_id").cast("bigint")
+    rows = b.expenses(spark, sf).withColumn("reconciled", F.concat_ws(" , ", key + 1, key * 2, key + 1, F.lit("")))
+    return st.payout_gaps(rows)
+
+
+def live_raw(spark, sf):
+    o = b.table(spark, sf, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    key = F.col("o_orderkey").cast("string")
+    s = F.col("o_orderstatus")
+    rows = o.select(
+        F.when(urgent, key).otherwise("").alias("expense_id"),
+        F.when(urgent, "").otherwise(F.concat(F.lit("R"), key)).alias("receipt_no"),
+        F.when(s == "F", "KIVRA AVGIFT").otherwise("").alias("merchant"),
+        F.lit("").alias("type"), F.lit("").alias("export_status"),
+        F.when(s == "O", F.lit(12.5).cast(MONEY)).alias("amount_sek"),
+        F.lit(None).cast("date").alias("date"),
+        F.when(s == "O", "portal").when(s == "P", "ask").alias("route_if_none"),
+        F.when(s == "O", "log in").otherwise("").alias("portal"),
+    )
+    return st.missing_route(rows)
+
+
+def export(spark, sf):
+    return b.expenses(spark, sf).withColumn("receipt_no", F.concat(F.lit("R"), "expense_id"))
+
+
+def attached(spark, sf):
+    o = b.table(spark, sf, "orders").filter((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000))
+    return o.select(F.col("o_orderkey").cast("string").alias("expense_id"), F.lit("attached 2001-08-01").alias("status"), F.lit("2001-08-01").cast("date").alias("date"))
+
+
+def live(spark, sf):
+    return st.enrich_live(live_raw(spark, sf), export(spark, sf), attached(spark, sf).select("expense_id", "status"))
+
+
+cte("attached", "SELECT CAST(o_orderkey AS VARCHAR) AS expense_id FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000")
+cte("live", """
+SELECT CAST(o_orderkey AS VARCHAR) AS expense_id, CASE o_orderstatus WHEN 'F' THEN 'KIVRA AVGIFT' ELSE o_orderpriority END AS merchant, 'Card Purchase' AS type,
+  CAST(CASE o_orderstatus WHEN 'O' THEN 12.5 ELSE o_totalprice END AS DECIMAL(18,2)) AS amount_sek, CAST(o_orderdate AS DATE) AS date,
+  CASE WHEN o_orderstatus = 'P' AND o_totalprice > 400000 THEN 'attached' WHEN o_orderstatus = 'F' THEN 'app' WHEN o_orderstatus = 'O' THEN 'portal' ELSE 'ask' END AS route,
+  CASE o_orderstatus WHEN 'F' THEN 'the operator downloads it in the app' WHEN 'O' THEN 'log in' ELSE 'ask the accountant' END AS hint,
+  CASE o_orderstatus WHEN 'F' THEN 'operator' WHEN 'O' THEN 'system' ELSE 'accountant' END AS owner
+FROM orders WHERE o_orderpriority IN ('1-URGENT','2-HIGH')""")
+
+
+@query("d16_missing_route", with_("live", body="""
+SELECT owner, hint, CASE hint WHEN 'log in' THEN 'portal' WHEN 'ask the accountant' THEN 'ask' ELSE 'app' END AS route, count(*) AS n FROM live GROUP BY ALL"""))
+def d16(spark, sf):
+    return live_raw(spark, sf).groupBy("owner", "hint", "route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j11_enrich_live", with_("live", body="SELECT expense_id, merchant, type, amount_sek, date, route FROM live"))
+def j11(spark, sf):
+    return live(spark, sf).select("expense_id", "merchant", "type", "amount_sek", "date", "route")
+
+
+@query("a6_work_by_route", with_("live", body="SELECT route, owner, count(*) AS n, CAST(sum(amount_sek) AS DECIMAL(18,2)) AS amount_sek FROM live WHERE route <> 'attached' GROUP BY ALL"))
+def a6(spark, sf):
+    return st.work_by_route(live(spark, sf))
+
+
+def flagged_items(spark, sf):
+    """Flagged receipts: orders with a returned line; the two snapshots are two line statuses of their files."""
+    o = b.table(spark, sf, "orders").filter(F.col("o_orderpriority") == "3-MEDIUM")
+    key = F.col("o_orderkey").cast("string")
+    return o.select(key.alias("receipt_no"), key.alias("expense_id"), F.col("o_totalprice").cast(MONEY).alias("amount_sek"), F.col("o_orderstatus").alias("group"), F.lit("wrong document").alias("problem"))
+
+
+def snapshot(spark, sf, status):
+    line = b.table(spark, sf, "lineitem").filter(F.col("l_linestatus") == status)
+    return line.select(F.col("l_orderkey").cast("string").alias("receipt_no"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("sha"))
+
+
+def flagged(spark, sf):
+    return st.flag_status(flagged_items(spark, sf), snapshot(spark, sf, "F"), snapshot(spark, sf, "O"), attached(spark, sf))
+
+
+cte("flagged", """
+SELECT CAST(o_orderkey AS VARCHAR) AS expense_id, CAST(o_totalprice AS DECIMAL(18,2)) AS amount_sek, o_orderstatus AS "group",
+  CASE WHEN o_orderstatus = 'P' AND o_totalprice > 400000 THEN 'refiled' WHEN n.k IS NULL THEN 'gone' WHEN len(n.files) > 0 AND n.files <> coalesce(p.files, []) THEN 'refiled' ELSE 'open' END AS status
+FROM orders LEFT JOIN (SELECT l_orderkey AS k, coalesce(list_sort(list(DISTINCT l_returnflag) FILTER (l_returnflag <> 'R')), []) AS files FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) n ON n.k = o_orderkey
+LEFT JOIN (SELECT l_orderkey AS k, coalesce(list_sort(list(DISTINCT l_returnflag) FILTER (l_returnflag <> 'R')), []) AS files FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) p ON p.k = o_orderkey
+WHERE o_orderpriority = '3-MEDIUM'""")
+
+
+@query("j12_flag_status", with_("flagged", body="SELECT expense_id, status FROM flagged"))
+def j12(spark, sf):
+    return flagged(spark, sf).select("expense_id", "status")
+
+
+@query("m8_apply_corrections", with_("expenses", "attached", body="SELECT expense_id, has_receipt OR expense_id IN (SELECT expense_id FROM attached) AS has_receipt, expense_id IN (SELECT expense_id FROM attached) AS corrected FROM expenses"))
+def m8(spark, sf):
+    return st.apply_corrections(b.expenses(spark, sf), attached(spark, sf)).select("expense_id", "has_receipt", "corrected")
+
+
+def _archived(spark, sf):
+    o = b.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "O")
+    return o.select(F.col("o_orderkey").cast("string").alias("expense_id"), F.lit("attached 2001-07-01").alias("status"))
+
+
+def _live_with_gaps(spark, sf):
+    """The live list also names expenses newer than the export."""
+    base = live(spark, sf).select("expense_id", "date", "amount_sek", "route", "hint")
+    return base.unionByName(base.withColumn("expense_id", F.concat(F.lit("new-"), "expense_id")))
+
+
+ROWS_SQL = """
+SELECT e.expense_id, e.date, e.amount_sek, CASE WHEN payout THEN 'payout' WHEN a.expense_id IS NOT NULL THEN 'corrected' WHEN f.status = 'open' THEN 'flagged' WHEN has_receipt AND export_status = 'EXPORTED' THEN 'exported'
+   WHEN has_receipt THEN 'ok' WHEN export_status = 'QUEUED' THEN 'attached' ELSE 'missing' END AS state, l.hint, 'export' AS source
+FROM expenses e LEFT JOIN attached a ON a.expense_id = e.expense_id LEFT JOIN flagged f ON f.expense_id = e.expense_id LEFT JOIN live l ON l.expense_id = e.expense_id
+UNION ALL SELECT 'new-' || expense_id, date, amount_sek, CASE WHEN route = 'attached' THEN 'attached' ELSE 'missing' END, hint, 'live' FROM live"""
+
+
+def _rows(spark, sf):
+    return st.expense_rows(b.expenses(spark, sf), _live_with_gaps(spark, sf), flagged(spark, sf), attached(spark, sf), _archived(spark, sf))
+
+
+@query("j10_expense_rows", with_("expenses", "attached", "flagged", "live", body=f"SELECT expense_id, date, amount_sek, source FROM ({ROWS_SQL})"))
+def j10(spark, sf):
+    return _rows(spark, sf).select("expense_id", "date", "amount_sek", "source")
+
+
+@query("d15_expense_state", with_("expenses", "attached", "flagged", "live", body=f"""
+SELECT expense_id, source, state, CASE WHEN source = 'live' THEN hint ELSE CASE state WHEN 'payout' THEN 'utbetalning, inget kvitto behövs' WHEN 'corrected' THEN 'rättat kvitto bifogat' WHEN 'flagged' THEN 'wrong document' WHEN 'exported' THEN 'klar'
+  WHEN 'ok' THEN 'kvitto finns, väntar på export' WHEN 'attached' THEN 'syns i nästa export' ELSE coalesce(hint, 'hämta kvitto') END END AS step FROM ({ROWS_SQL})"""))
+def d15(spark, sf):
+    return _rows(spark, sf).select("expense_id", "source", "state", "step")
+
+
+# --------------------------------------------------------------------------- ledger star
+
+def _ref(n: int):
+    return F.concat(F.col("o_orderkey").cast("string"), F.lit(f"-{n}"))
+
+
+def plan_rows(spark, sf):
+    o = b.table(spark, sf, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    month = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM")
+    p = F.col("o_orderpriority")
+    return o.select(
+        _ref(1).alias("ref"), month.alias("month"), (p == "1-URGENT").alias("uploaded"),
+        F.when((F.col("o_orderstatus") == "F") & ((p == "2-HIGH") | (month < "1995-02")), F.concat(F.lit("A "), F.col("o_orderkey").cast("string"))).alias("plan_voucher"),
+        F.when((p == "3-MEDIUM") & (month >= "1995-02"), "bas_account saknas").alias("plan_reason"),
+        month.between("1995-03", "1995-06").alias("held"), F.col("o_totalprice").cast(MONEY).alias("plan_amount"),
+    ).filter(F.col("month") < "2001-01")
+
+
+def plan_months(spark, sf):
+    ok = F.col("plan_reason").isNull()
+    return plan_rows(spark, sf).groupBy("month").agg(
+        F.count_if(ok).alias("vouchers"), F.count("plan_voucher").alias("booked"), F.max("held").alias("held"),
+        F.sum(F.when(ok, F.col("plan_amount"))).cast(MONEY).alias("plan_sek"),
+    )
+
+
+def star(spark, sf):
+    o = b.table(spark, sf, "orders")
+    day = F.col("o_orderdate").cast("date")
+    s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
+    ledger = b.classified(spark, sf).withColumn("in_expense", F.col("merchant").startswith("NEW"))
+    files = o.filter(s == "F").select(_ref(1).alias("ref"), F.lit("file").alias("file"))
+    archive = o.filter(s == "P").select(_ref(4).alias("ref"), F.lit("rec").alias("id"), F.when(p == "1-URGENT", "A 9").otherwise("").alias("voucher"))
+    paid = o.filter(p == "5-LOW").select(_ref(3).alias("ref"), F.date_add(day, 10).alias("paid_on"))
+    answers = o.filter(p == "2-HIGH").select(_ref(5).alias("ref"), F.when(s == "F", "business").otherwise("personal").alias("tag"))
+    searches = o.filter(p == "4-NOT SPECIFIED").select(_ref(6).alias("ref"), (s == "F").alias("has_best"), F.date_add(day, 3).alias("searched_on"))
+    return st.ledger_star(ledger, plan_rows(spark, sf), files, archive, paid, answers, searches)
+
+
+cte("plan_rows", """
+SELECT o_orderkey || '-1' AS ref, strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority = '1-URGENT' AS uploaded,
+  CASE WHEN o_orderstatus = 'F' AND (o_orderpriority = '2-HIGH' OR strftime(o_orderdate, '%Y-%m') < '1995-02') THEN 'A ' || o_orderkey END AS plan_voucher,
+  CASE WHEN o_orderpriority = '3-MEDIUM' AND strftime(o_orderdate, '%Y-%m') >= '1995-02' THEN 'bas_account saknas' END AS plan_reason, strftime(o_orderdate, '%Y-%m') BETWEEN '1995-03' AND '1995-06' AS held,
+  CAST(o_totalprice AS DECIMAL(18,2)) AS plan_amount
+FROM orders WHERE o_orderstatus IN ('F','O') AND strftime(o_orderdate, '%Y-%m') < '2001-01'""")
+cte("plan_months", """
+SELECT month, count(*) FILTER (plan_reason IS NULL) AS vouchers, count(plan_voucher) AS booked, bool_or(held) AS held, CAST(sum(plan_amount) FILTER (plan_reason IS NULL) AS DECIMAL(18,2)) AS plan_sek FROM plan_rows GROUP BY month""", "plan_rows")
+cte("star", """
+SELECT c.*, strftime(c.date, '%Y-%m') AS month, starts_with(c.merchant, 'NEW') AS in_expense, p.ref IS NOT NULL AND p.plan_reason IS NULL AS planned, coalesce(p.uploaded, false) AS uploaded, p.plan_reason, m.month IS NOT NULL AS has_plan, coalesce(m.held, false) AS plan_held,
+  f.ref IS NOT NULL OR a.ref IS NOT NULL AS evidence, coalesce(p.plan_voucher, a.voucher) AS voucher, d.paid_on, d.ref IS NOT NULL AS reimbursed, w.tag AS answer,
+  CASE WHEN c.tag = 'needs-tag' AND w.tag IS NOT NULL THEN w.tag ELSE c.tag END AS answered_tag, s.searched_on, s.has_best
+FROM classified c LEFT JOIN plan_rows p ON p.ref = c.ref LEFT JOIN plan_months m ON m.month = strftime(c.date, '%Y-%m')
+LEFT JOIN (SELECT o_orderkey || '-1' AS ref FROM orders WHERE o_orderstatus = 'F') f ON f.ref = c.ref
+LEFT JOIN (SELECT o_orderkey || '-4' AS ref, CASE WHEN o_orderpriority = '1-URGENT' THEN 'A 9' END AS voucher FROM orders WHERE o_orderstatus = 'P') a ON a.ref = c.ref
+LEFT JOIN (SELECT o_orderkey || '-3' AS ref, CAST(o_orderdate AS DATE) + 10 AS paid_on FROM orders WHERE o_orderpriority = '5-LOW') d ON d.ref = c.ref
+LEFT JOIN (SELECT o_orderkey || '-5' AS ref, CASE o_orderstatus WHEN 'F' THEN 'business' ELSE 'personal' END AS tag FROM orders WHERE o_orderpriority = '2-HIGH') w ON w.ref = c.ref
+LEFT JOIN (SELECT o_orderkey || '-6' AS ref, o_orderstatus = 'F' AS has_best, CAST(o_orderdate AS DATE) + 3 AS searched_on FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED') s ON s.ref = c.ref""", "classified", "plan_months")
+
+
+@query("j19_ledger_star", with_("star", body="SELECT ref, month, evidence, voucher, voucher IS NOT NULL AS booked, reimbursed, planned, has_plan, answered_tag FROM star"))
+def j19(spark, sf):
+    return star(spark, sf).select("ref", "month", "evidence", "voucher", "booked", "reimbursed", "planned", "has_plan", "answered_tag")
+
+
+cte("states", """
+SELECT *, CASE WHEN voucher IS NOT NULL THEN 'booked' WHEN reimbursed THEN 'reimbursed' WHEN answered_tag IN ('personal','skip','needs-tag') THEN answered_tag WHEN in_expense THEN 'in-expense' WHEN entity <> 'alfa' THEN 'other-entity'
+  WHEN NOT evidence THEN 'no-receipt' WHEN plan_held THEN 'held' WHEN planned THEN 'planned' ELSE 'ready' END AS state FROM star""", "star")
+
+
+@query("d13_ledger_state", with_("states", body="""
+SELECT ref, state, CASE state WHEN 'booked' THEN 'verifikat finns' WHEN 'reimbursed' THEN 'ersatt, får inte ersättas igen' || CASE WHEN NOT evidence THEN '; kvitto saknas fortfarande' ELSE '' END
+  WHEN 'personal' THEN 'privat köp, inget att göra' WHEN 'skip' THEN 'betalning eller kredit, inget att göra' WHEN 'needs-tag' THEN 'tagga företag eller privat' WHEN 'in-expense' THEN 'hanteras bland utläggen' WHEN 'other-entity' THEN 'hanteras utanför planen'
+  ELSE CASE state WHEN 'no-receipt' THEN CASE WHEN has_best THEN 'kandidat finns, väntar på bekräftelse' WHEN searched_on IS NOT NULL THEN 'inte i brevlådan, be leverantören om kvitto' ELSE 'sök kvitto' END WHEN 'held' THEN 'planen är på hold'
+       WHEN 'planned' THEN 'i plan, väntar på godkännande' ELSE 'tas med vid nästa månadskörning' END || CASE WHEN bas_account = '' THEN '; konto saknas' ELSE '' END END AS step
+FROM states"""))
+def d13(spark, sf):
+    return st.ledger_state(star(spark, sf), b.OWN).select("ref", "state", "step")
+
+
+@query("d14_business_status", with_("star", body="""
+SELECT ref, CASE WHEN voucher IS NOT NULL THEN 'booked' WHEN entity <> 'alfa' THEN 'other entity ' || entity WHEN has_plan AND NOT planned THEN 'outside the plan: ' || coalesce(plan_reason, 'not in the manifest')
+  WHEN bas_account = '' AND evidence THEN 'account missing' WHEN bas_account = '' THEN 'evidence and account missing' WHEN NOT evidence THEN 'evidence missing' WHEN planned AND uploaded THEN 'planned, evidence uploaded' WHEN planned THEN 'planned' ELSE 'evidence found, not uploaded' END AS status_label
+FROM star WHERE tag = 'business'"""))
+def d14(spark, sf):
+    return st.business_status(star(spark, sf), b.OWN).select("ref", "status_label")
+
+
+cte("ledger_months", """
+SELECT coalesce(s.month, m.month) AS month, coalesce(rows, 0) AS rows, coalesce(business, 0) AS business, CAST(coalesce(business_sek, 0) AS DECIMAL(18,2)) AS business_sek, coalesce(other_entity, 0) AS other_entity, coalesce(personal, 0) AS personal,
+  coalesce(needs_tag, 0) AS needs_tag, coalesce(needs_tag_open, 0) AS needs_tag_open, coalesce(skip, 0) AS skip, coalesce(found, 0) AS found, coalesce(missing, 0) AS missing, m.vouchers, m.booked, m.held, m.plan_sek
+FROM (SELECT month, count(*) AS rows, count(*) FILTER (tag = 'business') AS business, sum(amount) FILTER (tag = 'business') AS business_sek, count(*) FILTER (tag = 'business' AND entity <> 'alfa') AS other_entity, count(*) FILTER (tag = 'personal') AS personal,
+  count(*) FILTER (tag = 'needs-tag') AS needs_tag, count(*) FILTER (tag = 'needs-tag' AND answer IS NULL) AS needs_tag_open, count(*) FILTER (tag = 'skip') AS skip, count(*) FILTER (tag = 'business' AND evidence) AS found, count(*) FILTER (tag = 'business' AND NOT evidence) AS missing
+  FROM star GROUP BY month) s FULL JOIN plan_months m ON m.month = s.month""", "star")
+cte("cover", """
+SELECT d AS last_date, c AS closed_month, strftime(strptime(c || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS next_month, false AS next_present, false AS period_proven
+FROM (SELECT d, CASE WHEN last_day(d) = d THEN strftime(d, '%Y-%m') ELSE strftime(date_trunc('month', d) - INTERVAL 1 DAY, '%Y-%m') END AS c FROM (SELECT CAST(max(o_orderdate) AS DATE) AS d FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)))""")
+cte("staged", """
+SELECT l.*, CASE WHEN l.month > (SELECT closed_month FROM cover) THEN 'no-csv' WHEN needs_tag_open > 0 THEN 'untagged' WHEN vouchers IS NULL AND business > 0 THEN 'no-plan' WHEN vouchers IS NULL THEN 'nothing-to-book'
+  WHEN held AND booked < vouchers THEN 'held' WHEN booked <= 0 THEN 'planned' WHEN booked < vouchers THEN 'partial' ELSE 'booked' END AS stage FROM ledger_months l""", "ledger_months", "cover")
+
+MONTH_COLS = "month, rows, business, business_sek, other_entity, personal, needs_tag, needs_tag_open, skip, found, missing"
+
+
+def _months(spark, sf, rows=None):
+    return st.ledger_months(star(spark, sf) if rows is None else rows, plan_months(spark, sf), b.OWN)
+
+
+@query("a4_ledger_months", with_("ledger_months", body=f"SELECT {MONTH_COLS}, vouchers FROM ledger_months"))
+def a4(spark, sf):
+    return _months(spark, sf).select(*MONTH_COLS.split(", "), "vouchers")
+
+
+def cover(spark, sf):
+    return st.coverage(b.charges_raw(spark, sf).select("date"))
+
+
+@query("a12_coverage", with_("cover", body="SELECT * FROM cover"))
+def a12(spark, sf):
+    return cover(spark, sf)
+
+
+def staged(spark, sf, rows=None):
+    months = _months(spark, sf, rows)
+    return st.month_stage(months, cover(spark, sf))
+
+
+@query("d12_month_stage", with_("staged", body="SELECT month, stage FROM staged"))
+def d12(spark, sf):
+    return staged(spark, sf).select("month", "stage")
+
+
+@query("d12_month_stage_tagged", with_("ledger_months", "cover", body="""
+SELECT month, CASE WHEN month > (SELECT closed_month FROM cover) THEN 'no-csv' WHEN vouchers IS NULL AND business > 0 THEN 'no-plan' WHEN vouchers IS NULL THEN 'nothing-to-book'
+  WHEN held AND booked < vouchers THEN 'held' WHEN booked <= 0 THEN 'planned' WHEN booked < vouchers THEN 'partial' ELSE 'booked' END AS stage FROM ledger_months"""))
+def d12_tagged(spark, sf):
+    """The stages once every open tag has been answered."""
+    months = _months(spark, sf).withColumn("needs_tag_open", F.lit(0).cast("bigint"))
+    return st.month_stage(months, cover(spark, sf)).select("month", "stage")
+
+
+@query("w7_month_steps", with_("staged", body="""
+SELECT month, 1 AS step_no, 'csv' AS step, CASE WHEN stage = 'no-csv' THEN CASE WHEN rows > 0 THEN 'partial' ELSE 'todo' END ELSE 'done' END AS state FROM staged
+UNION ALL SELECT month, 2, 'tag', CASE WHEN stage = 'no-csv' THEN 'todo' WHEN needs_tag_open = 0 THEN 'done' WHEN needs_tag_open < rows THEN 'partial' ELSE 'todo' END FROM staged
+UNION ALL SELECT month, 3, 'evidence', CASE WHEN stage = 'no-csv' THEN 'todo' WHEN business > 0 AND found >= business THEN 'done' WHEN found > 0 THEN 'partial' WHEN business = 0 AND needs_tag_open = 0 THEN 'done' ELSE 'todo' END FROM staged
+UNION ALL SELECT month, 4, 'plan', CASE WHEN stage = 'no-csv' THEN 'todo' WHEN stage = 'nothing-to-book' OR vouchers > 0 THEN 'done' WHEN vouchers IS NOT NULL THEN 'partial' ELSE 'todo' END FROM staged
+UNION ALL SELECT month, 5, 'booked', CASE WHEN stage = 'no-csv' THEN 'todo' WHEN stage = 'nothing-to-book' THEN 'done' WHEN vouchers > 0 AND booked >= vouchers THEN 'done' WHEN booked > 0 THEN 'partial' ELSE 'todo' END FROM staged"""))
+def w7(spark, sf):
+    return st.month_steps(staged(spark, sf))
+
+
+@query("a13_vendor_list", """
+WITH c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, upper(p_name) AS vendor, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY first, vendor) AS pos FROM c)
+SELECT month, CAST((pos - 1) // 25 AS BIGINT) AS cell, string_agg(vendor || ' ' || n, ', ' ORDER BY pos) AS vendors FROM k GROUP BY 1, 2""")
+def a13(spark, sf):
+    line = b.table(spark, sf, "lineitem")
+    orders = b.table(spark, sf, "orders").select("o_orderkey", F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM").alias("month"))
+    part = b.table(spark, sf, "part").select("p_partkey", F.upper("p_name").alias("vendor"))
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select("month", "vendor", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"))
+    return st.vendor_list(rows, "month", "vendor", "position", per_cell=25)
+
+
+@query("t2_newest_first", with_("charges", body="SELECT ref, date, amount FROM charges ORDER BY date DESC, ref DESC"))
+def t2(spark, sf):
+    return st.newest_first(b.charges(spark, sf).select("ref", "date", "amount"))
+
+
+# --------------------------------------------------------------------------- sources, headline, to-do
+
+@query("s6_newest_snapshot", """
+SELECT family, stamp, name FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY stamp DESC, name DESC) AS n FROM (
+  SELECT event_type AS family, CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END AS stamp, event_type || '-' || user_id || '_' || CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END || '.csv' AS name FROM events)) WHERE n = 1""")
+def s6(spark, sf):
+    e = b.table(spark, sf, "events")
+    stamp = F.when(F.col("event_type") == "view", F.date_format("ts", "yyyy-MM")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    files = e.select(F.col("event_type").alias("family"), F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"), F.lit("_"), stamp, F.lit(".csv")).alias("name"))
+    return st.newest_snapshot(files, "family", "name")
+
+
+def sources(spark, sf):
+    o = b.table(spark, sf, "orders")
+    per = o.groupBy(F.col("o_orderpriority").alias("source")).agg(F.max(F.col("o_orderdate").cast("date")).alias("date"))
+    months = F.when(F.col("source") == "1-URGENT", 60).when(F.col("source") == "2-HIGH", 0).otherwise(10)
+    per = per.withColumn("date", F.when(F.col("source") == "5-LOW", F.lit(None).cast("date")).otherwise(F.date_sub("date", months)))
+    return per.withColumn("statement", F.col("source").isin("1-URGENT", "2-HIGH")).withColumn(
+        "closed_month", F.when(F.col("source") == "1-URGENT", "2001-05").when(F.col("source") == "2-HIGH", "2001-07")
+    )
+
+
+cte("fresh", """
+SELECT source, age_days, statement, CASE WHEN date IS NULL THEN 'missing' WHEN statement THEN CASE WHEN closed < '2001-07' THEN 'stale' ELSE 'ok' END WHEN age_days > 14 THEN 'stale' ELSE 'ok' END AS state
+FROM (SELECT *, CAST(DATE '2001-08-20' - date AS INTEGER) AS age_days FROM (SELECT o_orderpriority AS source, CASE o_orderpriority WHEN '5-LOW' THEN NULL ELSE CAST(max(o_orderdate) AS DATE) - CASE o_orderpriority WHEN '1-URGENT' THEN 60 WHEN '2-HIGH' THEN 0 ELSE 10 END END AS date,
+  o_orderpriority IN ('1-URGENT','2-HIGH') AS statement, CASE o_orderpriority WHEN '1-URGENT' THEN '2001-05' WHEN '2-HIGH' THEN '2001-07' END AS closed FROM orders GROUP BY o_orderpriority))""")
+
+
+@query("d19_freshness", with_("fresh", body="SELECT source, age_days, state FROM fresh"))
+def d19(spark, sf):
+    return st.freshness(sources(spark, sf), F.expr(TODAY)).select("source", "age_days", "state")
+
+
+cte("line", """
+SELECT * FROM (SELECT count(*) AS expense_rows, count(*) FILTER (has_receipt) AS expense_with_receipt, count(*) FILTER (NOT has_receipt) AS expense_missing FROM expenses),
+ (SELECT count(*) FILTER (tag = 'business') AS business_rows, CAST(sum(amount) FILTER (tag = 'business') AS DECIMAL(18,2)) AS business_sek, count(*) FILTER (tag = 'business' AND evidence) AS evidence_found, count(*) FILTER (tag = 'needs-tag' AND answer IS NULL) AS needs_tag_open FROM star),
+ (SELECT CAST(sum(vouchers) AS BIGINT) AS vouchers_planned, CAST(sum(booked) AS BIGINT) AS vouchers_booked FROM plan_months),
+ (SELECT count(*) AS archive_pages, CAST(sum(CASE WHEN kind = 'credit-note' THEN -amount_sek ELSE amount_sek END) AS DECIMAL(18,2)) AS archive_sek FROM records)""", "expenses", "star", "plan_months", "records")
+
+
+def line(spark, sf, rows=None):
+    return st.headline(b.expenses(spark, sf), star(spark, sf) if rows is None else rows, plan_months(spark, sf), records(spark, sf))
+
+
+@query("a11_headline", with_("line", body="SELECT * FROM line"))
+def a11(spark, sf):
+    return line(spark, sf)
+
+
+def _warnings(spark, sf):
+    r = records(spark, sf).drop("text")
+    twins = ar.duplicate_invoices(r)
+    return twins.select("id", F.lit("duplicate-invoice").alias("kind"), F.concat(F.lit("invoice_number "), "invoice_number", F.lit(" is also on "), "other_id").alias("text"))
+
+
+def _lint(spark, sf):
+    r = records(spark, sf)
+    return r.filter(F.col("vendor") == "").select("id", F.lit("error").alias("severity"))
+
+
+def tasks(spark, sf, rows):
+    states = st.ledger_state(rows, b.OWN)
+    on_list = records(spark, sf).filter(F.col("lang") == "de").select("id")
+    return st.todo(
+        flagged(spark, sf), live(spark, sf), states, staged(spark, sf, rows), st.freshness(sources(spark, sf), F.expr(TODAY)),
+        st.open_warnings(_warnings(spark, sf), on_list), _lint(spark, sf), cover(spark, sf), b.OWN, F.expr(TODAY),
+    )
+
+
+DUP = """
+SELECT r.id, (SELECT min(o.id) FROM records o WHERE o.invoice_number = r.invoice_number AND o.kind <> 'credit-note' AND (o.date <> r.date OR o.amount_sek <> r.amount_sek)) AS other_id
+FROM records r WHERE r.invoice_number <> '' AND r.kind <> 'credit-note'"""
+cte("tasks", f"""
+SELECT 'expense-reattach' AS key, 'crit' AS severity, 'operator' AS owner, count(*) AS count, CAST(sum(amount_sek) AS DECIMAL(18,2)) AS amount_sek, 'attach the right document' AS detail FROM flagged WHERE status = 'open' HAVING count(*) > 0
+UNION ALL SELECT 'expense-missing:' || route, 'warn', owner, count(*), CAST(sum(amount_sek) AS DECIMAL(18,2)), 'fetch documents' FROM live WHERE route <> 'attached' GROUP BY route, owner
+UNION ALL SELECT 'card-missing', 'warn', CASE WHEN count(searched_on) < count(*) THEN 'system' ELSE 'operator' END, count(*), CAST(sum(amount) AS DECIMAL(18,2)), 'searched ' || count(searched_on) FROM states WHERE answered_tag = 'business' AND entity = 'alfa' AND NOT evidence AND state = 'no-receipt' HAVING count(*) > 0
+UNION ALL SELECT 'card-paid-no-receipt', 'info', 'operator', count(*), CAST(sum(amount) AS DECIMAL(18,2)), 'already reimbursed without a document' FROM states WHERE answered_tag = 'business' AND entity = 'alfa' AND NOT evidence AND state = 'reimbursed' HAVING count(*) > 0
+UNION ALL SELECT 'card-csv:' || next_month, 'warn', 'operator', NULL, NULL, 'last purchase ' || last_date FROM cover WHERE NOT next_present AND last_day(strptime(next_month || '-01', '%Y-%m-%d')) < DATE '2001-08-20'
+UNION ALL SELECT 'card-tags', 'warn', 'operator', count(*), CAST(sum(amount) AS DECIMAL(18,2)), 'tag the rows' FROM states WHERE state = 'needs-tag' HAVING count(*) > 0
+UNION ALL SELECT 'plan-held:' || month, 'warn', 'system', vouchers, plan_sek, 'reconcile and rebuild the plan' FROM staged WHERE booked < vouchers AND held
+UNION ALL SELECT 'plan-execute:' || month, 'info', 'operator', vouchers, plan_sek, booked || ' booked' FROM staged WHERE booked < vouchers AND NOT held
+UNION ALL SELECT 'plan-missing:' || month, 'info', 'system', business - other_entity, business_sek, 'build the plan' FROM staged WHERE vouchers IS NULL AND business - other_entity > 0 AND stage <> 'no-csv'
+UNION ALL SELECT 'source-stale:' || source, 'info', 'operator', NULL, NULL, age_days || ' days old' FROM fresh WHERE state = 'stale' AND NOT statement
+UNION ALL SELECT 'archive-review', 'info', 'operator', count(*), NULL, 'look at the archive warnings' FROM ({DUP}) WHERE other_id IS NOT NULL AND id NOT IN (SELECT id FROM records WHERE lang = 'de') AND other_id NOT IN (SELECT id FROM records WHERE lang = 'de') HAVING count(*) > 0
+UNION ALL SELECT 'archive-errors', 'crit', 'system', count(*), NULL, 'errors in the archive' FROM records WHERE vendor = '' HAVING count(*) > 0""", "flagged", "live", "states", "staged", "fresh", "records")
+
+
+def _settled_star(spark, sf):
+    # The star feeds a dozen small aggregates: written once, with only the columns they read.
+    cols = ["ref", "date", "month", "amount", "tag", "entity", "bas_account", "in_expense", "evidence", "booked", "reimbursed", "answer", "answered_tag", "plan_held", "planned", "search_best", "searched_on"]
+    return settle(star(spark, sf).select(*cols))
+
+
+@query("d20_todo", with_("tasks", body="SELECT * FROM tasks"))
+def d20(spark, sf):
+    return tasks(spark, sf, _settled_star(spark, sf))
+
+
+@query("t1_order_todo", with_("tasks", body="SELECT key, severity, CASE severity WHEN 'crit' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS severity_rank, count FROM tasks ORDER BY 3, coalesce(count, -1) DESC, coalesce(amount_sek, 0) DESC, key"))
+def t1(spark, sf):
+    return st.order_todo(tasks(spark, sf, _settled_star(spark, sf))).select("key", "severity", "severity_rank", "count")
+
+
+@query("d21_status_chips", with_("tasks", "line", body="""
+WITH t AS (SELECT count(*) AS tasks, count(*) FILTER (severity = 'crit') AS crit, count(*) FILTER (starts_with(key, 'plan-held:')) AS held FROM tasks), x AS (SELECT * FROM line, t)
+SELECT 1 AS chip_no, CASE WHEN crit > 0 THEN 'warn' ELSE 'ok' END AS tone, tasks || ' open tasks' AS text FROM x
+UNION ALL SELECT 2, CASE WHEN held > 0 THEN 'warn' ELSE 'ok' END, held || ' plans on hold' FROM x
+UNION ALL SELECT 3, CASE WHEN expense_missing > 0 THEN 'warn' ELSE 'ok' END, expense_missing || ' expenses without a document' FROM x
+UNION ALL SELECT 4, CASE WHEN needs_tag_open > 0 THEN 'warn' ELSE 'ok' END, needs_tag_open || ' untagged rows' FROM x
+UNION ALL SELECT 5, CASE WHEN vouchers_booked = 0 THEN 'warn' ELSE 'ok' END, vouchers_booked || ' vouchers booked of ' || vouchers_planned FROM x
+UNION ALL SELECT 6, CASE WHEN evidence_found < business_rows THEN 'warn' ELSE 'ok' END, evidence_found || ' of ' || business_rows || ' business rows with evidence' FROM x"""))
+def d21(spark, sf):
+    rows = _settled_star(spark, sf)
+    return st.status_chips(line(spark, sf, rows), tasks(spark, sf, rows))

@@ -75,6 +75,13 @@ def containing_pairs(texts: DataFrame, text: str, patterns: DataFrame, pattern:
     return spread.join(filed, "_run").filter(F.col(text).contains(F.col(pattern))).drop("_run")
 
 
+def _sliced(df: DataFrame, by: list[str], partitions: int | None) -> DataFrame:
+    """Rows range-partitioned by a total order and settled, each tagged with its slice."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    return settle(ranged.withColumn("_slice", F.spark_partition_id()))
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[str], out: str, partitions: int | None = None) -> DataFrame:
     """Number the rows of each group from 1 in the given total order.
 
@@ -82,24 +89,39 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str, par
     slice is numbered on its own, and the slice sizes (one row per group and slice) give the
     offsets. A group holding most of the table is simply spread over many slices.
     """
-    by = [*group, *order]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settle(
-        df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_slice", F.spark_partition_id())
-    )
+    ranged = _sliced(df, [*group, *order], partitions)
     sizes = ranged.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = Window.partitionBy(*group, "_slice").orderBy(*order)
     numbered = ranged.withColumn("_local", F.row_number().over(local))
-    keyed = [*group, "_slice"]
     return (
-        numbered.join(offsets, keyed)
+        numbered.join(offsets, [*group, "_slice"])
         .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
         .drop("_local", "_before", "_slice")
     )
 
 
+def carry_down(df: DataFrame, group: list[str], order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
+    """The last non-null ``value`` at or above each row of its group, by the given total order.
+
+    Works on slices like ``number_rows``: within a slice by a window, across slices through one
+    row per group and slice.
+    """
+    ranged = _sliced(df, [*group, *order], partitions)
+    set_only = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = ranged.groupBy(*group, "_slice").agg(F.max_by(value, set_only).alias("_end"))
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_above", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    local = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.withColumn("_local", F.last(value, ignorenulls=True).over(local))
+    return (
+        rows.join(carried, [*group, "_slice"])
+        .withColumn(out, F.coalesce("_local", "_above"))
+        .drop("_local", "_above", "_slice")
+    )
+
+
 def ordered_digest(df: DataFrame, group: list[str], position: str, line: str, block: int = 4096) -> DataFrame:
     """One sha256 per group over its lines in order, built as a tree of fixed-size blocks.
 

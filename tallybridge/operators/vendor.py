@@ -232,7 +232,7 @@ def canonical_vendor(charges: DataFrame, vendors: DataFrame, rules: DataFrame, s
     cleaned_name = F.coalesce(F.nullif(title_case(cleaned), F.lit("")), F.nullif(title_case(F.col("_text")), F.lit("")))
     # Rule names carry grouping hints: a trailing remark, or alternatives separated by a slash.
     rule = F.regexp_replace("_rule", r"\s*\([^)]*\)\s*$", "")
-    halves = F.transform(F.split(rule, " / "), F.trim)
+    halves = F.transform(F.split(rule, " / "), lambda h: F.trim(h))
     named = F.filter(halves, lambda h: F.lower("_text").contains(F.lower(h)))
     rule_name = F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(halves, F.lit(1)))
     staged = joined.withColumn("_pick", pick).withColumn("_clean", cleaned_name).withColumn("_ruled", rule_name)
