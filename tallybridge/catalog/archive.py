@@ -15,10 +15,12 @@ COMPANIES = {"Alfa AB": "alfa", "Beta AB": "beta"}
 
 def records(spark, sf):
     """Archive records: one per document, charge facts derived from its length, labels as states."""
-    d = b.table(spark, sf, "documents")
-    labels = b.table(spark, sf, "labels")
+    return record_rows(b.table(spark, sf, "documents"), b.table(spark, sf, "labels"))
+
+
+def record_rows(documents, labels):
     n, key = F.col("n_chars"), F.col("doc_id").cast("string")
-    rows = d.join(labels, "doc_id", "left")
+    rows = documents.join(labels, "doc_id", "left")
     date = F.date_add(F.lit("2026-01-01").cast("date"), F.pmod(n, F.lit(200)).cast("int"))
     good = F.coalesce(F.col("quality") == 1, F.lit(False))
     return rows.select(
@@ -84,7 +86,11 @@ cte(
 
 def _incoming(spark, sf):
     """A batch: every document again, later by 30 in its booking facts; ids as the labels give them."""
-    rows = records(spark, sf).drop("text")
+    return incoming_rows(b.table(spark, sf, "documents"), b.table(spark, sf, "labels"))
+
+
+def incoming_rows(documents, labels):
+    rows = record_rows(documents, labels).drop("text")
     return rows.withColumn("position", F.col("doc_id")).withColumn("stem", F.concat_ws("-", F.col("date").cast("string"), "entity"))
 
 
