@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
+from ..functions.scale import spread
 from ..operators import matching as mt
 from ..session import settle
 from . import bindings as b, query
@@ -52,7 +53,7 @@ cte("match_vendors", b.values_sql(VENDORS, VENDOR_SCHEMA))
 
 def worklist(spark, sf):
     """Charges to match: one per order, laid over the month the messages cover."""
-    orders = b.table(spark, sf, "orders")
+    orders = spread(b.table(spark, sf, "orders"))
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
     merchant = (
         F.when(p == "1-URGENT", "ACMECLOUD STOCKHOLM").when(p == "2-HIGH", "ACME RECEIPTS").when(p == "3-MEDIUM", "BETA TOOLS")
@@ -100,7 +101,7 @@ FROM (SELECT CAST(o_orderkey AS VARCHAR) AS row_key, o_custkey AS mailbox, CASE
 
 def messages(spark, sf):
     """Messages: one per event, its type deciding sender, subject and the amount it mentions."""
-    e = b.table(spark, sf, "events")
+    e = spread(b.table(spark, sf, "events"))
     k = F.get_json_object("props", "$.k").cast("int")
     t = F.col("event_type")
     rows = e.withColumn("k", k)

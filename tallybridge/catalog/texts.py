@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, format_money, parse_money
+from ..functions.scale import spread
 from ..operators import ledger as lg, texts as tx
 from . import bindings as b, query
 from .bindings import cte, with_
@@ -115,7 +116,7 @@ SELECT doc_id, length(t) AS chars, md5(t) AS hash, false AS truncated FROM (
 )
 def x5(spark, sf):
     tail = "\r\na – b \t\n\n\n\n\nc d  "
-    docs = b.table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(tail)).alias("text"))
+    docs = spread(b.table(spark, sf, "documents")).select("doc_id", F.concat("text", F.lit(tail)).alias("text"))
     return tx.clean_texts(docs, "text").select(
         "doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("hash"), "truncated"
     )
@@ -181,7 +182,7 @@ def _html_sql() -> str:
 
 @query("x9_html_to_text", f"SELECT page_id, length(t) AS chars, md5(t) AS hash FROM (SELECT page_id, {_html_sql()} AS t FROM pages)")
 def x9(spark, sf):
-    return tx.html_to_text(b.table(spark, sf, "pages")).select(
+    return tx.html_to_text(spread(b.table(spark, sf, "pages"))).select(
         "page_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("hash")
     )
 
@@ -190,7 +191,7 @@ def x9(spark, sf):
 
 def receipts(spark, sf):
     """Documents headed by the facts a receipt prints, in four layouts by language."""
-    d = b.table(spark, sf, "documents")
+    d = spread(b.table(spark, sf, "documents"))
     lang, n, key = F.col("lang"), F.col("n_chars"), F.col("doc_id").cast("string")
     charge = F.date_add(F.lit("2026-05-01").cast("date"), F.pmod(n, F.lit(28)).cast("int"))
     amount = (n + F.lit(0.5)).cast(MONEY)
@@ -305,7 +306,7 @@ SELECT doc_id, contains(c, 'acme') AS acme, contains(c, 'retion') AS longer FROM
 )
 def x17(spark, sf):
     head = F.when(F.col("lang") == "en", "Receipt from A-C-M-E Tools ").otherwise("")
-    rows = b.table(spark, sf, "documents").select("doc_id", F.concat(head, "text").alias("text"))
+    rows = spread(b.table(spark, sf, "documents")).select("doc_id", F.concat(head, "text").alias("text"))
     return rows.select(
         "doc_id",
         tx.vendor_in_text(F.col("text"), F.lit("Acme Cloud"), F.lit(None).cast("string")).alias("acme"),

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 MONEY = "decimal(18,2)"
 
 # Characters read as a minus sign, and as blanks inside a number.
 MINUS_CLASS = "[\u2212\u2010\u2011\u2012\u2013\u2014]"
 BLANK_CLASS = "[\\s\u00a0\u202f]"
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body mentions it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _compact(text: Column) -> Column:
     """ASCII minus, no blanks of any kind."""
     return F.regexp_replace(F.regexp_replace(text, MINUS_CLASS, "-"), BLANK_CLASS, "")

@@ -23,6 +23,25 @@ def bounded_rows(df: DataFrame, limit: int = DIMENSION_ROWS):
     return rows if len(rows) <= limit else None
 
 
+def exploded(df: DataFrame, keep: list, items: Column, alias: str) -> DataFrame:
+    """One row per element of ``items``.
+
+    The outer form, filtered afterwards: a plain explode makes the optimiser test the array for
+    emptiness first, which computes an expensive array twice.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(alias)).filter(F.col(alias).isNotNull())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input came in fewer pieces than there are cores.
+
+    For work that is heavy per row. A large input already has more splits than cores and is left
+    where it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
     """The first row per key. Combines before the shuffle, so a hot key costs one row per task."""
     cols = keep or [c for c in df.columns if c not in keys]

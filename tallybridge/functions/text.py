@@ -19,6 +19,11 @@ def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def contains_any(text: Column, terms) -> Column:
     return any_of([text.contains(t) for t in terms])
 
@@ -49,13 +54,24 @@ def compact(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Line ends, blanks and dashes made uniform, trailing blanks and long gaps removed."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|\r|\u2028|\u2029|\u0085|\f", "\n")
-    t = F.translate(t, "\u00a0\u202f", "  ")
-    t = F.regexp_replace(t, "[ \\t]*[\u2013\u2014\u2015][ \\t]*", " - ")
-    t = F.regexp_replace(t, "[ \\t]+(\n|$)", "$1")
-    t = F.regexp_replace(t, "\n{4,}", "\n\n\n")
-    return F.regexp_replace(t, "^\n+|\n+$", "")
+    """Line ends, blanks and dashes made uniform, trailing blanks and long gaps removed.
+
+    Plain character replacement does most of it; a pattern runs only on texts that need it.
+    """
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    t = F.translate(t, "\r\u2028\u2029\u0085\f\u00a0\u202f\u2014\u2015", "\n\n\n\n\n  \u2013\u2013")
+
+    def dashes(x):
+        return F.when(x.contains("\u2013"), F.regexp_replace(x, "[ \\t]*\u2013[ \\t]*", " - ")).otherwise(x)
+
+    def ends(x):
+        loose = x.contains(" \n") | x.contains("\t\n") | x.endswith(" ") | x.endswith("\t")
+        return F.when(loose, F.regexp_replace(x, "[ \\t]+(?=\n|\\z)", "")).otherwise(x)
+
+    def gaps(x):
+        return F.when(x.contains("\n\n\n\n"), F.regexp_replace(x, "\n{4,}", "\n\n\n")).otherwise(x)
+
+    return F.btrim(let(let(let(t, dashes), ends), gaps), F.lit("\n"))
 
 
 # Elements never shown, and elements that end a line.
@@ -73,9 +89,8 @@ ENTITIES = [
 
 def html_text(markup: Column) -> Column:
     """Visible text of a page: one line per block element, no blank lines."""
-    t = F.regexp_replace(markup, "(?s)<!--.*?-->", "")
-    for name in HIDDEN_ELEMENTS:
-        t = F.regexp_replace(t, f"(?is)<{name}\\b[^>]*>.*?</{name}\\s*>", "")
+    hidden = "|".join(HIDDEN_ELEMENTS)
+    t = F.regexp_replace(markup, f"(?is)<!--.*?-->|<({hidden})\\b[^>]*>.*?</\\1\\s*>", "")
     t = F.regexp_replace(t, "(?i)</?(?:" + "|".join(BLOCK_ELEMENTS) + ")\\b[^>]*>", "\n")
     t = F.regexp_replace(t, "(?i)</?(?:" + "|".join(CELL_ELEMENTS) + ")\\b[^>]*>", "  ")
     t = F.regexp_replace(t, "(?s)<[^>]*>", "")

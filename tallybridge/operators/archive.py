@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import month_of
 from ..functions.money import MONEY, format_money
-from ..functions.scale import first_by, number_rows
+from ..functions.scale import exploded, first_by, number_rows
 from ..session import settle
 from .texts import amount_in_text, buyer_entity, dates_of, vendor_in_text
 
@@ -451,7 +451,7 @@ def plausibility(records: DataFrame, companies: dict[str, str], early: int = 10,
             warning(has_text & (buyer != F.col("entity")), "other-company", F.lit("receipt is made out to "), buyer, F.lit(" but filed under "), F.col("entity")),
         )
     )
-    facts = records.select("id", F.explode(own).alias("_w")).select("id", "_w.*")
+    facts = exploded(records, ["id"], own, "_w").select("id", "_w.*")
     twins = duplicate_invoices(records).select(
         "id",
         F.lit("duplicate-invoice").alias("kind"),
@@ -482,7 +482,7 @@ def lint(records: DataFrame, files: DataFrame, required: list[str]) -> DataFrame
             rule(_blank(F.col("text")), "warning", "no-text", F.lit("")),
         )
     )
-    per_row = rows.select("stem", F.explode(own).alias("_f")).select("_f.severity", "_f.rule", F.col("stem").alias("id"), "_f.text")
+    per_row = exploded(rows, ["stem"], own, "_f").select("_f.severity", "_f.rule", F.col("stem").alias("id"), "_f.text")
     links = link_check(records.select(F.col("stem").alias("id"), "files"), files)
     broken = links.select(
         F.when(F.col("problem") == "missing", "error").otherwise("warning").alias("severity"),

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import format_money
-from ..functions.scale import bounded_rows, interval_join
+from ..functions.scale import bounded_rows, exploded, interval_join
 from ..functions.text import contains_any, in_senders, merchant_tokens, starts_with_any, subject_key
 
 
@@ -100,9 +100,8 @@ def charge_blocks(worklist: DataFrame, stopwords) -> DataFrame:
         _block("merchant", F.when(F.size(senders) == 0, F.slice(words, 1, 5)).otherwise(_no_keys())),
         _block("amount", F.filter(amounts, lambda a: a >= 10)),
     )
-    return worklist.select(
-        "row_key", "mailbox", "window_from", "window_to", F.explode(F.array_distinct(keys)).alias("_k")
-    ).select("row_key", "mailbox", "window_from", "window_to", "_k.kind", "_k.key")
+    kept = ["row_key", "mailbox", "window_from", "window_to"]
+    return exploded(worklist, kept, F.array_distinct(keys), "_k").select("row_key", "mailbox", "window_from", "window_to", "_k.kind", "_k.key")
 
 
 def message_blocks(messages: DataFrame, subject_terms, search_words) -> DataFrame:
@@ -122,7 +121,7 @@ def message_blocks(messages: DataFrame, subject_terms, search_words) -> DataFram
         _block("merchant", words),
         _block("amount", values),
     )
-    return messages.select("message_id", "mailbox", "day", F.explode(F.array_distinct(keys)).alias("_k")).select(
+    return exploded(messages, ["message_id", "mailbox", "day"], F.array_distinct(keys), "_k").select(
         "message_id", "mailbox", "day", "_k.kind", "_k.key"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import month_of
 from ..functions.money import MONEY, format_money, half_up
-from ..functions.scale import first_by, number_rows, ordered_digest
+from ..functions.scale import exploded, first_by, number_rows, ordered_digest
 from ..functions.text import norm_ws
 
 GROSS = "gross"
@@ -76,7 +76,7 @@ def attach_files(
         return F.filter(cut, lambda x: F.length(x["ref"]) == n)
 
     cuts = F.concat(*[pieces_of(n) for n in lengths])
-    pieces = files.select("name", F.explode(cuts).alias("_piece")).select("_piece.*", "name")
+    pieces = exploded(files, ["name"], cuts, "_piece").select("_piece.*", "name")
     best = pieces.groupBy("ref").agg(F.min(F.struct("inner", "name")).alias("_f"))
     by_name = best.select("ref", F.col("_f.name").alias("_named"), F.col("_f.inner").alias("_inner"))
     mapped = first_by(mapping.filter(F.trim("file") != ""), ["ref"], [F.col("file")], ["file"])
@@ -148,7 +148,7 @@ def post_vouchers(plan: DataFrame, regimes: DataFrame, accounts: dict[str, int])
         line(5, F.lit(accounts["vat_in"]), reverse, zero),
     )
     kept = F.filter(lines, lambda x: (x["debit"] != 0) | (x["credit"] != 0))
-    return rows.select("month", "ref", "date", "vat_regime", F.explode(kept).alias("_l")).select(
+    return exploded(rows, ["month", "ref", "date", "vat_regime"], kept, "_l").select(
         "month", "ref", "date", "vat_regime", "_l.*"
     )
 
@@ -204,7 +204,7 @@ def plan_warnings(status: DataFrame) -> DataFrame:
             ),
         )
     )
-    return status.select("month", "ref", F.explode(found).alias("_w")).select("month", "ref", "_w.*")
+    return exploded(status, ["month", "ref"], found, "_w").select("month", "ref", "_w.*")
 
 
 def reason_counts(plan: DataFrame) -> DataFrame:

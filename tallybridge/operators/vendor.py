@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scale import bounded_rows, containing_pairs
+from ..functions.scale import bounded_rows, containing_pairs, exploded
 from ..functions.text import compact, domain_of, merchant_tokens, norm_ws, slug
 
 # Payment processors whose name leads a card descriptor.
@@ -265,9 +265,7 @@ def match_senders(messages: DataFrame, senders: DataFrame) -> DataFrame:
     parents = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    filed = messages.select(
-        "message_id", F.explode(F.array_distinct(F.concat(F.array("from_addr"), parents))).alias("entry")
-    )
+    filed = exploded(messages, ["message_id"], F.array_distinct(F.concat(F.array("from_addr"), parents)), "entry")
     entries = senders.select("vendor_key", F.lower("entry").alias("entry")).distinct()
     how = F.when(F.col("entry").contains("@"), "address").otherwise("domain")
     hits = filed.join(entries, "entry").withColumn("how", how)
