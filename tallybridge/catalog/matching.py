@@ -241,12 +241,14 @@ def j6_page(spark, sf):
 
 def pairs(spark, sf):
     hit = blocked(spark, sf).drop("kinds")
-    joined = hit.join(worklist(spark, sf).drop("mailbox"), "row_key").join(messages(spark, sf).drop("mailbox"), "message_id")
+    charges = mt.charge_features(worklist(spark, sf).drop("mailbox"), STOP)
+    mails = mt.message_features(messages(spark, sf).drop("mailbox"), policy(spark))
+    joined = hit.join(charges, "row_key").join(mails, "message_id")
     return joined.withColumn("lag_days", F.datediff("day", "date"))
 
 
 def scored(spark, sf):
-    return mt.score(pairs(spark, sf), policy(spark), STOP)
+    return mt.score(pairs(spark, sf))
 
 
 def rescored(spark, sf):
@@ -337,7 +339,7 @@ WHERE tier = lead AND rank <= CASE WHEN tier = 0 THEN 5 ELSE 2 END""",
 
 @query("d4_message_class", with_("parts", body="SELECT row_key, message_id, class FROM parts"))
 def d4(spark, sf):
-    return pairs(spark, sf).select("row_key", "message_id", mt.message_class(policy(spark)).alias("class"))
+    return pairs(spark, sf).select("row_key", "message_id", mt.message_class().alias("class"))
 
 
 @query("d5_amount_level", with_("parts", body="SELECT row_key, message_id, level_meta AS amount_match FROM parts"))

@@ -160,28 +160,64 @@ def blocked_pairs(
 
 # --------------------------------------------------------------------------- scoring
 
-def message_class(policy: MatchPolicy) -> Column:
-    """What kind of mail a candidate is, first hit of an ordered list."""
-    subject = F.lower(F.trim("subject"))
-    vendor_decoy = F.exists(
-        F.coalesce("decoy_senders", _no_keys()),
-        lambda e: (F.col("from_domain") == e) | F.col("from_domain").endswith(F.concat(F.lit("."), e)) | (F.col("from_addr") == e),
+# Words that mark a failed payment.
+FAIL_TERMS = ["failed", "could not", "declined", "misslyckades"]
+# Company words that never identify a vendor by name.
+NAME_FILLERS = ["the", "inc", "llc", "ltd"]
+
+
+def message_features(messages: DataFrame, policy: MatchPolicy) -> DataFrame:
+    """What scoring needs to know about a message, worked out once per message and not per pair."""
+    rows = messages.withColumns(
+        {"subject_text": F.lower(F.trim("subject")), "name_text": F.lower(F.coalesce("from_name", F.lit("")))}
     )
-    addr, dom = F.col("from_addr"), F.col("from_domain")
-    return (
+    subject, addr, dom = F.col("subject_text"), F.col("from_addr"), F.col("from_domain")
+    own = policy.list("own_senders")
+    generic = (
         F.when(in_senders(addr, dom, policy.list("corroboration_senders")), "corroboration")
-        .when(vendor_decoy | in_senders(addr, dom, policy.list("decoy_senders")), "decoy")
-        .when(contains_any(subject, policy.list("decoy_terms")), "decoy")
-        .when((F.col("kind") != "refund") & contains_any(subject, policy.list("refund_terms")), "refund")
+        .when(in_senders(addr, dom, policy.list("decoy_senders")) | contains_any(subject, policy.list("decoy_terms")), "decoy")
         .when(
             starts_with_any(subject, policy.list("forward_prefixes"))
             | contains_any(F.lower(F.coalesce("to", F.lit(""))), policy.list("forward_addresses")),
             "forward",
         )
-        .when(addr.isin(*policy.list("own_senders")) if policy.list("own_senders") else F.lit(False), "own")
+        .when(addr.isin(*own) if own else F.lit(False), "own")
         .when(starts_with_any(subject, policy.list("reply_prefixes")), "reply")
         .otherwise("receipt")
     )
+    return rows.withColumns(
+        {
+            "mail_class": generic,
+            "refund_word": contains_any(subject, policy.list("refund_terms")),
+            "receipt_word": contains_any(subject, policy.list("receipt_terms")),
+            "fail_word": contains_any(subject, FAIL_TERMS),
+        }
+    )
+
+
+def charge_features(worklist: DataFrame, stopwords) -> DataFrame:
+    """What scoring needs to know about a charge, worked out once per charge and not per pair."""
+    words = F.filter(
+        F.regexp_extract_all(F.lower(F.coalesce("vendor_name", F.lit(""))), F.lit("([a-z]{3,})"), F.lit(1)),
+        lambda w: ~w.isin(*NAME_FILLERS),
+    )
+    tokens = F.transform(merchant_tokens(F.col("merchant"), stopwords), lambda t: F.lower(t))
+    return worklist.withColumns({"tokens": tokens, "vendor_words": words})
+
+
+def message_class() -> Column:
+    """What kind of mail a candidate is for this charge: the mail's own class, but a sender the
+    vendor is known to advertise from is a decoy, and a refund mail is never a charge's receipt."""
+    vendor_decoy = F.exists(
+        F.coalesce("decoy_senders", _no_keys()),
+        lambda e: (F.col("from_domain") == e) | F.col("from_domain").endswith(F.concat(F.lit("."), e)) | (F.col("from_addr") == e),
+    )
+    return (
+        F.when(F.col("mail_class") == "corroboration", "corroboration")
+        .when(vendor_decoy | (F.col("mail_class") == "decoy"), "decoy")
+        .when((F.col("kind") != "refund") & F.col("refund_word"), "refund")
+        .otherwise(F.col("mail_class"))
+    )
 
 
 def band_distance(lag: Column, lo: Column, hi: Column) -> Column:
@@ -216,10 +252,6 @@ def amount_level(mentions: str, allow_fx: Column) -> Column:
 
 # Points per amount agreement.
 AMOUNT_POINTS = {"sek_exact": 40, "foreign_exact": 35, "unlabelled": 20, "sek_fx": 15, "contradiction": -15, "none": 0}
-# Words that mark a failed payment.
-FAIL_TERMS = ["failed", "could not", "declined", "misslyckades"]
-# Company words that never identify a vendor by name.
-NAME_FILLERS = ["the", "inc", "llc", "ltd"]
 
 SCORE_PARTS = ["s_amount", "s_date", "s_sender", "s_subject", "s_attachment", "s_class"]
 
@@ -242,16 +274,16 @@ def _listed(address: Column, domain: Column) -> Column:
     )
 
 
-def score(pairs: DataFrame, policy: MatchPolicy, stopwords) -> DataFrame:
-    """First pass: score every pair from -100 to 100 on message headers, each part in its own column."""
+def score(pairs: DataFrame) -> DataFrame:
+    """First pass: score every pair from -100 to 100 on message headers, each part in its own column.
+
+    ``pairs`` joins charges with ``charge_features`` to messages with ``message_features``.
+    """
     rows = pairs.withColumns(
         {
-            "class": message_class(policy),
+            "class": message_class(),
             "band_gap": band_distance(F.col("lag_days"), F.col("band_lo"), F.col("band_hi")),
             "in_window": F.col("day").between(F.col("window_from"), F.col("window_to")),
-            "tokens": F.transform(merchant_tokens(F.col("merchant"), stopwords), F.lower),
-            "subject_text": F.lower("subject"),
-            "name_text": F.lower(F.coalesce("from_name", F.lit(""))),
         }
     )
     foreign_billed = F.col("foreign_amount").isNotNull() | (F.coalesce("bill_currency", F.lit("SEK")) != "SEK")
@@ -263,32 +295,28 @@ def score(pairs: DataFrame, policy: MatchPolicy, stopwords) -> DataFrame:
     )
     known = F.col("vendor_key").isNotNull()
     name, subject = F.col("name_text"), F.col("subject_text")
-    words = F.filter(
-        F.regexp_extract_all(F.lower(F.coalesce("vendor_name", F.lit(""))), F.lit("([a-z]{3,})"), F.lit(1)),
-        lambda w: ~w.isin(*NAME_FILLERS),
-    )
     sender = (
         F.when(known & F.exists(F.coalesce("sender_exact", _no_keys()), lambda e: F.lower(e) == F.col("from_addr")), 20)
         .when(known & _listed(F.col("from_addr"), F.col("from_domain")), 15)
         .when(known & _listed(F.col("reply_addr"), F.col("reply_domain")), 12)
-        .when(known & F.exists(words, lambda w: name.contains(w)), 10)
+        .when(known & F.exists("vendor_words", lambda w: name.contains(w)), 10)
         .when(~known & F.exists("tokens", lambda t: F.concat_ws(" ", name, F.col("from_domain")).contains(t)), 10)
         .otherwise(0)
     )
-    refund = contains_any(subject, policy.list("refund_terms"))
+    refund = F.col("refund_word")
     base = (
         F.when(
             F.exists(F.coalesce("subject_terms", _no_keys()), lambda t: subject.contains(F.lower(t)))
             | (refund & (F.col("kind") == "refund")),
             10,
         )
-        .when(contains_any(subject, policy.list("receipt_terms")), 5)
+        .when(F.col("receipt_word"), 5)
         .otherwise(0)
     )
     worded = F.when(F.exists("tokens", lambda t: subject.contains(t)), 3).otherwise(0)
     class_points = (
         F.when(F.col("class") == "forward", -15).when(F.col("class") == "reply", -25).otherwise(0)
-        + F.when(contains_any(subject, FAIL_TERMS), -20).otherwise(0)
+        + F.when(F.col("fail_word"), -20).otherwise(0)
     )
     parts = rows.withColumns(
         {
@@ -300,7 +328,10 @@ def score(pairs: DataFrame, policy: MatchPolicy, stopwords) -> DataFrame:
             "s_attachment": F.lit(0),
             "s_class": class_points,
         }
-    ).drop("tokens", "subject_text", "name_text", "sender_exact", "subject_terms", "decoy_senders", "from_name", "to")
+    ).drop(
+        "tokens", "vendor_words", "subject_text", "name_text", "mail_class", "refund_word", "receipt_word", "fail_word",
+        "sender_exact", "subject_terms", "decoy_senders", "from_name", "to",
+    )
     return parts.withColumn("s_amount", _level_points(F.col("amount_match"))).withColumn("score", _total())
 
 

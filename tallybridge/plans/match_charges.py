@@ -31,9 +31,11 @@ def match_charges(
     rows = mt.with_vendor(worklist, vendors, policy)
     searched = rows.filter(F.col("search")) if "search" in rows.columns else rows
     pairs = mt.blocked_pairs(searched, messages, stopwords, subject_terms, policy.list("search_words")).drop("kinds")
-    facts = pairs.join(searched.drop("mailbox"), "row_key").join(messages.drop("mailbox"), "message_id")
+    charges = mt.charge_features(searched.drop("mailbox"), stopwords)
+    mails = mt.message_features(messages.drop("mailbox"), policy)
+    facts = pairs.join(charges, "row_key").join(mails, "message_id")
     facts = facts.withColumn("lag_days", F.datediff("day", "date"))
-    ranked = settle(mt.rank_candidates(mt.rescore(mt.score(facts, policy, stopwords), details), policy))
+    ranked = settle(mt.rank_candidates(mt.rescore(mt.score(facts), details), policy))
     best = mt.best_second(ranked)
     marks = policy.list("forward_prefixes") + policy.list("reply_prefixes")
     sent = mt.related_sends(best, sends, marks).groupBy("row_key").agg(F.max("send_day").alias("sent_day"))

@@ -37,7 +37,8 @@ def scored(spark):
         "subject_terms": F.array(F.lit("your receipt from acme")), "decoy_senders": F.array().cast("array<string>"), "bill_currency": F.lit("EUR"), "attachments": F.lit("pdf"),
         "band_lo": F.lit(-1), "band_hi": F.lit(1), "window_from": F.lit(D(2026, 6, 30)), "window_to": F.lit(D(2026, 7, 15)),
     }).withColumn("lag_days", F.datediff("day", "date"))
-    first = mt.score(rows.drop("value", "currency", "pdf", "html"), POLICY, STOP)
+    rows = mt.charge_features(mt.message_features(rows.drop("value", "currency", "pdf", "html"), POLICY), STOP)
+    first = mt.score(rows)
     details = spark.createDataFrame(MESSAGES, M).select(
         "message_id", F.array().cast("array<struct<value:decimal(18,2),currency:string>>").alias("mentions"), F.col("pdf").alias("has_pdf"), F.col("html").alias("has_html"), F.array().cast("array<string>").alias("links"))
     return mt.rescore(first, details).cache()
