@@ -219,7 +219,7 @@ def receipts(spark, sf):
             lang == "fr",
             F.concat(
                 F.lit("Beräknas levereras 2026-05-02\nFakturadatum\n"), F.date_format("charge_date", "yyyy/MM/dd"),
-                F.lit("\nKvittonr "), "key", F.lit("A\nVAT ID: SE556840887501\nVAT id "), "vat",
+                F.lit("\nKvittonr "), "key", F.lit("A\nVAT ID: SE999999999901\nVAT id "), "vat",
                 F.lit("\nVAT converted to SEK is: 0.75\nSold to Alfa AB\n"),
             ),
         )
@@ -260,7 +260,7 @@ def x12(spark, sf):
     return receipts(spark, sf).select("doc_id", tx.invoice_number(F.col("text")).alias("invoice_number"))
 
 
-OWN_IDS = ["SE556840887501"]
+OWN_IDS = ["SE999999999901"]
 COMPANIES = {"Alfa AB": "alfa", "Beta AB": "beta"}
 
 

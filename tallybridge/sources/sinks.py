@@ -13,7 +13,7 @@ def _fingerprint(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Order-free content fingerprint per partition; combines before the shuffle."""
     row = F.xxhash64(*[F.col(c).cast("string") for c in columns])
     return df.groupBy(F.col(key).cast("string").alias(key)).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.shiftright(row, 8)).alias("s")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.shiftright(row, 32)).alias("s")
     )
 
 
