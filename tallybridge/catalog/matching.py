@@ -396,6 +396,22 @@ def w2(spark, sf):
     )
 
 
+@query(
+    "w2_side_lists",
+    with_(
+        "scored",
+        body="""
+SELECT row_key, list, message_id, score, reason, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY row_key, list ORDER BY score DESC, day DESC, message_id) AS place FROM (
+    SELECT row_key, message_id, meta_score AS score, day, CASE class WHEN 'corroboration' THEN 'corroboration' ELSE 'rejected' END AS list,
+      CASE class WHEN 'own' THEN 'sent by the mailbox owner, not a receipt' WHEN 'refund' THEN 'refund mail, not the receipt of a charge' WHEN 'decoy' THEN 'decoy sender or subject' ELSE '' END AS reason
+    FROM scored WHERE class IN ('corroboration','decoy','own','refund'))) WHERE place <= 3""",
+    ),
+)
+def w2_sides(spark, sf):
+    return mt.side_lists(scored(spark, sf)).withColumn("place", F.col("place").cast("bigint"))
+
+
 cte(
     "best",
     """

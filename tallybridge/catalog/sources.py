@@ -231,3 +231,9 @@ def s9(spark, sf):
 SELECT ref, date, merchant, replace(replace(replace(format('{:,.2f}', CAST(abs(amount) AS DOUBLE)), ',', '~'), '.', ','), '~', ' ') || ' SEK' AS amount, card, why FROM classified WHERE tag = 'needs-tag'"""))
 def s12_needs(spark, sf):
     return sinks.needs_tag_list(b.classified(spark, sf))
+
+
+@query("s12_missing_list", with_("expenses", body="""
+SELECT date, 'R' || expense_id AS pleo_receipt_no, expense_id, merchant, amount_sek AS amount, type, export_status FROM expenses WHERE NOT has_receipt"""))
+def s12_missing(spark, sf):
+    return sinks.missing_list(b.expenses(spark, sf).withColumn("receipt_no", F.concat(F.lit("R"), "expense_id")))

@@ -458,6 +458,25 @@ def rank_candidates(scored: DataFrame, policy: MatchPolicy, top: int = 5) -> Dat
     )
 
 
+def side_lists(scored: DataFrame, top: int = 3) -> DataFrame:
+    """Messages that support a charge without proving it, and those set aside with the reason.
+
+    The best ``top`` of each list per charge, by header score.
+    """
+    kind = F.when(F.col("class") == "corroboration", "corroboration").when(F.col("class").isin(*REJECTED_CLASSES), "rejected")
+    reason = (
+        F.when(F.col("class") == "own", "sent by the mailbox owner, not a receipt")
+        .when(F.col("class") == "refund", "refund mail, not the receipt of a charge")
+        .when(F.col("class") == "decoy", "decoy sender or subject")
+        .otherwise("")
+    )
+    rows = scored.withColumn("list", kind).filter(F.col("list").isNotNull()).select(
+        "row_key", "list", "message_id", "score", "day", reason.alias("reason")
+    )
+    by = Window.partitionBy("row_key", "list").orderBy(F.desc("score"), F.desc("day"), "message_id")
+    return rows.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= top).drop("day")
+
+
 def best_second(ranked: DataFrame) -> DataFrame:
     """First and second candidate of each charge side by side."""
     def at(n, c, name):

@@ -44,5 +44,12 @@ def needs_tag_list(classified: DataFrame) -> DataFrame:
     )
 
 
+def missing_list(expenses: DataFrame) -> DataFrame:
+    """Expense rows without a document, in the layout the worklist reader takes back in."""
+    return expenses.filter(~F.col("has_receipt")).select(
+        "date", F.col("receipt_no").alias("pleo_receipt_no"), "expense_id", "merchant", F.col("amount_sek").alias("amount"), "type", "export_status"
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
