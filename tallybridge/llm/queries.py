@@ -2,8 +2,5 @@
 
 from __future__ import annotations
 
-from . import (  # noqa: F401
-    lines,
-    quality,
-)
+from . import chat, embeddings, hosts, langid, lines, mixing, packing, quality, simhash, tokens  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
