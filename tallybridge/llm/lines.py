@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .registry import query, table
-from .shared import WORDED, let
+from .shared import WORDED, let, stored
 
 RATIO = 0.1
 LEAST_PAGES = 3
@@ -56,7 +56,7 @@ def without_boilerplate(
     docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES
 ) -> DataFrame:
     """``_row`` (the input row), ``_kept_text``, ``_lines`` and ``_dropped`` (worded lines, of these dropped)."""
-    drop = boilerplate(docs, site, text, ratio, least_pages)
+    drop = stored(boilerplate(docs, site, text, ratio, least_pages))
     rows = docs.select(F.struct("*").alias("_row"), F.col(site).alias("_site"), F.col(text).alias("_text"))
     met = rows.join(drop, F.col("_site").eqNullSafe(F.col("_drop_site")), "left")
 

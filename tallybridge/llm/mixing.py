@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scale import number_rows
 from ..session import settle
 from .registry import query, table
-from .shared import words_of
+from .shared import stored, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -103,9 +103,8 @@ def planned(sized: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS) -> Da
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     plan = plan.withColumn("_whole", whole).withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size"))
     cuts = _numbered_levels(sized, plan.filter("_need > 0"))
-    return plan.join(cuts, F.col("_source").eqNullSafe(F.col("_cut_source")), "left").select(
-        F.col("_source").alias("_plan_source"), "source_size", "target", "_whole", F.coalesce("_cut", F.lit("")).alias("_cut")
-    )
+    met = plan.join(cuts, F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
+    return stored(met.select(F.col("_source").alias("_plan_source"), "source_size", "target", "_whole", F.coalesce("_cut", F.lit("")).alias("_cut")))
 
 
 def _copies() -> Column:

@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scale import exploded
 from .registry import query, table
 from .shared import WORDED, let, words_of
 
@@ -152,10 +153,14 @@ def judged(docs: DataFrame, keep: list[Column], text: str = "text", rules: tuple
 
 
 def kept_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass, with all their columns and nothing else."""
+    """The rows that pass, with all their columns and nothing else.
+
+    Rows go by way of an array of one or none: as a filter, the verdict would be pushed below the
+    projections and every measure worked out anew for each rule that reads it.
+    """
     whole = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_whole"))
     rows = judged(whole, [F.col("_row")], "_whole", rules)
-    return rows.filter("kept").select("_row.*")
+    return exploded(rows, [], F.when(F.col("kept"), F.array("_row")), "_kept").select("_kept.*")
 
 
 def _sql() -> str:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..session import shared_dir
 
 # A word is a run of characters other than blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -23,6 +26,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    For small results that meet a large table: once written, their size is known, and Spark ships
+    them to every task if it is below its threshold and shuffles both sides if not.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(batches: Iterable, rows: int = SLICE) -> Iterator:
     """Arrow batches cut into short ones, so that few long texts are Python objects at a time."""
     for batch in batches:
