@@ -92,7 +92,7 @@ def reputation(outcomes: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     domains = bare.groupBy("_domain", "_suffix").agg(*sums)
     suffixes = domains.groupBy("_suffix").agg(*sums)
     n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
-    overall = ((bad or 0) + 1.0) / ((n or 0) + 2.0)
+    overall = (bad + 1.0) / (n + 2.0) if n else 0.0
     strengths = [_strength(groups) for groups in (suffixes, domains, bare)]
     top = _shrunk(suffixes, "_p", F.lit(overall), strengths[0]).select("_suffix", F.col("_p").alias("_from_suffix"))
     middle = _shrunk(domains.join(top, "_suffix"), "_p", F.col("_from_suffix"), strengths[1]).select("_domain", "_suffix", F.col("_p").alias("_from_domain"))
@@ -164,7 +164,7 @@ hosts AS (
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 s1 AS ({strength("suffixes")}), s2 AS ({strength("domains")}), s3 AS ({strength("hosts")}),
-m0 AS (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) AS m FROM suffixes),
+m0 AS (SELECT CASE WHEN sum(n) = 0 THEN 0.0 ELSE (sum(bad) + 1.0) / (sum(n) + 2.0) END AS m FROM suffixes),
 m1 AS (SELECT suffix, (s * m + bad) / (s + n) AS m FROM suffixes, s1, m0),
 m2 AS (SELECT domain, domains.suffix, (s * m + bad) / (s + n) AS m FROM s2, domains JOIN m1 USING (suffix)),
 m3 AS (SELECT bare, n, s, (s * m + bad) / (s + n) AS m FROM s3, hosts JOIN m2 USING (domain, suffix)),
