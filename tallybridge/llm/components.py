@@ -1,15 +1,18 @@
 """Connected components of a link table, by contraction.
 
-Each round points every node at its smallest neighbour (itself, if that is smaller), follows the
-pointer once more, and replaces the links by links between what was pointed at. Components
-shrink towards their smallest node; a round is a few equi joins and aggregates that combine
-before the shuffle, so a node with very many links costs one row per task. Rounds are cut with
-``settle``. Nothing is collected but the answer to "is any link left".
+Each round points every node at the first of its neighbours and itself, in an order drawn anew by
+hash, follows the pointer once more, and replaces the links by links between what was pointed at.
+As the order is random, a constant share of the nodes goes in every round, chains included. A
+round is a few equi joins and aggregates that combine before the shuffle, so a node with very
+many links costs one row per task. Rounds are cut with ``settle``. Nothing is collected but the
+answer to "is any link left".
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
 
@@ -22,10 +25,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     edges = settle(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     found = None
-    while True:
+    for turn in count():
         ends = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        near = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-        step = near.select("node", F.least("node", "near").alias("root"))
+
+        def placed(node: str) -> Column:
+            return F.struct(F.xxhash64(F.lit(turn), F.col(node)).alias("place"), F.col(node).alias("name"))
+
+        near = ends.groupBy(F.col("a").alias("node")).agg(F.min(placed("b")).alias("near"))
+        step = near.select("node", F.least(placed("node"), F.col("near"))["name"].alias("root"))
         on = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
         # What a node points at is itself linked, so every pointer is found here.
         step = settle(step.join(on, "root").select("node", F.col("next").alias("root")))
@@ -39,4 +46,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = edges.join(low, "a").join(high, "b").filter(F.col("ra") != F.col("rb"))
         edges = settle(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if edges.isEmpty():
-            return found
+            break
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return found.join(least, "root").select("node", F.col("least").alias("root"))

@@ -94,18 +94,16 @@ class Merges:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        text = text.replace(MARK, " ")
+        text = " " + text.replace(MARK, " ")
         if not self.by_word:
-            return self.merged(MARK + text.replace(" ", MARK))
+            return self.merged(text.replace(" ", MARK))
         if "  " in text:
             # Runs of blanks stay with the word after them.
-            return sum(self.words[w.replace(" ", MARK)] for w in _MARKED.findall(" " + text))
+            return sum(self.words[w.replace(" ", MARK)] for w in _MARKED.findall(text))
         if self.by_line:
             # A line feed joins with nothing, so each line's first word starts a piece of its own.
             text = text.replace("\n", " \n")
-            words = [w if w[:1] == "\n" else MARK + w for w in text.split(" ")]
-        else:
-            words = [MARK + w for w in text.split(" ")]
+        words = [w if w[:1] == "\n" and self.by_line else MARK + w for w in text[1:].split(" ")]
         return sum(map(self.words.__getitem__, words))
 
 

@@ -22,17 +22,19 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index each of ``n`` nodes is connected with by the links (a, b)."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
+        # Roots, not ends, are hooked to the smaller root, so what hangs below them comes along.
+        left, right = label[a], label[b]
+        low = np.minimum(left, right)
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        while True:
+            next_ = label[label]
+            if (next_ == label).all():
+                break
+            label = next_
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
-    while True:
-        next_ = label[label]
-        if (next_ == label).all():
-            return label
-        label = next_
+    return label
 
 
 class _Links:
