@@ -1,11 +1,13 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
 1. Equal vectors are one point, so copies never meet each other.
-2. A unit vector is cut into blocks; each block has its own random unit directions, and a filter
-   is one direction per block (a structured product code: ``directions ** blocks`` filters from
-   few directions). A vector belongs to every filter whose score exceeds ``threshold`` standard
-   deviations. List decoding finds them without scoring all filters: directions of a block that
-   cannot reach the threshold even with the best of the others are left out.
+2. A unit vector is turned at random and cut into blocks; each block has its own random unit
+   directions, and a filter is one direction per block (a structured product code: many filters
+   from few directions, as many as give a vector ``hits`` filters on average). A vector belongs
+   to every filter whose score exceeds ``threshold`` standard deviations. List decoding finds
+   them without scoring all filters: directions that cannot reach the threshold even with the
+   best of the other blocks are left out. There are ``codes`` such codes, each turned its own
+   way, as a single one leaves some vectors without any filter.
 3. Vectors meet in the filters they share. Every pair is counted once, in the first filter the
    two have in common, and verified by cosine in double precision.
 4. A filter with more rows than ``tile`` is cut into tiles; each two tiles meet in a task of
@@ -24,6 +26,7 @@ its smallest id. Labels and other columns are not read.
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,40 +35,71 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import settle
 from .components import components
 from .registry import query, table
+from .shared import stored
 from .vptree import roots
 
 LIMIT = 0.9
+CODES = 16
 BLOCKS = 2
-DIRECTIONS = 256
-THRESHOLD = 3.3
+HITS = 3
+THRESHOLD = 3.0
+# A cap is never narrower than this cosine, however few components a vector has.
+NARROWEST = 0.6
 TILE = 1024
 SEED = 42
+# Filters of vectors of different widths are different filters: width * WIDTHS + number.
+WIDTHS = 1 << 40
+
+
+def cap(width: int, threshold: float) -> float:
+    """The least cosine between a vector and the filters it belongs to."""
+    return min(threshold / np.sqrt(width), NARROWEST)
+
+
+def per_block(width: int, blocks: int, threshold: float, hits: int) -> int:
+    """Directions per block for ``hits`` filters per vector on average: hits over a cap's share of the sphere."""
+    if width < 2:
+        return hits
+    angles = np.linspace(0, np.pi, 20_001)
+    density = np.sin(angles) ** (width - 2)
+    share = density[angles <= np.arccos(cap(width, threshold))].sum() / density.sum()
+    return int(np.ceil((hits / share) ** (1 / min(blocks, width))))
+
+
+class Code(NamedTuple):
+    """A rotation of the space and, per block of the rotated vector, a matrix of unit directions."""
+
+    turn: np.ndarray
+    books: list[np.ndarray]
 
 
 @lru_cache(maxsize=8)
-def directions(width: int, blocks: int, per_block: int, seed: int) -> list[np.ndarray]:
-    """Per block a matrix of random unit directions; fewer blocks where the vector is shorter."""
-    rng = np.random.default_rng([seed, width])
-    found = []
-    for part in np.array_split(np.arange(width), min(blocks, width)):
-        rows = rng.standard_normal((per_block, len(part)))
-        found.append(rows / np.linalg.norm(rows, axis=1, keepdims=True))
+def product_codes(width: int, codes: int, blocks: int, threshold: float, hits: int, seed: int) -> list[Code]:
+    """``codes`` independent random product codes; fewer blocks where the vector is shorter."""
+    n, found = per_block(width, blocks, threshold, hits), []
+    for number in range(codes):
+        rng = np.random.default_rng([seed, width, number])
+        turn, _ = np.linalg.qr(rng.standard_normal((width, width)))
+        books = []
+        for part in np.array_split(np.arange(width), min(blocks, width)):
+            rows = rng.standard_normal((n, len(part)))
+            books.append(rows / np.linalg.norm(rows, axis=1, keepdims=True))
+        found.append(Code(turn, books))
     return found
 
 
-def decode(units: np.ndarray, blocks: int, per_block: int, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) for every filter that a row's score exceeds, by row and filter."""
-    n, width = units.shape
-    books = directions(width, blocks, per_block, seed)
+def decode(units: np.ndarray, books: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) for every filter within cosine ``least`` of a row, by row and filter."""
+    n, per_block = len(units), len(books[0])
     cuts = np.cumsum([0, *(b.shape[1] for b in books)])
     scores = [units[:, lo:hi] @ b.T for lo, hi, b in zip(cuts, cuts[1:], books)]
-    wanted = threshold * np.sqrt(len(books) / width)
+    wanted = least * np.sqrt(len(books))
     best = np.array([s.max(axis=1) for s in scores])
     after = best[::-1].cumsum(axis=0)[::-1] - best
     row, code, score = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
     for k, s in enumerate(scores):
         # Prefixes that can still reach the threshold with the best of the later blocks.
-        keep_row, keep_code, keep_score = [], [], []
+        keep_row, keep_code, keep_score = [row[:0]], [code[:0]], [score[:0]]
         for at in range(0, len(row), 4096):
             r = row[at : at + 4096]
             sums = score[at : at + 4096, None] + s[r]
@@ -78,23 +112,30 @@ def decode(units: np.ndarray, blocks: int, per_block: int, threshold: float, see
     return row[order], code[order]
 
 
-def _decoded(batches, blocks: int, per_block: int, threshold: float, seed: int):
-    """Adds to (gid, vector) the list of its filters."""
+def _decoded(batches, options: tuple):
+    """Adds to (gid, vector) the ordered list of its filters, numbered through all codes."""
+    codes, blocks, hits, threshold, seed = options
     for batch in batches:
         gids, vectors = batch.column(0), batch.column(1)
         widths = np.diff(vectors.offsets.to_numpy())
         values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         starts = np.concatenate([[0], widths.cumsum()])
-        for width in np.unique(widths):
+        for width in map(int, np.unique(widths)):
             chosen = np.flatnonzero(widths == width)
+            every, least = product_codes(width, codes, blocks, threshold, hits, seed), cap(width, threshold)
             for at in range(0, len(chosen), 2048):
                 part = chosen[at : at + 2048]
                 rows = values[starts[part][:, None] + np.arange(width)]
                 units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-                row, code = decode(units, blocks, per_block, threshold, seed)
+                row, filter_ = [], []
+                for number, code in enumerate(every):
+                    r, f = decode(units @ code.turn, code.books, least)
+                    row.append(r)
+                    filter_.append(f + number * len(code.books[0]) ** len(code.books))
+                row, filter_ = np.concatenate(row), np.concatenate(filter_)
+                order = np.lexsort((filter_, row))
                 ends = np.concatenate([[0], np.bincount(row, minlength=len(part)).cumsum()])
-                # Filters of different widths are different filters.
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code + (int(width) << 40)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(filter_[order], pa.int32()))
                 taken = vectors.take(pa.array(part))
                 yield pa.RecordBatch.from_arrays([gids.take(pa.array(part)), taken, lists], names=["gid", "vector", "filters"])
 
@@ -151,7 +192,7 @@ def _met(batches, limit: float):
             units = vectors.flatten().to_numpy().astype(np.float64).reshape(hi - lo, -1)
             units = units / np.linalg.norm(units, axis=1, keepdims=True)
             filters = np.split(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).cumsum()[:-1])
-            out.append(_verified(units, filters, weight[lo:hi], gid[lo:hi], tile[lo:hi], key[0][lo], limit))
+            out.append(_verified(units, filters, weight[lo:hi], gid[lo:hi], tile[lo:hi], key[0][lo] % WIDTHS, limit))
         if out:
             g, n, a, b = (np.concatenate(x) for x in zip(*out))
             if len(a):
@@ -188,8 +229,8 @@ def _met(batches, limit: float):
 
 
 def near_duplicates(
-    rows: DataFrame, ids: str = "vec_id", vector: str = "embedding", limit: float = LIMIT, blocks: int = BLOCKS,
-    per_block: int = DIRECTIONS, threshold: float = THRESHOLD, tile: int = TILE, seed: int = SEED,
+    rows: DataFrame, ids: str = "vec_id", vector: str = "embedding", limit: float = LIMIT, codes: int = CODES,
+    blocks: int = BLOCKS, hits: int = HITS, threshold: float = THRESHOLD, tile: int = TILE, seed: int = SEED,
 ) -> DataFrame:
     """``ids``, ``n_links``, ``component_id`` and ``kept``, one row per row."""
     each = rows.select(F.col(ids).alias("_id"), F.col(vector).alias("_v"))
@@ -204,18 +245,20 @@ def near_duplicates(
         marked.filter("_sound").groupBy(F.col("_v").alias("vector")).agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("weight"))
         .withColumn("gid", F.monotonically_increasing_id())
     )
-    kind = points.schema["vector"].dataType.simpleString()
+    kind, options = points.schema["vector"].dataType.simpleString(), (codes, blocks, hits, threshold, seed)
     decoded = settle(
-        points.select("gid", "vector").mapInArrow(
-            lambda batches: _decoded(batches, blocks, per_block, threshold, seed), f"gid long, vector {kind}, filters array<long>"
-        )
-    ).join(points.select("gid", "weight"), "gid")
-    placed = decoded.withColumn("filter", F.explode("filters"))
-    crowd = placed.groupBy("filter").count().filter(F.col("count") > 1).select("filter", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    tiled = placed.join(crowd, "filter").withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int"))
-    paired = tiled.withColumn("with", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
-        "filter", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "gid", "weight", "vector", "filters"
+        points.select("gid", "vector").mapInArrow(lambda batches: _decoded(batches, options), f"gid long, vector {kind}, filters array<int>")
+    )
+    name = F.size("vector").cast("bigint") * WIDTHS
+    crowd = decoded.select(name.alias("width"), F.explode("filters").alias("f")).groupBy((F.col("width") + F.col("f")).alias("filter")).count()
+    # Only filters with more rows than a tile; none in most tables.
+    crowded = stored(crowd.filter(F.col("count") > tile).select("filter", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
+    placed = decoded.join(points.select("gid", "weight"), "gid").withColumn("filter", F.explode(F.transform("filters", lambda f: name + f)))
+    tiled = placed.join(crowded, "filter", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    paired = tiled.withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")).withColumn(
+        "with", F.explode(F.expr("sequence(0, tiles - 1)"))
     )
+    paired = paired.select("filter", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "gid", "weight", "vector", "filters")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = paired.repartition(n, "filter", "low", "high").sortWithinPartitions("filter", "low", "high", "gid")
     found = settle(sorted_.mapInArrow(lambda batches: _met(batches, limit), "gid long, links long, other long"))
