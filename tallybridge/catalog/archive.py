@@ -176,16 +176,23 @@ def u3(spark, sf):
     return ar.link_check(_listed(spark, sf), _present(spark, sf))
 
 
-@query("f1_extract_text", "SELECT doc_id, length(text) AS chars, CASE WHEN n_chars > 10000 THEN 'none' ELSE 'plain' END AS method, CASE WHEN n_chars > 10000 THEN 'ValueError: too long' END AS error FROM documents".replace(
-    "length(text) AS chars", "CASE WHEN n_chars > 10000 THEN 0 ELSE length(text) END AS chars"))
+@query(
+    "f1_extract_text",
+    """
+SELECT doc_id, CASE WHEN lang = 'es' THEN 0 ELSE length(text) END AS chars, CASE WHEN lang = 'es' THEN 'none' ELSE 'plain' END AS method,
+  CASE WHEN lang = 'es' THEN 'ValueError: not UTF-8' END AS error FROM documents""",
+)
 def f1(spark, sf):
+    """Whole texts as bytes; those of one language are spoilt by a byte that is not UTF-8."""
+
     def extractor(body):
-        text = bytes(body).decode("utf-8")
-        if len(text) > 10000:
-            raise ValueError("too long")
-        return text, "plain", 1
+        try:
+            return bytes(body).decode("utf-8"), "plain", 1
+        except UnicodeDecodeError:
+            raise ValueError("not UTF-8") from None
 
-    d = b.table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    spoilt = F.when(F.col("lang") == "es", F.lit(b"\xff")).otherwise(F.lit(b""))
+    d = b.table(spark, sf, "documents").select("doc_id", F.concat(F.encode("text", "UTF-8"), spoilt).alias("content"))
     out = ar.extract_text(d, extractor, "doc_id", "content")
     return out.select("doc_id", F.length("text").cast("bigint").alias("chars"), "method", "error")
 

@@ -196,8 +196,8 @@ def j5(spark, sf):
     )
 
 
-def blocked(spark, sf, caps=None):
-    return mt.blocked_pairs(worklist(spark, sf), messages(spark, sf), STOP, SUBJECT_TERMS, TERMS["search_words"], caps)
+def blocked(spark, sf):
+    return mt.blocked_pairs(worklist(spark, sf), messages(spark, sf), STOP, SUBJECT_TERMS, TERMS["search_words"])
 
 
 cte(
@@ -227,16 +227,13 @@ def j6(spark, sf):
     with_(
         "blocked",
         body="""
-SELECT row_key, message_id, array_to_string(list_sort(list(kind)), ',') AS kinds FROM (
-  SELECT *, row_number() OVER (PARTITION BY row_key, kind ORDER BY day DESC, message_id DESC) AS n
-  FROM (SELECT b.row_key, b.message_id, m.day, unnest(string_split(b.kinds, ',')) AS kind FROM blocked b JOIN messages m USING (message_id)))
-WHERE n <= CASE kind WHEN 'vendor' THEN 5 ELSE 3 END GROUP BY row_key, message_id""",
+SELECT row_key, message_id, kind, row_number() OVER (PARTITION BY row_key, kind ORDER BY day DESC, message_id DESC) AS place
+FROM (SELECT b.row_key, b.message_id, m.day, unnest(string_split(b.kinds, ',')) AS kind FROM blocked b JOIN messages m USING (message_id))""",
     ),
 )
 def j6_page(spark, sf):
-    """The same search as a result page: the newest hits per charge and kind."""
-    caps = {"vendor": 5, "subject": 3, "merchant": 3, "amount": 3}
-    return blocked(spark, sf, caps).withColumn("kinds", F.array_join("kinds", ","))
+    """The same search as result pages: every hit with its place per charge and kind, newest first."""
+    return mt.paged(blocked(spark, sf), messages(spark, sf))
 
 
 def pairs(spark, sf):
@@ -318,7 +315,7 @@ SELECT s.* , g.gate_rank, CASE WHEN g.gate_rank IS NULL THEN level_meta ELSE lev
 FROM scored s LEFT JOIN (
   SELECT * FROM (SELECT row_key, message_id, row_number() OVER (PARTITION BY row_key ORDER BY meta_score DESC, day DESC, message_id) AS gate_rank
     FROM scored WHERE class NOT IN ('corroboration','decoy','own','refund') AND (s_sender > 0 OR s_subject >= 10 OR level_meta NOT IN ('none','contradiction')))
-  WHERE gate_rank <= 6) g ON g.row_key = s.row_key AND g.message_id = s.message_id""",
+  ) g ON g.row_key = s.row_key AND g.message_id = s.message_id""",
     "scored",
 )
 cte(

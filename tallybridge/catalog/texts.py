@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, format_money, parse_money
@@ -165,24 +167,27 @@ def x8(spark, sf):
 
 
 def _html_sql() -> str:
-    from ..functions.text import BLOCK_ELEMENTS, CELL_ELEMENTS, ENTITIES, HIDDEN_ELEMENTS
-
+    hidden = "script style head noscript template title svg".split()
+    blocks = "p div br tr li ul ol table h1 h2 h3 h4 h5 h6 section article header footer nav blockquote hr pre form".split()
+    entities = sorted(name2codepoint.items(), key=lambda x: x[0] == "amp")
     t = r"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for n in HIDDEN_ELEMENTS:
+    for n in hidden:
         t = rf"regexp_replace({t}, '(?is)<{n}\b[^>]*>.*?</{n}\s*>', '', 'g')"
-    t = rf"regexp_replace({t}, '(?i)</?(?:{'|'.join(BLOCK_ELEMENTS)})\b[^>]*>', chr(10), 'g')"
-    t = rf"regexp_replace({t}, '(?i)</?(?:{'|'.join(CELL_ELEMENTS)})\b[^>]*>', '  ', 'g')"
+    t = rf"regexp_replace({t}, '(?i)</?(?:{'|'.join(blocks)})\b[^>]*>', chr(10), 'g')"
+    t = rf"regexp_replace({t}, '(?i)</?(?:td|th)\b[^>]*>', '  ', 'g')"
     t = rf"regexp_replace({t}, '(?s)<[^>]*>', '', 'g')"
-    for e, c in ENTITIES:
-        t = f"replace({t}, {b.literal(e)}, {b.literal(c)})"
+    for name, code in entities:
+        t = f"replace({t}, '&{name};', chr({code}))"
+    t = f"replace({t}, '&#8364;', chr(8364))"
     t = rf"regexp_replace({t}, '[ \t\r\f' || chr(160) || ']+', ' ', 'g')"
     t = rf"regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g')"
     return rf"regexp_replace({t}, '^[ \n]+|[ \n]+$', '', 'g')"
 
 
-@query("x9_html_to_text", f"SELECT page_id, length(t) AS chars, md5(t) AS hash FROM (SELECT page_id, {_html_sql()} AS t FROM pages)")
+@query("x9_html_to_text", f"SELECT page_id, length(t) AS chars, md5(t) AS hash FROM (SELECT page_id, {_html_sql()} AS t FROM (SELECT page_id, concat('K&ouml;p &aring;r &#8364;5 ', html) AS html FROM pages))")
 def x9(spark, sf):
-    return tx.html_to_text(spread(b.table(spark, sf, "pages"))).select(
+    pages = b.table(spark, sf, "pages").withColumn("html", F.concat(F.lit("K&ouml;p &aring;r &#8364;5 "), "html"))
+    return tx.html_to_text(pages).select(
         "page_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("hash")
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -81,10 +82,31 @@ BLOCK_ELEMENTS = [
     "section", "article", "header", "footer", "nav", "blockquote", "hr", "pre", "form",
 ]
 CELL_ELEMENTS = ["td", "th"]
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
+ENTITY = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _entity_char(entity: Column) -> Column:
+    """The character of one entity: by decimal or hexadecimal number, or by its standard name; else null."""
+    body = F.regexp_extract(entity, "^&#?[xX]?([A-Za-z0-9]+);$", 1)
+    code = F.when(entity.rlike("^&#[xX]"), F.conv(body, 16, 10).cast("bigint")).when(entity.startswith("&#"), F.conv(body, 10, 10).cast("bigint"))
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    names = F.create_map(*(F.lit(x) for name, number in sorted(name2codepoint.items()) for x in (name, chr(number))))
+    named = F.try_element_at(names, F.regexp_extract(entity, "^&(.*);$", 1))
+    return F.when(code.isNotNull(), numbered).otherwise(named)
+
+
+def unescape_entities(text: Column) -> Column:
+    """All entities of a text as characters, each once: what an ampersand's entity leaves is not read again."""
+    found = F.transform(
+        F.array_distinct(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), 1)), lambda e: F.struct(e.alias("e"), _entity_char(e).alias("c"))
+    )
+
+    def replaced(known: Column) -> Column:
+        ordered = F.concat(F.filter(known, lambda x: x["c"] != "&"), F.filter(known, lambda x: x["c"] == "&"))
+        return F.aggregate(ordered, text, lambda t, x: F.replace(t, x["e"], x["c"]))
+
+    return F.when(text.contains("&"), let(found, replaced)).otherwise(text)
 
 
 def html_text(markup: Column) -> Column:
@@ -94,8 +116,7 @@ def html_text(markup: Column) -> Column:
     t = F.regexp_replace(t, "(?i)</?(?:" + "|".join(BLOCK_ELEMENTS) + ")\\b[^>]*>", "\n")
     t = F.regexp_replace(t, "(?i)</?(?:" + "|".join(CELL_ELEMENTS) + ")\\b[^>]*>", "  ")
     t = F.regexp_replace(t, "(?s)<[^>]*>", "")
-    for entity, char in ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = let(t, unescape_entities)
     t = F.regexp_replace(t, "[ \\t\\r\\f\u00a0]+", " ")
     t = F.regexp_replace(t, " ?\n[ \n]*", "\n")
     return F.regexp_replace(t, "^[ \n]+|[ \n]+$", "")

@@ -62,9 +62,19 @@ def valid_overrides(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_decisions(charges: DataFrame, overrides: DataFrame, prior: DataFrame) -> DataFrame:
-    """Charges with their override and their earlier decision; both sides carry one row per ref."""
-    o = overrides.select("ref", F.col("tag").alias("override_tag"), F.col("note").alias("override_note"))
-    p = prior.select("ref", F.trim("tag").alias("prior_tag"), F.col("why").alias("prior_why"))
+    """Charges with their override and their earlier decision.
+
+    A ref decided more than once before keeps its last decision by ``line``, where the prior table
+    has one, else the greatest; a repeated override likewise. Rows without a ref decide nothing.
+    """
+
+    def last(rows: DataFrame, fields: list[Column]) -> DataFrame:
+        order = F.struct(*([F.col("line")] if "line" in rows.columns else []), *fields)
+        picked = rows.filter(F.trim("ref") != "").groupBy("ref").agg(F.max_by(F.struct(*fields), order).alias("_r"))
+        return picked.select("ref", "_r.*")
+
+    o = last(overrides, [F.col("tag").alias("override_tag"), F.col("note").alias("override_note")])
+    p = last(prior, [F.trim("tag").alias("prior_tag"), F.col("why").alias("prior_why")])
     return charges.join(o, "ref", "left").join(p, "ref", "left")
 
 

@@ -97,7 +97,7 @@ def charge_blocks(worklist: DataFrame, stopwords) -> DataFrame:
     keys = F.concat(
         _block("vendor", F.transform(senders, F.lower)),
         _block("subject", F.transform(F.coalesce("subject_terms", _no_keys()), F.lower)),
-        _block("merchant", F.when(F.size(senders) == 0, F.slice(words, 1, 5)).otherwise(_no_keys())),
+        _block("merchant", F.when(F.size(senders) == 0, words).otherwise(_no_keys())),
         _block("amount", F.filter(amounts, lambda a: a >= 10)),
     )
     kept = ["row_key", "mailbox", "window_from", "window_to"]
@@ -126,14 +126,8 @@ def message_blocks(messages: DataFrame, subject_terms, search_words) -> DataFram
     )
 
 
-def blocked_pairs(
-    worklist: DataFrame, messages: DataFrame, stopwords, subject_terms, search_words, caps: dict | None = None
-) -> DataFrame:
-    """Pairs a search would find: one equi join over every blocking key and day bucket.
-
-    ``caps`` optionally keeps the newest hits per charge and kind, as a result page does; without
-    it every hit stays.
-    """
+def blocked_pairs(worklist: DataFrame, messages: DataFrame, stopwords, subject_terms, search_words) -> DataFrame:
+    """Pairs a search would find: one equi join over every blocking key and day bucket."""
     pairs = interval_join(
         charge_blocks(worklist, stopwords),
         message_blocks(messages, subject_terms, search_words),
@@ -142,20 +136,14 @@ def blocked_pairs(
         "window_to",
         "day",
     )
-    hits = pairs.groupBy("row_key", "message_id").agg(
-        F.array_sort(F.collect_set("kind")).alias("kinds"), F.max("day").alias("day")
-    )
-    if caps:
-        spread = hits.select("row_key", "message_id", "day", F.explode("kinds").alias("kind"))
-        newest = Window.partitionBy("row_key", "kind").orderBy(F.desc("day"), F.desc("message_id"))
-        limit = F.lit(0)
-        for kind, n in caps.items():
-            limit = F.when(F.col("kind") == kind, n).otherwise(limit)
-        kept = spread.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= max(caps.values()))
-        hits = kept.filter(F.col("_n") <= limit).groupBy("row_key", "message_id").agg(
-            F.array_sort(F.collect_set("kind")).alias("kinds"), F.max("day").alias("day")
-        )
-    return hits.select("row_key", "message_id", "kinds")
+    return pairs.groupBy("row_key", "message_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def paged(hits: DataFrame, messages: DataFrame) -> DataFrame:
+    """Every hit with its place on the charge's result page of each kind, newest first."""
+    dated = hits.join(messages.select("message_id", "day"), "message_id").select("row_key", "message_id", "day", F.explode("kinds").alias("kind"))
+    newest = Window.partitionBy("row_key", "kind").orderBy(F.desc("day"), F.desc("message_id"))
+    return dated.withColumn("place", F.row_number().over(newest).cast("bigint")).drop("day")
 
 
 # --------------------------------------------------------------------------- scoring
@@ -348,11 +336,15 @@ def two_signals() -> Column:
 REJECTED_CLASSES = ("corroboration", "decoy", "own", "refund")
 
 
-def detail_gate(scored: DataFrame, max_full: int = 6) -> DataFrame:
-    """The few best signalled candidates per charge that earn a read of their details."""
+def gated() -> Column:
+    """Whether a scored pair earns a read of its details: any signal, and no class that rules it out."""
+    return F.coalesce(~F.col("class").isin(*REJECTED_CLASSES) & has_signal(), F.lit(False))
+
+
+def detail_gate(scored: DataFrame) -> DataFrame:
+    """The signalled candidates of each charge, best first; all of them, however many."""
     best = Window.partitionBy("row_key").orderBy(F.desc("score"), F.desc("day"), "message_id")
-    eligible = scored.filter(~F.col("class").isin(*REJECTED_CLASSES) & has_signal())
-    return eligible.withColumn("gate_rank", F.row_number().over(best)).filter(F.col("gate_rank") <= max_full)
+    return scored.filter(gated()).withColumn("gate_rank", F.row_number().over(best))
 
 
 CANDIDATE_COLUMNS = [
@@ -361,27 +353,22 @@ CANDIDATE_COLUMNS = [
 ]
 
 
-def rescore(scored: DataFrame, details: DataFrame, max_full: int = 6) -> DataFrame:
+def rescore(scored: DataFrame, details: DataFrame) -> DataFrame:
     """Second pass: mentions, attachments and links are read for gated pairs only.
 
     Only the amount and attachment parts can change; the header score stays as ``meta_score``.
-    The gate is a handful of rows per charge, so the wide details meet nothing else.
+    The gate is a flag on the scored pairs, so these are worked out once; pairs that fail it carry
+    no message id into the join and meet no details.
     """
-    extra = (
-        detail_gate(scored, max_full)
-        .select("row_key", "message_id")
-        .join(details, "message_id", "left")
-        .select(
-            "row_key",
-            "message_id",
-            F.lit(True).alias("gated"),
-            F.col("mentions").alias("more"),
-            F.coalesce("has_pdf", F.lit(False)).alias("has_pdf"),
-            F.coalesce("has_html", F.lit(False)).alias("has_html"),
-            F.coalesce("links", _no_keys()).alias("links"),
-        )
-    )
-    rows = scored.join(extra, ["row_key", "message_id"], "left").withColumns(
+    extra = details.select(
+        F.col("message_id").alias("_of"),
+        F.col("mentions").alias("more"),
+        F.coalesce("has_pdf", F.lit(False)).alias("has_pdf"),
+        F.coalesce("has_html", F.lit(False)).alias("has_html"),
+        F.coalesce("links", _no_keys()).alias("links"),
+    )
+    flagged = scored.withColumn("gated", gated()).withColumn("_wants", F.when(F.col("gated"), F.col("message_id")))
+    rows = flagged.join(extra, F.col("_wants") == F.col("_of"), "left").drop("_of", "_wants").withColumns(
         {
             "meta_score": F.col("score"),
             "has_pdf": F.coalesce("has_pdf", F.lit(False)),

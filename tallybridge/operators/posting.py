@@ -65,18 +65,20 @@ def attach_files(
     ``ledger_refs``, when given, is a cheaper frame holding at least every ref of ``charges``.
     """
     source = charges if ledger_refs is None else ledger_refs
-    lengths = sorted(r[0] for r in source.select(F.length("ref").alias("n")).distinct().collect() if r[0])
-
-    def pieces_of(n: int) -> Column:
-        last = F.greatest(F.length("name") - n + 1, F.lit(1))
-        cut = F.transform(
-            F.sequence(F.lit(1), last),
-            lambda i: F.struct(F.substring(F.col("name"), i, F.lit(n)).alias("ref"), (i > 1).alias("inner")),
+    # One row: the lengths refs have, an aggregate that travels to the files as a subquery would.
+    lengths = source.select(F.length("ref").alias("n")).filter("n > 0").agg(F.sort_array(F.collect_set("n")).alias("_lengths"))
+    cuts = F.flatten(
+        F.transform(
+            "_lengths",
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length("name") - n + 1),
+                lambda i: F.struct(F.substring(F.col("name"), i, n).alias("ref"), (i > 1).alias("inner")),
+            ),
         )
-        return F.filter(cut, lambda x: F.length(x["ref"]) == n)
-
-    cuts = F.concat(*[pieces_of(n) for n in lengths])
-    pieces = exploded(files, ["name"], cuts, "_piece").select("_piece.*", "name")
+    )
+    fits = F.filter("_lengths", lambda n: n <= F.length("name"))
+    sized = files.withColumn("_lengths", lengths.scalar()).withColumn("_lengths", fits)
+    pieces = exploded(sized, ["name"], cuts, "_piece").select("_piece.*", "name")
     best = pieces.groupBy("ref").agg(F.min(F.struct("inner", "name")).alias("_f"))
     by_name = best.select("ref", F.col("_f.name").alias("_named"), F.col("_f.inner").alias("_inner"))
     mapped = first_by(mapping.filter(F.trim("file") != ""), ["ref"], [F.col("file")], ["file"])
@@ -96,7 +98,7 @@ def attach_files(
 
 def exclude_paid(plan: DataFrame, paid: DataFrame) -> DataFrame:
     """Planned rows already reimbursed elsewhere become excluded, with the payout as the reason."""
-    hit = paid.select("ref", F.col("payout_id").alias("_payout"))
+    hit = paid.groupBy("ref").agg(F.min("payout_id").alias("_payout"))
     rows = plan.join(hit, "ref", "left")
     taken = (F.col("disposition") == "planned") & F.col("_payout").isNotNull()
     return (

@@ -109,7 +109,7 @@ def _known(text: Column) -> Column:
 
 def _foreign_of(text: Column) -> tuple[Column, Column]:
     """Amount and code of a trailing ``12,34 EUR`` or a free ``53,71 USD exact``."""
-    pattern = r"(\d[\d.,]*)\s*(EUR|USD|GBP|DKK|NOK|CHF|JPY)\b"
+    pattern = r"((?<![\w.,])\d{1,3}(?: \d{3})+(?!\d)(?:[.,]\d+)?|\d[\d.,]*)\s*(EUR|USD|GBP|DKK|NOK|CHF|JPY)\b"
     amount = parse_money(F.nullif(F.regexp_extract(norm_ws(text), pattern, 1), F.lit("")), "any")
     return amount, F.nullif(F.regexp_extract(norm_ws(text), pattern, 2), F.lit(""))
 
@@ -275,7 +275,7 @@ def parse_worklist(lines: DataFrame) -> DataFrame:
     shape = r"^- (\d{7})\s+(?:(\d{4}-\d{2}-\d{2})\s+)?(.+)$"
     rest = F.trim(F.regexp_extract(line, shape, 3))
     words = F.filter(F.split(rest, r"\s{2,}"), lambda c: c != "")
-    problem = F.regexp_replace(F.array_join(F.slice(words, 2, 1000), " "), r"\s*\((EXPORTED|QUEUED|NOT_EXPORTED)\)\s*$", "")
+    problem = F.regexp_replace(F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), " "), r"\s*\((EXPORTED|QUEUED|NOT_EXPORTED)\)\s*$", "")
     items = carried.filter(line.rlike(shape) & F.col("_under").isNotNull())
     return items.select(
         "file", "pos", "_under.group_no", "_under.heading", F.regexp_extract(line, shape, 1).alias("receipt_no"),

@@ -194,3 +194,27 @@ def test_digest_changes_with_any_line(spark):
     changed = numbered.withColumn("receipt_file", F.when(F.col("ref") == "ATFIX005", "x").otherwise(""))
     assert one == po.batch_digest(numbered, post).collect()[0].batch_code != po.batch_digest(changed, post).collect()[0].batch_code
     assert len(one) == 16
+
+
+def test_repeated_decisions_and_payouts_keep_one_row(spark):
+    from tallybridge.operators import ledger, posting
+
+    charges = spark.createDataFrame([("r1",), ("r2",), ("",)], "ref string")
+    overrides = spark.createDataFrame([("r1", "private", "a"), ("r1", "work", "b")], "ref string, tag string, note string")
+    prior = spark.createDataFrame([(1, "r1", "work ", "old"), (2, "r1", "private", "new"), (3, "", "work", "x")], "line int, ref string, tag string, why string")
+    done = {r.ref: r for r in ledger.with_decisions(charges, overrides, prior).collect()}
+    assert len(done) == 3 and done["r1"].prior_why == "new" and done["r1"].override_tag == "work" and done[""].prior_tag is None
+    plan = spark.createDataFrame([("r1", "planned", "")], "ref string, disposition string, reason string")
+    paid = spark.createDataFrame([("r1", "p2"), ("r1", "p1")], "ref string, payout_id string")
+    assert [tuple(r) for r in posting.exclude_paid(plan, paid).select("disposition", "reason").collect()] == [("excluded", "already paid p1")]
+
+
+def test_files_of_an_empty_ledger(spark):
+    from tallybridge.operators import posting
+
+    charges = spark.createDataFrame([], "ref string")
+    mapping = spark.createDataFrame([], "ref string, file string")
+    files = spark.createDataFrame([("R1 receipt.pdf",), (None,), ("",)], "name string")
+    assert posting.attach_files(charges, mapping, files).collect() == []
+    one = spark.createDataFrame([("R1",), ("longer than any file name",), (None,)], "ref string")
+    assert {r.ref: r.file_match for r in posting.attach_files(one, mapping, files).collect()} == {"R1": "prefix", "longer than any file name": "", None: ""}
