@@ -291,6 +291,18 @@ def cover(spark, sf):
     return st.coverage(b.charges_raw(spark, sf).select("date"))
 
 
+@query("a12_coverage_ledger", """
+SELECT s AS last_date, sc AS closed_month, strftime(strptime(lc || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS next_month,
+  sc >= strftime(strptime(lc || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS next_present, false AS period_proven
+FROM (SELECT s, CASE WHEN last_day(s) = s THEN strftime(s, '%Y-%m') ELSE strftime(date_trunc('month', s) - INTERVAL 1 DAY, '%Y-%m') END AS sc,
+        CASE WHEN last_day(l) = l THEN strftime(l, '%Y-%m') ELSE strftime(date_trunc('month', l) - INTERVAL 1 DAY, '%Y-%m') END AS lc
+      FROM (SELECT CAST(max(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) FILTER (o_orderstatus = 'F') AS DATE) AS l FROM orders))""")
+def a12_ledger(spark, sf):
+    """Statements reach every order, the ledger only those that are finished."""
+    orders = b.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_orderstatus")
+    return st.coverage(orders, orders.filter("o_orderstatus = 'F'"))
+
+
 @query("a12_coverage", with_("cover", body="SELECT * FROM cover"))
 def a12(spark, sf):
     return cover(spark, sf)

@@ -318,22 +318,31 @@ def ledger_months(rows: DataFrame, plan_months: DataFrame, own_entity: str) -> D
     return both.withColumns(zeros)
 
 
-def coverage(charges: DataFrame) -> DataFrame:
-    """Last purchase day, the last month it closes, the next month and whether it is covered.
+def coverage(statements: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """Last purchase day and the last month it closes, the next month and whether it is covered.
 
-    A purchase date proves nothing about the days after it, so ``period_proven`` stays false
-    until a statement period is supplied.
+    The next month is the one after the last that the ledger closes; it is present when the
+    statements close it too. Without a ledger of its own the statements are the ledger. A purchase
+    date proves nothing about the days after it, so ``period_proven`` stays false until a
+    statement period is supplied.
     """
-    last = charges.agg(F.max("date").alias("last_date"))
-    closed = last.withColumn("closed_month", last_full_month(F.col("last_date")))
-    return closed.withColumn("next_month", month_add(F.col("closed_month"), 1)).withColumn(
+    last = statements.agg(F.max("date").alias("last_date")).withColumn("closed_month", last_full_month(F.col("last_date")))
+    reached = F.col("closed_month") if ledger is None else ledger.agg(last_full_month(F.max("date"))).scalar()
+    return last.withColumn("next_month", month_add(reached, 1)).withColumn(
         "next_present", F.col("closed_month") >= F.col("next_month")
     ).withColumn("period_proven", F.lit(False))
 
 
+def _beside(row: DataFrame, *others: DataFrame) -> DataFrame:
+    """One row and the columns of other one-row frames, as scalar subqueries instead of products."""
+    for other in others:
+        row = row.withColumn("_beside", other.select(F.struct("*")).scalar()).select(*row.columns, "_beside.*")
+    return row
+
+
 def month_stage(months: DataFrame, covered: DataFrame) -> DataFrame:
     """Stage of each month: no-csv, no-plan, untagged, nothing-to-book, held, planned, partial, booked."""
-    rows = months.withColumn("_k", F.lit(1)).join(covered.select(F.col("closed_month").alias("covered"), F.lit(1).alias("_k")), "_k", "left").drop("_k")
+    rows = months.withColumn("covered", covered.select("closed_month").scalar())
     has_plan = F.col("vouchers").isNotNull()
     stage = (
         F.when(F.col("covered").isNull() | (F.col("month") > F.col("covered")), "no-csv")
@@ -419,23 +428,22 @@ def freshness(sources: DataFrame, today: Column, stale_days: int = 14) -> DataFr
 
 def headline(expenses: DataFrame, ledger: DataFrame, plans: DataFrame, archive: DataFrame) -> DataFrame:
     """The figures of the status line, one row; each section is aggregated on its own."""
-    one = F.lit(1).alias("_k")
     e = expenses.agg(
         F.count(F.lit(1)).alias("expense_rows"),
         F.count_if("has_receipt").alias("expense_with_receipt"),
         F.count_if(~F.col("has_receipt")).alias("expense_missing"),
-    ).select("*", one)
+    )
     business = F.col("tag") == "business"
     g = ledger.agg(
         F.count_if(business).alias("business_rows"),
         _money(F.when(business, F.col("amount"))).alias("business_sek"),
         F.count_if(business & F.col("evidence")).alias("evidence_found"),
         F.count_if((F.col("tag") == "needs-tag") & F.col("answer").isNull()).alias("needs_tag_open"),
-    ).select("*", one)
-    p = plans.agg(F.coalesce(F.sum("vouchers"), F.lit(0)).alias("vouchers_planned"), F.coalesce(F.sum("booked"), F.lit(0)).alias("vouchers_booked")).select("*", one)
+    )
+    p = plans.agg(F.coalesce(F.sum("vouchers"), F.lit(0)).alias("vouchers_planned"), F.coalesce(F.sum("booked"), F.lit(0)).alias("vouchers_booked"))
     signed = F.when(F.col("kind") == "credit-note", -F.col("amount_sek")).otherwise(F.col("amount_sek"))
-    a = archive.agg(F.count(F.lit(1)).alias("archive_pages"), _money(signed).alias("archive_sek")).select("*", one)
-    return e.join(g, "_k").join(p, "_k").join(a, "_k").drop("_k")
+    a = archive.agg(F.count(F.lit(1)).alias("archive_pages"), _money(signed).alias("archive_sek"))
+    return _beside(e, g, p, a)
 
 
 def _task(df: DataFrame, key: Column, severity: str, owner: Column | str, count: Column, amount: Column | None, text: Column) -> DataFrame:
@@ -527,8 +535,8 @@ def status_chips(line: DataFrame, tasks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("tasks"),
         F.count_if(F.col("severity") == "crit").alias("crit"),
         F.count_if(F.col("key").startswith("plan-held:")).alias("held"),
-    ).select("*", F.lit(1).alias("_k"))
-    row = line.withColumn("_k", F.lit(1)).join(t, "_k")
+    )
+    row = _beside(line, t)
 
     def chip(n, warn, *text):
         return F.struct(F.lit(n).alias("chip_no"), F.when(warn, "warn").otherwise("ok").alias("tone"), F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in text]).alias("text"))

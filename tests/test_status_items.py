@@ -24,6 +24,9 @@ def test_month_stages(spark):
     assert got == {"2026-08": "no-csv", "2026-07": "untagged", "2026-06": "no-plan", "2026-05": "booked", "2026-04": "nothing-to-book", "2026-03": "held", "2026-02": "partial", "2026-01": "planned"}
     row = covered.collect()[0]
     assert (row.closed_month, row.next_month, row.next_present, row.period_proven) == ("2026-07", "2026-08", False, False)
+    statements = spark.createDataFrame([(D(2026, 8, 2),)], "date date")
+    row = st.coverage(statements, spark.createDataFrame([(D(2026, 7, 3),)], "date date")).first()
+    assert (row.closed_month, row.next_month, row.next_present) == ("2026-07", "2026-07", True)
 
 
 def test_outcomes_do_not_imply_one_another(spark):
