@@ -8,7 +8,7 @@ from ..functions.money import MONEY
 from ..operators import archive as ar
 from . import bindings as b, query
 from .bindings import cte, with_
-from .texts import receipts
+from .texts import proofs
 
 COMPANIES = {"Alfa AB": "alfa", "Beta AB": "beta"}
 
@@ -375,10 +375,10 @@ def w6(spark, sf):
     return ar.arbitrate_shared(shifted).select("doc_id", "verdict")
 
 
-@query("w6_text_fit", with_("receipts", body="""
-SELECT doc_id, CAST(CASE WHEN lang IN ('en','de') THEN 1 ELSE 0 END AS INTEGER) AS amount_hit FROM receipts"""))
+@query("w6_text_fit", with_("proofs", body="""
+SELECT doc_id, CAST(CASE WHEN lang IN ('en','de') THEN 1 ELSE 0 END AS INTEGER) AS amount_hit FROM proofs"""))
 def w6_fit(spark, sf):
-    rows = receipts(spark, sf).withColumn("date", F.col("charge_date")).withColumn("amount_sek", F.col("amount"))
+    rows = proofs(spark, sf).withColumn("date", F.col("charge_date")).withColumn("amount_sek", F.col("amount"))
     return ar.text_fit(rows, "text").select("doc_id", "amount_hit")
 
 
@@ -393,7 +393,7 @@ def j15(spark, sf):
 
 
 def _dated(spark, sf):
-    rows = records(spark, sf).join(receipts(spark, sf).select("doc_id", F.col("text").alias("_receipt"), F.col("amount").alias("_amount")), "doc_id")
+    rows = records(spark, sf).join(proofs(spark, sf).select("doc_id", F.col("text").alias("_receipt"), F.col("amount").alias("_amount")), "doc_id")
     shift = F.pmod(F.col("n_chars"), F.lit(40)).cast("int") - 20
     return (
         rows.withColumn("text", F.col("_receipt")).withColumn("amount", F.col("_amount")).withColumn("amount_sek", F.col("_amount"))

@@ -111,8 +111,14 @@ def j2(spark, sf):
 
 @query("j2_match_rule_large_table", J2)
 def j2_large(spark, sf):
-    """The same match by the path taken once the rule table outgrows one expression."""
-    rows = lg.match_rule(b.charges(spark, sf).select("ref", "merchant"), b.rules(spark), literal_limit=0)
+    """The same match with a rule for every part besides, none of which fits a merchant."""
+    rules = b.rules(spark)
+    parts = b.table(spark, sf, "part").select(
+        (F.col("p_partkey") + 1000).alias("rule_order"), F.col("p_name").alias("name"), F.array(F.concat(F.lit("~"), "p_name")).alias("patterns")
+    )
+    kinds = dict(rules.dtypes)
+    more = parts.select(*((F.col(c) if c in parts.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in rules.columns))
+    rows = lg.match_rule(b.charges(spark, sf).select("ref", "merchant"), rules.unionByName(more))
     return rows.select("ref", "merchant", "rule_order", "rule_name", "rule_tag")
 
 

@@ -56,7 +56,7 @@ def worklist(spark, sf):
     orders = spread(b.table(spark, sf, "orders"))
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
     merchant = (
-        F.when(p == "1-URGENT", "ACMECLOUD STOCKHOLM").when(p == "2-HIGH", "ACME RECEIPTS").when(p == "3-MEDIUM", "BETA TOOLS")
+        F.when(p == "1-URGENT", "ACMECLOUD STOCKHOLM").when(p == "2-HIGH", "ACME SLIPS").when(p == "3-MEDIUM", "BETA TOOLS")
         .when(p == "4-NOT SPECIFIED", "GAMMA OFFERS").otherwise("SUMMER SALES AB")
     )
     vendor = F.when(p.isin("1-URGENT", "2-HIGH"), "acme").when(p == "3-MEDIUM", "beta").when(p == "4-NOT SPECIFIED", "gamma")
@@ -86,8 +86,8 @@ SELECT w.*, v.* EXCLUDE (vendor_key, band_lo, band_hi, before, after),
        CAST(date - coalesce(v.before, 10) AS DATE) AS window_from, CAST(date + coalesce(v.after, 5) AS DATE) AS window_to
 FROM (SELECT CAST(o_orderkey AS VARCHAR) AS row_key, o_custkey AS mailbox, CASE o_orderstatus WHEN 'F' THEN 'expense' ELSE 'card' END AS ledger,
    make_date(2024, 1, day(o_orderdate)) AS date,
-   CASE o_orderpriority WHEN '1-URGENT' THEN 'ACMECLOUD STOCKHOLM' WHEN '2-HIGH' THEN 'ACME RECEIPTS' WHEN '3-MEDIUM' THEN 'BETA TOOLS' WHEN '4-NOT SPECIFIED' THEN 'GAMMA OFFERS' ELSE 'SUMMER SALES AB' END AS merchant,
-   CASE o_orderpriority WHEN '1-URGENT' THEN ['ACMECLOUD'] WHEN '2-HIGH' THEN ['ACME','RECEIPTS'] WHEN '3-MEDIUM' THEN ['BETA','TOOLS'] WHEN '4-NOT SPECIFIED' THEN ['GAMMA','OFFERS'] ELSE ['SUMMER','SALES'] END AS tokens,
+   CASE o_orderpriority WHEN '1-URGENT' THEN 'ACMECLOUD STOCKHOLM' WHEN '2-HIGH' THEN 'ACME SLIPS' WHEN '3-MEDIUM' THEN 'BETA TOOLS' WHEN '4-NOT SPECIFIED' THEN 'GAMMA OFFERS' ELSE 'SUMMER SALES AB' END AS merchant,
+   CASE o_orderpriority WHEN '1-URGENT' THEN ['ACMECLOUD'] WHEN '2-HIGH' THEN ['ACME','SLIPS'] WHEN '3-MEDIUM' THEN ['BETA','TOOLS'] WHEN '4-NOT SPECIFIED' THEN ['GAMMA','OFFERS'] ELSE ['SUMMER','SALES'] END AS tokens,
    CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'acme' WHEN o_orderpriority = '3-MEDIUM' THEN 'beta' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'gamma' END AS vendor_key,
    CASE WHEN o_totalprice > 480000 THEN 'refund' ELSE 'charge' END AS kind,
    CAST(round(o_totalprice / 10000) AS DECIMAL(18,2)) AS amount_sek,
@@ -127,7 +127,7 @@ def messages(spark, sf):
         .when(t == "purchase", "billing@acme.example")
         .when((t == "view") & (F.col("k") >= 80), "promo@promo.acme.example")
         .when(t == "view", "news@acme.example")
-        .when(t == "click", "receipts@pay.example")
+        .when(t == "click", "billing@pay.example")
         .when(t == "signup", "owner@own.example")
         .when(F.col("k") >= 60, "info@card.example")
         .otherwise("noreply@bank.example")
@@ -171,7 +171,7 @@ SELECT event_id AS message_id, user_id AS mailbox, user_id || '-' || (k // 10) A
   CASE WHEN k < 10 THEN 'Re: ' || body WHEN k >= 95 THEN 'Newsletter: ' || body WHEN k >= 90 THEN body || ' failed' ELSE body END AS subject,
   CASE event_type WHEN 'purchase' THEN 'Acme Billing' WHEN 'view' THEN 'Summer News' WHEN 'click' THEN 'Acme Cloud via Pay' WHEN 'signup' THEN 'Owner' ELSE 'Bank' END AS from_name,
   CASE WHEN event_type = 'purchase' AND k BETWEEN 20 AND 40 THEN 'news@mail.acme.example' WHEN event_type = 'purchase' THEN 'billing@acme.example'
-       WHEN event_type = 'view' AND k >= 80 THEN 'promo@promo.acme.example' WHEN event_type = 'view' THEN 'news@acme.example' WHEN event_type = 'click' THEN 'receipts@pay.example'
+       WHEN event_type = 'view' AND k >= 80 THEN 'promo@promo.acme.example' WHEN event_type = 'view' THEN 'news@acme.example' WHEN event_type = 'click' THEN 'billing@pay.example'
        WHEN event_type = 'signup' THEN 'owner@own.example' WHEN k >= 60 THEN 'info@card.example' ELSE 'noreply@bank.example' END AS from_addr,
   CASE event_type WHEN 'click' THEN 'help@acme.example' ELSE '' END AS reply_addr,
   CASE WHEN event_type = 'signup' AND k < 50 THEN 'forward@inbox.example' ELSE 'me@own.example' END AS "to",

@@ -213,7 +213,7 @@ def s11(spark, sf):
 @query("s9_read_plans", with_("with_files", body="""
 WITH m AS (SELECT month, ref, amount, receipt_file, true AS planned FROM with_files UNION ALL SELECT month, ref, amount, '', false FROM disposed WHERE disposition = 'excluded'),
 x AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey || '-1' AS ref, CASE WHEN o_orderpriority <> '5-LOW' THEN 'A ' || o_orderkey END AS voucher FROM orders WHERE o_orderstatus = 'F')
-SELECT m.month, count(*) FILTER (planned) AS vouchers, count(*) FILTER (planned AND receipt_file <> '') AS receipts, count(x.ref) AS uploaded, count(x.voucher) AS booked, CAST(coalesce(sum(amount) FILTER (planned), 0) AS DECIMAL(18,2)) AS total_sek
+SELECT m.month, count(*) FILTER (planned) AS vouchers, count(*) FILTER (planned AND receipt_file <> '') AS proofs, count(x.ref) AS uploaded, count(x.voucher) AS booked, CAST(coalesce(sum(amount) FILTER (planned), 0) AS DECIMAL(18,2)) AS total_sek
 FROM m LEFT JOIN x ON x.month = m.month AND x.ref = m.ref GROUP BY m.month"""))
 def s9(spark, sf):
     place = _place(spark, "plans")

@@ -142,8 +142,8 @@ def x6(spark, sf):
 
 @query("x7_money_mentions")
 def x7(spark, sf):
-    """Money in whole documents and receipts; checked against a plain scan in the tests."""
-    return tx.money_mentions(receipts(spark, sf), "doc_id", "text")
+    """Money in whole documents and proofs; checked against a plain scan in the tests."""
+    return tx.money_mentions(proofs(spark, sf), "doc_id", "text")
 
 
 @query(
@@ -192,9 +192,9 @@ def x9(spark, sf):
     )
 
 
-# --------------------------------------------------------------------------- receipts made from documents
+# --------------------------------------------------------------------------- proofs made from documents
 
-def receipts(spark, sf):
+def proofs(spark, sf):
     """Documents headed by the facts a receipt prints, in four layouts by language."""
     d = spread(b.table(spark, sf, "documents"))
     lang, n, key = F.col("lang"), F.col("n_chars"), F.col("doc_id").cast("string")
@@ -234,7 +234,7 @@ def receipts(spark, sf):
 
 
 cte(
-    "receipts",
+    "proofs",
     """
 SELECT doc_id, lang, n_chars, text, CAST(DATE '2026-05-01' + CAST(n_chars % 28 AS INTEGER) AS DATE) AS charge_date, CAST(n_chars + 0.5 AS DECIMAL(18,2)) AS amount,
        'SE' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS vat FROM documents""",
@@ -243,26 +243,26 @@ SELECT doc_id, lang, n_chars, text, CAST(DATE '2026-05-01' + CAST(n_chars % 28 A
 
 @query("x10_text_dates")
 def x10(spark, sf):
-    """Dates in whole receipts; checked against a plain scan in the tests."""
-    rows = tx.text_dates(receipts(spark, sf), "doc_id", "text")
+    """Dates in whole proofs; checked against a plain scan in the tests."""
+    rows = tx.text_dates(proofs(spark, sf), "doc_id", "text")
     return rows.withColumn("readings", F.array_join(F.col("readings").cast("array<string>"), ","))
 
 
 @query(
     "x11_document_date",
-    with_("receipts", body="""
-SELECT doc_id, CAST(CASE lang WHEN 'en' THEN charge_date - 3 WHEN 'de' THEN charge_date + 2 WHEN 'fr' THEN charge_date ELSE charge_date - 20 END AS DATE) AS document_date FROM receipts"""),
+    with_("proofs", body="""
+SELECT doc_id, CAST(CASE lang WHEN 'en' THEN charge_date - 3 WHEN 'de' THEN charge_date + 2 WHEN 'fr' THEN charge_date ELSE charge_date - 20 END AS DATE) AS document_date FROM proofs"""),
 )
 def x11(spark, sf):
-    return tx.document_date(receipts(spark, sf), "text", "charge_date").select("doc_id", "document_date")
+    return tx.document_date(proofs(spark, sf), "text", "charge_date").select("doc_id", "document_date")
 
 
 @query(
     "x12_invoice_number",
-    with_("receipts", body="SELECT doc_id, CASE lang WHEN 'en' THEN 'INV-' || doc_id WHEN 'de' THEN 'R' || doc_id WHEN 'fr' THEN doc_id || 'A' END AS invoice_number FROM receipts"),
+    with_("proofs", body="SELECT doc_id, CASE lang WHEN 'en' THEN 'INV-' || doc_id WHEN 'de' THEN 'R' || doc_id WHEN 'fr' THEN doc_id || 'A' END AS invoice_number FROM proofs"),
 )
 def x12(spark, sf):
-    return receipts(spark, sf).select("doc_id", tx.invoice_number(F.col("text")).alias("invoice_number"))
+    return proofs(spark, sf).select("doc_id", tx.invoice_number(F.col("text")).alias("invoice_number"))
 
 
 OWN_IDS = ["SE999999999901"]
@@ -271,36 +271,36 @@ COMPANIES = {"Alfa AB": "alfa", "Beta AB": "beta"}
 
 @query(
     "x13_seller_vat_id",
-    with_("receipts", body="SELECT doc_id, CASE WHEN lang <> 'es' THEN vat END AS vat_id FROM receipts"),
+    with_("proofs", body="SELECT doc_id, CASE WHEN lang <> 'es' THEN vat END AS vat_id FROM proofs"),
 )
 def x13(spark, sf):
-    return receipts(spark, sf).select("doc_id", tx.seller_vat_id(F.col("text"), OWN_IDS, ["gamma media"]).alias("vat_id"))
+    return proofs(spark, sf).select("doc_id", tx.seller_vat_id(F.col("text"), OWN_IDS, ["gamma media"]).alias("vat_id"))
 
 
 @query(
     "x14_vat_amount",
-    with_("receipts", body="""
-SELECT doc_id, CAST(CASE WHEN lang = 'en' AND amount > 1.25 THEN 1.25 WHEN lang = 'de' AND amount > 2.5 THEN 2.5 WHEN lang = 'fr' AND amount > 0.75 THEN 0.75 END AS DECIMAL(18,2)) AS vat_sek FROM receipts"""),
+    with_("proofs", body="""
+SELECT doc_id, CAST(CASE WHEN lang = 'en' AND amount > 1.25 THEN 1.25 WHEN lang = 'de' AND amount > 2.5 THEN 2.5 WHEN lang = 'fr' AND amount > 0.75 THEN 0.75 END AS DECIMAL(18,2)) AS vat_sek FROM proofs"""),
 )
 def x14(spark, sf):
-    return receipts(spark, sf).select("doc_id", tx.vat_amount(F.col("text"), F.lit("SEK"), F.col("amount")).alias("vat_sek"))
+    return proofs(spark, sf).select("doc_id", tx.vat_amount(F.col("text"), F.lit("SEK"), F.col("amount")).alias("vat_sek"))
 
 
 @query(
     "x15_buyer_mismatch",
-    with_("receipts", body="SELECT doc_id, CASE lang WHEN 'en' THEN 'alfa' WHEN 'de' THEN 'beta' WHEN 'fr' THEN 'alfa' END AS buyer, lang = 'de' AS mismatch FROM receipts"),
+    with_("proofs", body="SELECT doc_id, CASE lang WHEN 'en' THEN 'alfa' WHEN 'de' THEN 'beta' WHEN 'fr' THEN 'alfa' END AS buyer, lang = 'de' AS mismatch FROM proofs"),
 )
 def x15(spark, sf):
-    rows = receipts(spark, sf).select("doc_id", tx.buyer_entity(F.col("text"), COMPANIES).alias("buyer"))
+    rows = proofs(spark, sf).select("doc_id", tx.buyer_entity(F.col("text"), COMPANIES).alias("buyer"))
     return rows.withColumn("mismatch", F.coalesce(F.col("buyer") != "alfa", F.lit(False)))
 
 
 @query(
     "x16_amount_in_text",
-    with_("receipts", body="SELECT doc_id, lang IN ('en','de') AS printed FROM receipts"),
+    with_("proofs", body="SELECT doc_id, lang IN ('en','de') AS printed FROM proofs"),
 )
 def x16(spark, sf):
-    return receipts(spark, sf).select("doc_id", tx.amount_in_text(F.col("text"), F.col("amount")).alias("printed"))
+    return proofs(spark, sf).select("doc_id", tx.amount_in_text(F.col("text"), F.col("amount")).alias("printed"))
 
 
 @query(

@@ -13,8 +13,6 @@ from ..session import settle
 
 # A dimension table may be shipped to every task only up to this many rows.
 DIMENSION_ROWS = 10_000
-# Patterns compiled into an expression rather than joined, up to this many.
-LITERAL_PATTERNS = 500
 
 
 def bounded_rows(df: DataFrame, limit: int = DIMENSION_ROWS):

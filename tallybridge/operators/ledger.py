@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scale import LITERAL_PATTERNS, bounded_rows, containing_pairs, first_by
+from ..functions.scale import containing_pairs, first_by
 from ..functions.text import any_of, contains_any
 
 VALID_TAGS = ("business", "personal", "needs-tag", "skip")
@@ -78,12 +78,11 @@ def with_decisions(charges: DataFrame, overrides: DataFrame, prior: DataFrame) -
     return charges.join(o, "ref", "left").join(p, "ref", "left")
 
 
-def match_rule(charges: DataFrame, rules: DataFrame, literal_limit: int = LITERAL_PATTERNS) -> DataFrame:
+def match_rule(charges: DataFrame, rules: DataFrame) -> DataFrame:
     """The first coding rule in ``rule_order`` any of whose patterns the merchant contains.
 
-    A rule table of ordinary size is compiled into one expression, so the scan of the charges is
-    not shuffled at all. A larger one is matched over the distinct merchants by shared character
-    runs and joined back.
+    Patterns meet the distinct merchants on shared character runs, whatever the size of the rule
+    table, and the answer is joined back.
     """
     attributes = rules.select(
         "rule_order",
@@ -94,25 +93,14 @@ def match_rule(charges: DataFrame, rules: DataFrame, literal_limit: int = LITERA
         "konto_name",
         "vat_regime",
     )
-    flat = rules.select("rule_order", F.explode("patterns").alias("pattern")).select(
-        "rule_order", F.upper("pattern").alias("pattern")
-    ).filter(F.col("pattern") != "")
-    listed = bounded_rows(rules.select("rule_order", "patterns"), literal_limit)
-    if listed is not None:
-        by_rule = {r.rule_order: [p.upper() for p in r.patterns or [] if p] for r in listed}
-        merchant = F.upper(F.coalesce("merchant", F.lit("")))
-        chosen: Column = F.lit(None).cast("int")
-        for order in sorted((o for o in by_rule if by_rule[o]), reverse=True):
-            chosen = F.when(contains_any(merchant, by_rule[order]), order).otherwise(chosen)
-        matched = charges.withColumn("rule_order", chosen)
-    else:
-        merchants = charges.select(F.upper("merchant").alias("_merchant")).distinct()
-        first = (
-            containing_pairs(merchants, "_merchant", flat, "pattern")
-            .groupBy("_merchant")
-            .agg(F.min("rule_order").alias("rule_order"))
-        )
-        matched = charges.withColumn("_merchant", F.upper("merchant")).join(first, "_merchant", "left").drop("_merchant")
+    flat = rules.select("rule_order", F.explode("patterns").alias("pattern")).select("rule_order", F.upper("pattern").alias("pattern"))
+    merchants = charges.select(F.upper("merchant").alias("_merchant")).distinct()
+    first = (
+        containing_pairs(merchants, "_merchant", flat.filter(F.col("pattern") != ""), "pattern")
+        .groupBy("_merchant")
+        .agg(F.min("rule_order").alias("rule_order"))
+    )
+    matched = charges.withColumn("_merchant", F.upper("merchant")).join(first, "_merchant", "left").drop("_merchant")
     return matched.join(attributes, "rule_order", "left")
 
 

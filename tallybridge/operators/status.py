@@ -383,16 +383,10 @@ def month_steps(staged: DataFrame) -> DataFrame:
     return staged.select("month", F.explode(steps).alias("_s")).select("month", "_s.*")
 
 
-def vendor_list(rows: DataFrame, group: str, vendor: str, position: str, per_cell: int = 500) -> DataFrame:
-    """Vendors with their counts in first-seen order, as text cells of at most ``per_cell`` vendors.
-
-    A group with very many vendors simply gets more cells; none is cut.
-    """
+def vendor_list(rows: DataFrame, group: str, vendor: str, position: str) -> DataFrame:
+    """Vendors of a group with their counts, one row each, numbered from 1 in first-seen order."""
     counted = rows.groupBy(group, vendor).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("first"))
-    numbered = number_rows(counted, [group], ["first", vendor], "_n")
-    cells = numbered.withColumn("cell", F.floor((F.col("_n") - 1) / per_cell).cast("bigint"))
-    listed = F.array_sort(F.collect_list(F.struct("_n", F.concat_ws(" ", F.col(vendor), F.col("n").cast("string")).alias("t"))))
-    return cells.groupBy(group, "cell").agg(F.array_join(F.transform(listed, lambda x: x["t"]), ", ").alias("vendors"))
+    return number_rows(counted, [group], ["first", vendor], "place").drop("first")
 
 
 def newest_first(rows: DataFrame, day: str = "date", key: str = "ref") -> DataFrame:

@@ -310,7 +310,7 @@ def plan_summary(manifest: DataFrame, executed: DataFrame, uploads: DataFrame) -
     )
     plans = rows.groupBy("month").agg(
         F.count_if("planned").alias("vouchers"),
-        F.count_if(F.col("planned") & (F.coalesce("receipt_file", F.lit("")) != "")).alias("receipts"),
+        F.count_if(F.col("planned") & (F.coalesce("receipt_file", F.lit("")) != "")).alias("proofs"),
         F.count_if("uploaded").alias("uploaded"),
         F.count("voucher").alias("booked"),
         F.coalesce(F.sum(F.when(F.col("planned"), F.col("amount_sek"))), F.lit(0)).cast("decimal(18,2)").alias("total_sek"),

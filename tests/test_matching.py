@@ -20,7 +20,7 @@ MESSAGES = [
     ("C1", "t1", D(2026, 7, 10), "Your receipt from Acme", "Acme", "billing@acme.example", "320.00", "EUR", True, False),
     ("C2", "t2", D(2026, 7, 7), "Summer offers", "Acme", "news@acme.example", None, None, False, True),
     ("C3", "t3", D(2026, 6, 30), "Your receipt from Acme", "Acme", "billing@acme.example", "290.00", "EUR", True, False),
-    ("C4", "t4", D(2026, 7, 11), "Payment receipt", "Acme Cloud", "receipts@pay.example", "3600.00", "SEK", False, True),
+    ("C4", "t4", D(2026, 7, 11), "Payment receipt", "Acme Cloud", "billing@pay.example", "3600.00", "SEK", False, True),
     ("C5", "t5", D(2026, 7, 10), "Refund for your order", "Any", "any@any.example", None, None, False, False),
     ("C6", "t6", D(2026, 7, 10), "Fwd: Your receipt from Acme", "Owner", "owner@own.example", "320.00", "EUR", False, False),
 ]
