@@ -34,16 +34,49 @@ DIMENSIONS = 3
 BITS = 10
 REMEMBERED = 400_000
 
-# Odd multipliers that turn one word hash into a coordinate per dimension (fixed values).
-_FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
+# Bytes that part words, and a random number for every pair of neighbouring bytes.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_PAIRS = np.random.default_rng(42).integers(0, 2**64, 1 << 16, dtype=np.uint64)
+# Bytes of text that are arrays at a time; a longer document is one stretch.
+STRETCH = 1 << 20
 
 
-def place(words: list[bytes]) -> np.ndarray:
-    """The mean of the words' random vectors; the origin for no words."""
-    if not words:
-        return np.zeros(DIMENSIONS)
-    hashes = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words))
-    return np.array([((hashes * f) >> np.uint32(16)).mean() / 32768.0 - 1.0 for f in _FACTORS])
+def places(column: pa.Array) -> np.ndarray:
+    """A row per text: the mean of its words' random vectors, the origin for no words.
+
+    A word's hash is the sum of the numbers of its byte pairs, the first byte paired with 0; its
+    coordinates are stretches of 16 bits. Whole stretches of texts are worked out at once.
+    """
+    column = column.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    found = np.zeros((len(column), DIMENSIONS))
+    if not len(column) or ends[0] == ends[-1]:
+        return found
+    octets = np.frombuffer(column.buffers()[2], np.uint8)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + STRETCH, side="right")) - 1)
+        own = octets[ends[first] : ends[last]]
+        cuts = ends[first : last + 1] - ends[first]
+        blank = _BLANK[own]
+        start = ~blank
+        start[1:] &= blank[:-1]
+        heads = cuts[:-1][np.diff(cuts) > 0]
+        start[heads] |= ~blank[heads]
+        at = np.flatnonzero(start)
+        if len(at):
+            pairs = own.astype(np.uint16)
+            pairs[1:] |= np.where(start[1:], 0, own[:-1]).astype(np.uint16) << 8
+            numbers = _PAIRS[pairs]
+            numbers[blank] = 0
+            hashes = np.add.reduceat(numbers, at)
+            doc = np.searchsorted(cuts[1:], at, side="right")
+            n = np.maximum(np.bincount(doc, minlength=last - first), 1)
+            for k in range(DIMENSIONS):
+                side = ((hashes >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)) / 32768.0 - 1.0
+                found[first:last, k] = np.bincount(doc, weights=side, minlength=last - first) / n
+        first = last
+    return found
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -78,10 +111,7 @@ def curve_key(text: Column) -> Column:
     """The Hilbert key of a text's place."""
 
     def each(column: pa.Array) -> pa.Array:
-        places = [place((t or "").encode().split()) for at in range(0, len(column), 256) for t in column.slice(at, 256).to_pylist()]
-        if not places:
-            return pa.array([], pa.int64())
-        cells = np.floor((0.5 + 0.5 * np.tanh(4 * np.array(places))) * (1 << BITS)).clip(0, (1 << BITS) - 1)
+        cells = np.floor((0.5 + 0.5 * np.tanh(4 * places(column))) * (1 << BITS)).clip(0, (1 << BITS) - 1)
         return pa.array(hilbert(cells))
 
     each.__annotations__ = {"column": pa.Array, "return": pa.Array}
@@ -92,11 +122,13 @@ class Ids:
     """Token ids of whole texts as little-endian 32-bit bytes, piece by piece from memory.
 
     The vocabulary's pattern gives a blank to the word after it and never joins what is left and
-    right of a single blank, so a text's ids are those of its blank-separated pieces, one after
-    the other. That fails where a blank has white space on both sides, and where the text holds
-    an added token's string; such texts are encoded whole.
+    right of a single blank or line feed, so a text's ids are those of the pieces between them,
+    one after the other. Next to other white space a line feed stays within its piece. That fails
+    where a blank has white space on both sides, and where the text holds an added token's string;
+    such texts are encoded whole.
     """
 
+    _RUN = re.compile(r"\s\s")
     _BLANK_RUN = re.compile(r"\s \s")
 
     def __init__(self, path: str, entries: int = REMEMBERED):
@@ -112,12 +144,17 @@ class Ids:
     def of(self, text: str) -> bytes:
         if not text:
             return b""
-        if self._BLANK_RUN.search(text) or any(a in text for a in self.added):
+        if any(a in text for a in self.added):
+            return self.whole(text)
+        if not self._RUN.search(text):
+            first, *rest = text.replace("\n", " \n").split(" ")
+            pieces = [piece if piece[:1] == "\n" else " " + piece for piece in rest]
+        elif not self._BLANK_RUN.search(text):
+            first, *rest = text.split(" ")
+            pieces = [" " + piece for piece in rest]
+        else:
             return self.whole(text)
-        first, *rest = text.split(" ")
-        parts = [self.pieces[first]] if first else []
-        parts += map(self.pieces.__getitem__, [" " + piece for piece in rest])
-        return b"".join(parts)
+        return (self.pieces[first] if first else b"") + b"".join(map(self.pieces.__getitem__, pieces))
 
 
 _LOADED: dict[str, Ids] = {}
