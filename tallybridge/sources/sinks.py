@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.money import format_money
@@ -17,23 +17,34 @@ def _fingerprint(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     )
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Remove a partition's folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_plan(df: DataFrame, path: str, key: str = "month") -> DataFrame:
     """Write ``df`` partitioned by ``key``, replacing only partitions whose content changed.
 
-    A month planned again with fewer rows keeps nothing of the earlier run; an unchanged month is
-    not touched. Returns the keys that were written.
+    A month planned again with fewer rows keeps nothing of the earlier run, one left without rows is
+    removed; an unchanged month is not touched. Returns the keys that were written.
     """
     spark = df.sparkSession
     columns = sorted(c for c in df.columns if c != key)
     new = _fingerprint(df, key, columns)
+    gone = []
     try:
         old = _fingerprint(spark.read.parquet(path), key, columns)
+        # One row per partition of the plan.
+        gone = [r[0] for r in old.select(key).join(new.select(key), key, "left_anti").filter(F.col(key).isNotNull()).collect()]
         same = new.join(old, [key, "n", "x", "s"], "left_semi").select(key)
         changed = settle(new.select(key).join(same, key, "left_anti"))
     except AnalysisException:
         changed = settle(new.select(key))
     rows = df.withColumn(key, F.col(key).cast("string")).join(changed, key, "left_semi")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    for value in gone:
+        _remove(spark, f"{path.rstrip('/')}/{key}={value}")
     return changed
 
 

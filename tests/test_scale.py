@@ -74,3 +74,6 @@ def test_write_plan_touches_only_changed_months(spark, tmp_path):
     fewer = rows.filter("ref <> 'b'")
     assert [r.month for r in sinks.write_plan(fewer, path).collect()] == ["2026-01"]
     assert sorted(r.ref for r in spark.read.parquet(path).collect()) == ["a", "c"]
+    # A month left without rows goes.
+    assert sinks.write_plan(fewer.filter("ref = 'c'"), path).count() == 0
+    assert [r.ref for r in spark.read.parquet(path).collect()] == ["c"]
