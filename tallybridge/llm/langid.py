@@ -33,6 +33,8 @@ from .registry import query, table
 
 ROWS = 500
 ROUNDS = 3
+# Parts of a language among which its first documents are chosen.
+PARTS = 256
 SMOOTHING = 0.05
 LONGEST = 32
 REMEMBERED = 300_000
@@ -188,10 +190,12 @@ def fit(docs: DataFrame, path: str, ids: str, text: str, lang: str, rows: int =
     """The model of the languages of ``docs`` (rows to learn from; null languages are passed over)."""
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # Chosen on narrow rows: Spark limits each language before the shuffle.
-    chosen = (
-        named.select(F.col(ids).alias("_id"), F.col(lang).alias("_lang")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows)
-    )
+    # Chosen on narrow rows, first within parts of a language and then among what these leave, so that
+    # no task takes rows from every partition of a large language. Spark limits before each shuffle.
+    narrow = named.select(F.col(ids).alias("_id"), F.col(lang).alias("_lang")).withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)))
+    within = Window.partitionBy("_lang", "_part").orderBy(F.xxhash64("_id"), "_id")
+    few = narrow.withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= rows)
+    chosen = few.select("_id", "_lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows)
     sample = named.join(
         chosen.distinct(), F.col(ids).eqNullSafe(F.col("_id")) & (F.col(lang) == F.col("_lang")), "left_semi"
     ).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
