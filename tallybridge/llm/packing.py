@@ -17,7 +17,9 @@ within one evaluation. Other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -136,10 +138,25 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Remembered(self.whole, entries)
+        self.pieces = Remembered(self.piece, entries)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """A piece's ids; what stands apart under the pattern anyway is remembered on its own.
+
+        That is a line feed before a word, and punctuation after a letter.
+        """
+        if text[0] == "\n" and len(text) > 1 and not text[1].isspace():
+            return self.pieces["\n"] + self.pieces[text[1:]]
+        stem = text.rstrip(".,;:!?")
+        if len(stem) < len(text) and stem[-1:].isalpha():
+            return self.pieces[stem] + self.pieces[text[len(stem) :]]
+        return self.whole(text)
 
     def of(self, text: str) -> bytes:
         if not text:
