@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .registry import query, table
 from .shared import WORDED, let, stored
 
-RATIO = 0.1
+# Headers and footers are on 8 to 13 % of a source's pages, other lines on less than 5 %.
+RATIO = 0.05
 LEAST_PAGES = 3
 
 
