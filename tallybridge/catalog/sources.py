@@ -154,9 +154,12 @@ def s7(spark, sf):
     row = F.struct(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("row_key"), F.get_json_object("props", "$.k").cast("bigint").alias("candidates"))
     other = F.struct(F.lit("second").alias("row_key"), F.lit(0).cast("bigint").alias("candidates"))
     run = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("run_at"), F.concat(F.lit("box"), F.col("user_id").cast("string")).alias("mailbox"))
-    body = F.when(F.col("event_type") == "error", "{ not json").otherwise(F.to_json(F.struct(run.alias("run"), F.array(row, other).alias("rows"))))
+    doc = F.struct(run.alias("run"), F.array(row, other).alias("rows"))
+    # Some runs are files of their own, indented; the others stand in files of one per line.
+    own = F.col("event_id") < 20
+    body = F.when(F.col("event_type") == "error", "{ not json").when(own, F.to_json(doc, {"pretty": "true"})).otherwise(F.to_json(doc))
     place = _place(spark, "runs")
-    e.select(body.alias("value")).write.text(place)
+    e.select(body.alias("value"), F.when(own, F.col("event_id").cast("string")).otherwise("lines").alias("part")).write.partitionBy("part").text(place)
     return fs.read_runs(spark, place).select("run_at", "run_date", "mailbox", "row_key", "candidates")
 
 

@@ -256,14 +256,38 @@ RUN_SCHEMA = (
 )
 
 
-def read_runs(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """Rows of enveloped run files with their run's facts; unreadable files or lines are skipped."""
-    raw = spark.read.schema(RUN_SCHEMA).json(path, multiLine=whole_file, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    good = raw.filter(F.col("_bad").isNull() & F.col("rows").isNotNull())
+def _run_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``value`` and the parsed ``doc`` of every document: a line where any line of the file is a run, else the file."""
+
+    def parsed(df: DataFrame) -> DataFrame:
+        doc = F.from_json("value", RUN_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        return df.withColumn("doc", doc).withColumn("good", F.coalesce(F.col("doc._bad").isNull() & F.col("doc.rows").isNotNull(), F.lit(False)))
+
+    def texts(**options) -> DataFrame:
+        text = F.regexp_replace("value", "^\ufeff", "")
+        return spark.read.text(path, **options).select(F.col("_metadata.file_path").alias("file"), text.alias("value"))
+
+    lines = parsed(texts().filter(F.trim("value") != ""))
+    by_line = lines.filter("good").select("file").distinct()
+    whole = parsed(texts(wholetext=True).join(by_line, "file", "left_anti").filter(F.trim("value") != ""))
+    # More than one document, or anything after it, would be left unread.
+    alone = F.size(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")) == 1
+    whole = whole.withColumn("good", F.col("good") & F.coalesce(alone, F.lit(False)))
+    return lines.join(by_line, "file", "left_semi").unionByName(whole)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of enveloped run files with their run's facts, of files that are one document, indented or not, and of files of one per line."""
+    good = _run_documents(spark, path).filter("good").select("doc.*")
     run_date = F.coalesce(F.nullif("run.run_date", F.lit("")), F.left("run.run_at", F.lit(10)))
     return good.select("run.run_at", run_date.alias("run_date"), "run.mailbox", F.inline("rows"))
 
 
+def unreadable_runs(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``value`` of what ``read_runs`` cannot read: lines of line-wise files, or whole files."""
+    return _run_documents(spark, path).filter("NOT good").select("file", "value")
+
+
 def parse_worklist(lines: DataFrame) -> DataFrame:
     """Items of free-text worklists, each under the heading above it.
 
