@@ -6,7 +6,8 @@ Parquet in the shared folder, so a lost executor costs at most the stage at hand
 
 1. quality rules: documents that break a rule go.
 2. line dedup: boilerplate lines of a source go; documents stay.
-3. SimHash near-dedup: one document of each group stays.
+3. SimHash near-dedup: of documents whose five-word shingles are 0.8 or more alike one stays.
+   SimHash finds candidates, an exact join finds the rest, each pair is checked on whole sets.
 4. source mixing: documents are repeated or left out to reach the target weights.
 5. packing: documents are cut into sequences along a Hilbert curve.
 
@@ -20,7 +21,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybridge.llm import lines, mixing, packing, quality, simhash
+from tallybridge.llm import lines, mixing, packing, quality, shingles
 from tallybridge.llm.registry import reachable, table
 from tallybridge.session import shared_dir
 
@@ -38,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
-    return simhash.kept_documents(docs)
+    return shingles.kept_documents(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
