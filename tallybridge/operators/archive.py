@@ -147,13 +147,16 @@ def normalise_record(df: DataFrame, entities: list[str]) -> tuple[DataFrame, Dat
     return good, rows.filter(F.col("reason").isNotNull())
 
 
+def stem_id(stem: Column, number: Column) -> Column:
+    """The id of the record that is ``number`` of its stem."""
+    return F.when(number == 1, stem).otherwise(F.concat_ws("-", stem, number))
+
+
 def assign_ids(records: DataFrame) -> DataFrame:
     """Unique ids: the stem, later records of one entity and year with the same stem get -2, -3."""
     rows = records.withColumn("year", F.year("date"))
     numbered = number_rows(rows, ["entity", "year", "stem"], ["created", "sha"], "_n")
-    return numbered.withColumn(
-        "id", F.when(F.col("_n") == 1, F.col("stem")).otherwise(F.concat_ws("-", F.col("stem"), F.col("_n")))
-    ).drop("_n", "year")
+    return numbered.withColumn("id", stem_id(F.col("stem"), F.col("_n"))).drop("_n", "year")
 
 
 def find_records(records: DataFrame, **criteria) -> DataFrame:
@@ -174,20 +177,24 @@ def find_records(records: DataFrame, **criteria) -> DataFrame:
     return rows.orderBy("date", "id")
 
 
-def match_record(incoming: DataFrame, archive: DataFrame) -> DataFrame:
+CHARGE = ["entity", "date", "amount_sek"]
+ID_COLUMNS = ["expense_id", "card_ref"]
+
+
+def match_record(incoming: DataFrame, records: DataFrame, files: DataFrame) -> DataFrame:
     """Which record an incoming document belongs to: merge, refused with a reason, or create.
 
-    A known file is the same document only when the charge agrees and no id disagrees; an unknown
-    file still merges into a record of the same charge that shares an id.
+    ``files``: sha and the id of the record that owns it. A known file is the same document only
+    when the charge agrees and no id disagrees; an unknown file still merges into a record of the
+    same charge that shares an id.
     """
-    files = archive.select("id", "entity", "date", "amount_sek", "expense_id", "card_ref", F.explode("shas").alias("sha"))
-    owner = first_by(files, ["sha"], [F.col("id")], ["id", "entity", "date", "amount_sek", "expense_id", "card_ref"])
-    known = owner.select("sha", F.struct("id", "entity", "date", "amount_sek", "expense_id", "card_ref").alias("_o"))
+    facts = records.select("id", *CHARGE, *ID_COLUMNS)
+    owner = first_by(files.select("sha", "id"), ["sha"], [F.col("id")], ["id"])
+    known = owner.join(facts, "id").select("sha", F.struct("id", *CHARGE, *ID_COLUMNS).alias("_o"))
     rows = incoming.join(known, "sha", "left")
-    charge = ["entity", "date", "amount_sek"]
-    for name in ("expense_id", "card_ref"):
-        by_id = archive.filter(~_blank(F.col(name))).groupBy(*charge, name).agg(F.min("id").alias(f"_by_{name}"))
-        rows = rows.join(by_id, [*charge, name], "left")
+    for name in ID_COLUMNS:
+        by_id = facts.filter(~_blank(F.col(name))).groupBy(*CHARGE, name).agg(F.min("id").alias(f"_by_{name}"))
+        rows = rows.join(by_id, [*CHARGE, name], "left")
     same = (
         (F.col("_o.entity") == F.col("entity"))
         & (F.col("_o.date") == F.col("date"))
@@ -258,64 +265,131 @@ def _fold(incoming: DataFrame, key: str) -> DataFrame:
             F.when(~attached & ~exported & ~_blank(F.col("status")), F.col("status")),
             F.when(~attached & ~exported & ~_blank(F.col("status")), F.col("position")),
         ).alias("in_other"),
-        F.collect_set("sha").alias("in_shas"),
     )
 
 
 RECORD_COLUMNS = [
-    "id", "entity", "date", "amount_sek", "merchant", *FILL_COLUMNS, *OVERWRITE_COLUMNS, *SOURCE_COLUMNS, "status", "shas",
+    "id", "stem", "number", "entity", "date", "amount_sek", "merchant", *FILL_COLUMNS, *OVERWRITE_COLUMNS, *SOURCE_COLUMNS, "status",
 ]
 
 
-def upsert_archive(archive: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new state of the archive with its outcome per record, refused incoming rows).
+def highest_numbers(records: DataFrame) -> DataFrame:
+    """The highest number given per entity, year and stem."""
+    return records.groupBy("entity", F.year("date").alias("year"), "stem").agg(F.max("number").alias("top"))
+
+
+def number_new(new: DataFrame, highest: DataFrame) -> DataFrame:
+    """``id`` and ``number`` of new records: numbers go on from the highest of the stem, by position."""
+    rows = number_rows(new.withColumn("year", F.year("date")), ["entity", "year", "stem"], ["position"], "_n")
+    rows = rows.join(highest, ["entity", "year", "stem"], "left").withColumn("number", F.coalesce("top", F.lit(0)) + F.col("_n"))
+    return rows.withColumn("id", stem_id(F.col("stem"), F.col("number"))).drop("_n", "top", "year")
 
-    ``incoming`` carries ``position``, its order in the batch. Rows of the batch that share a new
-    file are matched to the first of them, as if it had just been archived. Running the same batch
-    again changes nothing.
+
+def _place_batch(incoming: DataFrame, records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where the documents of a batch go: (merges: position, record_id; opened: position, id, number;
+    refused: position, reason).
+
+    In rounds. Documents are matched against the records there are; of those that match none, the
+    ones with no earlier fellow in the round of the same file, or of the same charge and id, open
+    records; the rest look again. Only keys take part, and a hot file or charge is one aggregated row.
     """
-    matched = settle(match_record(incoming, archive))  # read by the four branches below
-    fresh = matched.filter(F.col("outcome") == "create").drop("outcome", "reason", "record_id")
-    leaders = first_by(fresh, ["sha"], [F.col("position")])
-    leaders = leaders.withColumn("id", F.concat_ws("-", F.col("stem"), F.left("sha", F.lit(12)))).withColumn("shas", F.array("sha"))
-    known = archive.select(*RECORD_COLUMNS)
-    opened = leaders.select(*RECORD_COLUMNS)
-    followers = fresh.join(leaders.select("sha", F.col("position").alias("_lead")), "sha").filter(F.col("position") != F.col("_lead"))
-    again = settle(match_record(followers.drop("_lead"), opened))
-    alone = again.filter(F.col("outcome") == "create").drop("outcome", "reason", "record_id")
-    merges = matched.filter(F.col("outcome") == "merge").unionByName(again.filter(F.col("outcome") == "merge"))
-    refused = matched.filter(F.col("outcome") == "refused").unionByName(again.filter(F.col("outcome") == "refused"))
-    extra = alone.withColumn("id", F.concat_ws("-", F.col("stem"), F.left("sha", F.lit(12)), F.col("position"))).withColumn(
-        "shas", F.array("sha")
-    )
-    base = known.withColumn("_new", F.lit(False)).unionByName(
-        opened.unionByName(extra.select(*RECORD_COLUMNS)).withColumn("_new", F.lit(True))
+    keys = ["position", "sha", "stem", *CHARGE, *ID_COLUMNS]
+    pending, known = incoming.select(*keys), files.select("sha", "id")
+    facts = records.select("id", "stem", "number", *CHARGE, *ID_COLUMNS)
+    merges, opened, refused = [], [], []
+    while True:
+        judged = settle(match_record(pending, facts, known))
+        merged = judged.filter(F.col("outcome") == "merge")
+        merges.append(merged.select("position", "record_id"))
+        refused.append(judged.filter(F.col("outcome") == "refused").select("position", "reason"))
+        rest = judged.filter(F.col("outcome") == "create").select(*keys)
+        first, lead = F.lit(True), rest
+        live = judged.filter(F.col("outcome") != "refused")
+        for number, by in enumerate((["sha"], [*CHARGE, "expense_id"], [*CHARGE, "card_ref"])):
+            named = live.filter(~_blank(F.col(by[-1])))
+            lead = lead.join(named.groupBy(*by).agg(F.min("position").alias(f"_first_{number}")), by, "left")
+            first = first & F.coalesce(F.col("position") == F.col(f"_first_{number}"), F.lit(True))
+        new = settle(number_new(lead.filter(first).select(*keys), highest_numbers(facts)))
+        opened.append(new.select("position", "id", "number"))
+        pending = settle(rest.join(new.select("position"), "position", "left_anti"))
+        if pending.isEmpty():
+            break
+        # What a merge fills in counts in the next round, and so do its files.
+        filled = merged.groupBy(F.col("record_id").alias("id")).agg(
+            *(F.min_by(F.when(~_blank(F.col(c)), F.col(c)), F.when(~_blank(F.col(c)), F.col("position"))).alias(f"in_{c}") for c in ID_COLUMNS)
+        )
+        ids = [F.when(_blank(F.col(c)), F.coalesce(f"in_{c}", c)).otherwise(F.col(c)).alias(c) for c in ID_COLUMNS]
+        kept = facts.join(filled, "id", "left").select("id", "stem", "number", *CHARGE, *ids)
+        facts = settle(kept.unionByName(new.select("id", "stem", "number", *CHARGE, *ID_COLUMNS)))
+        known = settle(known.unionByName(_new_files(known, merged.select("sha", F.col("record_id").alias("id"), "position").unionByName(new.select("sha", "id", "position")))))
+
+    def every(parts: list[DataFrame]) -> DataFrame:
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        return whole
+
+    return every(merges), every(opened), every(refused)
+
+
+def _new_files(known: DataFrame, placed: DataFrame) -> DataFrame:
+    """Files not known yet, each with the record of the first document that brought it."""
+    new = placed.join(known.select("sha"), "sha", "left_anti")
+    return new.groupBy("sha").agg(F.min_by("id", "position").alias("id"))
+
+
+def upsert_touched(records: DataFrame, files: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records a batch touches, as they are after it, with their outcome; new files; refused rows).
+
+    ``incoming`` carries ``position``, its order in the batch, and ``stem``. ``records`` and ``files``
+    need hold no more of the archive than what the batch can meet: the records that own one of
+    its files, share a charge and an id with it, or have one of its stems. All three are read several
+    times and should be settled.
+    """
+    placed_merges, placed_new, refused = _place_batch(incoming, records, files)
+    merges = settle(incoming.join(placed_merges, "position"))
+    opened = incoming.drop("id", "number").join(placed_new, "position")
+    new_files = settle(
+        _new_files(files, merges.select("sha", F.col("record_id").alias("id"), "position").unionByName(opened.select("sha", "id", "position")))
     )
     folded = _fold(merges, "record_id").withColumnRenamed("record_id", "id")
-    rows = base.join(folded, "id", "left")
+    more = new_files.groupBy("id").agg(F.count(F.lit(1)).alias("_files"))
+    met = records.select(*RECORD_COLUMNS).join(folded.select("id"), "id", "left_semi")
+    base = met.withColumn("_new", F.lit(False)).unionByName(opened.select(*RECORD_COLUMNS).withColumn("_new", F.lit(True)))
+    rows = base.join(folded, "id", "left").join(more, "id", "left")
+    # Step by step: each reads the one before several times.
+    rows = rows.withColumn("_status", merge_status(F.col("status"), F.col("in_other")))
+    rows = rows.withColumn("_status", merge_status(F.col("_status"), F.col("in_exported")))
     updates: dict[str, Column] = {c: F.when(_blank(F.col(c)), F.coalesce(F.col(f"in_{c}"), F.col(c))).otherwise(F.col(c)) for c in FILL_COLUMNS}
     updates |= {c: F.coalesce(F.col(f"in_{c}"), F.col(c)) for c in OVERWRITE_COLUMNS}
     old_rank, new_rank = source_rank(F.col("source_kind")), source_rank(F.col("in_source.source_kind"))
     poorer = (new_rank == old_rank) & _blank(F.col("in_source.source_ref")) & ~_blank(F.col("source_ref"))
     take = F.col("in_source.source_kind").isNotNull() & (new_rank >= old_rank) & ~poorer
     updates |= {c: F.when(take, F.col(f"in_source.{c}")).otherwise(F.col(c)) for c in SOURCE_COLUMNS}
-    status = merge_status(
-        merge_status(merge_status(F.col("status"), F.col("in_other")), F.col("in_exported")), F.col("in_attached")
-    )
-    updates["status"] = status
-    updates["shas"] = F.array_sort(F.array_union("shas", F.coalesce("in_shas", F.array().cast("array<string>"))))
-    changed = F.lit(False)
+    rows = rows.withColumn("_status", merge_status(F.col("_status"), F.col("in_attached")))
+    updates["status"] = F.col("_status")
+    changed = F.col("_files").isNotNull()
     for c, new in updates.items():
-        before = F.array_sort(F.col(c)) if c == "shas" else F.coalesce(F.col(c), F.lit(""))
-        changed = changed | ~before.eqNullSafe(new if c == "shas" else F.coalesce(new, F.lit("")))
+        changed = changed | ~F.coalesce(F.col(c), F.lit("")).eqNullSafe(F.coalesce(new, F.lit("")))
     flagged = rows.withColumn("_changed", changed)
     fixed = [c for c in RECORD_COLUMNS if c not in updates]
-    state = flagged.select(
+    touched = flagged.select(
         *fixed,
         *[u.alias(c) for c, u in updates.items()],
         F.when(F.col("_new"), "created").when(F.col("_changed"), "updated").otherwise("unchanged").alias("outcome"),
     )
-    return state, refused
+    return settle(touched.select(*RECORD_COLUMNS, "outcome")), new_files, incoming.join(refused, "position")
+
+
+def upsert_archive(records: DataFrame, files: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the whole archive after a batch, with its outcome per record; all files; refused incoming rows).
+
+    Running the same batch again changes nothing. ``archive_log`` does the same for an archive on
+    disk and rewrites only what a batch touches.
+    """
+    touched, new_files, refused = upsert_touched(records, files, settle(incoming))
+    rest = records.select(*RECORD_COLUMNS).join(touched.select("id"), "id", "left_anti").withColumn("outcome", F.lit("unchanged"))
+    return rest.unionByName(touched), files.select("sha", "id").unionByName(new_files), refused
 
 
 SETTABLE = {"receipt_date", "vendor", "note", "voucher", "booking_status", "status", "invoice_number", "source_kind", "card_ref"}

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.archive import upsert_archive
+from ..operators.archive_log import ArchiveLog
 
 
 def intake(documents: DataFrame, time: str = "ts", lateness: str = "40 days") -> DataFrame:
@@ -44,16 +42,10 @@ def run_available(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def upsert_stream(
-    incoming: DataFrame, read_version: Callable[[SparkSession, int], DataFrame], write_version: Callable[[DataFrame, int], None], checkpoint: str
-) -> None:
+def upsert_stream(incoming: DataFrame, log: ArchiveLog, checkpoint: str) -> None:
     """Apply the archive upsert to every micro-batch.
 
-    Batch ``n`` reads version ``n`` of the archive and writes version ``n + 1`` whole, so a batch
-    replayed after a failure starts from the same version and ends in the same one.
+    Batch ``n`` reads version ``n`` of the archive and writes version ``n + 1``, rewriting only the
+    buckets it changes; a batch replayed after a failure finds its version there or starts it anew.
     """
-    def apply(batch: DataFrame, number: int) -> None:
-        state, _ = upsert_archive(read_version(batch.sparkSession, number), batch)
-        write_version(state, number + 1)
-
-    incoming.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    incoming.writeStream.foreachBatch(log.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

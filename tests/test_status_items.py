@@ -87,9 +87,10 @@ def test_state_import(spark):
 
 
 def test_upsert_again_changes_nothing(spark):
-    first, _ = ar.upsert_archive(ca._existing(spark, SF), ca._incoming(spark, SF))
-    state = first.cache()
-    again, _ = ar.upsert_archive(state.drop("outcome"), ca._incoming(spark, SF))
+    first, files, _ = ar.upsert_archive(*ca._archived(spark, SF), ca._incoming(spark, SF))
+    state, files = first.cache(), files.cache()
+    again, same, _ = ar.upsert_archive(state.drop("outcome"), files, ca._incoming(spark, SF))
+    assert sorted(same.collect()) == sorted(files.collect()) and files.select("sha").distinct().count() == files.count()
     assert {r.outcome for r in again.select("outcome").distinct().collect()} == {"unchanged"}
     a = {r.id: r for r in state.drop("outcome").collect()}
     b = {r.id: r for r in again.drop("outcome").collect()}
