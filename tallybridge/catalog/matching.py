@@ -41,7 +41,10 @@ RUN_DATE = "DATE '2024-02-15'"
 
 
 def policy(spark):
-    return mt.MatchPolicy.from_terms(b.policy_table(spark, TERM_ROWS, "list string, term string"))
+    terms: dict[str, list[str]] = {}
+    for name, term in TERM_ROWS:
+        terms.setdefault(name, []).append(term)
+    return mt.MatchPolicy(terms=terms)
 
 
 def vendors(spark):

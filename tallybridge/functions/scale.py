@@ -2,7 +2,7 @@
 
 No join here or in the operators carries a broadcast hint: Spark ships a side to every task only
 when its measured size is below ``spark.sql.autoBroadcastJoinThreshold``, at planning or at run
-time, and shuffles it otherwise. Policy tables become literals only through ``bounded_rows``.
+time, and shuffles it otherwise.
 """
 
 from __future__ import annotations
@@ -11,16 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
 
-# A dimension table may be shipped to every task only up to this many rows.
-DIMENSION_ROWS = 10_000
-
-
-def bounded_rows(df: DataFrame, limit: int = DIMENSION_ROWS):
-    """The rows of a small policy table, or None once it holds more than ``limit`` rows."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def exploded(df: DataFrame, keep: list, items: Column, alias: str) -> DataFrame:
     """One row per element of ``items``.
 
@@ -31,13 +21,13 @@ def exploded(df: DataFrame, keep: list, items: Column, alias: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input came in fewer pieces than there are cores.
+    """Rows dealt to as many tasks as the session setting ``spark.tallybridge.inputTasks`` says.
 
-    For work that is heavy per row. A large input already has more splits than cores and is left
-    where it is, without a shuffle.
+    For work that is heavy per row on input of few splits, as in a local session. Without the
+    setting, as on a cluster, rows stay where they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get("spark.tallybridge.inputTasks", None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
@@ -75,21 +65,17 @@ def containing_pairs(texts: DataFrame, text: str, patterns: DataFrame, pattern:
     """Every (text, pattern) pair where the text contains the pattern, without comparing all pairs.
 
     Both sides meet on short character runs: a pattern is filed under its first ``size``
-    characters, a text under each run it holds. ``texts`` should be distinct.
+    characters, a text under each run it holds of a length that patterns are filed under.
+    ``texts`` should be distinct.
     """
     filed = patterns.filter(F.length(pattern) > 0).withColumn("_run", F.substring(pattern, 1, size))
-    runs = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.lit(size)), lambda n: F.substring(F.col(text), i, n)
-                ),
-            )
-        )
-    )
-    spread = texts.withColumn("_run", F.explode(runs))
-    return spread.join(filed, "_run").filter(F.col(text).contains(F.col(pattern))).drop("_run")
+    # One row: the lengths of runs that occur, an aggregate that travels to the texts.
+    lengths = filed.agg(F.sort_array(F.collect_set(F.length("_run"))).alias("_lengths")).scalar()
+    fits = F.filter("_lengths", lambda n: n <= F.length(text))
+    runs = F.flatten(F.transform("_lengths", lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))))
+    sized = texts.withColumn("_lengths", lengths).withColumn("_lengths", fits)
+    cut = exploded(sized, texts.columns, F.array_distinct(runs), "_run")
+    return cut.join(filed, "_run").filter(F.col(text).contains(F.col(pattern))).drop("_run")
 
 
 def _sliced(df: DataFrame, by: list[str], partitions: int | None) -> DataFrame:

@@ -8,13 +8,13 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import format_money
-from ..functions.scale import bounded_rows, exploded, interval_join
+from ..functions.scale import exploded, interval_join
 from ..functions.text import contains_any, in_senders, merchant_tokens, starts_with_any, subject_key
 
 
 @dataclass(frozen=True)
 class MatchPolicy:
-    """Thresholds and generic term lists, read from policy tables."""
+    """Settings of a job: thresholds and, by name, generic term lists (lists of settings, not tables)."""
 
     bands: dict = field(default_factory=lambda: {"expense": (-2, 1), "card": (-1, 1)})
     window: tuple = (10, 5)
@@ -27,17 +27,6 @@ class MatchPolicy:
     def list(self, name: str):
         return self.terms.get(name, [])
 
-    @staticmethod
-    def from_terms(terms: DataFrame, **settings) -> "MatchPolicy":
-        """``terms`` has one row per (list name, term); its size is checked before it is read."""
-        rows = bounded_rows(terms.select("list", "term"))
-        if rows is None:
-            raise ValueError("the generic term lists are larger than a policy table may be")
-        lists: dict[str, list[str]] = {}
-        for r in rows:
-            lists.setdefault(r["list"], []).append(r["term"])
-        return MatchPolicy(terms=lists, **settings)
-
 
 # --------------------------------------------------------------------------- worklist to pairs
 

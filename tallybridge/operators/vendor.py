@@ -6,8 +6,10 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scale import bounded_rows, containing_pairs, exploded
+from ..functions.patterns import required_runs_of
+from ..functions.scale import containing_pairs, exploded
 from ..functions.text import compact, domain_of, merchant_tokens, norm_ws, slug
+from ..session import settle
 
 # Payment processors whose name leads a card descriptor.
 PROCESSORS = [
@@ -18,6 +20,9 @@ PROCESSORS = [
 # Domain endings dropped from a merchant text.
 ENDINGS = ["io", "co", "net", "ai", "dev", "app", "org", "eu", "com", "se", "nu", "uk", "us", "de", "dk", "no", "fi"]
 
+# Tasks that merchants are dealt to where a regex has to be tried on all of them.
+PARTS = 64
+
 
 def exploded_tokens(rows: DataFrame, key: str, text: str, stopwords) -> DataFrame:
     """One row per distinctive word of a merchant text, with its position."""
@@ -37,11 +42,22 @@ def distinctive_tokens(vendors: DataFrame, stopwords) -> DataFrame:
     return owned.filter(F.col("vendor_order") == F.col("_last")).drop("_last")
 
 
-def _regex_vendors(vendors: DataFrame):
-    rows = bounded_rows(vendors.filter(F.col("merchant_regex").isNotNull()).select("vendor_order", "merchant_regex"))
-    if rows is None:
-        raise ValueError("more vendor regexes than one policy table may hold")
-    return sorted((r.vendor_order, r.merchant_regex) for r in rows)
+def regex_hits(merchants: DataFrame, vendors: DataFrame) -> DataFrame:
+    """(merchant, vendor_order, length of the match) for every vendor regex that a merchant matches.
+
+    A regex is filed under runs of which each of its matches holds one, so it is only tried on
+    merchants that hold such a run, whatever the number of regexes. One without any such run may
+    match anything and is tried on every merchant.
+    """
+    rows = vendors.filter(F.col("merchant_regex").isNotNull()).select("vendor_order", F.concat(F.lit("(?i)"), "merchant_regex").alias("regex"), required_runs_of(F.col("merchant_regex")).alias("_runs"))
+    filed = rows.select("vendor_order", "regex", F.explode("_runs").alias("run"))
+    near = containing_pairs(merchants, "merchant", filed, "run").select("merchant", "vendor_order", "regex").distinct()
+    free = filed.filter(F.col("run") == "").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).drop("run")
+    parted = merchants.withColumn("_part", F.pmod(F.xxhash64("merchant"), F.lit(PARTS)).cast("int"))
+    anywhere = parted.join(free, "_part").select("merchant", "vendor_order", "regex")
+    tried = near.unionByName(anywhere).filter(F.regexp_like("merchant", F.col("regex")))
+    length = F.greatest(F.length(F.call_function("regexp_extract", F.col("merchant"), F.col("regex"), F.lit(0))), F.lit(1))
+    return tried.select("merchant", "vendor_order", length.alias("length"))
 
 
 def _candidates(merchants: DataFrame, vendors: DataFrame, tiered: bool, stopwords=()) -> DataFrame:
@@ -65,26 +81,8 @@ def _candidates(merchants: DataFrame, vendors: DataFrame, tiered: bool, stopword
     found = shape(exact, 1 if tiered else 0, F.lit(0) if tiered else F.length("pattern"), none).unionByName(
         shape(within, 2 if tiered else 0, F.length("pattern"), none)
     )
-    regexes = _regex_vendors(vendors)
-    if regexes:
-        hits = F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        F.col("merchant").rlike("(?i)" + rx),
-                        F.struct(
-                            F.lit(order).alias("vendor_order"),
-                            F.greatest(F.length(F.regexp_extract("merchant", "(?i)" + rx, 0)), F.lit(1)).alias("_len"),
-                        ),
-                    )
-                    for order, rx in regexes
-                ]
-            )
-        )
-        matched = merchants.select("merchant", F.explode(hits).alias("_h")).select("merchant", "_h.*")
-        found = found.unionByName(
-            shape(matched, 3 if tiered else 0, F.lit(0) if tiered else F.col("_len"), none)
-        )
+    matched = regex_hits(merchants, vendors)
+    found = found.unionByName(shape(matched, 3 if tiered else 0, F.lit(0) if tiered else F.col("length"), none))
     if tiered:
         words = merchants.select("merchant", F.explode(merchant_tokens(F.col("merchant"), stopwords)).alias("token"))
         by_word = words.join(distinctive_tokens(vendors, stopwords).drop("vendor_key"), "token")
@@ -93,33 +91,15 @@ def _candidates(merchants: DataFrame, vendors: DataFrame, tiered: bool, stopword
 
 
 def _choices(found: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Per merchant its equally good vendors in order; a merchant can match no more vendors than exist."""
-    best = found.groupBy("merchant", "vendor_order").agg(
-        F.min(F.struct("tier", (-F.col("length")).alias("neg"), "rank")).alias("_b")
-    )
-    details = vendors.select(
-        "vendor_order", "vendor_key", F.col("name").alias("vendor_name"), "bill_currency", "amounts"
-    )
-    listed = best.join(details, "vendor_order").groupBy("merchant").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("_b.tier").alias("tier"),
-                    F.col("_b.neg").alias("neg"),
-                    F.col("_b.rank").alias("rank"),
-                    "vendor_order",
-                    "vendor_key",
-                    "vendor_name",
-                    "bill_currency",
-                    "amounts",
-                )
-            )
-        ).alias("_all")
-    )
-    top = F.element_at("_all", 1)
-    return listed.withColumn(
-        "_choices", F.filter("_all", lambda c: (c["tier"] == top["tier"]) & (c["neg"] == top["neg"]))
-    ).drop("_all")
+    """Per merchant its equally good vendors in order. The best tier is known before anything is listed,
+    so a list holds ties only."""
+    ways = found.groupBy("merchant", "vendor_order").agg(F.min(F.struct("tier", (-F.col("length")).alias("neg"), "rank")).alias("_b"))
+    ways = ways.select("merchant", "vendor_order", F.struct("_b.tier", "_b.neg").alias("_way"), "_b.rank")
+    best = ways.groupBy("merchant").agg(F.min("_way").alias("_best"))
+    tied = ways.join(best, "merchant").filter(F.col("_way") == F.col("_best"))
+    details = vendors.select("vendor_order", "vendor_key", F.col("name").alias("vendor_name"), "bill_currency", "amounts")
+    one = F.struct(F.col("_way.tier").alias("tier"), F.col("_way.neg").alias("neg"), "rank", "vendor_order", "vendor_key", "vendor_name", "bill_currency", "amounts")
+    return tied.join(details, "vendor_order").groupBy("merchant").agg(F.array_sort(F.collect_list(one)).alias("_choices"))
 
 
 def resolve_vendor(charges: DataFrame, vendors: DataFrame, stopwords) -> DataFrame:
@@ -130,7 +110,7 @@ def resolve_vendor(charges: DataFrame, vendors: DataFrame, stopwords) -> DataFra
     flagged ambiguous. Matching runs over the distinct merchants only.
     """
     keyed = charges.withColumn("_m", F.upper(norm_ws(F.col("merchant"))))
-    merchants = keyed.select(F.col("_m").alias("merchant")).distinct()
+    merchants = settle(keyed.select(F.col("_m").alias("merchant")).distinct())  # read once per tier
     choices = _choices(_candidates(merchants, vendors, True, stopwords), vendors).withColumnRenamed("merchant", "_m")
     joined = keyed.join(choices, "_m", "left")
 
@@ -206,7 +186,7 @@ def canonical_vendor(charges: DataFrame, vendors: DataFrame, rules: DataFrame, s
     the first coding rule; else the cleaned merchant text.
     """
     keyed = charges.withColumn("_text", norm_ws(F.col("merchant"))).withColumn("_m", F.upper("_text"))
-    merchants = keyed.select(F.col("_m").alias("merchant")).distinct()
+    merchants = settle(keyed.select(F.col("_m").alias("merchant")).distinct())  # read once per tier
     choices = _choices(_candidates(merchants, vendors, False), vendors)
     patterns = rules.select("rule_order", F.col("name").alias("rule_name"), F.explode("patterns").alias("_p")).select(
         "rule_order", "rule_name", F.upper("_p").alias("pattern")

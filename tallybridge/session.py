@@ -16,6 +16,7 @@ def local_session(app: str = "tallybridge", cores: str = "8", partitions: int =
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.tallybridge.inputTasks", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

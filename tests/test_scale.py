@@ -1,8 +1,13 @@
 """The building blocks against plain definitions, with one key holding most of the rows."""
 
+import random
+import re
+
 from pyspark.sql import Window, functions as F
 
 from tallybridge.functions import scale
+from tallybridge.functions.patterns import required_runs
+from tallybridge.operators import vendor
 from tallybridge.sources import sinks
 
 
@@ -60,10 +65,6 @@ def test_first_by_combines_before_the_shuffle(spark):
     assert {(r.key, r.id) for r in df.collect()} == {(r.key, r.id) for r in want.collect()}
 
 
-def test_bounded_rows(spark):
-    assert len(scale.bounded_rows(spark.range(5), 5)) == 5 and scale.bounded_rows(spark.range(6), 5) is None
-
-
 def test_write_plan_touches_only_changed_months(spark, tmp_path):
     rows = spark.createDataFrame([("2026-01", "a", 1), ("2026-01", "b", 2), ("2026-02", "c", 3)], "month string, ref string, n int")
     path = str(tmp_path / "plan")
@@ -77,3 +78,37 @@ def test_write_plan_touches_only_changed_months(spark, tmp_path):
     # A month left without rows goes.
     assert sinks.write_plan(fewer.filter("ref = 'c'"), path).count() == 0
     assert [r.ref for r in spark.read.parquet(path).collect()] == ["c"]
+
+
+def test_runs_a_regex_cannot_match_without():
+    """Whatever text matches a pattern, in any case, holds one of its runs."""
+    rng = random.Random(9)
+    pieces = ["ab", "c", "(x|yz)", "(?:foo|ba[rz])", "[0-9]", "\\d{2}", ".", "a*", "b+", "(?:cd)?", "^", "$", "\\b", "[^q]", "(p(q|r)s)", "k{2,3}", "é"]
+    letters = "abcdfkopqrsxyz0123 é"
+    seen = 0
+    for _ in range(400):
+        pattern = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 5)))
+        runs = required_runs(pattern)
+        assert runs
+        for _ in range(60):
+            text = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 12)))
+            if re.search(pattern, text, re.I):
+                seen += 1
+                assert any(x in text.upper() for x in runs), (pattern, text, runs)
+    assert seen > 1000
+    assert required_runs("^(COLD|new) Giz") == [" GIZ"] and required_runs("(one|three)x?") == ["ONE", "THREE"]
+    assert required_runs("[a-z&&[^b]]]") == required_runs("(open") == required_runs(".*") == [""] and required_runs(None) == []
+
+
+def test_fifty_thousand_regexes(spark):
+    """Regexes meet merchants by the runs they need, not one by one."""
+    n = 50_000
+    rows = [(i, f"^shop{i:05d}\\b.*(store|kiosk)$" if i % 2 else f"(key{i:05d}|alt{i:05d}) \\d+") for i in range(n)] + [(n, "\\d{4}$"), (n + 1, None), (n + 2, "^.{3}$")]
+    vendors = spark.createDataFrame(rows, "vendor_order int, merchant_regex string")
+    merchants = [f"SHOP{i:05d} OLD {'STORE' if i % 3 else 'STORES'}" for i in range(1, 4000, 2)] + [f"THE ALT{i:05d} {i}" for i in range(0, 4000, 2)] + ["ABC", "NOTHING"]
+    frame = spark.createDataFrame([(m,) for m in merchants], "merchant string")
+    got = sorted((r.merchant, r.vendor_order, r.length) for r in vendor.regex_hits(frame, vendors).collect())
+    want = [(m, int(m[4:9]), len(m)) for m in merchants if m.startswith("SHOP") and m.endswith("STORE")]
+    want += [(m, int(m[7:12]), len(m) - 4) for m in merchants if m.startswith("THE")]
+    want += [(m, n, 4) for m in merchants if re.search(r"\d{4}$", m)] + [("ABC", n + 2, 3)]
+    assert got == sorted(want)
