@@ -44,7 +44,7 @@ def policy(spark):
     terms: dict[str, list[str]] = {}
     for name, term in TERM_ROWS:
         terms.setdefault(name, []).append(term)
-    return mt.MatchPolicy(terms=terms)
+    return mt.MatchPolicy(terms=terms, identities={"alfa": "owner@own.example"})
 
 
 def vendors(spark):
@@ -438,59 +438,103 @@ def w3(spark, sf):
 
 
 def sends(spark, sf):
-    return messages(spark, sf).filter(F.col("to") == "forward@inbox.example")
+    """Mails to the receipt inbox: some of the messages, and receipts sent on days before or after they
+    came, in their own mailbox or in the next one."""
+    own = messages(spark, sf).filter(F.col("to") == "forward@inbox.example").select("message_id", "mailbox", "thread_id", "day", "subject", "from_addr")
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = b.table(spark, sf, "events").filter("event_type = 'purchase'").withColumn("k", k).filter("k % 4 = 0")
+    more = e.select(
+        (-F.col("event_id")).alias("message_id"),
+        (F.col("user_id") + F.when(F.col("k") % 8 == 0, 0).otherwise(1)).alias("mailbox"),
+        F.concat(F.lit("sent-"), F.col("event_id")).alias("thread_id"),
+        F.date_add(F.col("ts").cast("date"), F.col("k") % 7 - 3).alias("day"),
+        F.concat(F.lit("VB: Your receipt from Acme no "), F.col("event_id").cast("string")).alias("subject"),
+        F.when(F.col("k") % 3 == 0, "other@own.example").otherwise("owner@own.example").alias("from_addr"),
+    )
+    return own.unionByName(more)
 
 
 MARKS = TERMS["forward_prefixes"] + TERMS["reply_prefixes"]
 KEY_SQL = "trim(regexp_replace(lower({0}), '^((fwd:|fw:|vb:|vidarebefordrat|re:|sv:)\\s*)+', ''))"
+cte(
+    "sends",
+    """
+SELECT message_id, mailbox, thread_id, day, subject, from_addr FROM messages WHERE "to" = 'forward@inbox.example'
+UNION ALL SELECT -event_id, user_id + CASE WHEN k % 8 = 0 THEN 0 ELSE 1 END, 'sent-' || event_id, CAST(CAST(ts AS DATE) + CAST(k % 7 - 3 AS INTEGER) AS DATE),
+  'VB: Your receipt from Acme no ' || event_id, CASE WHEN k % 3 = 0 THEN 'other@own.example' ELSE 'owner@own.example' END
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'purchase') WHERE k % 4 = 0""",
+    "messages",
+)
 cte(
     "related",
     f"""
-SELECT DISTINCT b.row_key, b.best, m.message_id AS send_id, m.day AS send_day
-FROM best b JOIN messages m ON m."to" = 'forward@inbox.example' AND m.day >= b.best_day
- AND (m.thread_id = b.best_thread OR (regexp_matches({KEY_SQL.format('b.best_subject')}, '[0-9]{{3,}}') AND {KEY_SQL.format('b.best_subject')} = {KEY_SQL.format('m.subject')}))""",
+SELECT row_key, best, side, arg_max(message_id, (day, message_id)) AS send_id, max(day) AS send_day, arg_max(from_addr, (day, message_id)) AS send_from
+FROM (SELECT b.row_key, b.best, b.best_day, w.window_from, w.window_to, m.message_id, m.day, m.from_addr
+  FROM best b JOIN worklist w ON w.row_key = b.row_key JOIN sends m ON m.mailbox = w.mailbox
+   AND (m.thread_id = b.best_thread OR (regexp_matches({KEY_SQL.format('b.best_subject')}, '[0-9]{{3,}}') AND {KEY_SQL.format('b.best_subject')} = {KEY_SQL.format('m.subject')}))) AS met
+  JOIN (VALUES ('index'), ('window')) AS sides(side) ON CASE side WHEN 'index' THEN day >= best_day ELSE day BETWEEN window_from AND window_to END
+GROUP BY row_key, best, side""",
     "best",
+    "worklist",
+    "sends",
 )
 
 
-@query("j20_related_sends", with_("related", body="SELECT row_key, best, send_id, send_day FROM related"))
+def related(spark, sf, found):
+    windows = worklist(spark, sf).select("row_key", "mailbox", "window_from", "window_to")
+    return mt.related_sends(found.join(windows, "row_key"), sends(spark, sf), MARKS)
+
+
+@query("j20_related_sends", with_("related", body="SELECT row_key, best, side, send_id, send_day, send_from FROM related"))
 def j20(spark, sf):
-    return mt.related_sends(settle(best(spark, sf)), sends(spark, sf), MARKS)
+    return related(spark, sf, settle(best(spark, sf)))
+
+
+HINTS = ["ready", "Forwarded 2024-01-09 by hand", "portal", "ask  the hotel", ""]
 
 
 def routed(spark, sf):
     found = settle(best(spark, sf))  # one narrow row per charge, read by three joins below
-    sent = mt.related_sends(found, sends(spark, sf), MARKS).groupBy("row_key").agg(F.max("send_day").alias("sent_day"))
+    sent = mt.last_send(related(spark, sf, found))
     rows = worklist(spark, sf).join(found, "row_key", "left").join(sent, "row_key", "left")
+    number = F.col("row_key").cast("bigint")
+    rows = rows.withColumn("status_hint", F.element_at(F.array(*map(F.lit, HINTS)), (F.pmod(number, F.lit(len(HINTS))) + 1).cast("int")))
+    rows = rows.withColumn("expense_id", F.when(number % 2 == 0, F.concat(F.lit("X"), "row_key")))
     return mt.route(rows, policy(spark), F.expr(RUN_DATE))
 
 
 cte(
     "routed",
-    """
-SELECT *, CASE WHEN kind = 'refund' THEN 'refund ' ELSE '' END || reason || CASE WHEN notes <> '' THEN ' (' || notes || ')' ELSE '' END AS route_reason,
-  CASE WHEN route = 'forward' THEN date + 39 END AS forward_deadline
+    f"""
+SELECT * EXCLUDE (hint, said), CASE WHEN hint <> '' AND NOT starts_with(lower(hint), 'ready') AND lower(hint) <> route AND NOT (contains(hint, ' ') AND contains(lower(said), lower(hint)))
+    THEN said || '; input hint: ' || hint ELSE said END AS route_reason
+FROM (SELECT *, CASE WHEN kind = 'refund' THEN 'refund ' ELSE '' END || reason || CASE WHEN notes <> '' THEN ' (' || notes || ')' ELSE '' END AS said,
+  CASE WHEN route = 'forward' THEN date + 39 END AS forward_deadline, CASE WHEN route = 'forward' THEN 'owner@own.example' END AS forward_from
 FROM (
-SELECT w.row_key, w.kind, w.date, w.merchant, w.amount_sek, b.confidence, b.best, b.secondary,
-  CASE WHEN u AND ledger = 'expense' AND sent_day IS NOT NULL THEN 'confirm' WHEN u AND ledger = 'expense' AND DATE '2024-02-15' - date < 40 THEN 'forward' WHEN u AND ledger = 'expense' THEN 'attach'
+SELECT w.row_key, w.kind, w.date, w.merchant, w.amount_sek, b.confidence, b.best, b.secondary, regexp_replace(status, '\\s+', ' ', 'g') AS hint,
+  CASE WHEN u AND ledger = 'expense' AND (sent_day IS NOT NULL OR told) THEN 'confirm' WHEN u AND ledger = 'expense' AND DATE '2024-02-15' - date < 40 THEN 'forward' WHEN u AND ledger = 'expense' THEN 'attach'
        WHEN u AND tag = 'business' THEN 'pack' WHEN u THEN 'none' WHEN route_if_none = 'portal' THEN 'portal' ELSE 'none' END AS route,
   CASE WHEN u AND ledger = 'expense' AND sent_day IS NOT NULL THEN 'already forwarded ' || sent_day || '; confirm, do not forward again'
+       WHEN u AND ledger = 'expense' AND told THEN 'already forwarded according to the input; confirm ' || best || ', do not forward again'
        WHEN u AND ledger = 'expense' AND DATE '2024-02-15' - date < 40 THEN 'forward ' || best || ' before ' || CAST(date + 39 AS DATE)
-       WHEN u AND ledger = 'expense' THEN 'attach ' || best || ' on expense ' || w.row_key
+       WHEN u AND ledger = 'expense' THEN 'attach ' || best || CASE WHEN CAST(w.row_key AS BIGINT) % 2 = 0 THEN ' on expense X' ELSE '; find the expense by receipt number ' END || w.row_key
        WHEN u AND tag = 'business' THEN 'include ' || best || CASE WHEN secondary IS NOT NULL THEN '; secondary ' || secondary ELSE '' END
        WHEN u THEN 'receipt found (' || best || ') but the row needs a tag, now ' || tag
        WHEN route_if_none = 'portal' THEN portal WHEN route_if_none = 'ask' THEN 'ask' ELSE 'no receipt mail found in the search window' END AS reason,
-  concat_ws('; ', CASE WHEN vendor_entity <> 'alfa' THEN 'the vendor is listed under another entity' END, CASE WHEN u AND confidence = 'possible' THEN 'review amount first' END, CASE WHEN u AND best_gap > 14 THEN 'verify the month' END) AS notes
-FROM worklist w LEFT JOIN (SELECT *, confidence IN ('strong','possible') AS u FROM best) b ON b.row_key = w.row_key
-LEFT JOIN (SELECT row_key, max(send_day) AS sent_day FROM related GROUP BY row_key) r ON r.row_key = w.row_key)""",
+  concat_ws('; ', CASE WHEN vendor_entity <> 'alfa' THEN 'the vendor is listed under another entity' END,
+    CASE WHEN u AND ledger = 'expense' AND sent_from <> 'owner@own.example' THEN 'that forward went from ' || sent_from || ', not from owner@own.example' END,
+    CASE WHEN u AND confidence = 'possible' THEN 'review amount first' END, CASE WHEN u AND best_gap > 14 THEN 'verify the month' END) AS notes
+FROM (SELECT *, {b.literal(HINTS)}[CAST(row_key AS BIGINT) % {len(HINTS)} + 1] AS status, CAST(row_key AS BIGINT) % {len(HINTS)} = 1 AS told FROM worklist) w
+LEFT JOIN (SELECT *, confidence IN ('strong','possible') AS u FROM best) b ON b.row_key = w.row_key
+LEFT JOIN (SELECT row_key, max(send_day) AS sent_day, arg_max(send_from, (send_day, send_id)) AS sent_from FROM related GROUP BY row_key) r ON r.row_key = w.row_key))""",
     "worklist",
     "related",
 )
 
 
-@query("d9_route", with_("routed", body="SELECT row_key, route, route_reason, CAST(forward_deadline AS DATE) AS forward_deadline FROM routed"))
+@query("d9_route", with_("routed", body="SELECT row_key, route, route_reason, forward_from, CAST(forward_deadline AS DATE) AS forward_deadline FROM routed"))
 def d9(spark, sf):
-    return routed(spark, sf).select("row_key", "route", "route_reason", "forward_deadline")
+    return routed(spark, sf).select("row_key", "route", "route_reason", "forward_from", "forward_deadline")
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import format_money
 from ..functions.scale import exploded, interval_join
-from ..functions.text import contains_any, in_senders, merchant_tokens, starts_with_any, subject_key
+from ..functions.text import contains_any, in_senders, merchant_tokens, norm_ws, starts_with_any, subject_key
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,8 @@ class MatchPolicy:
     weak: int = 25
     forward_days: int = 40
     terms: dict = field(default_factory=dict)
+    # Entity and the address its receipts are sent in from.
+    identities: dict = field(default_factory=dict)
 
     def list(self, name: str):
         return self.terms.get(name, [])
@@ -480,38 +482,80 @@ def best_second(ranked: DataFrame) -> DataFrame:
 
 
 def related_sends(best: DataFrame, sends: DataFrame, prefixes) -> DataFrame:
-    """Earlier sends that belong to a best message: same thread, or the same numbered subject."""
-    b = best.select(
-        "row_key", "best", "best_thread", "best_day", subject_key(F.col("best_subject"), prefixes).alias("_key")
+    """The latest earlier send that belongs to a best message, at most one per charge and ``side``.
+
+    A send belongs to it if it is in the same mailbox and either in the same thread or of the same
+    subject, where that holds a number. The side ``window`` takes sends inside the charge's search
+    window, whatever their day; ``index`` takes sends of any time from the day of the best message on.
+    Sends are reduced to one a day per mailbox and thread or subject before they meet charges, and
+    to the latest of all for the index, so a charge meets no more sends than its window has days.
+
+    ``best``: row_key, mailbox, window_from, window_to and the columns of ``best_second``.
+    """
+    def keys(thread: Column, subject: Column) -> Column:
+        numbered = F.when(subject.rlike("[0-9]{3,}"), F.concat(F.lit("s:"), subject))
+        return F.array_compact(F.array(F.concat(F.lit("t:"), thread), numbered))
+
+    charges = exploded(
+        best.withColumn("_subject", subject_key(F.col("best_subject"), prefixes)),
+        ["row_key", "mailbox", "best", "best_day", "window_from", "window_to"], keys(F.col("best_thread").cast("string"), F.col("_subject")), "_k",
     )
-    s = sends.select(
-        F.col("message_id").alias("send_id"),
-        F.col("thread_id").alias("send_thread"),
-        F.col("day").alias("send_day"),
-        subject_key(F.col("subject"), prefixes).alias("_send_key"),
+    filed = exploded(
+        sends.withColumn("_subject", subject_key(F.col("subject"), prefixes)),
+        ["mailbox", "day", F.struct(F.col("message_id").alias("send_id"), F.col("from_addr").alias("send_from")).alias("_s")],
+        keys(F.col("thread_id").cast("string"), F.col("_subject")), "_k",
     )
-    by_thread = b.join(s, F.col("best_thread") == F.col("send_thread"))
-    by_subject = b.filter(F.col("_key").rlike("[0-9]{3,}")).join(s, F.col("_key") == F.col("_send_key"))
-    both = by_thread.unionByName(by_subject.select(*by_thread.columns))
-    return both.filter(F.col("send_day") >= F.col("best_day")).select("row_key", "best", "send_id", "send_day").distinct()
+    daily = filed.groupBy("mailbox", "_k", "day").agg(F.max("_s").alias("_s"))
+    latest = daily.groupBy("mailbox", "_k").agg(F.max(F.struct("day", "_s")).alias("_l")).select("mailbox", "_k", "_l.day", "_l._s")
+    index = charges.join(latest, ["mailbox", "_k"]).filter(F.col("day") >= F.col("best_day"))
+    window = interval_join(charges, daily, ["mailbox", "_k"], "window_from", "window_to", "day")
+    cols = ["row_key", "best", "day", "_s"]
+    both = index.select(F.lit("index").alias("side"), *cols).unionByName(window.select(F.lit("window").alias("side"), *cols))
+    last = both.groupBy("row_key", "best", "side").agg(F.max(F.struct("day", "_s")).alias("_l"))
+    return last.select("row_key", "best", "side", F.col("_l._s.send_id").alias("send_id"), F.col("_l.day").alias("send_day"), F.col("_l._s.send_from").alias("send_from"))
+
+
+def last_send(related: DataFrame) -> DataFrame:
+    """The later of a charge's sends: ``sent_id``, ``sent_day``, ``sent_from``."""
+    last = related.groupBy("row_key").agg(F.max(F.struct("send_day", "send_id", "send_from")).alias("_l"))
+    return last.select("row_key", F.col("_l.send_id").alias("sent_id"), F.col("_l.send_day").alias("sent_day"), F.col("_l.send_from").alias("sent_from"))
+
+
+# What an input row says when its receipt has been sent in already.
+SENT_PHRASES = ["confirm in app", "delvis kvittomatchning", "already forwarded"]
+SENT_WHEN = r"forwarded (today|yesterday|on [0-9]|[0-9]{4}-[0-9]{2}-[0-9]{2})"
+
+
+def said_sent(*hints: Column) -> Column:
+    """Whether the notes of an input row say that its receipt was sent in."""
+    text = F.lower(F.concat_ws(" ", *hints))
+    return contains_any(text, SENT_PHRASES) | text.rlike(SENT_WHEN)
 
 
 def route(rows: DataFrame, policy: MatchPolicy, run_date: Column) -> DataFrame:
     """What to do with a charge: confirm, forward, attach, pack, portal or none, and why.
 
     ``rows`` is the worklist with its vendor settings and its best candidate (nulls without one),
-    plus ``sent_day``, the latest earlier send of the best message.
+    plus ``sent_day`` (and ``sent_from``) of the latest earlier send. Where they are there, the notes
+    of the input row (``status_hint``, ``hint_evidence``, ``hint_action``) and ``expense_id`` count too.
     """
+    def given(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit("")
+
     age = F.datediff(run_date, "date")
     deadline = F.date_add("date", policy.forward_days - 1)
     usable = F.coalesce(F.col("confidence").isin("strong", "possible"), F.lit(False))
     expense = F.col("ledger") == "expense"
     sent = F.col("sent_day").isNotNull()
+    told = said_sent(given("status_hint"), given("hint_evidence"), given("hint_action"))
     business = F.coalesce("tag", F.lit("")) == "business"
     fallback = F.coalesce("route_if_none", F.lit("none"))
     recent = age <= 1
+    identity = F.lit(None).cast("string")
+    for entity, address in policy.identities.items():
+        identity = F.when(F.col("entity") == entity, address).otherwise(identity)
     decision = (
-        F.when(usable & expense & sent, "confirm")
+        F.when(usable & expense & (sent | told), "confirm")
         .when(usable & expense & (age < policy.forward_days), "forward")
         .when(usable & expense, "attach")
         .when(usable & business, "pack")
@@ -521,10 +565,13 @@ def route(rows: DataFrame, policy: MatchPolicy, run_date: Column) -> DataFrame:
     )
     portal = F.coalesce(F.nullif("portal", F.lit("")), F.lit("vendor portal"))
     best = F.col("best").cast("string")
+    by_number = F.concat(F.lit("; find the expense by receipt number "), "row_key")
+    target = F.when(given("expense_id") != "", F.concat(F.lit(" on expense "), given("expense_id"))).otherwise(by_number)
     reason = (
         F.when(usable & expense & sent, F.concat(F.lit("already forwarded "), F.col("sent_day").cast("string"), F.lit("; confirm, do not forward again")))
+        .when(usable & expense & told, F.concat(F.lit("already forwarded according to the input; confirm "), best, F.lit(", do not forward again")))
         .when(usable & expense & (age < policy.forward_days), F.concat(F.lit("forward "), best, F.lit(" before "), deadline.cast("string")))
-        .when(usable & expense, F.concat(F.lit("attach "), best, F.lit(" on expense "), "row_key"))
+        .when(usable & expense, F.concat(F.lit("attach "), best, target))
         .when(usable & business, F.concat_ws("; ", F.concat(F.lit("include "), best), F.concat(F.lit("secondary "), F.col("secondary").cast("string"))))
         .when(usable, F.concat(F.lit("receipt found ("), best, F.lit(") but the row needs a tag, now "), F.coalesce(F.nullif("tag", F.lit("")), F.lit("untagged"))))
         .when(fallback == "portal", portal)
@@ -532,9 +579,11 @@ def route(rows: DataFrame, policy: MatchPolicy, run_date: Column) -> DataFrame:
         .when(F.col("vendor_key").isNotNull() & recent, F.concat(F.lit("too recent, recheck after "), F.date_add("date", 2).cast("string")))
         .otherwise("no receipt mail found in the search window")
     )
+    other = usable & expense & sent & (F.nullif(given("sent_from"), F.lit("")) != identity)
     notes = F.concat_ws(
         "; ",
         F.when(F.col("vendor_entity") != F.col("entity"), F.lit("the vendor is listed under another entity")),
+        F.when(other, F.concat(F.lit("that forward went from "), given("sent_from"), F.lit(", not from "), identity)),
         F.when(usable & (F.col("confidence") == "possible"), "review amount first"),
         F.when(usable & (F.col("best_gap") > 14), "verify the month"),
     )
@@ -543,13 +592,20 @@ def route(rows: DataFrame, policy: MatchPolicy, run_date: Column) -> DataFrame:
         reason,
         F.when(notes != "", F.concat(F.lit(" ("), notes, F.lit(")"))).otherwise(""),
     )
-    return (
+    out = (
         rows.withColumn("age_days", age)
         .withColumn("route", decision)
         .withColumn("route_reason", text)
+        .withColumn("forward_from", F.when(F.col("route") == "forward", identity))
         .withColumn("forward_deadline", F.when(F.col("route") == "forward", deadline))
         .withColumn("recheck_after", F.when(~usable & recent, F.date_add("date", 2)))
     )
+    # The input's own hint is kept in sight, unless it says what the route or the reason says.
+    hint = norm_ws(given("status_hint"))
+    low = F.lower(hint)
+    repeated = hint.contains(" ") & F.lower("route_reason").contains(low)
+    shown = (hint != "") & ~low.startswith("ready") & (low != F.col("route")) & ~repeated
+    return out.withColumn("route_reason", F.when(shown, F.concat("route_reason", F.lit("; input hint: "), hint)).otherwise(F.col("route_reason")))
 
 
 def fetch_decision(routed: DataFrame, min_confidence: str = "strong") -> DataFrame:

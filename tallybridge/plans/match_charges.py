@@ -38,6 +38,7 @@ def match_charges(
     ranked = settle(mt.rank_candidates(mt.rescore(mt.score(facts), details), policy))
     best = mt.best_second(ranked)
     marks = policy.list("forward_prefixes") + policy.list("reply_prefixes")
-    sent = mt.related_sends(best, sends, marks).groupBy("row_key").agg(F.max("send_day").alias("sent_day"))
+    placed = best.join(rows.select("row_key", "mailbox", "window_from", "window_to"), "row_key")
+    sent = mt.last_send(mt.related_sends(placed, sends, marks))
     routed = mt.route(rows.join(best, "row_key", "left").join(sent, "row_key", "left"), policy, run_date)
     return Matches(ranked, mt.fetch_decision(routed))

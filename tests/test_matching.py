@@ -88,3 +88,44 @@ def test_blocking_never_uses_a_product(spark):
 
     text = cm.blocked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_related_sends(spark):
+    """One send a side: same mailbox, the window at any day, the index from the best mail on."""
+    best = spark.createDataFrame(
+        [("a", 1, "m1", "t1", D(2026, 5, 10), "Your invoice 4711", D(2026, 5, 1), D(2026, 5, 16)), ("b", 2, "m2", "t2", D(2026, 5, 10), "Your invoice", D(2026, 5, 1), D(2026, 5, 16))],
+        "row_key string, mailbox int, best string, best_thread string, best_day date, best_subject string, window_from date, window_to date",
+    )
+    sends = [
+        ("before", 1, "x", D(2026, 5, 3), "Fwd: your invoice 4711", "me"), ("late", 1, "x", D(2026, 7, 1), "VB: Your invoice 4711", "you"),
+        ("elsewhere", 3, "x", D(2026, 8, 1), "Fwd: Your invoice 4711", "me"), ("early", 1, "t1", D(2026, 4, 1), "hello", "me"),
+        ("unnumbered", 2, "y", D(2026, 5, 12), "Fwd: Your invoice", "me"),
+    ] + [(f"hot{i:03d}", 2, "t2", D(2026, 5, 10) + dt.timedelta(days=i % 40), "again", "me") for i in range(400)]
+    got = mt.related_sends(best, spark.createDataFrame(sends, "message_id string, mailbox int, thread_id string, day date, subject string, from_addr string"), ["fwd:", "vb:"])
+    assert sorted((r.row_key, r.side, r.send_id, r.send_day, r.send_from) for r in got.collect()) == [
+        ("a", "index", "late", D(2026, 7, 1), "you"), ("a", "window", "before", D(2026, 5, 3), "me"),
+        ("b", "index", "hot399", D(2026, 6, 18), "me"), ("b", "window", "hot366", D(2026, 5, 16), "me"),
+    ]
+    assert {r.row_key: (r.sent_id, r.sent_from) for r in mt.last_send(got).collect()} == {"a": ("late", "you"), "b": ("hot399", "me")}
+
+
+def test_routes_with_hints(spark):
+    run = D(2026, 9, 1)
+    rows = [
+        ("a", None, "", "Forwarded yesterday", None), ("b", D(2026, 8, 30), "other@x", "", "E1"), ("c", D(2026, 8, 30), "me@x", "see  the portal", "E1"),
+        ("d", None, "", "forward", "E1"), ("e", None, "", "ready", "E1"), ("f", None, "", "attach by hand", None), ("g", None, "", "attach by hand", "E7"),
+    ]
+    df = spark.createDataFrame(
+        [(k, run - dt.timedelta(days=45 if k in "fg" else 5), sent, frm, hint, exp) for k, sent, frm, hint, exp in rows],
+        "row_key string, date date, sent_day date, sent_from string, status_hint string, expense_id string",
+    )
+    fixed = {"ledger": "expense", "confidence": "strong", "tag": "business", "best": "m1", "secondary": None, "kind": "charge", "route_if_none": "none", "portal": "", "vendor_key": "v", "vendor_entity": "alfa", "entity": "alfa"}
+    for name, value in fixed.items():
+        df = df.withColumn(name, F.lit(value).cast("string"))
+    got = {r.row_key: r for r in mt.route(df.withColumn("best_gap", F.lit(0)), mt.MatchPolicy(identities={"alfa": "me@x"}), F.lit(run)).collect()}
+    assert [got[k].route for k in "abcdefg"] == ["confirm"] * 3 + ["forward"] * 2 + ["attach"] * 2
+    assert got["a"].route_reason == "already forwarded according to the input; confirm m1, do not forward again; input hint: Forwarded yesterday"
+    assert "(that forward went from other@x, not from me@x)" in got["b"].route_reason
+    assert got["c"].route_reason == "already forwarded 2026-08-30; confirm, do not forward again; input hint: see the portal"
+    assert "input hint" not in got["d"].route_reason and "input hint" not in got["e"].route_reason and got["e"].forward_from == "me@x"
+    assert got["f"].route_reason.startswith("attach m1; find the expense by receipt number f") and got["g"].route_reason.startswith("attach m1 on expense E7")
