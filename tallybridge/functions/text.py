@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
-from html.entities import name2codepoint
+from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column, functions as F
 
@@ -78,35 +80,69 @@ def clean_text(text: Column) -> Column:
 # Elements never shown, and elements that end a line.
 HIDDEN_ELEMENTS = ["script", "style", "head", "noscript", "template", "title", "svg"]
 BLOCK_ELEMENTS = [
-    "p", "div", "br", "tr", "li", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6",
-    "section", "article", "header", "footer", "nav", "blockquote", "hr", "pre", "form",
+    "address", "article", "aside", "blockquote", "br", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "option", "p", "pre",
+    "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 ]
 CELL_ELEMENTS = ["td", "th"]
-ENTITY = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+# Character numbers that stand for the Windows characters of the same byte, as browsers read them.
+WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+# Maps that the names of entities are dealt to: a lookup compares one after the other.
+NAME_MAPS = 64
 
 
-def _entity_char(entity: Column) -> Column:
-    """The character of one entity: by decimal or hexadecimal number, or by its standard name; else null."""
-    body = F.regexp_extract(entity, "^&#?[xX]?([A-Za-z0-9]+);$", 1)
-    code = F.when(entity.rlike("^&#[xX]"), F.conv(body, 16, 10).cast("bigint")).when(entity.startswith("&#"), F.conv(body, 10, 10).cast("bigint"))
-    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
-    names = F.create_map(*(F.lit(x) for name, number in sorted(name2codepoint.items()) for x in (name, chr(number))))
-    named = F.try_element_at(names, F.regexp_extract(entity, "^&(.*);$", 1))
-    return F.when(code.isNotNull(), numbered).otherwise(named)
+def _name_maps() -> Column:
+    """The named entities of HTML 5, without their ampersand, as one constant: an array of maps by the names' hash."""
+    maps: list[dict[str, str]] = [{} for _ in range(NAME_MAPS)]
+    for name, text in html5.items():
+        maps[crc32(name.encode()) % NAME_MAPS][name] = text
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")
+
+
+def _named(name: Column) -> Column:
+    return F.try_element_at(F.get(_name_maps(), (F.crc32(name) % NAME_MAPS).cast("int")), name)
+
+
+def _numbered(digits: Column, hexadecimal: Column) -> Column:
+    """The character of a numeric entity: nothing for a control character, a replacement for what is none."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    known = F.length(bare) <= 7
+    short = F.when(known & (bare != ""), bare).otherwise("0")
+    code = F.when(hexadecimal, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("bigint")
+    usual = F.translate(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
+    silent = (code < 9) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    wrong = ~known | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return F.when(wrong, "\ufffd").when(silent, "").otherwise(usual)
 
 
 def unescape_entities(text: Column) -> Column:
-    """All entities of a text as characters, each once: what an ampersand's entity leaves is not read again."""
-    found = F.transform(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), 1)), lambda e: F.struct(e.alias("e"), _entity_char(e).alias("c"))
-    )
+    """All entities of a text as characters, in one cut at its ampersands; what one leaves is not read again.
+
+    As browsers read them: numbers with or without semicolon, names with it, and the old names that
+    need none, of these the longest that what follows the ampersand begins with.
+    """
+    old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+
+    def one(piece: Column) -> Column:
+        number = F.regexp_extract(piece, "^#([0-9]+|[xX][0-9a-fA-F]+);?", 1)
+        whole = F.regexp_extract(piece, "^(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;?)", 0)
+
+        def rest(of: Column) -> Column:
+            return F.substr(piece, F.length(of) + 1)
 
-    def replaced(known: Column) -> Column:
-        ordered = F.concat(F.filter(known, lambda x: x["c"] != "&"), F.filter(known, lambda x: x["c"] == "&"))
-        return F.aggregate(ordered, text, lambda t, x: F.replace(t, x["e"], x["c"]))
+        begun = F.regexp_extract(piece, f"^(?:{old})", 0)
+        hexadecimal = F.lower(F.left(number, F.lit(1))) == "x"
+        numbered = _numbered(F.when(hexadecimal, F.substr(number, F.lit(2))).otherwise(number), hexadecimal)
+        return (
+            F.when(number != "", F.concat(numbered, rest(whole)))
+            .when(whole == "", F.concat(F.lit("&"), piece))
+            .otherwise(F.coalesce(F.concat(_named(whole), rest(whole)), F.concat(_named(F.nullif(begun, F.lit(""))), rest(begun)), F.concat(F.lit("&"), piece)))
+        )
 
-    return F.when(text.contains("&"), let(found, replaced)).otherwise(text)
+    def joined(pieces: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(one(piece))), "")
+
+    return F.when(text.contains("&"), let(F.split(text, "&", -1), joined)).otherwise(text)
 
 
 def html_text(markup: Column) -> Column:
@@ -117,7 +153,7 @@ def html_text(markup: Column) -> Column:
     t = F.regexp_replace(t, "(?i)</?(?:" + "|".join(CELL_ELEMENTS) + ")\\b[^>]*>", "  ")
     t = F.regexp_replace(t, "(?s)<[^>]*>", "")
     t = let(t, unescape_entities)
-    t = F.regexp_replace(t, "[ \\t\\r\\f\u00a0]+", " ")
+    t = F.regexp_replace(t, "(?U)[\\s\\x1c-\\x1f&&[^\\n]]+", " ")
     t = F.regexp_replace(t, " ?\n[ \n]*", "\n")
     return F.regexp_replace(t, "^[ \n]+|[ \n]+$", "")
 
@@ -146,11 +182,6 @@ def in_senders(address: Column, domain: Column, entries) -> Column:
     return any_of(tests)
 
 
-def address_of(header: Column) -> Column:
-    inner = F.regexp_extract(header, "<([^>]*)>", 1)
-    return F.lower(F.trim(F.when(inner != "", inner).otherwise(F.coalesce(header, F.lit("")))))
-
-
 def domain_of(address: Column) -> Column:
     return F.regexp_extract(address, "@([^@]*)$", 1)
 
