@@ -7,16 +7,20 @@ together with all that is active by then, whatever the lengths, and is complete
 of its own. Scanning ends when nothing is active: after three cycles at most, and earlier where no
 phrase became active late.
 
-- A scan counts in its map tasks and gives one row per phrase and stretch of text. Which phrases are
-  active is told by Bloom filters, one per length and per step at which phrases reached the
-  count; they have no false negatives, and their size is bounded (``MOST_BITS``). What they let
-  through wrongly costs time only: a phrase with a part below the count is itself below it.
+- Dealing turns texts into blocks of words as numbers, each block with the hashes and names of its
+  words, so texts are taken apart once. A phrase is the 64-bit hashes of its words from then on; names
+  come back at the end, and should two words that are met often share a hash, all is done anew
+  with another salt.
+- A scan counts in its map tasks and gives one row per phrase and block. Which phrases are active is
+  told by Bloom filters, one per length and per step at which phrases reached the count; they have
+  no false negatives, and their size is bounded (``MOST_BITS``). What they let through wrongly
+  costs time only: a phrase with a part below the count is itself below it.
 - Counts are kept per shard, so a shard scanned twice for a phrase is not counted twice. Rows that
   are complete are put aside, those below the count dropped; only open ones are shuffled again.
 - Scores and cuts come from joins of the finished counts, all in whole numbers.
 
 Edge cases. Null and empty texts hold no words; a null language is ``und``. A word may be as long as
-its text. Texts are cut into stretches for memory only: a phrase across a border counts once.
+its text. A text longer than a block is continued in the next: a phrase across the border counts once.
 Repeated rows count as often as they stand there. Ties go to the phrase that is first in bytes. An
 empty table, and one without a phrase met often enough, give no rows. Only the two columns named
 are read, and renamed at once, so others cannot clash.
@@ -26,10 +30,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import count as count_from
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from xxhash import xxh64_intdigest
 
@@ -44,46 +50,43 @@ TOP = 2000
 MILLION = 1_000_000
 # A phrase goes if a longer one has this share of its places, in hundredths.
 COVERED = 50
-# A filter has BITS bits an entry, 2 ** MOST_BITS at most (16 MB), and asks HASHES of them.
-BITS, MOST_BITS, HASHES = 16, 27, 4
-# Words that are counted at a time, their numbers' bits, and bytes of text that are words at a time.
-STRETCH, PLACE, BYTES = 2_000_000, 21, 1 << 20
+# A filter has BITS bits an entry, 2 ** MOST_BITS at most (16 MB); an entry sets up to four of one word.
+BITS, MOST_BITS = 16, 27
+# Words from which a block is full, bytes of text that are words at a time (half as many words at
+# most), and the bits of a word's number: three fit into one of 64.
+BLOCK, BYTES, PLACE = 1_500_000, 1 << 20, 21
 MASK = (1 << PLACE) - 1
-# Words from which a stretch gets numbers of its own, so that three fit into 63 bits.
-RENUMBER = MASK
 
 _END = b"\xff"
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _END * 10 + b" ")
 
 
 class Filter:
-    """A Bloom filter over 64-bit hashes."""
+    """A Bloom filter over 64-bit hashes, in words of 64 bits: an entry's bits lie in one word."""
 
-    def __init__(self, bits: int, words: np.ndarray | None = None):
-        self.bits, self.words = bits, np.zeros(1 << (bits - 6), np.uint64) if words is None else words
+    def __init__(self, bits: int):
+        self.words = np.zeros(1 << (bits - 6), np.uint64)
 
     @staticmethod
     def bits_for(entries: int) -> int:
         return min(MOST_BITS, max(10, (BITS * entries - 1).bit_length()))
 
-    def _spots(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
-        step = (hashes >> np.uint64(32)) | np.uint64(1)
-        for i in range(HASHES):
-            yield (hashes + np.uint64(i) * step) & np.uint64((1 << self.bits) - 1)
-
-    def add(self, hashes: np.ndarray) -> None:
-        for spot in self._spots(hashes):
-            np.bitwise_or.at(self.words, spot >> np.uint64(6), np.uint64(1) << (spot & np.uint64(63)))
+    @staticmethod
+    def places(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """The word and the bits of each hash, in a filter of so many words."""
+        bits = np.zeros(len(hashes), np.uint64)
+        for shift in (0, 6, 12, 18):
+            bits |= np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
+        return (hashes >> np.uint64(24)) & np.uint64(words - 1), bits
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for spot in self._spots(hashes):
-            found &= (self.words[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-        return found
+        spots, bits = self.places(hashes, len(self.words))
+        return self.words[spots] & bits == bits
 
 
-def word_hash(lang: bytes, word: bytes) -> int:
-    return xxh64_intdigest(lang + b"\0" + word)
+def word_hash(word: bytes, salt: int) -> int:
+    """Never 0, which stands for no word."""
+    return xxh64_intdigest(word, salt) or 1
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,187 +115,251 @@ class Numbers(dict):
         return number
 
 
-class Counter:
-    """What one task of a scan counts for one language."""
+class Block(NamedTuple):
+    """Words of one language by number. Phrases that start within ``own`` are this block's."""
 
-    def __init__(self, lang: str, step: int, filters: dict[int, dict[int, Filter]], shards: int):
-        self.lang, self.step, self.filters, self.shards = lang, step, filters, shards
-        self.clear()
+    own: int
+    ids: np.ndarray
+    words: list[bytes]
 
-    def clear(self) -> None:
+
+class Dealer:
+    """Turns the texts of one language into blocks."""
+
+    def __init__(self):
         self.numbers, self.parts, self.held = Numbers(), [], 0
 
-    def add(self, text: bytes) -> None:
-        """A text's words by number, from stretches that end at a blank or the end of a piece."""
-        text = text.translate(_PLAIN).replace(_END, b" " + _END + b" ")
-        at = 0
+    def _take(self, words: list[bytes]) -> None:
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        self.held += len(words)
+
+    def block(self, later: int = 0) -> Block:
+        """What is held, of which the last ``later`` words belong to the next block."""
+        found = Block(self.held - later, np.concatenate(self.parts), list(self.numbers))
+        self.__init__()
+        return found
+
+    def add(self, text: bytes) -> Iterator[Block]:
+        """A text's words, from stretches that end at a blank; blocks that are full on the way."""
+        text, at, tail = text.translate(_PLAIN).replace(_END, b" " + _END + b" "), 0, []
         while at < len(text):
             end = text.find(b" ", at + BYTES)
             end = len(text) if end < 0 else end
             words = text[at:end].split()
-            self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-            self.held += len(words)
-            at = end
-        self.parts.append(np.zeros(1, np.int64))
-
-    def counted(self) -> Iterator[pa.Table]:
-        """The counts of what was added, all phrases active at this step; then starts anew."""
-        if not self.held:
-            return
-        ids, words = np.concatenate(self.parts), list(self.numbers)
-        self.clear()
-        lang, n = self.lang.encode(), self.shards
-        hashes = np.fromiter((word_hash(lang, w) for w in words), np.uint64, len(words)) if self.filters else None
-        if self.filters:
-            since = _reached(self.filters.get(1, {}), hashes)
-            since[0] = -1
-        texts = pa.array(words, pa.large_binary()).view(pa.large_string())
-        for at in range(0, len(ids), STRETCH):
-            window = ids[at : at + STRETCH + LONGEST - 1]
-            own = min(STRETCH, len(ids) - at)
-            names, numbers = np.arange(len(words)), window
-            if len(words) > RENUMBER:
-                names, numbers = np.unique(window, return_inverse=True)
-            if self.step < n:
-                seen = np.bincount(numbers[:own], minlength=len(names))
-                seen[names == 0] = 0
-                yield self._table(0, pa.array([""], pa.large_string()), seen.sum(keepdims=True), np.array([n - 1]))
-                some = np.flatnonzero(seen)
-                yield self._table(1, texts.take(pa.array(names[some])), seen[some], np.full(len(some), n - 1))
-            if not self.filters:
-                continue
-            step1, hash1 = since[names], hashes[names]
-            a, b = numbers[:-1], numbers[1:]
-            near = np.minimum(step1[a], step1[b]) >= 0
-            late = np.maximum(step1[a], step1[b]) + n
-            active = near & (late >= self.step)
-            active[own:] = False
-            keys, counts = np.unique(a[active] << PLACE | b[active], return_counts=True)
-            x, y = keys >> PLACE, keys & MASK
-            yield self._table(2, self._phrases(texts, names, x, y), counts, np.maximum(step1[x], step1[y]) + n)
-            if 2 not in self.filters:
-                continue
-            step2 = np.full(len(a), -1, np.int64)
-            spots = np.flatnonzero(near)
-            step2[spots] = _reached(self.filters[2], pair_hash(hash1[a[spots]], hash1[b[spots]]))
-            active = (np.minimum(step2[:-1], step2[1:]) >= 0) & (np.maximum(step2[:-1], step2[1:]) + n >= self.step)
-            active[own:] = False
-            spots = np.flatnonzero(active)
-            keys, first, counts = np.unique(
-                numbers[spots] << (2 * PLACE) | numbers[spots + 1] << PLACE | numbers[spots + 2], return_index=True, return_counts=True
-            )
-            x, y, z = keys >> (2 * PLACE), keys >> PLACE & MASK, keys & MASK
-            until = np.maximum(step2[spots[first]], step2[spots[first] + 1]) + n
-            yield self._table(3, self._phrases(texts, names, x, y, z), counts, until)
-
-    @staticmethod
-    def _phrases(texts: pa.Array, names: np.ndarray, *numbers: np.ndarray) -> pa.Array:
-        parts = [texts.take(pa.array(names[x])) for x in numbers]
-        return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-
-    def _table(self, words: int, phrases: pa.Array, counts: np.ndarray, until: np.ndarray) -> pa.Table:
-        return pa.table({
-            "lang": pa.array([self.lang]).take(pa.array(np.zeros(len(phrases), np.int64))), "words": pa.array(np.full(len(phrases), words), pa.int32()),
-            "phrase": phrases, "fresh": pa.array(counts, pa.int64()), "until": pa.array(until, pa.int32()),
-        })
-
-
-_SCANNED = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("fresh", pa.int64()), ("until", pa.int32())])
-_SCANNED_SQL = "lang string, words int, phrase string, fresh bigint, until int"
-
-
-def scanned(shard: DataFrame, step: int, filters: dict[int, dict[int, Filter]], shards: int) -> DataFrame:
-    """Counts of the phrases active at ``step``, a row per phrase and stretch of a task."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: dict[str, Counter] = {}
-
-        def given(counter: Counter) -> Iterator[pa.RecordBatch]:
-            for found in counter.counted():
-                for part in found.to_batches(max_chunksize=1 << 16):
-                    yield part.cast(_SCANNED)
+            self._take(words)
+            tail, at = (tail + words[1 - LONGEST :])[1 - LONGEST :], end
+            if self.held >= BLOCK:
+                # The next block begins with words that this one needs as well.
+                yield self.block(later=len(tail))
+                self._take(tail)
+        self._take([_END])
+
+
+_BLOCKS = pa.schema([
+    ("shard", pa.int32()), ("lang", pa.string()), ("own", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("hashes", pa.binary()), ("names", pa.list_(pa.string())),
+])
+_BLOCKS_SQL = "shard int, lang string, own bigint, n bigint, ids binary, hashes binary, names array<string>"
+
+
+def dealt(docs: DataFrame, shards: int, salt: int) -> DataFrame:
+    """Blocks of the texts (``lang``, ``text`` as bytes), dealt to shards in turn."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealers: dict[str, Dealer] = {}
+        turn = count_from(TaskContext.get().partitionId())
+
+        def row(lang: str, block: Block) -> pa.RecordBatch:
+            salted = xxh64_intdigest(lang.encode(), salt)
+            hashes = np.fromiter((word_hash(w, salted) for w in block.words), np.uint64, len(block.words))
+            hashes[0] = 0
+            # The first is the end of a piece and has no name.
+            names = pa.array(block.words[1:], pa.binary()).view(pa.string())
+            names = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+            words = int(np.count_nonzero(block.ids[: block.own]))
+            values = [next(turn) % shards], [lang], [block.own], [words], [block.ids.astype("<u4").tobytes()], [hashes.astype("<u8").tobytes()]
+            return pa.record_batch([*(pa.array(v, t) for v, t in zip(values, _BLOCKS.types)), names], schema=_BLOCKS)
 
         for part in slices(batches):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                counter = counters.get(lang) or counters.setdefault(lang, Counter(lang, step, filters, shards))
-                counter.add(text)
-            # All languages together stay within one stretch and one short slice of rows.
-            while sum(c.held for c in counters.values()) >= STRETCH:
-                yield from given(max(counters.values(), key=lambda c: c.held))
-        for counter in counters.values():
-            yield from given(counter)
-
-    return shard.mapInArrow(count, _SCANNED_SQL)
+                dealer = dealers.get(lang) or dealers.setdefault(lang, Dealer())
+                for block in dealer.add(text):
+                    yield row(lang, block)
+            # All languages together hold one block and one short slice of rows.
+            while sum(d.held for d in dealers.values()) >= BLOCK:
+                fullest = max(dealers, key=lambda x: dealers[x].held)
+                yield row(fullest, dealers[fullest].block())
+        for lang, dealer in dealers.items():
+            if dealer.held:
+                yield row(lang, dealer.block())
+
+    return docs.mapInArrow(deal, _BLOCKS_SQL)
+
+
+def counted(block: Block, hashes: np.ndarray, step: int, filters: dict[int, dict[int, Filter]], shards: int) -> Iterator[tuple]:
+    """Counts of a block's phrases that are active at ``step``: hashes of the words, count, last step."""
+    ids, own = block.ids, block.own
+    if step < shards:
+        seen = np.bincount(ids[:own], minlength=len(hashes))
+        seen[0] = 0
+        some = np.flatnonzero(seen)
+        yield (hashes[some],), seen[some], np.full(len(some), shards - 1)
+    if 1 not in filters:
+        return
+    since = _reached(filters[1], hashes)
+    since[0] = -1
+    a, b = ids[:-1], ids[1:]
+    near = np.minimum(since[a], since[b]) >= 0
+    active = near & (np.maximum(since[a], since[b]) + shards >= step)
+    active[own:] = False
+    keys, counts = np.unique(a[active] << PLACE | b[active], return_counts=True)
+    x, y = keys >> PLACE, keys & MASK
+    yield (hashes[x], hashes[y]), counts, np.maximum(since[x], since[y]) + shards
+    if 2 not in filters:
+        return
+    pairs = np.full(len(a), -1, np.int64)
+    spots = np.flatnonzero(near)
+    pairs[spots] = _reached(filters[2], pair_hash(hashes[a[spots]], hashes[b[spots]]))
+    first, second = pairs[:-1], pairs[1:]
+    active = (np.minimum(first, second) >= 0) & (np.maximum(first, second) + shards >= step)
+    active[own:] = False
+    spots = np.flatnonzero(active)
+    keys, at, counts = np.unique(ids[spots] << (2 * PLACE) | ids[spots + 1] << PLACE | ids[spots + 2], return_index=True, return_counts=True)
+    until = np.maximum(first[spots[at]], second[spots[at]]) + shards
+    yield (hashes[keys >> (2 * PLACE)], hashes[keys >> PLACE & MASK], hashes[keys & MASK]), counts, until
+
+
+_KEY = ["a", "b", "c"]
+_SCANNED = pa.schema([*((k, pa.int64()) for k in _KEY), ("fresh", pa.int64()), ("until", pa.int32())])
+_SCANNED_SQL = "a bigint, b bigint, c bigint, fresh bigint, until int"
+
+
+def scanned(blocks: DataFrame, step: int, filters: dict[int, dict[int, Filter]], shards: int) -> DataFrame:
+    """A row per phrase active at ``step`` and block: ``a``, ``b``, ``c`` (hashes of its words, 0 for none), its count and last step."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            own, ids, hashes = (part.column(i)[0] for i in range(3))
+            block = Block(own.as_py(), np.frombuffer(ids.as_buffer(), "<u4").astype(np.int64), [])
+            for words, counts, until in counted(block, np.frombuffer(hashes.as_buffer(), "<u8"), step, filters, shards):
+                none = np.zeros(len(counts), np.int64)
+                key = [w.view(np.int64) for w in words] + [none] * (len(_KEY) - len(words))
+                columns = [pa.array(x, t) for x, t in zip([*key, counts, until], _SCANNED.types)]
+                yield from pa.Table.from_arrays(columns, schema=_SCANNED).to_batches(max_chunksize=1 << 16)
+
+    return blocks.select("own", "ids", "hashes").mapInArrow(scan, _SCANNED_SQL)
 
 
 def filter_of(phrases: DataFrame, words: int, entries: int) -> Filter:
-    """A filter of the rows' phrases, put together from bits that are combined before the shuffle."""
-    bits = Filter.bits_for(entries)
-
-    def spots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(bits)
-        for part in slices(batches, 1 << 14):
-            langs = [x.encode() for x in part.column(0).to_pylist()]
-            split = [x.encode().split(b" ") for x in part.column(1).to_pylist()]
-            hashes = [np.fromiter((word_hash(x, w[i]) for x, w in zip(langs, split)), np.uint64, len(langs)) for i in range(words)]
-            own.add(hashes[0] if words == 1 else pair_hash(*hashes))
-        held = np.flatnonzero(own.words)
-        for at in range(0, len(held), 1 << 16):
-            some = held[at : at + (1 << 16)]
-            yield pa.record_batch({"spot": pa.array(some, pa.int64()), "bits": pa.array(own.words[some].view(np.int64))})
-
-    rows = phrases.select("lang", "phrase").mapInArrow(spots, "spot bigint, bits bigint")
+    """A filter of the rows' phrases: their bits, put together word by word."""
+    made = Filter(Filter.bits_for(entries))
+    size = len(made.words)
+
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [batch.column(i).to_numpy().view(np.uint64) for i in range(words)]
+            spots, bits = Filter.places(hashes[0] if words == 1 else pair_hash(*hashes), size)
+            yield pa.record_batch({"spot": pa.array(spots.astype(np.int64)), "bits": pa.array(bits.view(np.int64))})
+
+    rows = phrases.select(*_KEY[:words]).mapInArrow(places, "spot bigint, bits bigint")
     # At most 2 ** (MOST_BITS - 6) rows, whatever the table.
     whole = rows.groupBy("spot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    made = Filter(bits)
     made.words[whole["spot"].to_numpy()] = whole["bits"].to_numpy().view(np.uint64)
     return made
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, shards: int = SHARDS) -> DataFrame:
-    """``lang``, ``words``, ``phrase``, ``f``: every phrase of up to three words met ``least`` times, and
-    for each language a row of 0 words with all its words' places."""
-    spark = docs.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/llm-phrases-{uuid.uuid4().hex}"
-    states = f"{folder}/states"
-    dealt = docs.filter(F.col(text).isNotNull()).select(
-        F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"),
-        # Each row is written to one shard, whichever.
-        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
-    )
-    dealt.write.partitionBy("shard").parquet(f"{folder}/shards")
-    per_shard = [f"c{i}" for i in range(shards)]
-    columns = {"lang": "string", "words": "int", "phrase": "string", "until": "int", "reached": "int", **dict.fromkeys(per_shard, "bigint")}
-    kept = ", ".join(f"{name} {kind}" for name, kind in (columns | {"step": "int", "open": "int"}).items())
-    total = sum(F.coalesce(F.col(c), F.lit(0)) for c in per_shard)
+def _length() -> Column:
+    return F.when(F.col("c") != 0, 3).when(F.col("b") != 0, 2).otherwise(1)
+
+
+def _cycles(spark: SparkSession, place: str, states: str, least: int, shards: int) -> DataFrame:
+    """Scans the blocks until nothing is active: ``a``, ``b``, ``c`` and ``f`` of every phrase met often enough.
+
+    A phrase's state: ``n`` (its count so far), ``seen`` (a bit for each shard in it) and ``until``, its last step.
+    """
+    columns = {**dict.fromkeys(_KEY, "bigint"), "until": "int", "n": "bigint", "seen": "bigint"}
+    kept = ", ".join(f"{name} {kind}" for name, kind in (columns | {"step": "int", "open": "int", "new": "boolean"}).items())
     filters: dict[int, dict[int, Filter]] = {}
     step, last = 0, shards - 1
     while step <= last:
         shard = step % shards
-        rows = spark.read.schema("lang string, text binary, shard int").parquet(f"{folder}/shards").filter(F.col("shard") == shard).select("lang", "text")
-        fresh = scanned(rows, step, filters, shards)
-        fresh = fresh.withColumns({name: F.lit(None).cast(kind) for name, kind in columns.items() if name not in fresh.columns})
+        blocks = spark.read.schema(_BLOCKS_SQL).parquet(place).filter(F.col("shard") == shard)
+        none = F.lit(None).cast("bigint")
+        rows = scanned(blocks, step, filters, shards).withColumns({"n": none, "seen": none})
         if step:
-            before = spark.read.schema(kept).parquet(states).filter((F.col("step") == step - 1) & (F.col("open") == 1)).drop("step", "open")
-            fresh = fresh.unionByName(before.withColumn("fresh", F.lit(None).cast("bigint")))
-        counts = {c: F.max(c).alias(c) for c in per_shard}
-        counts[f"c{shard}"] = F.coalesce(F.sum("fresh"), F.max(f"c{shard}")).alias(f"c{shard}")
-        now = fresh.groupBy("lang", "words", "phrase").agg(F.max("until").alias("until"), F.min("reached").alias("reached"), *counts.values())
-        now = now.withColumn("reached", F.coalesce("reached", F.when(total >= least, F.lit(step))))
-        now = now.filter((total >= least) | (F.col("until") > step) | (F.col("words") == 0))
-        now.withColumn("open", (F.col("until") > step).cast("int")).write.partitionBy("open").parquet(f"{states}/step={step}")
+            before = spark.read.schema(kept).parquet(states).filter((F.col("step") == step - 1) & (F.col("open") == 1))
+            rows = rows.unionByName(before.select(*columns).withColumn("fresh", none))
+        now = rows.groupBy(*_KEY).agg(
+            F.max("until").alias("until"), F.sum("fresh").alias("fresh"), F.coalesce(F.max("n"), F.lit(0)).alias("before"), F.coalesce(F.max("seen"), F.lit(0)).alias("seen")
+        )
+        # A shard that was counted before does not count again.
+        known = F.col("seen").bitwiseAND(F.lit(1 << shard)) != 0
+        now = now.withColumn("n", F.col("before") + F.when(known, F.lit(0)).otherwise(F.coalesce("fresh", F.lit(0))))
+        now = now.withColumn("seen", F.when(F.col("fresh").isNull(), F.col("seen")).otherwise(F.col("seen").bitwiseOR(F.lit(1 << shard))))
+        now = now.filter((F.col("n") >= least) | (F.col("until") > step))
+        now = now.select(*columns, ((F.col("n") >= least) & (F.col("before") < least)).alias("new"), (F.col("until") > step).cast("int").alias("open"))
+        now.write.partitionBy("open").parquet(f"{states}/step={step}")
         if step:
             removed(spark, f"{states}/step={step - 1}/open=1")
-        new = spark.read.schema(kept).parquet(states).filter((F.col("step") == step) & (F.col("reached") == step) & F.col("words").between(1, LONGEST - 1))
-        for row in new.groupBy("words").count().collect():
-            filters.setdefault(row["words"], {})[step] = filter_of(new.filter(F.col("words") == row["words"]), row["words"], row["count"])
+        reached = spark.read.schema(kept).parquet(states).filter((F.col("step") == step) & F.col("new")).withColumn("words", _length())
+        for row in reached.filter(F.col("words") < LONGEST).groupBy("words").count().collect():
+            filters.setdefault(row["words"], {})[step] = filter_of(reached.filter(F.col("words") == row["words"]), row["words"], row["count"])
             last = step + shards
         step += 1
-    every = spark.read.schema(kept).parquet(states)
-    counts = every.groupBy("lang", "words", "phrase").agg(*(F.max(c).alias(c) for c in per_shard)).withColumn("f", total)
-    counts = stored(counts.filter((F.col("f") >= least) | (F.col("words") == 0)).select("lang", "words", "phrase", "f"))
+    # Should a complete phrase have been let through once more, its earlier row holds more.
+    every = spark.read.schema(kept).parquet(states).filter(F.col("n") >= least)
+    return every.groupBy(*_KEY).agg(F.max("n").alias("f"))
+
+
+class Mined(NamedTuple):
+    """``counts``: ``a``, ``b``, ``c``, ``f`` of phrases; ``names``: ``h``, ``lang``, ``name`` of words; ``totals``: ``lang``, ``n``."""
+
+    counts: DataFrame
+    names: DataFrame
+    totals: DataFrame
+
+
+def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, shards: int = SHARDS, salt: int = 0) -> Mined:
+    """Every phrase of up to three words that is met ``least`` times, the words in them, and all words' places by language."""
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/llm-phrases-{uuid.uuid4().hex}"
+    place = f"{folder}/blocks"
+    rows = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
+    # Small row groups: a reader holds one, of few blocks, at a time.
+    dealt(rows, shards, salt).write.option("parquet.block.size", 1 << 24).partitionBy("shard").parquet(place)
+    counts = stored(_cycles(spark, place, f"{folder}/states", least, shards))
+    blocks = spark.read.schema(_BLOCKS_SQL).parquet(place)
+    totals = stored(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
+    words = blocks.select("hashes", "lang", "names").mapInArrow(_named, "h bigint, lang string, name string")
+    often = counts.filter("b = 0").select(F.col("a").alias("h"))
+    met = words.join(often, "h", "left_semi").groupBy("h").agg(F.min(F.struct("lang", "name")).alias("x"), F.max(F.struct("lang", "name")).alias("y"))
+    met = stored(met)
+    if not met.filter("x != y").isEmpty():
+        removed(spark, folder)
+        return mined(docs, text, lang, least, shards, salt + 1)
     removed(spark, folder)
-    return counts
+    return Mined(counts, met.select("h", "x.lang", "x.name"), totals)
+
+
+def _named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 1):
+        hashes, names = np.frombuffer(part.column(0)[0].as_buffer(), "<i8")[1:], part.column(2)[0].values
+        langs = pa.array([part.column(1)[0].as_py()]).take(pa.array(np.zeros(len(hashes), np.int64)))
+        whole = pa.table({"h": pa.array(hashes), "lang": langs, "name": names})
+        yield from whole.to_batches(max_chunksize=1 << 16)
+
+
+def phrase_counts(found: Mined) -> DataFrame:
+    """``lang``, ``words``, ``phrase``, ``f`` of every phrase met often enough."""
+    rows = found.counts.withColumn("words", _length())
+    return _with_names(rows, found.names).select("lang", "words", "phrase", "f")
+
+
+def _with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``lang`` and ``phrase`` to rows of ``a``, ``b``, ``c``."""
+    for key in _KEY:
+        own = names.select(F.col("h").alias(key), F.col("name").alias(f"_{key}"), *([F.col("lang")] if key == "a" else []))
+        rows = rows.join(own, key, "inner" if key == "a" else "left")
+    return rows.withColumn("phrase", F.concat_ws(" ", "_a", "_b", "_c")).drop("_a", "_b", "_c")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -301,26 +368,38 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", a * a * F.lit(MILLION).cast("decimal(7,0)"), left * right)
 
 
-def collocations(counts: DataFrame, covered: int = COVERED) -> DataFrame:
-    """Every phrase of two words or more that no longer one covers: ``lang``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``."""
-    found = counts.filter(F.col("words") >= 2).select("lang", "words", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
-
-    def part(first, length) -> Column:
-        return F.array_join(F.slice("w", first, length), " ")
-
-    cuts = F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: F.struct(k.alias("k"), part(F.lit(1), k).alias("x"), part(k + 1, F.col("words") - k).alias("y")))
-    cut = found.select("lang", "phrase", "a", F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.*")
-    one = counts.filter(F.col("words") > 0).select("lang", F.col("phrase").alias("x"), F.col("f").alias("l"))
-    two = one.toDF("lang", "y", "r")
-    scored = cut.join(one, ["lang", "x"]).join(two, ["lang", "y"]).withColumn("score", _score(F.col("a"), F.col("l"), F.col("r")))
-    best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
-    starts = F.sequence(F.lit(1), F.col("words") - 1)
-    inner = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.greatest(F.col("words") - i + 1, F.lit(2))), lambda n: part(i, n))))
-    inside = found.filter(F.col("words") > 2).select("lang", "phrase", "a", F.explode(F.array_distinct(inner)).alias("in")).filter("in != phrase")
-    longer = inside.groupBy("lang", F.col("in").alias("phrase")).agg(F.max("a").alias("most"))
-    left = best.join(longer, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("most") < covered * F.col("a"), F.lit(True)))
-    totals = counts.filter(F.col("words") == 0).select("lang", F.col("f").alias("n"))
-    return left.join(totals, "lang").select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")
+def scored(counts: DataFrame, covered: int = COVERED) -> DataFrame:
+    """Every phrase of two words or more that no longer one covers: ``a``, ``b``, ``c``, ``f``, ``l``, ``r``, ``score``."""
+    found = counts.filter("b != 0").select(*_KEY, F.col("f").alias("n"))
+    none = F.lit(0).cast("bigint")
+
+    def cut(k: int, *parts: Column) -> Column:
+        return F.struct(F.lit(k).alias("k"), *(x.alias(n) for x, n in zip(parts, ("x1", "x2", "y1", "y2"))))
+
+    a, b, c = (F.col(k) for k in _KEY)
+    cuts = F.when(c == 0, F.array(cut(1, a, none, b, none))).otherwise(F.array(cut(1, a, none, b, c), cut(2, a, b, c, none)))
+    cut_up = found.withColumn("cut", F.explode(cuts)).select(*_KEY, "n", "cut.*")
+    parts = counts.filter("c = 0")
+    left, right = parts.select(F.col("a").alias("x1"), F.col("b").alias("x2"), F.col("f").alias("l")), parts.select(F.col("a").alias("y1"), F.col("b").alias("y2"), F.col("f").alias("r"))
+    met = cut_up.join(left, ["x1", "x2"]).join(right, ["y1", "y2"]).withColumn("score", _score(F.col("n"), F.col("l"), F.col("r")))
+    best = met.groupBy(*_KEY, "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("s"))
+    longer = found.filter("c != 0").select(F.explode(F.array(F.struct("a", "b"), F.struct(b.alias("a"), c.alias("b")))).alias("p"), "n")
+    most = longer.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.max("n").alias("most")).withColumn("c", none)
+    rest = best.join(most, _KEY, "left").filter(F.coalesce(100 * F.col("most") < covered * F.col("n"), F.lit(True)))
+    return rest.select(*_KEY, F.col("n").alias("f"), "s.l", "s.r", "s.score")
+
+
+def collocations(found: Mined, top: int = TOP, covered: int = COVERED) -> DataFrame:
+    """The first ``top`` collocations of every language: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``."""
+    langs = found.names.select(F.col("h").alias("a"), "lang")
+    rows = scored(found.counts, covered).join(langs, "a")
+    # Names are looked up for what may be among the first, ties at the end included.
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"))
+    first = rows.withColumn("_rank", F.rank().over(order)).filter(F.col("_rank") <= top).drop("_rank", "lang")
+    named = _with_names(first, found.names).select("lang", "phrase", F.col("f").alias("a"), "l", "r", "score")
+    exact = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = named.withColumn("rank", F.row_number().over(exact).cast("bigint")).filter(F.col("rank") <= top)
+    return ranked.join(found.totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 @query("op12_phrase_mining", rf"""
@@ -351,7 +430,4 @@ ranked AS (
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {TOP}""")
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of every language."""
-    counts = phrase_counts(table(spark, sf_dir, "documents").select("text", "lang"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = collocations(counts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)
-    return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return collocations(mined(table(spark, sf_dir, "documents").select("text", "lang")))

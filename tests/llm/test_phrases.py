@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallybridge.llm import phrases
@@ -76,44 +77,73 @@ def test_counts_whatever_the_shards(spark, shards, monkeypatch):
     """However late a phrase becomes active, it is counted in full; with filters that let everything through as well."""
     docs = crowd(2, 150)
     f, n = plain_counts(docs)
-    want = sorted([(lang, p.count(" ") + 1, p, c) for (lang, p), c in f.items() if c >= 10] + [(lang, 0, "", c) for lang, c in n.items()])
+    want = sorted((lang, p.count(" ") + 1, p, c) for (lang, p), c in f.items() if c >= 10)
     frame = spark.createDataFrame(docs, "text string, lang string").repartition(3)
     for most in (phrases.MOST_BITS, 6):
         monkeypatch.setattr(phrases, "MOST_BITS", most)
-        assert sorted(map(tuple, phrases.phrase_counts(frame, shards=shards).collect())) == want
+        found = phrases.mined(frame, shards=shards)
+        assert sorted(map(tuple, phrases.phrase_counts(found).collect())) == want
+        assert {r.lang: r.n for r in found.totals.collect()} == dict(n)
 
 
-def test_stretches(monkeypatch):
-    """Borders between stretches, and more words than numbers, change no count."""
+def test_words_that_share_a_hash(spark, monkeypatch):
+    """All is done anew with another salt."""
+    docs, dealt, salts = crowd(4, 100), phrases.dealt, []
+    f, _ = plain_counts(docs)
+
+    def poor(rows, shards, salt):
+        salts.append(salt)
+        blocks = dealt(rows, shards, salt)
+
+        def spoil(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    few = np.frombuffer(row.column("hashes")[0].as_py(), "<u8") % 5 + 1
+                    few[0] = 0
+                    yield row.set_column(row.schema.get_field_index("hashes"), "hashes", pa.array([few.tobytes()], pa.binary()))
+
+        return blocks if salt else blocks.mapInArrow(spoil, blocks.schema)
+
+    monkeypatch.setattr(phrases, "dealt", poor)
+    found = phrases.phrase_counts(phrases.mined(spark.createDataFrame(docs, "text string, lang string")))
+    assert {(r.lang, r.phrase): r.f for r in found.collect()} == {k: c for k, c in f.items() if c >= 10} and salts == [0, 1]
+
+
+def test_blocks(monkeypatch):
+    """Borders between blocks and between stretches of a text change no count."""
     texts = [t for t, _ in crowd(3, 60)]
     f, n = plain_counts([(t, "en") for t in texts])
-    every = phrases.Filter(6, np.full(1, -1, np.int64).view(np.uint64))
-    for stretch, octets, mask in ((7, 5, phrases.MASK), (50, 64, 4), (phrases.STRETCH, phrases.BYTES, phrases.MASK)):
-        monkeypatch.setattr(phrases, "STRETCH", stretch)
+    every = phrases.Filter(6)
+    every.words[:] = -1 % 2**64
+    for full, octets in ((1, 1), (7, 5), (50, 64), (phrases.BLOCK, phrases.BYTES)):
+        monkeypatch.setattr(phrases, "BLOCK", full)
         monkeypatch.setattr(phrases, "BYTES", octets)
-        # Only the test for renumbering reads the smaller value.
-        counter = phrases.Counter("en", 2, {1: {0: every}, 2: {1: every}}, 3)
-        got = Counter()
-        for text in texts:
-            counter.add(text.encode())
-        if mask < phrases.MASK:
-            monkeypatch.setattr(phrases, "RENUMBER", mask)
-        for found in counter.counted():
-            for r in found.to_pylist():
-                got["en" if r["words"] else "", r["phrase"]] += r["fresh"]
-        assert got.pop(("", "")) == n["en"] and got == f
-
-
-def test_filter():
+        dealer, got, words = phrases.Dealer(), Counter(), 0
+        blocks = [b for t in texts for b in dealer.add(t.encode())] + [dealer.block()]
+        assert (len(blocks) > 1) == (full < 1000)
+        for block in blocks:
+            hashes = np.array([0, *(phrases.word_hash(w, 1) for w in block.words[1:])], np.uint64)
+            name = dict(zip(hashes.tolist()[1:], (w.decode() for w in block.words[1:])))
+            words += int(np.count_nonzero(block.ids[: block.own]))
+            for key, counts, _ in phrases.counted(block, hashes, 2, {1: {0: every}, 2: {1: every}}, 3):
+                for *parts, c in zip(*(k.tolist() for k in key), counts.tolist()):
+                    got["en", " ".join(name[x] for x in parts)] += c
+        assert got == f and words == n["en"]
+
+
+def test_filter(spark):
     rng = np.random.default_rng(1)
     held = rng.integers(0, 2**64, 5000, dtype=np.uint64)
-    made = phrases.Filter(phrases.Filter.bits_for(len(held)))
-    made.add(held)
-    assert made.holds(held).all() and made.holds(rng.integers(0, 2**64, 100_000, dtype=np.uint64)).mean() < 0.01
+    rows = spark.createDataFrame(pa.table({"a": pa.array(held.view(np.int64)), "b": pa.array(held[::-1].copy().view(np.int64))}))
+    one, two = phrases.filter_of(rows, 1, len(held)), phrases.filter_of(rows, 2, len(held))
+    other = rng.integers(0, 2**64, 100_000, dtype=np.uint64)
+    assert one.holds(held).all() and one.holds(other).mean() < 0.01
+    assert two.holds(phrases.pair_hash(held, held[::-1])).all() and two.holds(other).mean() < 0.01
     assert phrases.Filter.bits_for(10**12) == phrases.MOST_BITS
 
 
 def test_scores_beyond_64_bits(spark):
     a, x, y = 10**12, 3 * 10**12 + 7, 10**12 + 1
-    counts = spark.createDataFrame([("en", 0, "", 10**14), ("en", 1, "p", x), ("en", 1, "q", y), ("en", 2, "p q", a)], "lang string, words int, phrase string, f long")
-    assert [tuple(r) for r in phrases.collocations(counts).collect()] == [("en", "p q", a, x, y, 10**14, 10**6 * a * a // (x * y))]
+    counts = spark.createDataFrame([(1, 0, 0, x), (2, 0, 0, y), (1, 2, 0, a)], "a long, b long, c long, f long")
+    assert [tuple(r) for r in phrases.scored(counts).collect()] == [(1, 2, 0, a, x, y, 10**6 * a * a // (x * y))]
