@@ -139,10 +139,46 @@ def x6(spark, sf):
     return tx.with_stem(rows, "date", "vendor", "amount").select("l_orderkey", "l_linenumber", "l_partkey", "stem")
 
 
-@query("x7_money_mentions")
+# Whole documents without a digit of their own, between facts that are known: what is found, and where,
+# follows from how a text was put together.
+BODY_SQL = "translate(text, '0123456789', 'abcdefghij')"
+
+
+def _digitless(spark, sf):
+    d = spread(b.table(spark, sf, "documents"))
+    return d.select("doc_id", "n_chars", F.translate("text", "0123456789", "abcdefghij").alias("body"))
+
+
+NO_MONEY = " No. 45 den 2026-01-02 A-12.50 0,00 kr 007.50\n"
+
+
+@query(
+    "x7_money_mentions",
+    rf"""
+WITH d AS (
+  SELECT doc_id, 'Total: ' AS h1, format('{{:,.2f}}', n_chars + 0.5) AS m1, CAST(n_chars + 0.5 AS DECIMAL(18,2)) AS v1,
+    'Summa ' AS h2, {SV.format("n_chars + 0.25", " ")} AS m2, CAST(n_chars + 0.25 AS DECIMAL(18,2)) AS v2, 'Betalt kr ' AS h3, CAST(doc_id % 900 + 1 AS VARCHAR) AS m3,
+    'Ref #' || doc_id || {b.literal(NO_MONEY)} || regexp_replace({BODY_SQL}, '[\x{{034f}}\x{{200b}}\x{{200c}}\x{{200d}}\x{{00ad}}\x{{feff}}]', '', 'g') AS body, (n_chars % 77 + 1) || '.25' AS m4 FROM documents),
+t AS (SELECT *, h1 || m1 || ' USD' || chr(10) AS s1, h2 || m2 || ' kr' || chr(10) AS s2, h3 || m3 || ' till DKK-konto' || chr(10) AS s3 FROM d),
+w AS (SELECT *, s1 || s2 || s3 || body || chr(10) || '€' || m4 || ' and ' || m4 || ' EUR' AS t FROM t),
+m AS (
+  SELECT doc_id, t, 7 AS pos, 7 AS start, length(m1) + 4 AS whole, v1 AS value, 'USD' AS currency FROM w
+  UNION ALL SELECT doc_id, t, length(s1) + 6, length(s1) + 6, length(m2) + 3, v2, 'SEK' FROM w
+  UNION ALL SELECT doc_id, t, length(s1 || s2) + 10, length(s1 || s2) + 7, length(m3) + 3, CAST(m3 AS DECIMAL(18,2)), 'DKK' FROM w
+  UNION ALL SELECT doc_id, t, length(s1 || s2 || s3 || body) + 2, length(s1 || s2 || s3 || body) + 1, length(m4) + 1, CAST(m4 AS DECIMAL(18,2)), 'EUR' FROM w)
+SELECT doc_id, value, currency, CAST(pos AS INTEGER) AS pos,
+  trim(regexp_replace(replace(replace(substr(t, greatest(start - 40, 0) + 1, least(start, 40) + whole + 40), chr(160), ' '), chr(8239), ' '), '[ \t\n\f\r\v]+', ' ', 'g')) AS context FROM m""",
+)
 def x7(spark, sf):
-    """Money in whole documents and proofs; checked against a plain scan in the tests."""
-    return tx.money_mentions(proofs(spark, sf), "doc_id", "text")
+    """Four known sums round each whole document; natural texts are held against a plain scan in the tests."""
+    n, key = F.col("n_chars"), F.col("doc_id")
+    again = F.concat((n % 77 + 1).cast("string"), F.lit(".25"))
+    text = F.concat(
+        F.lit("Total: "), F.format_number(n + F.lit(0.5), 2), F.lit(" USD\nSumma "), F.translate(F.format_number(n + F.lit(0.25), 2), ",.", " ,"),
+        F.lit(" kr\nBetalt kr "), (key % 900 + 1).cast("string"), F.lit(" till DKK-konto\nRef #"), key.cast("string"), F.lit(NO_MONEY), F.col("body"),
+        F.lit("\n€"), again, F.lit(" and "), again, F.lit(" EUR"),
+    )
+    return tx.money_mentions(_digitless(spark, sf).select("doc_id", text.alias("text")), "doc_id", "text")
 
 
 @query(
@@ -252,11 +288,31 @@ SELECT doc_id, lang, n_chars, text, CAST(DATE '2026-05-01' + CAST(n_chars % 28 A
 )
 
 
-@query("x10_text_dates")
+@query(
+    "x10_text_dates",
+    rf"""
+WITH d AS (SELECT *, CAST(DATE '2026-01-01' + CAST(n_chars % 365 AS INTEGER) AS DATE) AS day, {BODY_SQL} AS body FROM documents),
+t AS (
+  SELECT doc_id, day, 'Order date: ' || day || chr(10) AS s1, 'Paid ' || strftime(day, '%-d %B %Y') || ' thanks' || chr(10) AS s2, 'Due ' || strftime(day, '%d/%m/%Y') || chr(10) AS s3,
+    'Ship ' || strftime(day, '%b %-d, %Y') || chr(10) || 'Not 2026-13-45' || chr(10) || body || chr(10) AS s4 FROM d),
+m AS (
+  SELECT doc_id, 12 AS pos, CAST(day AS VARCHAR) AS readings FROM t
+  UNION ALL SELECT doc_id, length(s1) + 5, CAST(day AS VARCHAR) FROM t
+  UNION ALL SELECT doc_id, length(s1 || s2) + 4, day || CASE WHEN day(day) <= 12 AND day(day) <> month(day) THEN ',' || make_date(2026, day(day), month(day)) ELSE '' END FROM t
+  UNION ALL SELECT doc_id, length(s1 || s2 || s3) + 5, CAST(day AS VARCHAR) FROM t
+  UNION ALL SELECT doc_id, length(s1 || s2 || s3 || s4), CAST(day AS VARCHAR) FROM t)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, readings FROM m""",
+)
 def x10(spark, sf):
-    """Dates in whole proofs; checked against a plain scan in the tests."""
-    rows = tx.text_dates(proofs(spark, sf), "doc_id", "text")
-    return rows.withColumn("readings", F.array_join(F.col("readings").cast("array<string>"), ","))
+    """Five known dates round each whole document; natural texts are held against a plain scan in the tests."""
+    day = F.date_add(F.lit("2026-01-01").cast("date"), F.pmod(F.col("n_chars"), F.lit(365)).cast("int"))
+    rows = _digitless(spark, sf).withColumn("day", day)
+    text = F.concat(
+        F.lit("Order date: "), F.col("day").cast("string"), F.lit("\nPaid "), F.date_format("day", "d MMMM yyyy"), F.lit(" thanks\nDue "), F.date_format("day", "dd/MM/yyyy"),
+        F.lit("\nShip "), F.date_format("day", "MMM d, yyyy"), F.lit("\nNot 2026-13-45\n"), F.col("body"), F.lit("\n"), F.col("day").cast("string"),
+    )
+    found = tx.text_dates(rows.select("doc_id", text.alias("text")), "doc_id", "text")
+    return found.withColumn("readings", F.array_join(F.col("readings").cast("array<string>"), ","))
 
 
 @query(
