@@ -189,16 +189,18 @@ def held_out(ids: Column) -> Column:
 def fit(docs: DataFrame, path: str, ids: str, text: str, lang: str, rows: int = ROWS, rounds: int = ROUNDS) -> Model:
     """The model of the languages of ``docs`` (rows to learn from; null languages are passed over)."""
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    # Renamed first: docs may have columns of these names.
+    named = docs.select(F.col(ids).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    named = named.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     # Chosen on narrow rows, first within parts of a language and then among what these leave, so that
     # no task takes rows from every partition of a large language. Spark limits before each shuffle.
-    narrow = named.select(F.col(ids).alias("_id"), F.col(lang).alias("_lang")).withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)))
+    narrow = named.select("_id", "_lang").withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)))
     within = Window.partitionBy("_lang", "_part").orderBy(F.xxhash64("_id"), "_id")
     few = narrow.withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= rows)
     chosen = few.select("_id", "_lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows)
-    sample = named.join(
-        chosen.distinct(), F.col(ids).eqNullSafe(F.col("_id")) & (F.col(lang) == F.col("_lang")), "left_semi"
-    ).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    keys = chosen.select("_id", "_lang").distinct().toDF("_key", "_own")
+    sample = named.join(keys, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_lang") == F.col("_own")), "left_semi")
+    sample = sample.select(F.col("_lang").alias("lang"), F.col("_text").alias("text"))
 
     def words(batches):
         for batch in batches:

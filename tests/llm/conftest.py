@@ -16,6 +16,7 @@ DOCUMENTS = T.StructType(
         # Names that operators use for columns of their own.
         T.StructField("_row", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("size", T.StringType()),
         T.StructField("_source", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("target", T.StringType()),
+        T.StructField("_id", T.StringType()), T.StructField("_lang", T.StringType()), T.StructField("_text", T.StringType()),
     ]
 )
 
@@ -40,7 +41,7 @@ def awkward_documents():
         (21, prose(15, 8), "en", "d"), (22, "!!! $$$ ### " * 30, "en", "d"), (23, "A B C D E F G H I J " * 2, "en", "e"), (24, prose(50, 9) + "\x01\x00", "de", "e"),
     ]
     texts += [(30 + i, prose(rng.randrange(0, 200), 50 + i), rng.choice(["en", "de", "fr"]), rng.choice(["a", "b", "z"])) for i in range(30)]
-    return [(i, t, lang, s, len(t or ""), "x", "no", "9", "q", "f", "t") for i, t, lang, s in texts]
+    return [(i, t, lang, s, len(t or ""), "x", "no", "9", "q", "f", "t", "i", "l", "w") for i, t, lang, s in texts]
 
 
 @pytest.fixture(scope="session")

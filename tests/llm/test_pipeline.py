@@ -8,7 +8,7 @@ import pytest
 
 from tallybridge.llm import lines, mixing, quality
 
-from .test_free_operators import check_pieces, classes, plain_fingerprint
+from .test_free_operators import check_pieces, classes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,11 +51,18 @@ def without_boilerplate(docs):
     return out
 
 
+def five_words(text):
+    """The distinct runs of five words, A-Z in lower case; all words where there are fewer."""
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
 def one_of_each(docs):
-    prints = [plain_fingerprint(d["text"]) for d in docs]
-    groups = classes(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    """The first document of each group of texts that are 0.8 or more alike, directly or through others."""
+    sets = [five_words(d["text"]) for d in docs]
+    alike = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or (min(len(a), len(b)) * 5 >= max(len(a), len(b)) * 4 and 5 * len(a & b) >= 4 * len(a | b))]
     first = {}
-    for d, g in zip(docs, groups):
+    for d, g in zip(docs, classes(len(docs), alike)):
         if g not in first or d["doc_id"] < first[g]["doc_id"]:
             first[g] = d
     return list(first.values())
