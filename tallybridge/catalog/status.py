@@ -211,6 +211,11 @@ def star(spark, sf):
     paid = o.filter(p == "5-LOW").select(_ref(3).alias("ref"), F.date_add(day, 10).alias("paid_on"))
     answers = o.filter(p == "2-HIGH").select(_ref(5).alias("ref"), F.when(s == "F", "business").otherwise("personal").alias("tag"))
     searches = o.filter(p == "4-NOT SPECIFIED").select(_ref(6).alias("ref"), (s == "F").alias("has_best"), F.date_add(day, 3).alias("searched_on"))
+    # Every fourth order has a second file, payout and search, which must not count twice.
+    twice = F.substring_index("ref", "-", 1).cast("bigint") % 4 == 0
+    files = files.unionByName(files.filter(twice).withColumn("file", F.lit("second file")))
+    paid = paid.unionByName(paid.filter(twice).withColumn("paid_on", F.date_add("paid_on", 30)))
+    searches = searches.unionByName(searches.filter(twice).select("ref", (~F.col("has_best")).alias("has_best"), F.date_sub("searched_on", 9).alias("searched_on")))
     return st.ledger_star(ledger, plan_rows(spark, sf), files, archive, paid, answers, searches)
 
 
@@ -269,11 +274,18 @@ FROM (SELECT month, count(*) AS rows, count(*) FILTER (tag = 'business') AS busi
   count(*) FILTER (tag = 'needs-tag') AS needs_tag, count(*) FILTER (tag = 'needs-tag' AND answer IS NULL) AS needs_tag_open, count(*) FILTER (tag = 'skip') AS skip, count(*) FILTER (tag = 'business' AND evidence) AS found, count(*) FILTER (tag = 'business' AND NOT evidence) AS missing
   FROM star GROUP BY month) s FULL JOIN plan_months m ON m.month = s.month""", "star")
 cte("cover", """
-SELECT d AS last_date, c AS closed_month, strftime(strptime(c || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS next_month, false AS next_present, false AS period_proven
+SELECT d AS last_date, c AS closed_month, c AS ledger_closed, strftime(strptime(c || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS next_month, false AS next_present, false AS period_proven
 FROM (SELECT d, CASE WHEN last_day(d) = d THEN strftime(d, '%Y-%m') ELSE strftime(date_trunc('month', d) - INTERVAL 1 DAY, '%Y-%m') END AS c FROM (SELECT CAST(max(o_orderdate) AS DATE) AS d FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)))""")
-cte("staged", """
-SELECT l.*, CASE WHEN l.month > (SELECT closed_month FROM cover) THEN 'no-csv' WHEN needs_tag_open > 0 THEN 'untagged' WHEN vouchers IS NULL AND business > 0 THEN 'no-plan' WHEN vouchers IS NULL THEN 'nothing-to-book'
-  WHEN held AND booked < vouchers THEN 'held' WHEN booked <= 0 THEN 'planned' WHEN booked < vouchers THEN 'partial' ELSE 'booked' END AS stage FROM ledger_months l""", "ledger_months", "cover")
+STAGED = """
+SELECT l.*, CASE WHEN l.month > (SELECT closed_month FROM cover) THEN 'no-csv' WHEN l.month > (SELECT ledger_closed FROM cover) THEN 'no-plan' WHEN needs_tag_open > 0 THEN 'untagged' WHEN vouchers IS NULL AND business > 0 THEN 'no-plan' WHEN vouchers IS NULL THEN 'nothing-to-book'
+  WHEN held AND booked < vouchers THEN 'held' WHEN booked <= 0 THEN 'planned' WHEN booked < vouchers THEN 'partial' ELSE 'booked' END AS stage FROM ledger_months l"""
+cte("staged", STAGED, "ledger_months", "cover")
+# Statements reach every charge, the ledger ends in the middle of a month some months before.
+LEDGER_END = "1998-05-20"
+cte("cover_behind", f"""
+SELECT last_date, closed_month, lc AS ledger_closed, strftime(strptime(lc || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS next_month, closed_month > lc AS next_present, period_proven
+FROM cover, (SELECT strftime(date_trunc('month', max(o_orderdate)) - INTERVAL 1 DAY, '%Y-%m') AS lc FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderdate < DATE '{LEDGER_END}')""", "cover")
+cte("staged_behind", STAGED.replace("FROM cover", "FROM cover_behind"), "ledger_months", "cover_behind")
 
 MONTH_COLS = "month, rows, business, business_sek, other_entity, personal, needs_tag, needs_tag_open, skip, found, missing"
 
@@ -292,7 +304,7 @@ def cover(spark, sf):
 
 
 @query("a12_coverage_ledger", """
-SELECT s AS last_date, sc AS closed_month, strftime(strptime(lc || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS next_month,
+SELECT s AS last_date, sc AS closed_month, lc AS ledger_closed, strftime(strptime(lc || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS next_month,
   sc >= strftime(strptime(lc || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS next_present, false AS period_proven
 FROM (SELECT s, CASE WHEN last_day(s) = s THEN strftime(s, '%Y-%m') ELSE strftime(date_trunc('month', s) - INTERVAL 1 DAY, '%Y-%m') END AS sc,
         CASE WHEN last_day(l) = l THEN strftime(l, '%Y-%m') ELSE strftime(date_trunc('month', l) - INTERVAL 1 DAY, '%Y-%m') END AS lc
@@ -308,9 +320,20 @@ def a12(spark, sf):
     return cover(spark, sf)
 
 
-def staged(spark, sf, rows=None):
+def cover_behind(spark, sf):
+    dates = b.charges_raw(spark, sf).select("date")
+    return st.coverage(dates, dates.filter(F.col("date") < F.lit(LEDGER_END).cast("date")))
+
+
+def staged(spark, sf, rows=None, covered=cover):
     months = _months(spark, sf, rows)
-    return st.month_stage(months, cover(spark, sf))
+    return st.month_stage(months, covered(spark, sf))
+
+
+@query("d12_month_stage_behind", with_("staged_behind", body="SELECT month, stage FROM staged_behind"))
+def d12_behind(spark, sf):
+    """The stages where the ledger ends before the statements do."""
+    return staged(spark, sf, covered=cover_behind).select("month", "stage")
 
 
 @query("d12_month_stage", with_("staged", body="SELECT month, stage FROM staged"))
@@ -358,13 +381,16 @@ def t2(spark, sf):
 # --------------------------------------------------------------------------- sources, headline, to-do
 
 @query("s6_newest_snapshot", """
-SELECT family, stamp, name FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY stamp DESC, name DESC) AS n FROM (
-  SELECT event_type AS family, CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END AS stamp, event_type || '-' || user_id || '_' || CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END || '.csv' AS name FROM events)) WHERE n = 1""")
+SELECT family, stamp, name FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY stamp DESC, ts DESC, name DESC) AS n FROM (
+  SELECT event_type AS family, ts, CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END AS stamp,
+    event_type || '-' || user_id || '_' || CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m') WHEN event_type = 'click' THEN 'latest' ELSE strftime(ts, '%Y-%m-%d') END || '.csv' AS name FROM events)) WHERE n = 1""")
 def s6(spark, sf):
+    """Names with a day, with a month alone, and without a date, which go by their file's time."""
     e = b.table(spark, sf, "events")
-    stamp = F.when(F.col("event_type") == "view", F.date_format("ts", "yyyy-MM")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
-    files = e.select(F.col("event_type").alias("family"), F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"), F.lit("_"), stamp, F.lit(".csv")).alias("name"))
-    return st.newest_snapshot(files, "family", "name")
+    kind = F.col("event_type")
+    stamp = F.when(kind == "view", F.date_format("ts", "yyyy-MM")).when(kind == "click", "latest").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    name = F.concat(kind, F.lit("-"), F.col("user_id").cast("string"), F.lit("_"), stamp, F.lit(".csv"))
+    return st.newest_snapshot(e.select(kind.alias("family"), name.alias("name"), F.col("ts").alias("modified")), "family", "name")
 
 
 def sources(spark, sf):
@@ -415,19 +441,19 @@ def _lint(spark, sf):
     return r.filter(F.col("vendor") == "").select("id", F.lit("error").alias("severity"))
 
 
-def tasks(spark, sf, rows):
+def tasks(spark, sf, rows, covered=cover):
     states = st.ledger_state(rows, b.OWN)
     on_list = records(spark, sf).filter(F.col("lang") == "de").select("id")
     return st.todo(
-        flagged(spark, sf), live(spark, sf), states, staged(spark, sf, rows), st.freshness(sources(spark, sf), F.expr(TODAY)),
-        st.open_warnings(_warnings(spark, sf), on_list), _lint(spark, sf), cover(spark, sf), b.OWN, F.expr(TODAY),
+        flagged(spark, sf), live(spark, sf), states, staged(spark, sf, rows, covered), st.freshness(sources(spark, sf), F.expr(TODAY)),
+        st.open_warnings(_warnings(spark, sf), on_list), _lint(spark, sf), covered(spark, sf), b.OWN, F.expr(TODAY),
     )
 
 
 DUP = """
 SELECT r.id, (SELECT min(o.id) FROM records o WHERE o.invoice_number = r.invoice_number AND o.kind <> 'credit-note' AND (o.date <> r.date OR o.amount_sek <> r.amount_sek)) AS other_id
 FROM records r WHERE r.invoice_number <> '' AND r.kind <> 'credit-note'"""
-cte("tasks", f"""
+TASKS = f"""
 SELECT 'expense-reattach' AS key, 'crit' AS severity, 'operator' AS owner, count(*) AS count, CAST(sum(amount_sek) AS DECIMAL(18,2)) AS amount_sek, 'attach the right document' AS detail FROM flagged WHERE status = 'open' HAVING count(*) > 0
 UNION ALL SELECT 'expense-missing:' || route, 'warn', owner, count(*), CAST(sum(amount_sek) AS DECIMAL(18,2)), 'fetch documents' FROM live WHERE route <> 'attached' GROUP BY route, owner
 UNION ALL SELECT 'card-missing', 'warn', CASE WHEN count(searched_on) < count(*) THEN 'system' ELSE 'operator' END, count(*), CAST(sum(amount) AS DECIMAL(18,2)), 'searched ' || count(searched_on) FROM states WHERE answered_tag = 'business' AND entity = 'alfa' AND NOT evidence AND state = 'no-receipt' HAVING count(*) > 0
@@ -436,10 +462,14 @@ UNION ALL SELECT 'card-csv:' || next_month, 'warn', 'operator', NULL, NULL, 'las
 UNION ALL SELECT 'card-tags', 'warn', 'operator', count(*), CAST(sum(amount) AS DECIMAL(18,2)), 'tag the rows' FROM states WHERE state = 'needs-tag' HAVING count(*) > 0
 UNION ALL SELECT 'plan-held:' || month, 'warn', 'system', vouchers, plan_sek, 'reconcile and rebuild the plan' FROM staged WHERE booked < vouchers AND held
 UNION ALL SELECT 'plan-execute:' || month, 'info', 'operator', vouchers, plan_sek, booked || ' booked' FROM staged WHERE booked < vouchers AND NOT held
-UNION ALL SELECT 'plan-missing:' || month, 'info', 'system', business - other_entity, business_sek, 'build the plan' FROM staged WHERE vouchers IS NULL AND business - other_entity > 0 AND stage <> 'no-csv'
+UNION ALL SELECT 'plan-missing:' || month, 'info', 'system', business - other_entity, business_sek, 'build the plan' FROM staged WHERE vouchers IS NULL AND business - other_entity > 0 AND stage <> 'no-csv' AND month <= (SELECT ledger_closed FROM cover)
+UNION ALL SELECT 'card-month-end:' || m, 'info', 'system', NULL, NULL, 'run the month close' FROM (
+  SELECT strftime(unnest(generate_series(strptime(next_month || '-01', '%Y-%m-%d'), strptime(closed_month || '-01', '%Y-%m-%d'), INTERVAL 1 MONTH)), '%Y-%m') AS m FROM cover WHERE ledger_closed < closed_month)
 UNION ALL SELECT 'source-stale:' || source, 'info', 'operator', NULL, NULL, age_days || ' days old' FROM fresh WHERE state = 'stale' AND NOT statement
 UNION ALL SELECT 'archive-review', 'info', 'operator', count(*), NULL, 'look at the archive warnings' FROM ({DUP}) WHERE other_id IS NOT NULL AND id NOT IN (SELECT id FROM records WHERE lang = 'de') AND other_id NOT IN (SELECT id FROM records WHERE lang = 'de') HAVING count(*) > 0
-UNION ALL SELECT 'archive-errors', 'crit', 'system', count(*), NULL, 'errors in the archive' FROM records WHERE vendor = '' HAVING count(*) > 0""", "flagged", "live", "states", "staged", "fresh", "records")
+UNION ALL SELECT 'archive-errors', 'crit', 'system', count(*), NULL, 'errors in the archive' FROM records WHERE vendor = '' HAVING count(*) > 0"""
+cte("tasks", TASKS, "flagged", "live", "states", "staged", "fresh", "records")
+cte("tasks_behind", TASKS.replace("FROM staged", "FROM staged_behind").replace("FROM cover", "FROM cover_behind"), "flagged", "live", "states", "staged_behind", "fresh", "records")
 
 
 def _settled_star(spark, sf):
@@ -453,6 +483,12 @@ def d20(spark, sf):
     return tasks(spark, sf, _settled_star(spark, sf))
 
 
+@query("d20_todo_behind", with_("tasks_behind", body="SELECT * FROM tasks_behind"))
+def d20_behind(spark, sf):
+    """The tasks where the ledger ends before the statements do: a month close for each month between."""
+    return tasks(spark, sf, _settled_star(spark, sf), cover_behind)
+
+
 @query("t1_order_todo", with_("tasks", body="SELECT key, severity, CASE severity WHEN 'crit' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS severity_rank, count FROM tasks ORDER BY 3, coalesce(count, -1) DESC, coalesce(amount_sek, 0) DESC, key"))
 def t1(spark, sf):
     return st.order_todo(tasks(spark, sf, _settled_star(spark, sf))).select("key", "severity", "severity_rank", "count")

@@ -207,13 +207,23 @@ def ledger_star(
 ) -> DataFrame:
     """Ledger rows with plan row, file, archive record, payout, tag answer and latest search.
 
-    Each side carries one row per ref. Evidence, booking, reimbursement and closing stay four
-    separate columns: none is inferred from another.
+    Where a side holds several rows of a ref one counts, so none doubles a ledger row: of the plan the
+    one that is booked and not left out, of files, records and answers the first, of payouts the
+    earliest, of searches the latest. Evidence, booking, reimbursement and closing stay four separate
+    columns: none is inferred from another.
     """
+    def one(side: DataFrame, keep: list[str], *order: Column) -> DataFrame:
+        return first_by(side, ["ref"], list(order), keep)
+
+    plan_order = [F.col("plan_voucher").isNull(), F.col("plan_reason").isNotNull(), *(F.col(c) for c in ("plan_voucher", "plan_reason", "uploaded"))]
+    plan_side = one(plan, ["uploaded", "plan_voucher", "plan_reason"], *plan_order).withColumn("in_plan", F.lit(True))
+    files, archive = one(files, ["file"], F.col("file")), one(archive, ["id", "voucher"], F.col("id"))
+    paid, answers = one(paid, ["paid_on"], F.col("paid_on")), one(answers, ["tag"], F.col("tag"))
+    searches = one(searches, ["has_best", "searched_on"], -F.datediff("searched_on", F.lit("1970-01-01")), ~F.col("has_best"))
     months = plan.groupBy("month").agg(F.max("held").alias("plan_held")).withColumn("has_plan", F.lit(True))
     rows = (
         ledger.withColumn("month", month_of(F.col("date")))
-        .join(plan.select("ref", F.lit(True).alias("in_plan"), "uploaded", "plan_voucher", "plan_reason"), "ref", "left")
+        .join(plan_side, "ref", "left")
         .join(months, "month", "left")
         .join(files.select("ref", F.col("file").alias("evidence_file")), "ref", "left")
         .join(archive.select("ref", F.col("id").alias("archive_id"), F.nullif("voucher", F.lit("")).alias("archive_voucher")), "ref", "left")
@@ -321,18 +331,30 @@ def ledger_months(rows: DataFrame, plan_months: DataFrame, own_entity: str) -> D
 def coverage(statements: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Last purchase day and the last month it closes, the next month and whether it is covered.
 
-    The next month is the one after the last that the ledger closes; it is present when the
-    statements close it too. Without a ledger of its own the statements are the ledger. A purchase
+    The next month is the one after the last that the ledger closes (``ledger_closed``); it is
+    present when the statements close it too. Without a ledger of its own the statements are the ledger. A purchase
     date proves nothing about the days after it, so ``period_proven`` stays false until a
     statement period is supplied.
     """
     last = statements.agg(F.max("date").alias("last_date")).withColumn("closed_month", last_full_month(F.col("last_date")))
     reached = F.col("closed_month") if ledger is None else ledger.agg(last_full_month(F.max("date"))).scalar()
-    return last.withColumn("next_month", month_add(reached, 1)).withColumn(
+    return last.withColumn("ledger_closed", reached).withColumn("next_month", month_add(F.col("ledger_closed"), 1)).withColumn(
         "next_present", F.col("closed_month") >= F.col("next_month")
     ).withColumn("period_proven", F.lit(False))
 
 
+def months_behind(covered: DataFrame) -> DataFrame:
+    """The months that the statements close and the ledger does not: a calendar from the one to the
+    other, so a month without a single row is among them. Without a ledger the last one alone."""
+    def first(month: Column) -> Column:
+        return F.to_date(F.concat(month, F.lit("-01")))
+
+    start = F.coalesce(F.col("next_month"), F.col("closed_month"))
+    late = covered.filter(F.coalesce(F.col("ledger_closed"), F.lit("")) < F.col("closed_month"))
+    days = F.explode(F.sequence(first(start), first(F.col("closed_month")), F.expr("INTERVAL 1 MONTH")))
+    return late.select(days.alias("_day")).select(F.date_format("_day", "yyyy-MM").alias("month"))
+
+
 def _beside(row: DataFrame, *others: DataFrame) -> DataFrame:
     """One row and the columns of other one-row frames, as scalar subqueries instead of products."""
     for other in others:
@@ -341,11 +363,16 @@ def _beside(row: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def month_stage(months: DataFrame, covered: DataFrame) -> DataFrame:
-    """Stage of each month: no-csv, no-plan, untagged, nothing-to-book, held, planned, partial, booked."""
-    rows = months.withColumn("covered", covered.select("closed_month").scalar())
+    """Stage of each month: no-csv, no-plan, untagged, nothing-to-book, held, planned, partial, booked.
+
+    A month that no statement closes is ``no-csv``, one that the ledger does not reach is ``no-plan``
+    whatever else it holds.
+    """
+    rows = months.withColumn("covered", covered.select("closed_month").scalar()).withColumn("reached", covered.select("ledger_closed").scalar())
     has_plan = F.col("vouchers").isNotNull()
     stage = (
         F.when(F.col("covered").isNull() | (F.col("month") > F.col("covered")), "no-csv")
+        .when(F.col("reached").isNull() | (F.col("month") > F.col("reached")), "no-plan")
         .when(F.col("needs_tag_open") > 0, "untagged")
         .when(~has_plan & (F.col("business") > 0), "no-plan")
         .when(~has_plan, "nothing-to-book")
@@ -396,13 +423,15 @@ def newest_first(rows: DataFrame, day: str = "date", key: str = "ref") -> DataFr
 # --------------------------------------------------------------------------- sources, headline, to-do
 
 def newest_snapshot(files: DataFrame, family: str, name: str) -> DataFrame:
-    """The newest file of each family by the date in its name, then its name, then its time."""
+    """The newest file of each family: by the date in its name, an undated one by the day of its
+    ``modified`` time where the listing has it; then by that time, then by its name."""
     stamp = F.coalesce(
         F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")),
         F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2})(?!\d)", 1), F.lit("")),
     )
-    dated = files.withColumn("stamp", F.coalesce(stamp, F.lit("")))
-    return dated.groupBy(family).agg(F.max_by(F.struct("stamp", name), F.struct("stamp", name)).alias("_r")).select(
+    time = F.col("modified").cast("timestamp") if "modified" in files.columns else F.lit(None).cast("timestamp")
+    dated = files.withColumn("_time", time).withColumn("stamp", F.coalesce(stamp, F.date_format("_time", "yyyy-MM-dd"), F.lit("")))
+    return dated.groupBy(family).agg(F.max_by(F.struct("stamp", name), F.struct("stamp", "_time", name)).alias("_r")).select(
         family, "_r.stamp", f"_r.{name}"
     )
 
@@ -485,7 +514,9 @@ def todo(
     late = cover.filter(~F.col("next_present") & (month_end(F.col("next_month")) < today))
     unfinished = months.filter(F.col("vouchers").isNotNull() & (F.col("booked") < F.col("vouchers")))
     held, waiting = unfinished.filter(F.coalesce("held", F.lit(False))), unfinished.filter(~F.coalesce("held", F.lit(False)))
-    unplanned = months.filter(F.col("vouchers").isNull() & (F.col("business") - F.col("other_entity") > 0) & (F.col("stage") != "no-csv"))
+    behind = months_behind(cover)
+    reached = months.filter((F.col("stage") != "no-csv") & (F.col("month") <= F.col("reached")))
+    unplanned = reached.filter(F.col("vouchers").isNull() & (F.col("business") - F.col("other_entity") > 0))
     stale = sources.filter((F.col("state") == "stale") & ~F.col("statement"))
     review = warnings.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n")).filter("n > 0")
     broken = lint_findings.filter(F.col("severity") == "error").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
@@ -500,6 +531,7 @@ def todo(
         _task(held, F.concat(F.lit("plan-held:"), "month"), "warn", "system", F.col("vouchers"), F.col("plan_sek"), F.lit("reconcile and rebuild the plan")),
         _task(waiting, F.concat(F.lit("plan-execute:"), "month"), "info", "operator", F.col("vouchers"), F.col("plan_sek"), F.concat(F.col("booked").cast("string"), F.lit(" booked"))),
         _task(unplanned, F.concat(F.lit("plan-missing:"), "month"), "info", "system", F.col("business") - F.col("other_entity"), F.col("business_sek"), F.lit("build the plan")),
+        _task(behind, F.concat(F.lit("card-month-end:"), "month"), "info", "system", none, None, F.lit("run the month close")),
         _task(stale, F.concat(F.lit("source-stale:"), "source"), "info", "operator", none, None, F.concat(F.col("age_days").cast("string"), F.lit(" days old"))),
         _task(review, F.lit("archive-review"), "info", "operator", n, None, F.lit("look at the archive warnings")),
         _task(broken, F.lit("archive-errors"), "crit", "system", n, None, F.lit("errors in the archive")),

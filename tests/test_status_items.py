@@ -134,3 +134,36 @@ def test_formats(spark):
         raise AssertionError("an unknown header must fail")
     except ValueError as e:
         assert "unrecognised" in str(e)
+
+
+def test_ledger_behind_the_statements(spark):
+    statements = spark.createDataFrame([(D(2026, 8, 2),)], "date date")
+    behind = st.coverage(statements, spark.createDataFrame([(D(2026, 5, 3),)], "date date"))
+    assert sorted(r.month for r in st.months_behind(behind).collect()) == ["2026-05", "2026-06", "2026-07"]
+    assert st.months_behind(st.coverage(statements)).isEmpty()
+    none = st.coverage(statements, statements.filter("false"))
+    assert [r.month for r in st.months_behind(none).collect()] == ["2026-07"]
+    rows = [("2026-08", 1, 0, 0, None, None, False), ("2026-06", 4, 2, 1, 2, 2, False), ("2026-04", 4, 2, 0, 2, 2, False)]
+    months = spark.createDataFrame(rows, "month string, rows long, business long, needs_tag_open long, vouchers long, booked long, held boolean")
+    assert {r.month: r.stage for r in st.month_stage(months, behind).collect()} == {"2026-08": "no-csv", "2026-06": "no-plan", "2026-04": "booked"}
+    assert {r.stage for r in st.month_stage(months, none).filter("month < '2026-08'").collect()} == {"no-plan"}
+
+
+def test_sides_never_double_a_ledger_row(spark):
+    ledger = spark.createDataFrame([("A", D(2026, 7, 1), "business")], "ref string, date date, tag string").withColumns({"entity": F.lit("alfa"), "bas_account": F.lit("5410"), "in_expense": F.lit(False)})
+    plan = spark.createDataFrame([("A", "2026-07", False, None, "no account", False), ("A", "2026-07", True, "A 12", None, False)], "ref string, month string, uploaded boolean, plan_voucher string, plan_reason string, held boolean")
+    star = st.ledger_star(
+        ledger, plan, spark.createDataFrame([("A", "f2"), ("A", "f1")], "ref string, file string"), spark.createDataFrame([("A", "r2", "B 1"), ("A", "r1", "")], "ref string, id string, voucher string"),
+        spark.createDataFrame([("A", D(2026, 8, 9)), ("A", D(2026, 8, 1))], "ref string, paid_on date"), spark.createDataFrame([("A", "personal"), ("A", "business")], "ref string, tag string"),
+        spark.createDataFrame([("A", False, D(2026, 7, 1)), ("A", True, D(2026, 7, 9))], "ref string, has_best boolean, searched_on date"),
+    ).collect()
+    assert len(star) == 1
+    r = star[0]
+    assert (r.voucher, r.planned, r.evidence_file, r.archive_id, r.paid_on, r.answer, r.search_best, r.searched_on) == ("A 12", True, "f1", "r1", D(2026, 8, 1), "business", True, D(2026, 7, 9))
+
+
+def test_newest_snapshot_by_time(spark):
+    rows = [("a", "x.csv", "2026-05-02 10:00:00"), ("a", "y.csv", "2026-05-01 10:00:00"), ("b", "p_2026-05-03.csv", "2026-01-01 00:00:00"), ("b", "q.csv", "2026-05-02 00:00:00"), ("c", "m_2026-05.csv", "2026-05-01 00:00:00"), ("c", "n_2026-05.csv", "2026-04-01 00:00:00")]
+    files = spark.createDataFrame(rows, "family string, name string, modified string")
+    assert {r.family: (r.stamp, r.name) for r in st.newest_snapshot(files, "family", "name").collect()} == {"a": ("2026-05-02", "x.csv"), "b": ("2026-05-03", "p_2026-05-03.csv"), "c": ("2026-05", "m_2026-05.csv")}
+    assert st.newest_snapshot(files.drop("modified"), "family", "name").filter("family = 'a'").first().name == "y.csv"
