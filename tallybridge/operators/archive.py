@@ -456,7 +456,7 @@ def sync_results(archive: DataFrame, steps: DataFrame) -> DataFrame:
 
 def text_fit(rows: DataFrame, text: str) -> DataFrame:
     """How well a document fits a charge: its amount printed, then the nearest printed date."""
-    hit = amount_in_text(F.col(text), F.col("amount")) | amount_in_text(F.col(text), F.col("amount_sek"))
+    hit = amount_in_text(F.col(text), F.col("amount"), F.col("amount_sek"))
     gaps = F.flatten(
         F.transform(dates_of(F.col(text)), lambda d: F.transform(d["readings"], lambda x: F.abs(F.datediff(x, F.col("date")))))
     )
@@ -510,7 +510,7 @@ def plausibility(records: DataFrame, companies: dict[str, str], early: int = 10,
     """(id, kind, text) for every fact on a record that does not fit its charge."""
     gap = F.datediff("date", "receipt_date")
     has_text = ~_blank(F.col("text")) & (F.coalesce("text_method", F.lit("none")) != "none")
-    printed = amount_in_text(F.col("text"), F.col("amount")) | amount_in_text(F.col("text"), F.col("amount_sek"))
+    printed = amount_in_text(F.col("text"), F.col("amount"), F.col("amount_sek"))
     buyer = buyer_entity(F.col("text"), companies)
 
     def warning(condition, kind, *text):
@@ -538,7 +538,7 @@ def lint(records: DataFrame, files: DataFrame, required: list[str]) -> DataFrame
     """findings(severity, rule, id, text) over records and stored files.
 
     ``records``: stem, folder_entity, folder_year, files, sha256 and the required columns;
-    ``files``: name, sha.
+    ``files``: name, sha. Both are read once; the rules that compare rows work on narrow rows.
     """
     missing = F.array_compact(F.array(*[F.when(_blank(F.col(c).cast("string")), F.lit(c)) for c in required]))
     rows = records.withColumn("_missing", missing)
@@ -556,20 +556,22 @@ def lint(records: DataFrame, files: DataFrame, required: list[str]) -> DataFrame
             rule(_blank(F.col("text")), "warning", "no-text", F.lit("")),
         )
     )
-    per_row = exploded(rows, ["stem"], own, "_f").select("_f.severity", "_f.rule", F.col("stem").alias("id"), "_f.text")
-    links = link_check(records.select(F.col("stem").alias("id"), "files"), files)
+    narrow = settle(rows.select(F.col("stem").alias("id"), "sha256", "files", own.alias("_own")))
+    files = settle(files.select("name", "sha"))
+    per_row = exploded(narrow, ["id"], F.col("_own"), "_f").select("_f.severity", "_f.rule", "id", "_f.text")
+    links = link_check(narrow.select("id", "files"), files)
     broken = links.select(
         F.when(F.col("problem") == "missing", "error").otherwise("warning").alias("severity"),
         F.concat(F.col("problem"), F.lit("-file")).alias("rule"),
         F.coalesce("id", F.lit("")).alias("id"),
         F.col("name").alias("text"),
     )
-    primary = records.select(F.col("stem").alias("id"), "sha256", F.try_element_at("files", F.lit(1)).alias("name"))
+    primary = narrow.select("id", "sha256", F.try_element_at("files", F.lit(1)).alias("name"))
     altered = primary.join(files.select("name", "sha"), "name").filter(~F.col("sha").eqNullSafe(F.col("sha256")))
     altered = altered.select(F.lit("error").alias("severity"), F.lit("hash").alias("rule"), "id", F.col("name").alias("text"))
-    first = records.filter(~_blank(F.col("sha256"))).groupBy("sha256").agg(F.min("stem").alias("first"), F.count(F.lit(1)).alias("n"))
-    twins = records.join(first.filter(F.col("n") > 1), "sha256").filter(F.col("stem") != F.col("first"))
-    twins = twins.select(F.lit("error").alias("severity"), F.lit("same-hash").alias("rule"), F.col("stem").alias("id"), F.col("first").alias("text"))
+    first = narrow.filter(~_blank(F.col("sha256"))).groupBy("sha256").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    twins = narrow.join(first.filter(F.col("n") > 1), "sha256").filter(F.col("id") != F.col("first"))
+    twins = twins.select(F.lit("error").alias("severity"), F.lit("same-hash").alias("rule"), "id", F.col("first").alias("text"))
     return per_row.unionByName(broken).unionByName(altered).unionByName(twins)
 
 
