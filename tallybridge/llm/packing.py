@@ -3,8 +3,12 @@
 1. A document's words are hashed to random vectors in a few dimensions; their mean is the
    document's place, and the place's position on a Hilbert curve its key. Documents with the same
    words in like shares get near keys.
-2. Rows are range-partitioned and sorted by (key, a hash of the row), so a group of equal
-   documents that holds a third of the table is spread over many ranges.
+2. Rows are dealt to ranges of the curve and sorted in them by (key, a hash of the row and its
+   position), so a group of equal documents or of repeated rows that holds a third of the table is
+   spread over many ranges. The ends of the ranges come from a bounded sample of the rows
+   (``SAMPLE``), weighed by their lengths; they only decide how even the ranges are. A row's key is
+   worked out once. Where rows come from anything but a stored table, settle them first: the
+   position must be the same when a lost task is run again.
 3. Each range is tokenised in order and laid end to end into sequences of ``length`` ids. What
    remains at the end of a range is cut into sequences whose lengths are powers of two, so
    nothing is padded. Texts move once; ids never do.
@@ -35,6 +39,8 @@ END = 1
 DIMENSIONS = 3
 BITS = 10
 REMEMBERED = 400_000
+# Rows whose places tell where ranges end, and the bits of a place that tell equal keys apart.
+SAMPLE, TIES = 1 << 14, 33
 
 # Bytes that part words, and a random number for every pair of neighbouring bytes.
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -109,17 +115,44 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def _keys(column: pa.Array) -> np.ndarray:
+    cells = np.floor((0.5 + 0.5 * np.tanh(4 * places(column))) * (1 << BITS)).clip(0, (1 << BITS) - 1)
+    return hilbert(cells)
+
+
 def curve_key(text: Column) -> Column:
     """The Hilbert key of a text's place."""
 
     def each(column: pa.Array) -> pa.Array:
-        cells = np.floor((0.5 + 0.5 * np.tanh(4 * places(column))) * (1 << BITS)).clip(0, (1 << BITS) - 1)
-        return pa.array(hilbert(cells))
+        return pa.array(_keys(column))
 
     each.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(each, "bigint")(text)
 
 
+def curve_place(text: Column, tie: Column, ends: np.ndarray) -> Column:
+    """``place`` on the curve, equal keys told apart by ``tie``, and the number of the ``range`` between ``ends``."""
+
+    def each(column: pa.Array, ties: pa.Array) -> pa.Array:
+        place = _keys(column) << TIES | ties.to_numpy() & ((1 << TIES) - 1)
+        return pa.StructArray.from_arrays([pa.array(place), pa.array(np.searchsorted(ends, place).astype(np.int32))], names=["place", "range"])
+
+    each.__annotations__ = {"column": pa.Array, "ties": pa.Array, "return": pa.Array}
+    return F.arrow_udf(each, "place bigint, range int")(text, tie)
+
+
+def range_ends(rows: DataFrame, tie: Column, ranges: int) -> np.ndarray:
+    """Places at which ranges of about equal length of text end, from a sample of the rows."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    few = rows.sample(share, 42) if share < 1 else rows
+    place = curve_place(F.col("text"), tie, np.zeros(0, np.int64))["place"].alias("place")
+    found = few.select(place, (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("weight")).toArrow().sort_by("place")
+    weights = np.cumsum(found["weight"].to_numpy().astype(np.int64))
+    if not len(weights):
+        return np.zeros(0, np.int64)
+    return found["place"].to_numpy()[np.searchsorted(weights, weights[-1] * np.arange(1, ranges) / ranges)]
+
+
 class Ids:
     """Token ids of whole texts as little-endian 32-bit bytes, piece by piece from memory.
 
@@ -221,8 +254,10 @@ def pack(docs: Iterable[tuple[object, bytes]], length: int = LENGTH) -> Iterator
 def packed(docs: DataFrame, path: str, ids: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
     """One row per piece of a document: where it comes from, its ids' checksum, where it lies."""
     rows = docs.select(F.col(ids).alias("doc_id"), F.col(text).alias("text"))
-    keyed = rows.withColumn("_key", curve_key(F.col("text"))).withColumn("_hash", F.xxhash64("doc_id", "text"))
-    ranged = keyed.repartitionByRange("_key", "_hash").sortWithinPartitions("_key", "_hash").select("doc_id", "text")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    keyed = rows.withColumn("_p", curve_place(F.col("text"), tie, range_ends(rows, tie, ranges)))
+    ranged = keyed.repartitionById(ranges, F.col("_p.range")).sortWithinPartitions("_p.place").select("doc_id", "text")
     schema = SCHEMA.format(kind=rows.schema["doc_id"].dataType.simpleString())
     last = np.array([end], dtype="<u4").tobytes()
 

@@ -328,3 +328,14 @@ def test_places_are_means_of_word_vectors():
     packing.STRETCH = 16
     assert np.array_equal(packing.places(pa.array(texts * 50).slice(3)), whole[3:])
     packing.STRETCH = old
+
+
+def test_one_row_repeated_is_spread_over_ranges(spark):
+    """Equal rows are told apart by their position, so no range takes most of them."""
+    docs = spark.createDataFrame([(1, "same words again and again " * 20)] * 3000 + [(i, f"text {i} of its own " * 20) for i in range(1500)], "doc_id long, text string").repartition(5)
+    reachable(spark)
+    ends = packing.range_ends(docs, F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), 8)
+    placed = docs.select(packing.curve_place(F.col("text"), F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), ends).alias("p"))
+    counts = [r["count"] for r in placed.groupBy("p.range").count().collect()]
+    assert len(counts) == 8 and max(counts) < 2 * 4500 / 8
+    assert len(packing.range_ends(docs.filter("false"), F.lit(1).cast("bigint"), 8)) == 0
