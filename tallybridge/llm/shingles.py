@@ -9,7 +9,10 @@ those either has (Jaccard). Every such pair is found, and no other is linked:
    among them. The sample only decides how many candidates there are.
 2. Links within ``RADIUS`` bits by SimHash are candidates too: they join most of a large group
    before its texts are compared pair by pair.
-3. Each candidate is checked on the whole shingle sets. Texts that are already in one component
+3. Candidates are cut by an exact bound first: a sketch of a text has a bit for each shingle's hash,
+   and every bit that one text has and the other has not is a shingle they do not share. Sketches
+   are a sixteenth of the sets, so only texts of pairs that pass are moved and made into sets.
+4. Each pair that is left is checked on the whole shingle sets. Texts that are already in one component
    are not compared again. While buckets hold many pairs of unconnected texts, each text meets
    one pivot of its bucket; what is then left meets pair by pair.
 
@@ -27,7 +30,7 @@ from xxhash import xxh64_intdigest
 from ..session import settle
 from . import simhash
 from .components import components
-from .shared import SLICE, Remembered, stored
+from .shared import SLICE, WORDED, Remembered, stored
 
 SIZE = 5
 # Likeness at which texts are linked, as a fraction.
@@ -84,13 +87,31 @@ def shingle_sets(text: Column) -> Column:
     return F.arrow_udf(each, "array<bigint>")(text)
 
 
-def prefixes(text: Column, frequent: np.ndarray) -> Column:
-    """``n`` (distinct shingles) and ``prefix``; ``frequent`` lists shingles, the rarer first."""
+def sketch(shingle_set: np.ndarray) -> bytes:
+    """One bit per shingle, by the low bits of its hash, in the first power of two above four bits a shingle."""
+    bits = max(64, 1 << (4 * len(shingle_set) - 1).bit_length())
+    flags = np.zeros(bits, bool)
+    flags[shingle_set & (bits - 1)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def can_be_alike(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Whether two sets of ``n`` and ``m`` shingles may be alike, as far as their sketches tell."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    # The low bits of a longer one are those of a shorter one.
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    shared = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return UNDER * shared >= OVER * (n + m - shared)
+
+
+def features(text: Column, frequent: np.ndarray) -> Column:
+    """``n`` (distinct shingles), ``prefix`` and ``sketch``; ``frequent`` lists shingles, the rarer first."""
     by_value = np.argsort(frequent)
     values = frequent[by_value]
 
     def each(column: pa.Array) -> pa.Array:
-        sizes, firsts = [], []
+        sizes, firsts, sketches = [], [], []
         for s in _sets(column):
             rank = np.zeros(len(s), np.int64)
             if len(values):
@@ -98,10 +119,11 @@ def prefixes(text: Column, frequent: np.ndarray) -> Column:
                 rank = np.where(values[at] == s, by_value[at] + 1, 0)
             sizes.append(len(s))
             firsts.append(s[np.lexsort((s, rank))][: len(s) - -(-OVER * len(s) // UNDER) + 1])
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _lists(firsts)], names=["n", "prefix"])
+            sketches.append(sketch(s))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _lists(firsts), pa.array(sketches, pa.binary())], names=["n", "prefix", "sketch"])
 
     each.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(each, "struct<n:int,prefix:array<bigint>>")(text)
+    return F.arrow_udf(each, "struct<n:int,prefix:array<bigint>,sketch:binary>")(text)
 
 
 def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
@@ -113,14 +135,36 @@ def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
     return np.array([r.h for r in reversed(top)], np.int64)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (``a``, ``b``) that are alike. A text with many pairs meets them in tiles."""
+def _side_by_side(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) with each side's ``fact`` (``x``, ``y``). A text with many pairs meets them in tiles."""
     tiles = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("k")))
-    left = sets.join(tiles, sets["node"] == tiles["a"]).select("a", F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("tile"))
-    right = pairs.join(tiles, "a").select("a", "b", F.pmod(F.xxhash64("b"), "k").alias("tile")).join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    met = right.join(left, ["a", "tile"]).select("a", "b", shared.alias("x"), (F.size("sa") + F.size("sb")).alias("y"))
-    return met.filter(UNDER * F.col("x") >= OVER * (F.col("y") - F.col("x"))).select("a", "b")
+    left = facts.join(tiles, facts["node"] == tiles["a"]).select("a", F.col("fact").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("tile"))
+    right = pairs.join(tiles, "a").select("a", "b", F.pmod(F.xxhash64("b"), "k").alias("tile")).join(facts.select(F.col("node").alias("b"), F.col("fact").alias("y")), "b")
+    return right.join(left, ["a", "tile"])
+
+
+def _possible(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Those of the pairs that may be alike by their sketches."""
+
+    def each(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        return pa.array([can_be_alike(*row) for row in zip(*(c.to_pylist() for c in (a, b, n, m)))], pa.bool_())
+
+    each.__annotations__ = {**dict.fromkeys("abnm", pa.Array), "return": pa.Array}
+    met = _side_by_side(pairs, points.select("node", F.struct("n", "sketch").alias("fact")))
+    return met.filter(F.arrow_udf(each, "boolean")(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"))).select("a", "b")
+
+
+def _alike(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs that are alike, by whole sets."""
+    pairs = settle(_possible(pairs, points))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # One copy of each text is read.
+    keys = stored(points.select("node", "copy").join(wanted, "node"))
+    own = texts.join(keys, ["node", "copy"]).groupBy("node").agg(F.first("text").alias("text"))
+    sets = settle(own.select("node", shingle_sets(F.col("text")).alias("fact")))
+    shared = F.size(F.array_intersect("x", "y"))
+    met = _side_by_side(pairs, sets).select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t"))
+    return settle(met.filter(UNDER * F.col("s") >= OVER * (F.col("t") - F.col("s"))).select("a", "b"))
 
 
 def _pairs(x: Column, y: Column) -> list[Column]:
@@ -134,7 +178,8 @@ def _near(n: Column, m: Column) -> Column:
 def grouped(points: DataFrame, texts: DataFrame) -> DataFrame:
     """``node`` and ``root`` of every text that has a link.
 
-    ``points``: one row per text, ``node``, ``fp``, ``n``, ``prefix``. ``texts``: ``node``, ``text``, repeated as it may be.
+    ``points``: one row per text, ``node``, ``copy`` (which of its rows), ``fp``, ``n``, ``prefix``, ``sketch``.
+    ``texts``: ``node``, ``copy``, ``text``, repeated as it may be.
     """
     rows = points.select("node", "n", F.explode("prefix").alias("h"))
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
@@ -148,10 +193,7 @@ def grouped(points: DataFrame, texts: DataFrame) -> DataFrame:
     sizes = points.select("node", "n")
     low, high = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
     pairs = settle(pairs.join(low, "a").join(high, "b").filter(_near(F.col("na"), F.col("nb"))).select("a", "b").distinct())
-    wanted = buckets.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    own = texts.join(stored(wanted), "node").groupBy("node").agg(F.first("text").alias("text"))
-    sets = settle(own.select("node", shingle_sets(F.col("text")).alias("s")))
-    links = settle(_alike(pairs, sets))
+    links = _alike(pairs, points, texts)
     for turn in range(ROUNDS + 1):
         found = components(links)
         placed = buckets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -176,7 +218,7 @@ def grouped(points: DataFrame, texts: DataFrame) -> DataFrame:
             met = open_.join(pivots, "h").filter((F.col("root") != F.col("p.root")) & _near(F.col("n"), F.col("p.n")))
             # The pivot is side a, whose tiles spread its pairs.
             pairs = met.select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-        links = settle(links.unionByName(_alike(settle(pairs.distinct()), sets)))
+        links = settle(links.unionByName(_alike(settle(pairs.distinct()), points, texts)))
         if last:
             return components(links)
 
@@ -188,11 +230,13 @@ def kept_documents(docs: DataFrame, ids: str = "doc_id", text: str = "text") ->
     Of rows that agree in id and text one stays, the first by a hash of the whole row.
     """
     key = [F.xxhash64(F.col(ids)).alias("_a"), F.xxhash64(F.col(text)).alias("_b")]
-    read = docs.select(F.col(ids).alias("_id"), *key, F.col(text).alias("_text"))
-    prints = simhash.fingerprints(read, [F.col("_id"), F.col("_a"), F.col("_b"), prefixes(F.col("_text"), frequent_shingles(docs, text)).alias("_p")], F.col("_text"))
-    prints = settle(prints.withColumn("node", F.when(F.col("_p.n") > 0, F.col("_b")).otherwise(F.lit(0).cast("bigint"))))
-    points = settle(prints.filter("_p.n > 0").select("node", "fp", "_p.n", "_p.prefix").dropDuplicates(["node"]))
-    found = grouped(points, docs.select(F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text")))
+    named = F.when(F.coalesce(F.col(text).rlike(WORDED), F.lit(False)), F.xxhash64(F.col(text))).otherwise(F.lit(0).cast("bigint"))
+    prints = settle(docs.select(F.col(ids).alias("_id"), *key, named.alias("node")))
+    read = docs.select(named.alias("node"), F.xxhash64(F.col(ids)).alias("copy"), F.col(text).alias("text"))
+    worded = read.filter("node != 0")
+    found = simhash.fingerprints(worded, [F.col("node"), F.col("copy"), features(F.col("text"), frequent_shingles(docs, text)).alias("_p")], F.col("text"))
+    points = settle(found.select("node", "copy", "fp", "_p.n", "_p.prefix", "_p.sketch").dropDuplicates(["node"]))
+    found = grouped(points, worded)
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_b"))
     narrow = prints.select("_id", "_a", "_b", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = narrow.groupBy("root").agg(F.min_by(F.struct("_a", "_b"), order).alias("m"))

@@ -77,3 +77,26 @@ def test_large_group_and_odd_texts(spark):
     texts += [None, "", " \n", "one two", "ONE  two", "one two three", "a b c d e", "a b c d e", *(prose(rng, rng.randrange(5, 60)) for _ in range(30))]
     lowered = [(t or "").lower() for t in texts]
     assert stage(spark, texts) == first_of_each(lowered)
+
+
+def test_sketches_never_rule_out_a_likely_pair():
+    """What is 0.8 or more alike passes the bound; what is far from it seldom does."""
+    import numpy as np
+
+    from tallybridge.llm import shingles
+
+    rng = np.random.default_rng(3)
+    let_through = 0
+    for _ in range(400):
+        n, share = int(rng.integers(1, 900)), rng.choice([0.5, 0.7, 0.8, 0.9, 1.0])
+        base = rng.integers(-(2**63), 2**63 - 1, n)
+        other = np.unique(np.concatenate([base[: int(n * share)], rng.integers(-(2**63), 2**63 - 1, int(rng.integers(0, 1 + n // 10)))]))
+        base = np.unique(base)
+        if not len(other):
+            continue
+        same = len(np.intersect1d(base, other))
+        alike = 5 * same >= 4 * (len(base) + len(other) - same)
+        may = shingles.can_be_alike(shingles.sketch(base), shingles.sketch(other), len(base), len(other))
+        assert may or not alike
+        let_through += may and share == 0.5 and n > 20
+    assert let_through == 0
