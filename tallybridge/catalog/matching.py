@@ -27,16 +27,16 @@ STOP = ["STOCKHOLM", "CLOUD"]
 TERM_ROWS = [(name, term) for name, terms in TERMS.items() for term in terms]
 
 VENDORS = [
-    ("acme", "Acme Cloud", "alfa", ["acme.example"], ["billing@acme.example"], ["your receipt from acme"], ["promo.acme.example"], "SEK", None, None, None, None, "pdf", "none", ""),
-    ("beta", "Beta Pay Desk", "beta", ["pay.example"], [], ["payment receipt"], [], "EUR", -3, 2, 14, 7, None, "portal", "log in to beta"),
-    ("gamma", "Gamma Offers", "alfa", [], [], [], [], "SEK", None, None, None, None, "link", "ask", ""),
+    ("acme", "Acme Cloud", "alfa", ["acme.example"], ["billing@acme.example"], ["your receipt from acme"], ["promo.acme.example"], "SEK", None, None, None, None, "pdf", "none", "", [], []),
+    ("beta", "Beta Pay Desk", "beta", ["pay.example"], [], ["payment receipt"], [], "EUR", -3, 2, 14, 7, None, "portal", "log in to beta", [], []),
+    ("gamma", "Gamma Offers", "alfa", [], [], [], [], "SEK", None, None, None, None, "link", "ask", "", ["info@card.example", "news.example"], ["Summer offers"]),
 ]
 VENDOR_SCHEMA = (
     "vendor_key string, vendor_name string, vendor_entity string, senders array<string>, sender_exact array<string>, "
     "subject_terms array<string>, decoy_senders array<string>, bill_currency string, band_lo int, band_hi int, "
-    "before int, after int, attachments string, route_if_none string, portal string"
+    "before int, after int, attachments string, route_if_none string, portal string, search_from array<string>, search_subject array<string>"
 )
-SUBJECT_TERMS = ["your receipt from acme", "payment receipt"]
+SUBJECT_TERMS = ["your receipt from acme", "payment receipt", "summer offers"]
 RUN_DATE = "DATE '2024-02-15'"
 
 
@@ -208,7 +208,8 @@ cte(
     """
 SELECT row_key, message_id, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM (
   SELECT w.row_key, m.message_id, unnest(list_filter([
-     CASE WHEN (w.vendor_key = 'acme' AND (from_domain = 'acme.example' OR ends_with(from_domain, '.acme.example'))) OR (w.vendor_key = 'beta' AND (from_domain = 'pay.example' OR ends_with(from_domain, '.pay.example'))) THEN 'vendor' END,
+     CASE WHEN (w.vendor_key = 'acme' AND (from_domain = 'acme.example' OR ends_with(from_domain, '.acme.example'))) OR (w.vendor_key = 'beta' AND (from_domain = 'pay.example' OR ends_with(from_domain, '.pay.example')))
+       OR (w.vendor_key = 'gamma' AND (from_addr = 'info@card.example' OR contains(lower(subject), 'summer offers'))) THEN 'vendor' END,
      CASE WHEN (w.vendor_key = 'acme' AND contains(lower(subject), 'your receipt from acme')) OR (w.vendor_key = 'beta' AND contains(lower(subject), 'payment receipt')) THEN 'subject' END,
      CASE WHEN (w.vendor_key IS NULL OR w.vendor_key = 'gamma') AND regexp_matches(lower(subject), 'receipt|kvitto|invoice|faktura|payment|betalning')
           AND len(list_intersect(w.tokens, string_split_regex(upper(subject), '[^A-Z0-9]+'))) > 0 THEN 'merchant' END,

@@ -70,8 +70,8 @@ def candidates(worklist: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
-def _block(kind: str, keys: Column) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.cast("string").alias("key")))
+def _block(kind: str, keys: Column, field: str = "") -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), F.lit(field or kind).alias("field"), k.cast("string").alias("key")))
 
 
 def _no_keys() -> Column:
@@ -79,20 +79,30 @@ def _no_keys() -> Column:
 
 
 def charge_blocks(worklist: DataFrame, stopwords) -> DataFrame:
-    """Search keys of each charge: vendor senders, subject terms, merchant words, amounts."""
+    """Search keys of each charge: vendor senders, subject terms, merchant words, amounts.
+
+    A vendor with a search of its own (``search_from`` and ``search_subject``, addresses or domains and
+    phrases) is searched by that in place of its senders. ``kind`` says what found a message, ``field``
+    where its key is looked up.
+    """
+    def own(name: str) -> Column:
+        return F.coalesce(name, _no_keys()) if name in worklist.columns else _no_keys()
+
+    searched = F.size(F.concat(own("search_from"), own("search_subject"))) > 0
     senders = F.concat(F.coalesce("senders", _no_keys()), F.coalesce("sender_exact", _no_keys()))
     words = F.array_distinct(
         F.concat(merchant_tokens(F.col("merchant"), stopwords), merchant_tokens(F.col("vendor_name"), stopwords))
     )
     amounts = F.array_distinct(F.array_compact(F.array("amount_sek", "foreign_amount")))
     keys = F.concat(
-        _block("vendor", F.transform(senders, F.lower)),
+        _block("vendor", F.transform(F.when(searched, own("search_from")).otherwise(senders), F.lower)),
+        _block("vendor", F.transform(own("search_subject"), F.lower), "subject"),
         _block("subject", F.transform(F.coalesce("subject_terms", _no_keys()), F.lower)),
         _block("merchant", F.when(F.size(senders) == 0, words).otherwise(_no_keys())),
         _block("amount", F.filter(amounts, lambda a: a >= 10)),
     )
     kept = ["row_key", "mailbox", "window_from", "window_to"]
-    return exploded(worklist, kept, F.array_distinct(keys), "_k").select("row_key", "mailbox", "window_from", "window_to", "_k.kind", "_k.key")
+    return exploded(worklist, kept, F.array_distinct(keys), "_k").select(*kept, "_k.kind", "_k.field", "_k.key")
 
 
 def message_blocks(messages: DataFrame, subject_terms, search_words) -> DataFrame:
@@ -113,7 +123,7 @@ def message_blocks(messages: DataFrame, subject_terms, search_words) -> DataFram
         _block("amount", values),
     )
     return exploded(messages, ["message_id", "mailbox", "day"], F.array_distinct(keys), "_k").select(
-        "message_id", "mailbox", "day", "_k.kind", "_k.key"
+        "message_id", "mailbox", "day", "_k.field", "_k.key"
     )
 
 
@@ -122,7 +132,7 @@ def blocked_pairs(worklist: DataFrame, messages: DataFrame, stopwords, subject_t
     pairs = interval_join(
         charge_blocks(worklist, stopwords),
         message_blocks(messages, subject_terms, search_words),
-        ["mailbox", "kind", "key"],
+        ["mailbox", "field", "key"],
         "window_from",
         "window_to",
         "day",
