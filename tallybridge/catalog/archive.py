@@ -44,7 +44,7 @@ def record_rows(documents, labels):
         F.concat(F.lit("from "), "source").alias("source_from"),
         F.when(good, "attached 2026-08-24").when(F.col("quality") == 0, "exported (QUEUED)").otherwise("").alias("status"),
         F.when(F.col("toxic") == 1, "credit-note").otherwise("receipt").alias("kind"),
-        F.when(F.col("lang") == "en", "expense").when(F.col("lang") == "de", "card-1022").otherwise("pocket").alias("lane"),
+        F.when(F.col("lang") == "en", "expense").when(F.col("lang") == "de", "card-0115").otherwise("pocket").alias("lane"),
         F.when(F.col("lang") == "es", "none").when(F.col("lang") == "fr", "ocr").otherwise("text").alias("text_method"),
         F.sha2("text", 256).alias("sha"),
         "text",
@@ -65,7 +65,7 @@ SELECT d.doc_id, 'rec-' || lpad(CAST(d.doc_id AS VARCHAR), 9, '0') AS id, CASE W
   CASE lang WHEN 'en' THEN 'mail' WHEN 'de' THEN 'portal' WHEN 'fr' THEN 'export' ELSE 'manual' END AS source_kind,
   CASE WHEN lang IN ('en','de') THEN 'm' || d.doc_id ELSE '' END AS source_ref, 'from ' || source AS source_from,
   CASE WHEN quality = 1 THEN 'attached 2026-08-24' WHEN quality = 0 THEN 'exported (QUEUED)' ELSE '' END AS status,
-  CASE WHEN toxic = 1 THEN 'credit-note' ELSE 'receipt' END AS kind, CASE lang WHEN 'en' THEN 'expense' WHEN 'de' THEN 'card-1022' ELSE 'pocket' END AS lane,
+  CASE WHEN toxic = 1 THEN 'credit-note' ELSE 'receipt' END AS kind, CASE lang WHEN 'en' THEN 'expense' WHEN 'de' THEN 'card-0115' ELSE 'pocket' END AS lane,
   CASE lang WHEN 'es' THEN 'none' WHEN 'fr' THEN 'ocr' ELSE 'text' END AS text_method, sha256(text) AS sha, text, lang, n_chars
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 )
@@ -339,7 +339,7 @@ def m3(spark, sf):
         F.when(s == "F", -price).otherwise(price).alias("amount_sek"),
         F.when(s == "O", F.floor(F.col("o_totalprice") / 10).cast(MONEY)).when(s == "F", F.lit(1).cast(MONEY)).alias("amount"),
         F.when(s == "O", "eur").when(s == "F", "sek").otherwise("").alias("currency"),
-        F.when(s == "F", "card-1022").when(s == "O", "expense").otherwise("").alias("card"),
+        F.when(s == "F", "card-0115").when(s == "O", "expense").otherwise("").alias("card"),
         F.lit("").alias("lane"), F.lit("").alias("kind"), F.lit("").alias("voucher"), F.lit("").alias("booking_status"),
     )
     good, bad = ar.normalise_record(rows, ["alfa", "beta"])

@@ -12,7 +12,7 @@ from ..functions.money import MONEY
 from ..functions.scale import spread
 from ..operators import ledger as lg, posting as po
 
-POLICY = lg.Policy(payment_phrase="COLD ANVIL", split_date=dt.date(1998, 6, 15), default_entity="alfa")
+POLICY = lg.Policy(payment_phrase="COLD ANVIL", split_date=dt.date(1998, 5, 25), default_entity="alfa")
 OWN = "alfa"
 ACCOUNTS = {"liability": 2890, "vat": 2641, "vat_out": 2614, "vat_in": 2645}
 
@@ -36,10 +36,10 @@ RULE_SCHEMA = (
     "konto_name string, vat_regime string"
 )
 CARDS = [
-    ("-61022", "business", "business card default (post-split)", False, None, None, None, None),
-    ("-62004", "personal", "personal card default (post-split)", False, None, None, None, None),
-    ("-13003", None, None, True, None, "RING", dt.date(1998, 4, 20), dt.date(1998, 6, 4)),
-    ("-61006", None, None, False, dt.date(1998, 6, 4), None, None, None),
+    ("-40115", "business", "business card default (post-split)", False, None, None, None, None),
+    ("-40223", "personal", "personal card default (post-split)", False, None, None, None, None),
+    ("-50301", None, None, True, None, "RING", dt.date(1998, 3, 2), dt.date(1998, 5, 12)),
+    ("-40447", None, None, False, dt.date(1998, 5, 12), None, None, None),
 ]
 CARD_SCHEMA = (
     "account string, default_tag string, default_why string, personal_only boolean, personal_from date, "
@@ -158,10 +158,10 @@ def charges_raw(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.upper("p_name").alias("merchant"))
     account = (
         F.when(F.col("l_linenumber") == 7, "-99999")
-        .when(F.col("l_returnflag") == "A", "-61022")
-        .when(F.col("l_returnflag") == "N", "-62004")
-        .when(F.col("l_linestatus") == "F", "-13003")
-        .otherwise("-61006")
+        .when(F.col("l_returnflag") == "A", "-40115")
+        .when(F.col("l_returnflag") == "N", "-40223")
+        .when(F.col("l_linestatus") == "F", "-50301")
+        .otherwise("-40447")
     )
     price = F.when(F.col("l_quantity") >= 46, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
     return (
@@ -183,8 +183,8 @@ cte(
     "charges_raw",
     """
 SELECT l_orderkey || '-' || l_linenumber AS ref, CAST(o_orderdate AS DATE) AS date, upper(p_name) AS merchant,
-       CASE WHEN l_linenumber = 7 THEN '-99999' WHEN l_returnflag = 'A' THEN '-61022'
-            WHEN l_returnflag = 'N' THEN '-62004' WHEN l_linestatus = 'F' THEN '-13003' ELSE '-61006' END AS account,
+       CASE WHEN l_linenumber = 7 THEN '-99999' WHEN l_returnflag = 'A' THEN '-40115'
+            WHEN l_returnflag = 'N' THEN '-40223' WHEN l_linestatus = 'F' THEN '-50301' ELSE '-40447' END AS account,
        CAST(CASE WHEN l_quantity >= 46 THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18,2)) AS amount,
        l_shipdate AS posted, l_partkey AS part_key
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
@@ -287,27 +287,27 @@ SELECT c.ref, c.date, c.merchant, c.account, c.amount, c.kind, c.card,
        WHEN c.amount < 0 THEN 'skip'
        WHEN o.ref IS NOT NULL THEN o.tag
        WHEN p.tag IN ('business','personal','needs-tag','skip') THEN p.tag
-       WHEN c.account = '-13003' AND contains(c.merchant, 'RING') AND c.date BETWEEN DATE '1998-04-20' AND DATE '1998-06-04' THEN 'business'
-       WHEN c.account = '-13003' THEN 'personal'
-       WHEN c.account = '-61006' AND c.date >= DATE '1998-06-04' AND r.tag = 'business' THEN 'needs-tag'
-       WHEN c.account = '-61006' AND c.date >= DATE '1998-06-04' THEN 'personal'
+       WHEN c.account = '-50301' AND contains(c.merchant, 'RING') AND c.date BETWEEN DATE '1998-03-02' AND DATE '1998-05-12' THEN 'business'
+       WHEN c.account = '-50301' THEN 'personal'
+       WHEN c.account = '-40447' AND c.date >= DATE '1998-05-12' AND r.tag = 'business' THEN 'needs-tag'
+       WHEN c.account = '-40447' AND c.date >= DATE '1998-05-12' THEN 'personal'
        WHEN r.tag IS NOT NULL THEN r.tag
-       WHEN c.date < DATE '1998-06-15' THEN 'needs-tag'
-       WHEN c.account = '-61022' THEN 'business'
-       WHEN c.account = '-62004' THEN 'personal'
+       WHEN c.date < DATE '1998-05-25' THEN 'needs-tag'
+       WHEN c.account = '-40115' THEN 'business'
+       WHEN c.account = '-40223' THEN 'personal'
        ELSE 'needs-tag' END AS tag,
   CASE WHEN c.kind = 'payment' THEN 'payment row'
        WHEN c.amount < 0 THEN 'refund'
        WHEN o.ref IS NOT NULL THEN 'override (' || o.note || ')'
        WHEN p.tag IN ('business','personal','needs-tag','skip') THEN CASE WHEN p.why = '' THEN 'carried from prior classified ledger' ELSE p.why END
-       WHEN c.account = '-13003' AND contains(c.merchant, 'RING') AND c.date BETWEEN DATE '1998-04-20' AND DATE '1998-06-04' THEN 'bounded merchant exception'
-       WHEN c.account = '-13003' THEN 'personal-only card'
-       WHEN c.account = '-61006' AND c.date >= DATE '1998-06-04' AND r.tag = 'business' THEN 'business-looking on a personal card'
-       WHEN c.account = '-61006' AND c.date >= DATE '1998-06-04' THEN 'card personal from date'
+       WHEN c.account = '-50301' AND contains(c.merchant, 'RING') AND c.date BETWEEN DATE '1998-03-02' AND DATE '1998-05-12' THEN 'bounded merchant exception'
+       WHEN c.account = '-50301' THEN 'personal-only card'
+       WHEN c.account = '-40447' AND c.date >= DATE '1998-05-12' AND r.tag = 'business' THEN 'business-looking on a personal card'
+       WHEN c.account = '-40447' AND c.date >= DATE '1998-05-12' THEN 'card personal from date'
        WHEN r.tag IS NOT NULL THEN 'merchant rule ' || r.name
-       WHEN c.date < DATE '1998-06-15' THEN 'pre-split charge, unknown merchant'
-       WHEN c.account = '-61022' THEN 'business card default (post-split)'
-       WHEN c.account = '-62004' THEN 'personal card default (post-split)'
+       WHEN c.date < DATE '1998-05-25' THEN 'pre-split charge, unknown merchant'
+       WHEN c.account = '-40115' THEN 'business card default (post-split)'
+       WHEN c.account = '-40223' THEN 'personal card default (post-split)'
        ELSE 'unknown account ' || c.account END AS why,
   coalesce(nullif(r.entity, ''), 'alfa') AS entity, coalesce(r.bas_account, '') AS bas_account,
   coalesce(r.vat_regime, '') AS vat_regime, coalesce(r.konto_name, '') AS konto_name

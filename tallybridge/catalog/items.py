@@ -11,9 +11,9 @@ from ..operators import items as it
 from . import bindings as b, query
 from .bindings import cte, with_
 
-CARDS = [("1022", True, None), ("2004", False, dt.date(1998, 6, 15))]
+CARDS = [("0115", True, None), ("0223", False, dt.date(1998, 5, 25))]
 CARD_SCHEMA = "card_ending string, business boolean, personal_from date"
-FAMILY = "kinto"
+FAMILY = "fleet"
 
 
 def seeds(spark, sf):
@@ -23,10 +23,10 @@ def seeds(spark, sf):
     return o.select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.when(s == "F", "document").when(s == "O", "card").otherwise("expense").alias("source"),
-        F.concat(F.when(p.isin("1-URGENT", "2-HIGH"), "KINTO ").otherwise("SHOP "), p).alias("merchant"),
+        F.concat(F.when(p.isin("1-URGENT", "2-HIGH"), "FLEET ").otherwise("SHOP "), p).alias("merchant"),
         F.trunc(F.col("o_orderdate").cast("date"), "month").alias("date"),
         F.round(F.col("o_totalprice") / 10000).cast(MONEY).alias("amount"),
-        F.when(p == "1-URGENT", "-61022").when(p == "2-HIGH", "xx 2004").when(p == "3-MEDIUM", "2004").otherwise("").alias("card"),
+        F.when(p == "1-URGENT", "-40115").when(p == "2-HIGH", "xx 0223").when(p == "3-MEDIUM", "0223").otherwise("").alias("card"),
         F.concat(F.lit("ref"), F.col("o_custkey").cast("string")).alias("reference"),
         F.when(p == "5-LOW", "look it up").otherwise("").alias("action"),
         F.lit(None).cast("string").alias("tag"),
@@ -50,8 +50,8 @@ def patches(spark, sf):
 
 cte("seeds", """
 SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderstatus WHEN 'F' THEN 'document' WHEN 'O' THEN 'card' ELSE 'expense' END AS source,
-  CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'KINTO ' ELSE 'SHOP ' END || o_orderpriority AS merchant, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
-  CAST(round(o_totalprice / 10000) AS DECIMAL(18,2)) AS amount, CASE o_orderpriority WHEN '1-URGENT' THEN '1022' WHEN '2-HIGH' THEN '2004' WHEN '3-MEDIUM' THEN '2004' ELSE '' END AS card_ending,
+  CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'FLEET ' ELSE 'SHOP ' END || o_orderpriority AS merchant, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
+  CAST(round(o_totalprice / 10000) AS DECIMAL(18,2)) AS amount, CASE o_orderpriority WHEN '1-URGENT' THEN '0115' WHEN '2-HIGH' THEN '0223' WHEN '3-MEDIUM' THEN '0223' ELSE '' END AS card_ending,
   'ref' || o_custkey AS reference, CASE o_orderpriority WHEN '5-LOW' THEN 'look it up' ELSE '' END AS action, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'needs-receipt' ELSE 'ready' END AS status
 FROM orders""")
 cte("patches", """
@@ -109,12 +109,12 @@ def laned(spark, sf):
 
 
 cte("tagged", """
-SELECT *, CASE WHEN coalesce(own_tag, '') <> '' THEN own_tag WHEN status = 'ignore' THEN 'ignore' WHEN status IN ('done','pending-payout') THEN 'business' WHEN source = 'document' THEN 'business' WHEN card_ending = '1022' THEN 'business'
-  WHEN card_ending = '2004' AND date >= DATE '1998-06-15' THEN 'personal' ELSE 'needs-tag' END AS tag FROM laid""", "laid")
+SELECT *, CASE WHEN coalesce(own_tag, '') <> '' THEN own_tag WHEN status = 'ignore' THEN 'ignore' WHEN status IN ('done','pending-payout') THEN 'business' WHEN source = 'document' THEN 'business' WHEN card_ending = '0115' THEN 'business'
+  WHEN card_ending = '0223' AND date >= DATE '1998-05-25' THEN 'personal' ELSE 'needs-tag' END AS tag FROM laid""", "laid")
 cte("laned", """
 SELECT *, CASE WHEN status = 'ignore' OR tag = 'ignore' THEN 'skip-ignore' WHEN source = 'card' AND tag = 'personal' THEN 'personal-reconcile' WHEN source = 'card' AND status IN ('done','pending-payout') THEN 'already-handled'
-  WHEN source = 'card' AND tag = 'business' THEN 'external-card-fortnox' WHEN source = 'document' AND matched THEN 'kinto-evidence-matched' WHEN source = 'document' THEN 'kinto-source-review' ELSE 'needs-classification' END AS lane
-FROM (SELECT t.*, source = 'document' AND EXISTS (SELECT 1 FROM tagged c WHERE c.source = 'card' AND contains(lower(c.merchant), 'kinto') AND c.date = t.date AND c.amount = t.amount) AS matched FROM tagged t)""", "tagged")
+  WHEN source = 'card' AND tag = 'business' THEN 'external-card-fortnox' WHEN source = 'document' AND matched THEN 'document-matched' WHEN source = 'document' THEN 'document-review' ELSE 'needs-classification' END AS lane
+FROM (SELECT t.*, source = 'document' AND EXISTS (SELECT 1 FROM tagged c WHERE c.source = 'card' AND contains(lower(c.merchant), 'fleet') AND c.date = t.date AND c.amount = t.amount) AS matched FROM tagged t)""", "tagged")
 
 
 @query("j17_evidence_exists", with_("laned", body="SELECT id, matched FROM laned WHERE source = 'document'"))
@@ -128,7 +128,7 @@ SELECT id, tag, lane, CASE WHEN lane = 'external-card-fortnox' AND status = 'rea
   WHEN lane = 'external-card-fortnox' AND status = 'needs-receipt' THEN 'find or request the invoice: ' || coalesce(operator_note, nullif(action, ''), 'missing invoice')
   WHEN lane = 'external-card-fortnox' AND status = 'blocked' THEN 'blocked: ' || coalesce(operator_note, nullif(action, ''), 'waiting on external input')
   WHEN lane = 'personal-reconcile' THEN 'keep out of the company''s expenses' WHEN lane = 'already-handled' THEN 'keep as evidence, no new booking' WHEN lane = 'skip-ignore' THEN 'skip'
-  WHEN lane = 'kinto-source-review' THEN 'no card row matches, review' WHEN lane = 'kinto-evidence-matched' THEN 'evidence for a card row' ELSE CASE WHEN action = '' THEN 'review and classify' ELSE action END END AS next_action
+  WHEN lane = 'document-review' THEN 'no card row matches, review' WHEN lane = 'document-matched' THEN 'evidence for a card row' ELSE CASE WHEN action = '' THEN 'review and classify' ELSE action END END AS next_action
 FROM laned"""))
 def d11(spark, sf):
     return laned(spark, sf).select("id", "tag", "lane", "next_action")
@@ -136,9 +136,9 @@ def d11(spark, sf):
 
 @query("p6_search_items", with_("tagged", body="""
 SELECT id, date, amount, status FROM tagged WHERE tag = 'business' AND status = 'blocked'
- AND contains(lower(concat_ws(' ', id, source, merchant, CAST(date AS VARCHAR), CAST(amount AS VARCHAR), reference, action, coalesce(operator_note, ''))), 'kinto')"""))
+ AND contains(lower(concat_ws(' ', id, source, merchant, CAST(date AS VARCHAR), CAST(amount AS VARCHAR), reference, action, coalesce(operator_note, ''))), 'fleet')"""))
 def p6(spark, sf):
-    return it.search_items(tagged(spark, sf), tag="business", status="blocked", text="KINTO").select("id", "date", "amount", "status")
+    return it.search_items(tagged(spark, sf), tag="business", status="blocked", text="FLEET").select("id", "date", "amount", "status")
 
 
 @query("a7_item_summary", with_("tagged", body="""
@@ -160,7 +160,7 @@ SUBSETS = {
     "card": "source = 'card'", "business": "source = 'card' AND tag = 'business'", "business_ready": "source = 'card' AND tag = 'business' AND status = 'ready'",
     "business_missing": "source = 'card' AND tag = 'business' AND status = 'needs-receipt'", "business_blocked": "source = 'card' AND tag = 'business' AND status = 'blocked'",
     "done": "source = 'card' AND status = 'done'", "pending": "source = 'card' AND status = 'pending-payout'", "personal": "source = 'card' AND tag = 'personal'",
-    "ignored": "status = 'ignore'", "matched": "lane = 'kinto-evidence-matched'", "unmatched": "lane = 'kinto-source-review'",
+    "ignored": "status = 'ignore'", "matched": "lane = 'document-matched'", "unmatched": "lane = 'document-review'",
 }
 
 

@@ -16,7 +16,7 @@ from .streams import _place
 
 @query("s1_read_statement", """
 SELECT ref, date, merchant, account, amount, '€uro' AS city, encoding FROM (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ref, CAST(o_orderdate AS DATE) AS date, replace(upper(p_name), 'GIZMO', 'GIZMÖ') AS merchant, CASE WHEN l_quantity >= 46 THEN '-61022' ELSE '-62004' END AS account,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ref, CAST(o_orderdate AS DATE) AS date, replace(upper(p_name), 'GIZMO', 'GIZMÖ') AS merchant, CASE WHEN l_quantity >= 46 THEN '-40115' ELSE '-40223' END AS account,
     CAST(CASE WHEN l_quantity >= 46 THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18,2)) AS amount, CASE WHEN l_returnflag = 'R' THEN 'cp1252' ELSE 'utf8' END AS encoding
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)""")
 def s1(spark, sf):
@@ -30,7 +30,7 @@ def s1(spark, sf):
         F.date_format("d", "MM/dd/yyyy").alias("Datum"),
         F.replace("m", F.lit("GIZMO"), F.lit("GIZMÖ")).alias("Beskrivning"),
         F.lit("MEMBER").alias("Kortmedlem"),
-        F.when(credit, "-61022").otherwise("-62004").alias("Konto #"),
+        F.when(credit, "-40115").otherwise("-40223").alias("Konto #"),
         F.when(credit, F.concat(F.lit("-"), text)).otherwise(text).alias("Belopp"),
         F.lit('one "quoted"\nline').alias("Adress"),
         F.when(F.col("l_returnflag") == "R", "\u0080uro").otherwise("€uro").alias("Ort"),
@@ -95,12 +95,12 @@ def _layouts(spark, sf):
         F.when(s == "O", "77").otherwise("").alias("Reconciled Entries"), F.lit("").alias("Personal Expense"), F.lit("").alias("Receipt urls"),
     )
     queue = o.filter((p == "4-NOT SPECIFIED") & (s == "F")).select(
-        key.alias("reference"), price.cast("string").alias("amount_sek"), p.alias("merchant"), F.lit("business").alias("tag"), F.lit("1022").alias("card"), d.cast("string").alias("date"),
+        key.alias("reference"), price.cast("string").alias("amount_sek"), p.alias("merchant"), F.lit("business").alias("tag"), F.lit("0115").alias("card"), d.cast("string").alias("date"),
         F.lit("mail").alias("evidence_kind"), F.concat(F.lit("see Gmail "), hexed).alias("evidence_where"), F.lit("2001").alias("statement_period"), F.lit("").alias("foreign"),
     )
     classified = o.filter((p == "4-NOT SPECIFIED") & (s != "F")).select(
         key.alias("ref"), F.when(s == "O", -price).otherwise(price).cast("string").alias("amount"), F.when(s == "O", "personal").otherwise("business").alias("tag"), F.lit("ready").alias("pack_status"),
-        F.concat(F.when(s == "P", F.lit("SHOP ")).otherwise(F.lit("BUTIK ")), p).alias("merchant"), F.lit("-61022").alias("account"), d.cast("string").alias("date"), F.lit("").alias("ext"), F.lit("charge").alias("kind"),
+        F.concat(F.when(s == "P", F.lit("SHOP ")).otherwise(F.lit("BUTIK ")), p).alias("merchant"), F.lit("-40115").alias("account"), d.cast("string").alias("date"), F.lit("").alias("ext"), F.lit("charge").alias("kind"),
     )
     regression = o.filter(p == "5-LOW").select(
         F.lit("positive").alias("set"), F.lit("pleo").alias("ledger"), key.alias("row_key"), hexed.alias("expected_message_id"),

@@ -62,8 +62,8 @@ def lane(items: DataFrame, family: str) -> DataFrame:
         .when(card & (F.col("tag") == "personal"), "personal-reconcile")
         .when(card & F.col("status").isin("done", "pending-payout"), "already-handled")
         .when(card & (F.col("tag") == "business"), "external-card-fortnox")
-        .when(document & F.col("matched"), "kinto-evidence-matched")
-        .when(document, "kinto-source-review")
+        .when(document & F.col("matched"), "document-matched")
+        .when(document, "document-review")
         .otherwise("needs-classification")
     )
     laned = rows.withColumn("lane", where)
@@ -76,8 +76,8 @@ def lane(items: DataFrame, family: str) -> DataFrame:
         .when(F.col("lane") == "personal-reconcile", "keep out of the company's expenses")
         .when(F.col("lane") == "already-handled", "keep as evidence, no new booking")
         .when(F.col("lane") == "skip-ignore", "skip")
-        .when(F.col("lane") == "kinto-source-review", "no card row matches, review")
-        .when(F.col("lane") == "kinto-evidence-matched", "evidence for a card row")
+        .when(F.col("lane") == "document-review", "no card row matches, review")
+        .when(F.col("lane") == "document-matched", "evidence for a card row")
         .otherwise(F.coalesce(F.nullif("action", F.lit("")), F.lit("review and classify")))
     )
     return laned.withColumn("next_action", action)
@@ -140,8 +140,8 @@ def closeout_counts(items: DataFrame) -> DataFrame:
         "pending": card & (F.col("status") == "pending-payout"),
         "personal": card & (F.col("tag") == "personal"),
         "ignored": F.col("status") == "ignore",
-        "matched": F.col("lane") == "kinto-evidence-matched",
-        "unmatched": F.col("lane") == "kinto-source-review",
+        "matched": F.col("lane") == "document-matched",
+        "unmatched": F.col("lane") == "document-review",
     }
     aggs: list[Column] = []
     for name, condition in subsets.items():

@@ -1,6 +1,7 @@
 """Classification and voucher goldens."""
 
 import datetime as dt
+from collections import Counter
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -8,97 +9,88 @@ from pyspark.sql import functions as F
 from tallybridge.operators import ledger as lg, posting as po
 
 D = dt.date
-POLICY = lg.Policy("BETALNING MOTTAGEN", D(2026, 6, 15), "alfa")
+SPLIT = D(2025, 3, 10)
+POLICY = lg.Policy("INBETALNING", SPLIT, "alfa")
 RULE_SCHEMA = "rule_order int, name string, patterns array<string>, tag string, entity string, bas_account string, konto_name string, vat_regime string"
 RULES = [
-    (1, "Business rule", ["BIZ SHOP", "LEASE CARS"], "business", "alfa", "5410", "tools", "domestic25"),
-    (2, "Other entity", ["SECOND HOST"], "business", "beta", "6540", "it", "noneu_rc"),
-    (3, "Coding only", ["CODE ONLY"], None, "alfa", "6993", "misc", "none"),
+    (1, "Office and transport", ["PAPER MILL", "VAN HIRE"], "business", "alfa", "5410", "tools", "domestic25"),
+    (2, "Hosting", ["CLOUD NINE"], "business", "beta", "6540", "it", "noneu_rc"),
+    (3, "Coded, not tagged", ["CANTEEN"], None, "alfa", "6993", "misc", "none"),
 ]
 CARD_SCHEMA = "account string, default_tag string, default_why string, personal_only boolean, personal_from date, exception_merchant string, exception_from date, exception_to date"
+WORK, HOME, PRIVATE, TURNED = "card-w", "card-h", "card-p", "card-t"
+EXCEPTION, TURN = (D(2025, 1, 15), D(2025, 2, 20)), D(2025, 2, 21)
 CARDS = [
-    ("-61022", "business", "business card default", False, None, None, None, None),
-    ("-62004", "personal", "personal card default", False, None, None, None, None),
-    ("-13003", None, None, True, None, "LEASE", D(2026, 4, 20), D(2026, 6, 4)),
-    ("-61006", None, None, False, D(2026, 6, 4), None, None, None),
+    (TURNED, None, None, False, TURN, None, None, None),
+    (PRIVATE, None, None, True, None, "VAN HIRE", *EXCEPTION),
+    (HOME, "personal", "goes home", False, None, None, None, None),
+    (WORK, "business", "goes to work", False, None, None, None, None),
 ]
-ROWS = [
-    ("CTFIX001", D(2026, 7, 1), "BETALNING MOTTAGEN, TACK", "-61022", "-5000", "skip", "payment row"),
-    ("CTFIX002", D(2026, 7, 2), "TESTBUTIK RETUR", "-61022", "-50", "skip", "refund"),
-    ("CTFIX003", D(2026, 7, 3), "UNKNOWN A", "-62004", "100", "business", "override"),
-    ("CTFIX004", D(2026, 7, 4), "UNKNOWN B", "-61022", "100", "needs-tag", "queued earlier"),
-    ("CTFIX005", D(2026, 7, 5), "UNKNOWN C", "-62004", "100", "business", "carried from prior"),
-    ("CTFIX006", D(2026, 6, 4), "LEASE CARS STOCKHOLM", "-13003", "100", "business", "bounded merchant exception"),
-    ("CTFIX007", D(2026, 6, 5), "LEASE CARS STOCKHOLM", "-13003", "100", "personal", "personal-only"),
-    ("CTFIX008", D(2026, 5, 1), "UNKNOWN D", "-13003", "100", "personal", "personal-only"),
-    ("CTFIX009", D(2026, 7, 6), "BIZ SHOP", "-61006", "100", "needs-tag", "business-looking"),
-    ("CTFIX010", D(2026, 6, 4), "UNKNOWN E", "-61006", "100", "personal", "card personal from date"),
-    ("CTFIX011", D(2026, 6, 3), "UNKNOWN E", "-61006", "100", "needs-tag", "pre-split"),
-    ("CTFIX012", D(2026, 7, 7), "biz shop online", "-62004", "100", "business", "merchant rule"),
-    ("CTFIX013", D(2026, 7, 8), "SECOND HOST", "-61022", "100", "business", "merchant rule"),
-    ("CTFIX014", D(2026, 7, 9), "THE BIZ SHOP", "-61022", "100", "business", "merchant rule"),
-    ("CTFIX015", D(2026, 6, 14), "UNKNOWN F", "-61022", "100", "needs-tag", "pre-split"),
-    ("CTFIX016", D(2026, 7, 10), "UNKNOWN F", "-61022", "100", "business", "business card default"),
-    ("CTFIX017", D(2026, 7, 11), "UNKNOWN F", "-62004", "100", "personal", "personal card default"),
-    ("CTFIX018", D(2026, 7, 12), "UNKNOWN F", "-99999", "100", "needs-tag", "unknown account"),
-    ("CTFIX019", D(2026, 7, 13), "CODE ONLY", "-61022", "100", "business", "business card default"),
-    ("CTFIX020", D(2026, 7, 14), "LEASE CARS", "-61022", "100", "business", "merchant rule"),
-    ("CTFIX021", D(2026, 6, 15), "UNKNOWN F", "-61022", "100", "business", "business card default"),
-    ("", D(2026, 7, 1), "NO REF", "-61022", "100", None, None),
+LATE, DAY = D(2025, 5, 5), dt.timedelta(days=1)
+# What a row must become, with the start of the reason, and the rows that must become it: merchant, card, day, amount.
+CASES = [
+    (("needs-tag", "pre-split"), [("NO ONE KNOWS", WORK, SPLIT - DAY, 100), ("NO ONE KNOWS", HOME, SPLIT - DAY, 30), ("NO ONE KNOWS", TURNED, TURN - DAY, 100)]),
+    (("business", "goes to work"), [("NO ONE KNOWS", WORK, SPLIT, 100), ("CANTEEN", WORK, LATE, 80)]),
+    (("personal", "goes home"), [("NO ONE KNOWS", HOME, SPLIT, 25), ("NO ONE KNOWS", HOME, LATE, 25)]),
+    (("needs-tag", "unknown account"), [("NO ONE KNOWS", "card-?", LATE, 10)]),
+    (("business", "merchant rule"), [("PAPER MILL", WORK, LATE, 1), ("old paper mill ltd", HOME, LATE, 2), ("CLOUD NINE", WORK, LATE, 3), ("VAN HIRE", WORK, LATE, 4)]),
+    (("business", "bounded merchant exception"), [("VAN HIRE CITY", PRIVATE, EXCEPTION[0], 5), ("VAN HIRE CITY", PRIVATE, EXCEPTION[1], 6)]),
+    (("personal", "personal-only"), [("VAN HIRE CITY", PRIVATE, EXCEPTION[0] - DAY, 5), ("VAN HIRE CITY", PRIVATE, EXCEPTION[1] + DAY, 5), ("NO ONE KNOWS", PRIVATE, LATE, 5)]),
+    (("personal", "card personal from date"), [("NO ONE KNOWS", TURNED, TURN, 7), ("NO ONE KNOWS", TURNED, LATE, 7)]),
+    (("needs-tag", "business-looking"), [("PAPER MILL", TURNED, TURN, 8)]),
+    (("skip", "payment row"), [("INBETALNING 17", WORK, LATE, -900)]),
+    (("skip", "refund"), [("NO ONE KNOWS", HOME, LATE, -40), ("PAPER MILL", WORK, LATE, -1)]),
+    (("business", "override (dinner, two guests)"), [("ANSWERED", HOME, LATE, 11)]),
+    (("needs-tag", "asked before"), [("QUEUED", WORK, LATE, 12)]),
+    (("business", "carried from prior"), [("CARRIED", HOME, LATE, 13)]),
 ]
+ROWS = [(f"r{i}", *want, *row) for i, (want, row) in enumerate((want, row) for want, rows in CASES for row in rows)]
+REF = {row[3]: row[0] for row in ROWS}
 
 
-def classify(spark, literal=True):
-    charges = spark.createDataFrame(
-        [(r, d, m, a, Decimal(x)) for r, d, m, a, x, _, _ in ROWS], "ref string, date date, merchant string, account string, amount decimal(18,2)"
-    )
-    charges = lg.charge_kind(charges, POLICY.payment_phrase)
+def classify(spark):
+    charges = [(ref, day, merchant, card, Decimal(amount)) for ref, _, _, merchant, card, day, amount in ROWS] + [("", LATE, "WITHOUT REF", WORK, Decimal(5))]
+    charges = lg.charge_kind(spark.createDataFrame(charges, "ref string, date date, merchant string, account string, amount decimal(18,2)"), POLICY.payment_phrase)
+    # The later answer counts; an answer to a payment changes nothing; two cannot be read.
     lines = [
-        (2, "CTFIX003", "business", "dinner"), (3, "CTFIX001", "business", ""), (4, "CTFIX016", "maybe", ""), (5, "", "business", ""),
-        (6, "CTFIX003", "business", "dinner with a client"),
+        (1, REF["ANSWERED"], "personal", "dinner"), (2, REF["ANSWERED"], "business", "dinner, two guests"), (3, REF["INBETALNING 17"], "business", ""),
+        (4, REF["CLOUD NINE"], "perhaps", ""), (5, "", "personal", ""),
     ]
     overrides, bad = lg.valid_overrides(spark.createDataFrame(lines, "line int, ref string, tag string, note string"))
-    prior = spark.createDataFrame(
-        [("CTFIX003", "personal", ""), ("CTFIX004", "needs-tag", "queued earlier"), ("CTFIX005", "business", "")], "ref string, tag string, why string"
-    )
-    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
-    cards = spark.createDataFrame(CARDS, CARD_SCHEMA)
-    return lg.classify(charges, rules, overrides, prior, cards, POLICY), bad
+    prior = [(REF["ANSWERED"], "needs-tag", ""), (REF["QUEUED"], "needs-tag", "asked before"), (REF["CARRIED"], "business", "")]
+    prior = spark.createDataFrame(prior, "ref string, tag string, why string")
+    return lg.classify(charges, spark.createDataFrame(RULES, RULE_SCHEMA), overrides, prior, spark.createDataFrame(CARDS, CARD_SCHEMA), POLICY), bad
 
 
-def test_classification_goldens(spark):
+def test_classification_by_rule(spark):
     out, bad = classify(spark)
-    got = {r.ref: (r.tag, r.why) for r in out.collect()}
-    assert len(got) == 21 and bad.count() == 2
-    for ref, *_, tag, why in ROWS[:-1]:
-        assert got[ref][0] == tag, ref
-        assert got[ref][1].startswith(why), (ref, got[ref][1])
-    assert got["CTFIX003"][1] == "override (dinner with a client)"
+    got = {r.ref: r for r in out.collect()}
+    assert set(got) == {row[0] for row in ROWS} and bad.count() == 2
+    for ref, tag, why, merchant, card, day, _ in ROWS:
+        assert (got[ref].tag, got[ref].why[: len(why)]) == (tag, why), (merchant, card, day, got[ref].why)
+    coded = {merchant: (got[ref].bas_account, got[ref].entity) for ref, _, _, merchant, *_ in ROWS}
+    assert coded["CANTEEN"] == ("6993", "alfa") and coded["CLOUD NINE"][1] == "beta" and coded["NO ONE KNOWS"][1] == "alfa"
 
 
-def test_classification_totals_and_coding(spark):
-    out, _ = classify(spark)
-    summary = {r.tag: r.n for r in lg.tag_summary(out).collect()}
-    assert summary == {"business": 10, "needs-tag": 5, "personal": 4, "skip": 2}
-    total = [r.business_amount for r in lg.tag_summary(out).collect() if r.tag == "business"][0]
-    assert total == Decimal("1000.00")
-    rows = {r.ref: r for r in out.collect()}
-    assert rows["CTFIX019"].bas_account == "6993" and rows["CTFIX013"].entity == "beta" and rows["CTFIX018"].entity == "alfa"
+def test_classification_totals(spark):
+    summary = {r.tag: r for r in lg.tag_summary(classify(spark)[0]).collect()}
+    assert {tag: r.n for tag, r in summary.items()} == dict(Counter(row[1] for row in ROWS))
+    assert summary["business"].business_amount == sum(Decimal(row[6]) for row in ROWS if row[1] == "business")
 
 
 def test_rule_match_is_the_first_that_fits(spark):
-    merchants = ["BIZ SHOP SECOND HOST", "a code only b", "xx", "", None]
+    merchants = ["PAPER MILL CLOUD NINE", "a canteen b", "xx", "", None]
     charges = spark.createDataFrame([(m,) for m in merchants], "merchant string")
     rules = spark.createDataFrame(RULES, RULE_SCHEMA)
     listed = sorted(((r.rule_order, [p.upper() for p in r.patterns or [] if p]) for r in rules.collect()))
     want = {m: next((o for o, ps in listed if m and any(p in m.upper() for p in ps)), None) for m in merchants}
-    assert {r.merchant: r.rule_order for r in lg.match_rule(charges, rules).collect()} == want and want["BIZ SHOP SECOND HOST"] == 1
+    assert {r.merchant: r.rule_order for r in lg.match_rule(charges, rules).collect()} == want and want["PAPER MILL CLOUD NINE"] == 1
 
 
 def test_rule_match_has_no_product_join(spark):
-    charges = spark.range(1000).select(F.concat(F.lit("BIZ SHOP "), F.col("id").cast("string")).alias("merchant"))
+    charges = spark.range(1000).select(F.concat(F.lit("PAPER MILL "), F.col("id").cast("string")).alias("merchant"))
     rules = spark.sql(
-        "SELECT * FROM VALUES (1, 'a', array('BIZ'), 'business', '', '', '', ''), (2, 'b', array('9'), 'personal', '', '', '', '') "
+        "SELECT * FROM VALUES (1, 'a', array('MILL'), 'business', '', '', '', ''), (2, 'b', array('9'), 'personal', '', '', '', '') "
         "AS t(rule_order, name, patterns, tag, entity, bas_account, konto_name, vat_regime)"
     )
     done = lg.match_rule(charges, rules)

@@ -62,17 +62,17 @@ def test_flagged_over_two_exports(spark):
 
 def test_item_lanes(spark):
     rows = [
-        ("1", "card", "-61022", "SHOP", D(2026, 7, 1), "10", "ready"), ("2", "card", "2004", "SHOP", D(2026, 6, 15), "10", "ready"), ("3", "card", "2004", "SHOP", D(2026, 6, 14), "10", "ready"),
-        ("4", "card", "9", "SHOP", D(2026, 6, 1), "10", "done"), ("5", "expense", "", "SHOP", D(2026, 6, 1), "10", "ignore"), ("6", "document", "", "KINTO", D(2026, 6, 2), "99", "ready"),
-        ("7", "card", "1022", "Kinto Sweden", D(2026, 6, 2), "99", "ready"), ("8", "document", "", "KINTO", D(2026, 6, 3), "99", "ready"),
+        ("1", "card", "-40115", "SHOP", D(2026, 7, 1), "10", "ready"), ("2", "card", "0223", "SHOP", D(2026, 5, 25), "10", "ready"), ("3", "card", "0223", "SHOP", D(2026, 5, 24), "10", "ready"),
+        ("4", "card", "9", "SHOP", D(2026, 6, 1), "10", "done"), ("5", "expense", "", "SHOP", D(2026, 6, 1), "10", "ignore"), ("6", "document", "", "CITY VANS", D(2026, 6, 2), "99", "ready"),
+        ("7", "card", "0115", "City Vans Hire", D(2026, 6, 2), "99", "ready"), ("8", "document", "", "CITY VANS", D(2026, 6, 3), "99", "ready"),
     ]
     df = spark.createDataFrame([(*r[:5], Decimal(r[5]), r[6]) for r in rows], "id string, source string, card string, merchant string, date date, amount decimal(18,2), status string")
     df = df.withColumns({"tag": F.lit(None).cast("string"), "operator_note": F.lit(""), "action": F.lit("")})
-    cards = spark.createDataFrame([("1022", True, None), ("2004", False, D(2026, 6, 15))], "card_ending string, business boolean, personal_from date")
-    got = {r.id: (r.tag, r.lane) for r in it.lane(it.inferred_tag(df, cards), "kinto").collect()}
+    cards = spark.createDataFrame([("0115", True, None), ("0223", False, D(2026, 5, 25))], "card_ending string, business boolean, personal_from date")
+    got = {r.id: (r.tag, r.lane) for r in it.lane(it.inferred_tag(df, cards), "city vans").collect()}
     assert got == {
         "1": ("business", "external-card-fortnox"), "2": ("personal", "personal-reconcile"), "3": ("needs-tag", "needs-classification"), "4": ("business", "already-handled"),
-        "5": ("ignore", "skip-ignore"), "6": ("business", "kinto-evidence-matched"), "7": ("business", "external-card-fortnox"), "8": ("business", "kinto-source-review"),
+        "5": ("ignore", "skip-ignore"), "6": ("business", "document-matched"), "7": ("business", "external-card-fortnox"), "8": ("business", "document-review"),
     }
 
 
