@@ -474,7 +474,7 @@ cte("tasks_behind", TASKS.replace("FROM staged", "FROM staged_behind").replace("
 
 def _settled_star(spark, sf):
     # The star feeds a dozen small aggregates: written once, with only the columns they read.
-    cols = ["ref", "date", "month", "amount", "tag", "entity", "bas_account", "in_expense", "evidence", "booked", "reimbursed", "answer", "answered_tag", "plan_held", "planned", "search_best", "searched_on"]
+    cols = ["ref", "account", "date", "month", "amount", "tag", "entity", "bas_account", "in_expense", "evidence", "booked", "reimbursed", "answer", "answered_tag", "plan_held", "planned", "search_best", "searched_on"]
     return settle(star(spark, sf).select(*cols))
 
 
@@ -494,14 +494,22 @@ def t1(spark, sf):
     return st.order_todo(tasks(spark, sf, _settled_star(spark, sf))).select("key", "severity", "severity_rank", "count")
 
 
-@query("d21_status_chips", with_("tasks", "line", body="""
+@query("d21_status_chips", with_("tasks", "line", "cover", body=f"""
 WITH t AS (SELECT count(*) AS tasks, count(*) FILTER (severity = 'crit') AS crit, count(*) FILTER (starts_with(key, 'plan-held:')) AS held FROM tasks), x AS (SELECT * FROM line, t)
 SELECT 1 AS chip_no, CASE WHEN crit > 0 THEN 'warn' ELSE 'ok' END AS tone, tasks || ' open tasks' AS text FROM x
 UNION ALL SELECT 2, CASE WHEN held > 0 THEN 'warn' ELSE 'ok' END, held || ' plans on hold' FROM x
 UNION ALL SELECT 3, CASE WHEN expense_missing > 0 THEN 'warn' ELSE 'ok' END, expense_missing || ' expenses without a document' FROM x
 UNION ALL SELECT 4, CASE WHEN needs_tag_open > 0 THEN 'warn' ELSE 'ok' END, needs_tag_open || ' untagged rows' FROM x
 UNION ALL SELECT 5, CASE WHEN vouchers_booked = 0 THEN 'warn' ELSE 'ok' END, vouchers_booked || ' vouchers booked of ' || vouchers_planned FROM x
-UNION ALL SELECT 6, CASE WHEN evidence_found < business_rows THEN 'warn' ELSE 'ok' END, evidence_found || ' of ' || business_rows || ' business rows with evidence' FROM x"""))
+UNION ALL SELECT 6, CASE WHEN evidence_found < business_rows THEN 'warn' ELSE 'ok' END, evidence_found || ' of ' || business_rows || ' business rows with evidence' FROM x
+UNION ALL SELECT 7, 'ok', 'as of ' || {TODAY}
+UNION ALL SELECT 8, CASE WHEN count(*) FILTER (reimbursed) > 0 THEN 'warn' ELSE 'ok' END, count(*) FILTER (reimbursed) || ' rows already reimbursed' FROM star
+UNION ALL SELECT 9, CASE WHEN count(*) FILTER (status = 'open') > 0 THEN 'warn' ELSE 'ok' END, count(*) FILTER (status = 'open') || ' wrong documents left, ' || count(*) FILTER (status = 'refiled') || ' refiled' FROM flagged
+UNION ALL SELECT 10, CASE WHEN count(*) FILTER (tag = 'needs-tag') > 0 THEN 'warn' ELSE 'ok' END, count(*) FILTER (tag = 'needs-tag' AND account = '-50301') || ' of ' || count(*) FILTER (tag = 'needs-tag') || ' untagged rows on a private card' FROM star
+UNION ALL SELECT 11, CASE WHEN next_present THEN 'ok' ELSE 'missing' END, 'statement for ' || next_month || CASE WHEN next_present THEN ' is there' ELSE ' is missing' END FROM cover
+UNION ALL SELECT 12, CASE WHEN age_days IS NULL THEN 'missing' ELSE state END, CASE WHEN age_days IS NULL THEN 'no export' ELSE 'export ' || age_days || ' days old' END FROM fresh WHERE source = '3-MEDIUM'"""))
 def d21(spark, sf):
     rows = _settled_star(spark, sf)
-    return st.status_chips(line(spark, sf, rows), tasks(spark, sf, rows))
+    own = st.status_chips(line(spark, sf, rows), tasks(spark, sf, rows))
+    fresh = st.freshness(sources(spark, sf), F.expr(TODAY))
+    return own.unionByName(st.source_chips(rows, flagged(spark, sf), cover(spark, sf), fresh, F.expr(TODAY), ["-50301"], "3-MEDIUM"))

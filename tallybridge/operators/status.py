@@ -555,6 +555,15 @@ def order_todo(tasks: DataFrame) -> DataFrame:
     )
 
 
+def _chip(n: int, tone: Column, *text) -> Column:
+    words = [x.cast("string") if isinstance(x, Column) else F.lit(x) for x in text]
+    return F.struct(F.lit(n).alias("chip_no"), tone.alias("tone"), F.concat(*words).alias("text"))
+
+
+def _warns(condition: Column) -> Column:
+    return F.when(condition, "warn").otherwise("ok")
+
+
 def status_chips(line: DataFrame, tasks: DataFrame) -> DataFrame:
     """Short facts with a tone (ok or warn), every figure computed from the model."""
     t = tasks.agg(
@@ -563,16 +572,37 @@ def status_chips(line: DataFrame, tasks: DataFrame) -> DataFrame:
         F.count_if(F.col("key").startswith("plan-held:")).alias("held"),
     )
     row = _beside(line, t)
+    chips = F.array(
+        _chip(1, _warns(F.col("crit") > 0), F.col("tasks"), " open tasks"),
+        _chip(2, _warns(F.col("held") > 0), F.col("held"), " plans on hold"),
+        _chip(3, _warns(F.col("expense_missing") > 0), F.col("expense_missing"), " expenses without a document"),
+        _chip(4, _warns(F.col("needs_tag_open") > 0), F.col("needs_tag_open"), " untagged rows"),
+        _chip(5, _warns(F.col("vouchers_booked") == 0), F.col("vouchers_booked"), " vouchers booked of ", F.col("vouchers_planned")),
+        _chip(6, _warns(F.col("evidence_found") < F.col("business_rows")), F.col("evidence_found"), " of ", F.col("business_rows"), " business rows with evidence"),
+    )
+    return row.select(F.explode(chips).alias("_c")).select("_c.*")
 
-    def chip(n, warn, *text):
-        return F.struct(F.lit(n).alias("chip_no"), F.when(warn, "warn").otherwise("ok").alias("tone"), F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in text]).alias("text"))
 
+def source_chips(
+    ledger: DataFrame, flagged: DataFrame, cover: DataFrame, sources: DataFrame, today: Column, private_accounts: list[str], export: str
+) -> DataFrame:
+    """The chips that tell of dates, payouts, wrong documents, the private card, the next statement and
+    the export's age; a source that is not there is ``missing``. ``sources`` as ``freshness`` gives them."""
+    untagged = F.col("tag") == "needs-tag"
+    g = ledger.agg(
+        F.count_if("reimbursed").alias("reimbursed"), F.count_if(untagged).alias("untagged"),
+        F.count_if(untagged & F.col("account").isin(*private_accounts)).alias("private"),
+    )
+    f = flagged.agg(F.count_if(F.col("status") == "open").alias("wrong"), F.count_if(F.col("status") == "refiled").alias("refiled"))
+    e = sources.filter(F.col("source") == export).agg(F.min("age_days").alias("age"), F.min("state").alias("state"))
+    row = _beside(g, f, cover.select("next_month", "next_present").limit(1), e)
+    aged = F.col("age").isNotNull()
     chips = F.array(
-        chip(1, F.col("crit") > 0, F.col("tasks"), " open tasks"),
-        chip(2, F.col("held") > 0, F.col("held"), " plans on hold"),
-        chip(3, F.col("expense_missing") > 0, F.col("expense_missing"), " expenses without a document"),
-        chip(4, F.col("needs_tag_open") > 0, F.col("needs_tag_open"), " untagged rows"),
-        chip(5, F.col("vouchers_booked") == 0, F.col("vouchers_booked"), " vouchers booked of ", F.col("vouchers_planned")),
-        chip(6, F.col("evidence_found") < F.col("business_rows"), F.col("evidence_found"), " of ", F.col("business_rows"), " business rows with evidence"),
+        _chip(7, F.lit("ok"), "as of ", today),
+        _chip(8, _warns(F.col("reimbursed") > 0), F.col("reimbursed"), " rows already reimbursed"),
+        _chip(9, _warns(F.col("wrong") > 0), F.col("wrong"), " wrong documents left, ", F.col("refiled"), " refiled"),
+        _chip(10, _warns(F.col("untagged") > 0), F.col("private"), " of ", F.col("untagged"), " untagged rows on a private card"),
+        _chip(11, F.when(F.col("next_present"), "ok").otherwise("missing"), "statement for ", F.coalesce("next_month", F.lit("")), F.when(F.col("next_present"), " is there").otherwise(" is missing")),
+        _chip(12, F.when(aged, F.col("state")).otherwise("missing"), F.when(aged, F.concat(F.lit("export "), F.col("age").cast("string"), F.lit(" days old"))).otherwise("no export")),
     )
     return row.select(F.explode(chips).alias("_c")).select("_c.*")
