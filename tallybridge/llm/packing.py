@@ -38,7 +38,7 @@ LENGTH = 2048
 END = 1
 DIMENSIONS = 3
 BITS = 10
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # Rows whose places tell where ranges end, and the bits of a place that tell equal keys apart.
 SAMPLE, TIES = 1 << 14, 33
 

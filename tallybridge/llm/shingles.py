@@ -38,7 +38,7 @@ OVER, UNDER = 4, 5
 # Rounds of pivots at most, and the pairs per row of a bucket from which a round is worth it.
 ROUNDS, DENSE = 2, 4
 # Texts in the sample, texts that make a shingle frequent in it, and frequent shingles told apart.
-SAMPLE, FREQUENT, TOLD = 1 << 14, 4, 1 << 16
+SAMPLE, FREQUENT, TOLD = 1 << 14, 4, 1 << 15
 # Pairs of one text that are checked in one task.
 TILE = 256
 
@@ -131,8 +131,19 @@ def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
     share = min(1.0, SAMPLE / max(1, docs.count()))
     sample = docs.select(F.col(text).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20))).distinct()
     held = sample.select(F.explode(shingle_sets(F.col("t"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    top = held.filter(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "h").limit(TOLD).collect()
-    return np.array([r.h for r in reversed(top)], np.int64)
+    often = settle(held.filter(F.col("c") >= FREQUENT))
+    # The count from which on there are TOLD at most, so that no more than these reach the driver.
+    room, least = TOLD, None
+    for row in sorted(often.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.c):
+        room -= row.n
+        if room < 0:
+            break
+        least = row.c
+    if least is None:
+        return np.zeros(0, np.int64)
+    top = often.filter(F.col("c") >= least).toArrow()
+    values, counts = top["h"].to_numpy(), top["c"].to_numpy()
+    return values[np.lexsort((values, counts))]
 
 
 def _side_by_side(pairs: DataFrame, facts: DataFrame) -> DataFrame:
