@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import parse_date
@@ -15,6 +18,7 @@ STATEMENT_COLUMNS = {
     "Belopp": "amount_text", "Utökade specifikationer": "ext", "Visas på ditt kontoutdrag som": "statement_text",
     "Adress": "address", "Ort": "city", "Postnummer": "postcode", "Land": "country", "Referens": "ref",
 }
+REQUIRED_COLUMNS = ("Datum", "Beskrivning", "Konto #", "Belopp", "Referens")
 
 
 # What bytes 80 to 9F mean in cp1252; latin-1 reads them as control characters.
@@ -22,32 +26,50 @@ CP1252_FROM = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D,
 CP1252_TO = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 
-def _encoding(content: Column) -> Column:
-    """First of UTF-8, cp1252 and latin-1 that can decode the bytes."""
-    hexed = F.hex(content)
-    undefined = F.regexp_like(hexed, F.lit("^(?:..)*?(?:81|8D|8F|90|9D)"))
-    return F.when(F.is_valid_utf8(content.cast("string")), "UTF-8").when(~undefined, "cp1252").otherwise("latin-1")
+def _looks(spark: SparkSession, paths) -> dict[tuple[str, str], list[str]]:
+    """Statement files by encoding (the first of UTF-8, cp1252 and latin-1 that can decode them) and header.
+
+    Files are read line by line and in splits: no character of any of the three is cut by a line
+    end, so a file can be decoded when all its lines can. A line is kept only if it could be a header.
+    """
+    raw = F.col("value").cast("binary")
+    utf8 = F.is_valid_utf8("value")
+    undefined = ~utf8 & F.regexp_like(F.hex(raw), F.lit("^(?:..)*?(?:81|8D|8F|90|9D)"))
+    # Within a split numbers rise line by line; a file begins in its block 0.
+    top = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    named = reduce(lambda a, b: a & b, [F.col("value").contains(c) for c in REQUIRED_COLUMNS])
+    could = F.when(top.isNotNull() & named, raw)
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), could.alias("head"), utf8.alias("utf8"), undefined.alias("undefined"), top.alias("top")
+    )
+    seen = lines.groupBy("path", "head").agg(F.min("top").alias("top"), F.bool_and("utf8").alias("utf8"), F.bool_or("undefined").alias("undefined"))
+    files: dict[str, list] = {}
+    for r in seen.collect():
+        files.setdefault(r.path, []).append(r)
+    groups: dict[tuple[str, str], list[str]] = {}
+    for path, rows in files.items():
+        encoding = "UTF-8" if all(r.utf8 for r in rows) else "latin-1" if any(r.undefined for r in rows) else "cp1252"
+        # The path of the metadata is percent-encoded.
+        file = unquote(path)
+        first = min((r for r in rows if r.top is not None), key=lambda r: r.top).head
+        if first is None:
+            first = spark.read.text(file).select(F.col("value").cast("binary").alias("head")).first().head
+        header = bytes(first).decode("utf-8" if encoding == "UTF-8" else "iso-8859-1").removeprefix("\ufeff")
+        groups.setdefault((encoding, header), []).append(file)
+    return groups
 
 
 def read_statement(spark: SparkSession, paths) -> DataFrame:
     """Card statement files as charges, columns found by header, text decoded file by file.
 
     The files are looked at once to learn encoding and header; files alike in both are then read
-    together by the CSV reader, so only file names pass through the driver.
+    together by the CSV reader, so only file names and headers pass through the driver.
     """
-    raw = spark.read.format("binaryFile").load(paths)
-    text = F.when(F.col("encoding") == "UTF-8", F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    header = F.regexp_replace(F.regexp_extract(text, "^([^\\r\\n]*)", 1), "^﻿", "")
-    looked = raw.filter("length > 0").select("path", _encoding(F.col("content")).alias("encoding"), "content").select(
-        "path", "encoding", header.alias("header")
-    )
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in looked.collect():
-        groups.setdefault((r.encoding, r.header), []).append(r.path)
+    groups = _looks(spark, paths)
     out = None
     for (encoding, head), files in sorted(groups.items()):
         names = [c.strip().strip('"') for c in head.split(",")]
-        missing = [c for c in ("Datum", "Beskrivning", "Konto #", "Belopp", "Referens") if c not in names]
+        missing = [c for c in REQUIRED_COLUMNS if c not in names]
         if missing:
             raise ValueError(f"not a card statement, missing columns: {', '.join(missing)} in {files[0]}")
         schema = ", ".join(f"`{n}` string" for n in names)
