@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import month_of
@@ -54,31 +56,56 @@ def fetch_scope(classified: DataFrame, own_entity: str, payment_phrase: str) ->
     )
 
 
+# Characters that a shape tells of a ref, and shapes of one length that are worth comparing with.
+SHAPE_LENGTH, SHAPES = 8, 64
+
+
+def _classes(text: Column) -> Column:
+    """Digits as 0, letters as a; one character for one."""
+    return F.translate(text, digits + ascii_letters, "0" * len(digits) + "a" * len(ascii_letters))
+
+
+def _shape(classes: Column) -> Column:
+    return F.regexp_replace(classes, "[^0a]", ".")
+
+
+def _ref_kinds(refs: DataFrame) -> DataFrame:
+    """One row: the lengths refs have and the shapes they begin with, an empty shape where a length has too many to tell anything."""
+    seen = refs.select(F.length("ref").alias("n"), _classes(F.left("ref", F.lit(SHAPE_LENGTH))).alias("c")).filter("n > 0").distinct()
+    # Digit, letter or other: a bounded number of shapes whatever the refs.
+    shapes = seen.select("n", _shape(F.col("c")).alias("shape")).groupBy("n").agg(F.collect_set("shape").alias("shapes"))
+    few = F.when(F.size("shapes") <= SHAPES, F.col("shapes")).otherwise(F.array(F.lit("")))
+    return shapes.select("n", F.explode(few).alias("shape")).agg(F.sort_array(F.collect_list(F.struct("n", "shape"))).alias("_kinds"))
+
+
+def _pieces(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """``ref``, ``inner`` and ``name``: every piece of a name that is as long as a ref and begins like one of that length."""
+    # An aggregate that travels to the files as a subquery would.
+    shaped = files.select("name", _shape(_classes(F.col("name"))).alias("_shape")).withColumn("_kinds", _ref_kinds(refs).scalar())
+    each = shaped.select("name", "_shape", F.explode("_kinds").alias("_k")).select("name", "_shape", F.col("_k.n").alias("n"), F.col("_k.shape").alias("k"))
+    end = F.length("name") - F.col("n") + 1
+    first = F.expr("locate(k, _shape)")
+    last = F.length("_shape") - F.length("k") - F.expr("locate(reverse(k), reverse(_shape))") + 2
+    spans = each.filter((end > 0) & (first > 0)).select(
+        "name", "_shape", "n", "k", first.alias("_first"), F.when(F.col("k") == "", end).otherwise(F.least(last, end)).alias("_last")
+    )
+    starts = F.explode(F.sequence("_first", "_last")).alias("i")
+    at = spans.filter("_first <= _last").select("name", "_shape", "n", "k", starts)
+    return at.filter("startswith(substring(_shape, i), k)").select(F.expr("substring(name, i, n)").alias("ref"), (F.col("i") > 1).alias("inner"), "name")
+
+
 def attach_files(
     charges: DataFrame, mapping: DataFrame, files: DataFrame, ledger_refs: DataFrame | None = None
 ) -> DataFrame:
     """Evidence file per charge: the mapped path, else the first file starting with the ref, else
     the first file containing it.
 
-    Names are cut into every piece a ref could be (only the lengths refs really have), so prefix
+    Names are cut into every piece a ref could be (only the lengths refs really have, and only where
+    a piece begins with digits, letters and others in the places where a ref of its length does), so prefix
     and containment are one equi join; per piece only the best file is kept before the join.
     ``ledger_refs``, when given, is a cheaper frame holding at least every ref of ``charges``.
     """
-    source = charges if ledger_refs is None else ledger_refs
-    # One row: the lengths refs have, an aggregate that travels to the files as a subquery would.
-    lengths = source.select(F.length("ref").alias("n")).filter("n > 0").agg(F.sort_array(F.collect_set("n")).alias("_lengths"))
-    cuts = F.flatten(
-        F.transform(
-            "_lengths",
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("name") - n + 1),
-                lambda i: F.struct(F.substring(F.col("name"), i, n).alias("ref"), (i > 1).alias("inner")),
-            ),
-        )
-    )
-    fits = F.filter("_lengths", lambda n: n <= F.length("name"))
-    sized = files.withColumn("_lengths", lengths.scalar()).withColumn("_lengths", fits)
-    pieces = exploded(sized, ["name"], cuts, "_piece").select("_piece.*", "name")
+    pieces = _pieces(files, charges if ledger_refs is None else ledger_refs)
     best = pieces.groupBy("ref").agg(F.min(F.struct("inner", "name")).alias("_f"))
     by_name = best.select("ref", F.col("_f.name").alias("_named"), F.col("_f.inner").alias("_inner"))
     mapped = first_by(mapping.filter(F.trim("file") != ""), ["ref"], [F.col("file")], ["file"])

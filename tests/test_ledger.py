@@ -212,3 +212,21 @@ def test_files_of_an_empty_ledger(spark):
     assert posting.attach_files(charges, mapping, files).collect() == []
     one = spark.createDataFrame([("R1",), ("longer than any file name",), (None,)], "ref string")
     assert {r.ref: r.file_match for r in posting.attach_files(one, mapping, files).collect()} == {"R1": "prefix", "longer than any file name": "", None: ""}
+
+
+def test_file_names_are_cut_where_refs_fit(spark):
+    """Pieces that no ref looks like are not made, and none that a ref equals is lost."""
+    import random
+
+    names = spark.createDataFrame([("1234567-1_receipt.pdf",)], "name string")
+    refs = spark.createDataFrame([(f"{'7' * n}-1",) for n in range(1, 8)], "ref string")
+    assert sorted(r.ref for r in po._pieces(names, refs).collect()) == sorted("1234567-1"[i:] for i in range(7))
+
+    rng = random.Random(7)
+    odd = ["å-ä", "…x", "A", "a.b", "AAAAAAAAAAAA9", "0", "--", "(1)", "9" * 15] + ["".join(rng.choice("aB3-é") for _ in range(6)) for _ in range(300)]
+    files = ["".join(rng.choice("aB3-é") for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["xå-äå-ä", "…x(1)(1)", "--------", "9" * 40, "AAAAAAAAAAAAAA9", ""]
+    charges = spark.createDataFrame([(r,) for r in sorted(set(odd))], "ref string")
+    got = po.attach_files(charges, spark.createDataFrame([], "ref string, file string"), spark.createDataFrame([(f,) for f in files], "name string"))
+    for r in got.collect():
+        begin, inside = [f for f in files if f.startswith(r.ref)], [f for f in files if r.ref in f]
+        assert (r.receipt_file, r.file_match) == ((min(begin), "prefix") if begin else (min(inside), "contains") if inside else ("", "")), r.ref
