@@ -27,24 +27,39 @@ def write_plan(df: DataFrame, path: str, key: str = "month") -> DataFrame:
     """Write ``df`` partitioned by ``key``, replacing only partitions whose content changed.
 
     A month planned again with fewer rows keeps nothing of the earlier run, one left without rows is
-    removed; an unchanged month is not touched. Returns the keys that were written.
+    removed; an unchanged month is not touched. Rows without a month are a partition like others.
+    Returns the keys that were written. A first plan is worked out once, a later one twice: for its fingerprint and for its rows.
     """
     spark = df.sparkSession
     columns = sorted(c for c in df.columns if c != key)
-    new = _fingerprint(df, key, columns)
+    text = df.withColumn(key, F.col(key).cast("string"))
+
+    def write(rows: DataFrame) -> None:
+        # A few files of good size per month, however many tasks hold rows of it.
+        dealt = rows.hint("rebalance", F.col(key))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+    def but(left: DataFrame, right: DataFrame, by: list[str], how: str) -> DataFrame:
+        return left.join(right.select(*[F.col(c).alias(f"_{c}") for c in by]), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], how)
+
+    try:
+        kept = spark.read.parquet(path)
+    except AnalysisException:
+        write(text)
+        return settle(spark.read.parquet(path).select(F.col(key).cast("string").alias(key)).distinct())
+    new = _fingerprint(text, key, columns)
     gone = []
     try:
-        old = _fingerprint(spark.read.parquet(path), key, columns)
+        old = _fingerprint(kept, key, columns)
         # One row per partition of the plan.
-        gone = [r[0] for r in old.select(key).join(new.select(key), key, "left_anti").filter(F.col(key).isNotNull()).collect()]
-        same = new.join(old, [key, "n", "x", "s"], "left_semi").select(key)
-        changed = settle(new.select(key).join(same, key, "left_anti"))
+        gone = [r[0] for r in but(old.select(key), new, [key], "left_anti").collect()]
+        same = but(new, old, [key, "n", "x", "s"], "left_semi")
+        changed = settle(but(new.select(key), same, [key], "left_anti"))
     except AnalysisException:
         changed = settle(new.select(key))
-    rows = df.withColumn(key, F.col(key).cast("string")).join(changed, key, "left_semi")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    write(but(text, changed, [key], "left_semi"))
     for value in gone:
-        _remove(spark, f"{path.rstrip('/')}/{key}={value}")
+        _remove(spark, f"{path.rstrip('/')}/{key}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
     return changed
 
 

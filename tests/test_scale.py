@@ -112,3 +112,20 @@ def test_fifty_thousand_regexes(spark):
     want += [(m, int(m[7:12]), len(m) - 4) for m in merchants if m.startswith("THE")]
     want += [(m, n, 4) for m in merchants if re.search(r"\d{4}$", m)] + [("ABC", n + 2, 3)]
     assert got == sorted(want)
+
+
+def test_write_plan_files_and_rows_without_a_month(spark, tmp_path):
+    """A month's rows are in few files however they lay before, and rows of no month are kept, rewritten and removed like others."""
+    import glob
+
+    from tallybridge.sources import sinks
+
+    path = str(tmp_path / "plan")
+    rows = spark.createDataFrame([(f"2026-0{n % 3 + 1}" if n % 4 else None, f"r{n}") for n in range(96)], "month string, ref string").repartition(8)
+    assert {r.month for r in sinks.write_plan(rows, path).collect()} == {"2026-01", "2026-02", "2026-03", None}
+    assert len(glob.glob(f"{path}/*/*.parquet")) <= 4
+    assert spark.read.parquet(path).count() == 96 and sinks.write_plan(rows, path).count() == 0
+    fewer = rows.filter("month IS NOT NULL OR ref = 'r0'")
+    assert [r.month for r in sinks.write_plan(fewer, path).collect()] == [None] and spark.read.parquet(path).count() == 73
+    assert sinks.write_plan(rows.filter("month IS NOT NULL"), path).count() == 0
+    assert spark.read.parquet(path).count() == 72
