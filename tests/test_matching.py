@@ -129,3 +129,21 @@ def test_routes_with_hints(spark):
     assert got["c"].route_reason == "already forwarded 2026-08-30; confirm, do not forward again; input hint: see the portal"
     assert "input hint" not in got["d"].route_reason and "input hint" not in got["e"].route_reason and got["e"].forward_from == "me@x"
     assert got["f"].route_reason.startswith("attach m1; find the expense by receipt number f") and got["g"].route_reason.startswith("attach m1 on expense E7")
+
+
+def test_found_pairs_are_hashed_not_sorted(spark):
+    """Kinds of a pair travel as bits: no list per pair is gathered, and the kinds come out in order."""
+    from tallybridge.operators import matching as m
+
+    charges = spark.sql(
+        "SELECT 'a' AS row_key, 'box' AS mailbox, DATE'2026-01-01' AS window_from, DATE'2026-01-20' AS window_to, 'X' AS merchant, 'V' AS vendor_name, "
+        "array('shop.example') AS senders, array('Receipt') AS subject_terms, array() AS sender_exact, 12.00BD AS amount_sek, NULL AS foreign_amount"
+    )
+    mails = spark.sql(
+        "SELECT 1 AS message_id, 'box' AS mailbox, DATE'2026-01-05' AS day, 'Receipt' AS subject, 'a@shop.example' AS from_addr, 'shop.example' AS from_domain, "
+        "array(struct(12.00BD AS value, 'SEK' AS currency)) AS mentions"
+    )
+    found = m.blocked_pairs(charges, mails, [], ["receipt"], [])
+    assert [tuple(r) for r in found.collect()] == [("a", 1, ["amount", "subject", "vendor"])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "ObjectHashAggregate" not in plan
