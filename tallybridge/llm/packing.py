@@ -39,6 +39,8 @@ END = 1
 DIMENSIONS = 3
 BITS = 10
 REMEMBERED = 600_000
+# Punctuation that stands apart from the letters before it.
+MARKS = ".,;:!?"
 # Rows whose places tell where ranges end, and the bits of a place that tell equal keys apart.
 SAMPLE, TIES = 1 << 14, 33
 
@@ -160,7 +162,7 @@ class Ids:
     right of a single blank or line feed, so a text's ids are those of the pieces between them,
     one after the other. Next to other white space a line feed stays within its piece. That fails
     where a blank has white space on both sides, and where the text holds an added token's string;
-    such texts are encoded whole.
+    such texts are encoded whole. The words of a text that memory lacks are asked for in one call.
     """
 
     _RUN = re.compile(r"\s\s")
@@ -171,7 +173,9 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Remembered(self.piece, entries)
+        # Words and what follows a line feed in texts without runs of white space; other pieces as they stand.
+        self.words = Remembered(self.word, entries)
+        self.pieces = Remembered(self.piece, entries // 4)
 
     def whole(self, text: str) -> bytes:
         ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -186,25 +190,53 @@ class Ids:
         """
         if text[0] == "\n" and len(text) > 1 and not text[1].isspace():
             return self.pieces["\n"] + self.pieces[text[1:]]
-        stem = text.rstrip(".,;:!?")
+        stem = text.rstrip(MARKS)
         if len(stem) < len(text) and stem[-1:].isalpha():
             return self.pieces[stem] + self.pieces[text[len(stem) :]]
         return self.whole(text)
 
+    def word(self, word: str) -> bytes:
+        """The ids of a word with the blank before it; what begins with a line feed has no blank."""
+        if word[:1] == "\n":
+            return self.piece(word)
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and stem[-1:].isalpha():
+            return self.words[stem] + self.pieces[word[len(stem) :]]
+        return self.whole(" " + word)
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers those of the words, without marks at their end, that are letters alone: one call for all.
+
+        A blank and letters are one stretch under the pattern, so each word's ids are those that begin in it.
+        """
+        known, older = self.words, self.words.older
+        fresh = [w for w in {w.rstrip(MARKS) for w in words} if w.isalpha() and w not in known and w not in older]
+        if not fresh:
+            return
+        found = self.tokenizer.encode(" " + " ".join(fresh), add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        starts = np.cumsum([0, *(len(w) + 1 for w in fresh)])
+        cuts = np.searchsorted(np.array([at for at, _ in found.offsets]), starts).tolist()
+        for word, i, j in zip(fresh, cuts, cuts[1:]):
+            known.keep(word, ids[i:j].tobytes())
+
     def of(self, text: str) -> bytes:
         if not text:
             return b""
         if any(a in text for a in self.added):
             return self.whole(text)
         if not self._RUN.search(text):
-            first, *rest = text.replace("\n", " \n").split(" ")
-            pieces = [piece if piece[:1] == "\n" else " " + piece for piece in rest]
+            first, *words = text.replace("\n", " \n").split(" ")
+            found = list(map(self.words.get, words))
+            if None in found:
+                self.learn({w for w, ids in zip(words, found) if ids is None})
+                found = [self.words[w] if ids is None else ids for w, ids in zip(words, found)]
         elif not self._BLANK_RUN.search(text):
             first, *rest = text.split(" ")
-            pieces = [" " + piece for piece in rest]
+            found = [self.pieces[" " + piece] for piece in rest]
         else:
             return self.whole(text)
-        return (self.pieces[first] if first else b"") + b"".join(map(self.pieces.__getitem__, pieces))
+        return (self.pieces[first] if first else b"") + b"".join(found)
 
 
 _LOADED: dict[str, Ids] = {}

@@ -60,12 +60,15 @@ class Remembered(dict):
         super().__init__()
         self.compute, self.entries, self.older = compute, entries, {}
 
-    def __missing__(self, key):
+    def keep(self, key, value) -> None:
         if len(self) >= self.entries:
             self.older = dict(self)
             self.clear()
+        self[key] = value
+
+    def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        self[key] = value
+        self.keep(key, value)
         return value

@@ -91,6 +91,26 @@ def test_ids_of_odd_strings():
         assert own.of(text) == ids[:-1].tobytes(), repr(text)
 
 
+def test_words_of_a_text_are_asked_for_at_once():
+    """A text's unknown words cost one call; ids are the same when memory is small and forgets."""
+    for entries in (packing.REMEMBERED, 50):
+        own = packing.Ids(packing.vocabulary(), entries)
+        asked, whole = [], own.tokenizer
+
+        class Counted:
+            def encode(self, text, **options):
+                asked.append(text)
+                return whole.encode(text, **options)
+
+        own.tokenizer = Counted()
+        texts = [" ".join(f"{a}{b}{c}{mark}" for c in "àqz") + "\n" + b for a in ("bra", "Ünw", "漢") for b in ("lo", "ße", "n") for mark in ("", ",", ".")]
+        text = " ".join(texts)
+        assert own.of(text) == whole_ids([text])[0][:-1].tobytes()
+        assert entries < 100 or len(asked) < 20
+        for text, ids in zip(texts, whole_ids(texts)):
+            assert own.of(text) == ids[:-1].tobytes(), repr(text)
+
+
 def check_pieces(rows, documents_):
     """Every id of every document in one piece, sequences gapless and without padding."""
     want = {}
