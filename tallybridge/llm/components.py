@@ -12,9 +12,54 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
+from .vptree import roots
+
+# Links of a task that are joined up at a time.
+PIECE = 1 << 18
+
+
+def _star(rows: pa.Table) -> pa.RecordBatch:
+    """``a``, ``b``: every node of the links and the first one, by ``p`` and ``q``, that it is connected with."""
+    ends = pa.concat_arrays([c for name in "ab" for c in rows[name].chunks]).dictionary_encode()
+    at, names = ends.indices.to_numpy(), ends.dictionary
+    place = np.zeros(len(names), np.int64)
+    place[at] = np.concatenate([rows["p"].to_numpy(), rows["q"].to_numpy()])
+    order = np.argsort(place)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    at = rank[at]
+    root = roots(len(names), at[: len(rows)], at[len(rows) :])
+    # A node that is linked only with itself keeps that link.
+    own = np.flatnonzero((root != np.arange(len(root))) | (np.bincount(root, minlength=len(root)) == 1))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(order[own])), names.take(pa.array(order[root[own]]))], names=["a", "b"])
+
+
+def _place(turn: int, node: str) -> Column:
+    return F.xxhash64(F.lit(turn), F.col(node))
+
+
+def stars(edges: DataFrame, turn: int) -> DataFrame:
+    """Links (``a``, ``b``) that connect what ``edges`` connect, no more of them and mostly fewer."""
+    size = PIECE
+
+    def each(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= size:
+                yield _star(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield _star(pa.Table.from_batches(held))
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.select("a", "b", _place(turn, "a").alias("p"), _place(turn, "b").alias("q")).mapInArrow(each, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,13 +68,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Null ends are not nodes; a link from a node to itself only names the node.
     """
     pairs = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    edges = settle(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    edges = settle(stars(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), 0))
     found = None
     for turn in count():
         ends = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
 
         def placed(node: str) -> Column:
-            return F.struct(F.xxhash64(F.lit(turn), F.col(node)).alias("place"), F.col(node).alias("name"))
+            return F.struct(_place(turn, node).alias("place"), F.col(node).alias("name"))
 
         near = ends.groupBy(F.col("a").alias("node")).agg(F.min(placed("b")).alias("near"))
         step = near.select("node", F.least(placed("node"), F.col("near"))["name"].alias("root"))
@@ -44,7 +89,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         high = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(low, "a").join(high, "b").filter(F.col("ra") != F.col("rb"))
-        edges = settle(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = settle(stars(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), turn + 1))
         if edges.isEmpty():
             break
     least = found.groupBy("root").agg(F.min("node").alias("least"))

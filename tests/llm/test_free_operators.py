@@ -227,6 +227,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """Links of one task are joined up there: a long chain goes in one round, not in many."""
+    from tallybridge.llm import components as module
+
+    settled = []
+    plain = module.settle
+    monkeypatch.setattr(module, "settle", lambda df: settled.append(1) or plain(df))
+    chain = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components(chain).agg(F.count("*").alias("n"), F.max("root").alias("root")).first()
+    assert (got.n, got.root) == (3001, 0)
+    assert len(settled) <= 6
+    # Cut into pieces of few links, the result is the same.
+    monkeypatch.setattr(module, "PIECE", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = components(chain.filter("a != 1700")).groupBy("root").count().orderBy("root").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [tuple(r) for r in got] == [(0, 1701), (1701, 1300)]
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, gid string, filters string"
 
 
