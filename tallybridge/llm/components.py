@@ -14,12 +14,14 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
+from .shared import stored
 from .vptree import roots
 
-# Links of a task that are joined up at a time.
+# Links of a task that are joined up at a time, and links that one task joins up at the end.
 PIECE = 1 << 18
 
 
@@ -62,6 +64,29 @@ def stars(edges: DataFrame, turn: int) -> DataFrame:
     return edges.select("a", "b", _place(turn, "a").alias("p"), _place(turn, "b").alias("q")).mapInArrow(each, f"a {kind}, b {kind}")
 
 
+def _joined(rows: pa.Table) -> pa.RecordBatch:
+    """``node``, ``root``: every node of the links and the smallest one it is connected with."""
+    ends = pa.concat_arrays([c for name in "ab" for c in rows[name].chunks]).dictionary_encode()
+    order = pc.sort_indices(ends.dictionary)
+    names = ends.dictionary.take(order)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    at = rank[ends.indices.to_numpy()]
+    return pa.RecordBatch.from_arrays([names, names.take(pa.array(roots(len(names), at[: len(rows)], at[len(rows) :])))], names=["node", "root"])
+
+
+def _last(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` of the last links, ``PIECE`` at most, by one task."""
+
+    def each(batches):
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            yield _joined(pa.Table.from_batches(held))
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(each, f"node {kind}, root {kind}")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``root``: every node that has a link, and the smallest node it is connected with.
 
@@ -69,8 +94,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     edges = settle(stars(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), 0))
-    found = None
+    found, held = None, PIECE
     for turn in count():
+        if edges.count() <= held:
+            break
         ends = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
 
         def placed(node: str) -> Column:
@@ -81,16 +108,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         on = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
         # What a node points at is itself linked, so every pointer is found here.
         step = settle(step.join(on, "root").select("node", F.col("next").alias("root")))
-        if found is None:
-            found = step
-        else:
-            again = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            found = settle(found.join(again, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        found = step if found is None else settle(_followed(found, step))
         low = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         high = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(low, "a").join(high, "b").filter(F.col("ra") != F.col("rb"))
         edges = settle(stars(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), turn + 1))
-        if edges.isEmpty():
-            break
+    if found is None:
+        return stored(_last(edges))
+    found = stored(_followed(found, _last(edges)))
     least = found.groupBy("root").agg(F.min("node").alias("least"))
-    return found.join(least, "root").select("node", F.col("least").alias("root"))
+    return stored(found.join(least, "root").select("node", F.col("least").alias("root")))
+
+
+def _followed(found: DataFrame, step: DataFrame) -> DataFrame:
+    """``found`` with each root replaced by what ``step`` points it at, if anything."""
+    again = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return found.join(again, "root", "left").select("node", F.coalesce("next", "root").alias("root"))

@@ -4,7 +4,9 @@ Two texts are linked if the distinct runs of ``SIZE`` words they share are at le
 those either has (Jaccard). Every such pair is found, and no other is linked:
 
 1. Candidates. Of a text with n shingles, n - ceil(0.8 n) + 1 come first in an order that is the
-   same for all texts; two texts that are alike share one of these (prefix filter). The order
+   same for all texts; two texts that are alike share one of these (prefix filter), which in the
+   smaller text is one of its first n - ceil(8/9 n) + 1. A shingle whose two texts cannot be alike
+   by that or by their sizes is no bucket: such chance meetings grow with the square of the texts. The order
    puts shingles that are frequent in a sample last, so that what many texts share is seldom
    among them. The sample only decides how many candidates there are.
 2. Links within ``RADIUS`` bits by SimHash are candidates too: they join most of a large group
@@ -13,8 +15,8 @@ those either has (Jaccard). Every such pair is found, and no other is linked:
    and every bit that one text has and the other has not is a shingle they do not share. Sketches
    are a sixteenth of the sets, so only texts of pairs that pass are moved and made into sets.
 4. Each pair that is left is checked on the whole shingle sets. Texts that are already in one component
-   are not compared again. While buckets hold many pairs of unconnected texts, each text meets
-   one pivot of its bucket; what is then left meets pair by pair.
+   are not compared again. In a bucket of many pairs of unconnected texts each text meets
+   one pivot first; buckets of few pairs, and what the pivots leave, meet pair by pair.
 
 Edge cases. Words are those of ``simhash``, A-Z in lower case. Fewer words than a shingle make one
 shingle. Null and wordless texts are one text. Equal texts are one point from the start.
@@ -35,7 +37,7 @@ from .shared import SLICE, WORDED, Remembered, stored
 SIZE = 5
 # Likeness at which texts are linked, as a fraction.
 OVER, UNDER = 4, 5
-# Rounds of pivots at most, and the pairs per row of a bucket from which a round is worth it.
+# Rounds of pivots at most, and the pairs per row of a bucket above which a round is worth it.
 ROUNDS, DENSE = 2, 4
 # Texts in the sample, texts that make a shingle frequent in it, and frequent shingles told apart.
 SAMPLE, FREQUENT, TOLD = 1 << 14, 4, 1 << 15
@@ -186,15 +188,30 @@ def _near(n: Column, m: Column) -> Column:
     return UNDER * F.least(n, m) >= OVER * F.greatest(n, m)
 
 
+def _ahead(n: Column, at: Column) -> Column:
+    """Whether a shingle comes so early in a text of ``n`` that it can be the first one shared with a larger one."""
+    return (OVER + UNDER) * (n - at) >= 2 * OVER * n
+
+
+def _buckets(points: DataFrame) -> DataFrame:
+    """``h``, ``node``, ``n``, ``ahead``: the first shingles of texts, without those that can link nothing."""
+    rows = points.select("node", "n", F.posexplode("prefix").alias("at", "h")).select("h", "node", "n", _ahead(F.col("n"), F.col("at")).alias("ahead"))
+    # Size and place in one number, by size first.
+    both = F.col("n") * 2 + F.col("ahead").cast("int")
+    held = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(both).alias("low"), F.max(both).alias("high")).filter("c > 1")
+    small, large = F.shiftright("low", 1), F.shiftright("high", 1)
+    first = (F.col("low") % 2 == 1) | ((small == large) & (F.col("high") % 2 == 1))
+    often = held.filter((F.col("c") > 2) | (first & _near(small, large))).select("h")
+    return rows.join(stored(often), "h")
+
+
 def grouped(points: DataFrame, texts: DataFrame) -> DataFrame:
     """``node`` and ``root`` of every text that has a link.
 
     ``points``: one row per text, ``node``, ``copy`` (which of its rows), ``fp``, ``n``, ``prefix``, ``sketch``.
     ``texts``: ``node``, ``copy``, ``text``, repeated as it may be.
     """
-    rows = points.select("node", "n", F.explode("prefix").alias("h"))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    buckets = settle(rows.join(stored(often), "h"))
+    buckets = settle(_buckets(points))
     prints = points.select("fp", "node")
     ends = prints.groupBy("fp").agg(F.min("node").alias("least"))
     equal = prints.join(ends, "fp").filter("node != least").select(*_pairs(F.col("node"), F.col("least")))
@@ -207,30 +224,32 @@ def grouped(points: DataFrame, texts: DataFrame) -> DataFrame:
     links = _alike(pairs, points, texts)
     for turn in range(ROUNDS + 1):
         found = components(links)
-        placed = buckets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = settle(buckets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
         # Buckets that are one component are done.
         several = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(
             F.count(F.lit(1)).alias("roots"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"),
             F.min_by("root", F.xxhash64(F.lit(turn), "root")).alias("pivot_root"),
         ).filter("roots > 1")
-        several = stored(several)
-        open_ = settle(placed.join(several.select("h", "pivot_root"), "h"))
-        total = several.agg(F.sum(F.col("c") * F.col("c") - F.col("same")).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not total["rows"]:
+        dense = F.lit(turn < ROUNDS) & (F.col("c") * F.col("c") - F.col("same") > 2 * DENSE * F.col("c"))
+        open_ = settle(placed.join(stored(several.select("h", "pivot_root", dense.alias("dense"))), "h"))
+        kinds = {row.dense for row in open_.select("dense").distinct().collect()}
+        if not kinds:
             return found
-        last = turn == ROUNDS or total["pairs"] <= 2 * DENSE * total["rows"]
-        if last:
-            x, y = open_.select("h", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "root"))), open_.select("h", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "root")))
-            met = x.join(y, "h").filter((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & _near(F.col("n_x"), F.col("n_y")))
-            pairs = met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        else:
+        few = open_.filter(~F.col("dense"))
+        x, y = few.select("h", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "ahead", "root"))), few.select("h", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "ahead", "root")))
+        apart = (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & _near(F.col("n_x"), F.col("n_y"))
+        first = F.when(F.col("n_x") < F.col("n_y"), F.col("ahead_x")).when(F.col("n_x") > F.col("n_y"), F.col("ahead_y")).otherwise(F.col("ahead_x") & F.col("ahead_y"))
+        pairs = x.join(y, "h").filter(apart & first).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+        if True in kinds:
+            buckets = open_.filter("dense").select("h", "node", "n", "ahead", "root", "pivot_root")
             mine = F.struct("node", "n", "root")
-            pivots = stored(open_.filter("root = pivot_root").groupBy("h").agg(F.min_by(mine, F.xxhash64(F.lit(turn), "node")).alias("p")))
-            met = open_.join(pivots, "h").filter((F.col("root") != F.col("p.root")) & _near(F.col("n"), F.col("p.n")))
+            pivots = stored(buckets.filter("root = pivot_root").groupBy("h").agg(F.min_by(mine, F.xxhash64(F.lit(turn), "node")).alias("p")))
+            met = buckets.join(pivots, "h").filter((F.col("root") != F.col("p.root")) & _near(F.col("n"), F.col("p.n")))
             # The pivot is side a, whose tiles spread its pairs.
-            pairs = met.select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+            pairs = pairs.unionByName(met.select(F.col("p.node").alias("a"), F.col("node").alias("b")))
+            buckets = buckets.select("h", "node", "n", "ahead")
         links = settle(links.unionByName(_alike(settle(pairs.distinct()), points, texts)))
-        if last:
+        if True not in kinds:
             return components(links)
 
 
