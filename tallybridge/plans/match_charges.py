@@ -33,9 +33,8 @@ def match_charges(
     pairs = mt.blocked_pairs(searched, messages, stopwords, subject_terms, policy.list("search_words")).drop("kinds")
     charges = mt.charge_features(searched.drop("mailbox"), stopwords)
     mails = mt.message_features(messages.drop("mailbox"), policy)
-    facts = pairs.join(charges, "row_key").join(mails, "message_id")
-    facts = facts.withColumn("lag_days", F.datediff("day", "date"))
-    ranked = settle(mt.rank_candidates(mt.rescore(mt.score(facts), details), policy))
+    facts = mt.facing(pairs, charges, mt.read_details(mails, details))
+    ranked = settle(mt.rank_candidates(mt.rescore(mt.score(facts)), policy))
     best = mt.best_second(ranked)
     marks = policy.list("forward_prefixes") + policy.list("reply_prefixes")
     placed = best.join(rows.select("row_key", "mailbox", "window_from", "window_to"), "row_key")
