@@ -13,6 +13,12 @@ def _money(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast(MONEY)
 
 
+def _count(rows: DataFrame, condition: Column | None = None) -> Column:
+    """How many ledger rows, one by one or as ``ledger_facts`` holds them."""
+    each = F.col("row_count") if "row_count" in rows.columns else F.lit(1)
+    return F.coalesce(F.sum(each if condition is None else F.when(condition, each)), F.lit(0)).cast("bigint")
+
+
 # --------------------------------------------------------------------------- expense export
 
 def export_profile(expenses: DataFrame) -> DataFrame:
@@ -212,24 +218,42 @@ def ledger_star(
     earliest, of searches the latest. Evidence, booking, reimbursement and closing stay four separate
     columns: none is inferred from another.
     """
-    def one(side: DataFrame, keep: list[str], *order: Column) -> DataFrame:
-        return first_by(side, ["ref"], list(order), keep)
-
     plan_order = [F.col("plan_voucher").isNull(), F.col("plan_reason").isNotNull(), *(F.col(c) for c in ("plan_voucher", "plan_reason", "uploaded"))]
-    plan_side = one(plan, ["uploaded", "plan_voucher", "plan_reason"], *plan_order).withColumn("in_plan", F.lit(True))
-    files, archive = one(files, ["file"], F.col("file")), one(archive, ["id", "voucher"], F.col("id"))
-    paid, answers = one(paid, ["paid_on"], F.col("paid_on")), one(answers, ["tag"], F.col("tag"))
-    searches = one(searches, ["has_best", "searched_on"], -F.datediff("searched_on", F.lit("1970-01-01")), ~F.col("has_best"))
+    sides = {
+        "plan": (plan, ["uploaded", "plan_voucher", "plan_reason"], plan_order),
+        "files": (files, ["file"], [F.col("file")]),
+        "archive": (archive, ["id", "voucher"], [F.col("id")]),
+        "paid": (paid, ["paid_on"], [F.col("paid_on")]),
+        "answers": (answers, ["tag"], [F.col("tag")]),
+        "searches": (searches, ["has_best", "searched_on"], [-F.datediff("searched_on", F.lit("1970-01-01")), ~F.col("has_best")]),
+    }
+    # All sides meet under their ref in one aggregate, so the ledger is joined once.
+    rows = None
+    for name, (side, keep, order) in sides.items():
+        side = side.select("ref", F.struct(F.struct(*order).alias("by"), F.struct(*keep).alias("row")).alias(f"_{name}"))
+        rows = side if rows is None else rows.unionByName(side, allowMissingColumns=True)
+    met = rows.filter(F.col("ref").isNotNull()).groupBy("ref").agg(*[F.min_by(f"_{n}.row", f"_{n}.by").alias(f"_{n}") for n in sides])
     months = plan.groupBy("month").agg(F.max("held").alias("plan_held")).withColumn("has_plan", F.lit(True))
     rows = (
         ledger.withColumn("month", month_of(F.col("date")))
-        .join(plan_side, "ref", "left")
+        .join(met, "ref", "left")
         .join(months, "month", "left")
-        .join(files.select("ref", F.col("file").alias("evidence_file")), "ref", "left")
-        .join(archive.select("ref", F.col("id").alias("archive_id"), F.nullif("voucher", F.lit("")).alias("archive_voucher")), "ref", "left")
-        .join(paid.select("ref", "paid_on"), "ref", "left")
-        .join(answers.select("ref", F.col("tag").alias("answer")), "ref", "left")
-        .join(searches.select("ref", F.col("has_best").alias("search_best"), "searched_on"), "ref", "left")
+        .withColumns(
+            {
+                "uploaded": F.col("_plan.uploaded"),
+                "plan_voucher": F.col("_plan.plan_voucher"),
+                "plan_reason": F.col("_plan.plan_reason"),
+                "in_plan": F.col("_plan").isNotNull(),
+                "evidence_file": F.col("_files.file"),
+                "archive_id": F.col("_archive.id"),
+                "archive_voucher": F.nullif("_archive.voucher", F.lit("")),
+                "paid_on": F.col("_paid.paid_on"),
+                "answer": F.col("_answers.tag"),
+                "search_best": F.col("_searches.has_best"),
+                "searched_on": F.col("_searches.searched_on"),
+            }
+        )
+        .drop(*[f"_{n}" for n in sides])
     )
     voucher = F.coalesce("plan_voucher", "archive_voucher")
     return rows.withColumns(
@@ -240,7 +264,7 @@ def ledger_star(
             "reimbursed": F.col("paid_on").isNotNull(),
             "answered_tag": F.when((F.col("tag") == "needs-tag") & F.col("answer").isNotNull(), F.col("answer")).otherwise(F.col("tag")),
             "has_plan": F.coalesce("has_plan", F.lit(False)),
-            "planned": F.coalesce("in_plan", F.lit(False)) & F.col("plan_reason").isNull(),
+            "planned": F.col("in_plan") & F.col("plan_reason").isNull(),
         }
     ).drop("in_plan", "plan_voucher", "archive_voucher")
 
@@ -307,20 +331,33 @@ def business_status(star: DataFrame, own_entity: str) -> DataFrame:
     return star.filter(F.col("tag") == "business").withColumn("status_label", label)
 
 
+def ledger_facts(states: DataFrame, *more: str) -> DataFrame:
+    """Ledger rows that agree in everything the board's figures read, as one row with their
+    ``row_count``, their amount and their last days; ``more`` names further columns to keep apart.
+
+    A month has few of them, so the figures read these instead of the ledger.
+    """
+    keys = ["month", "tag", "entity", "evidence", "reimbursed", "answer", "answered_tag", "state", *more]
+    searched = F.col("searched_on").isNotNull().alias("_searched")
+    return states.groupBy(*keys, searched).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("amount").alias("amount"), F.max("date").alias("date"), F.max("searched_on").alias("searched_on")
+    ).drop("_searched")
+
+
 def ledger_months(rows: DataFrame, plan_months: DataFrame, own_entity: str) -> DataFrame:
     """Monthly ledger figures over the ledger's months and the plans' months."""
     business = F.col("tag") == "business"
     per = rows.groupBy("month").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(business).alias("business"),
+        _count(rows).alias("rows"),
+        _count(rows, business).alias("business"),
         _money(F.when(business, F.col("amount"))).alias("business_sek"),
-        F.count_if(business & (F.col("entity") != own_entity)).alias("other_entity"),
-        F.count_if(F.col("tag") == "personal").alias("personal"),
-        F.count_if(F.col("tag") == "needs-tag").alias("needs_tag"),
-        F.count_if((F.col("tag") == "needs-tag") & F.col("answer").isNull()).alias("needs_tag_open"),
-        F.count_if(F.col("tag") == "skip").alias("skip"),
-        F.count_if(business & F.col("evidence")).alias("found"),
-        F.count_if(business & ~F.col("evidence")).alias("missing"),
+        _count(rows, business & (F.col("entity") != own_entity)).alias("other_entity"),
+        _count(rows, F.col("tag") == "personal").alias("personal"),
+        _count(rows, F.col("tag") == "needs-tag").alias("needs_tag"),
+        _count(rows, (F.col("tag") == "needs-tag") & F.col("answer").isNull()).alias("needs_tag_open"),
+        _count(rows, F.col("tag") == "skip").alias("skip"),
+        _count(rows, business & F.col("evidence")).alias("found"),
+        _count(rows, business & ~F.col("evidence")).alias("missing"),
     )
     counts = [c for c in per.columns if c not in ("month", "business_sek")]
     both = per.join(plan_months, "month", "full_outer")
@@ -458,10 +495,10 @@ def headline(expenses: DataFrame, ledger: DataFrame, plans: DataFrame, archive:
     )
     business = F.col("tag") == "business"
     g = ledger.agg(
-        F.count_if(business).alias("business_rows"),
+        _count(ledger, business).alias("business_rows"),
         _money(F.when(business, F.col("amount"))).alias("business_sek"),
-        F.count_if(business & F.col("evidence")).alias("evidence_found"),
-        F.count_if((F.col("tag") == "needs-tag") & F.col("answer").isNull()).alias("needs_tag_open"),
+        _count(ledger, business & F.col("evidence")).alias("evidence_found"),
+        _count(ledger, (F.col("tag") == "needs-tag") & F.col("answer").isNull()).alias("needs_tag_open"),
     )
     p = plans.agg(F.coalesce(F.sum("vouchers"), F.lit(0)).alias("vouchers_planned"), F.coalesce(F.sum("booked"), F.lit(0)).alias("vouchers_booked"))
     signed = F.when(F.col("kind") == "credit-note", -F.col("amount_sek")).otherwise(F.col("amount_sek"))
@@ -501,16 +538,19 @@ def todo(
     own_entity: str,
     today: Column,
 ) -> DataFrame:
-    """Every open task as one row: each rule is a small conditional aggregate over its section."""
+    """Every open task as one row: each rule is a small conditional aggregate over its section.
+
+    ``states`` are the ledger's rows with their state, or the ``ledger_facts`` of these.
+    """
     open_items = flagged.filter(F.col("status") == "open").groupBy("group").agg(F.count(F.lit(1)).alias("n"), _money(F.col("amount_sek")).alias("s"))
     reattach = open_items.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).filter("n > 0")
     routes = live.filter(F.col("route") != "attached").groupBy("route", "owner").agg(F.count(F.lit(1)).alias("n"), _money(F.col("amount_sek")).alias("s"))
     wanting = states.filter((F.col("answered_tag") == "business") & (F.col("entity") == own_entity) & ~F.col("evidence"))
     fetch = wanting.filter(F.col("state") == "no-receipt").agg(
-        F.count(F.lit(1)).alias("n"), _money(F.col("amount")).alias("s"), F.count("searched_on").alias("looked")
+        _count(states).alias("n"), _money(F.col("amount")).alias("s"), _count(states, F.col("searched_on").isNotNull()).alias("looked")
     ).filter("n > 0")
-    paid = wanting.filter(F.col("state") == "reimbursed").agg(F.count(F.lit(1)).alias("n"), _money(F.col("amount")).alias("s")).filter("n > 0")
-    untagged = states.filter(F.col("state") == "needs-tag").agg(F.count(F.lit(1)).alias("n"), _money(F.col("amount")).alias("s")).filter("n > 0")
+    paid = wanting.filter(F.col("state") == "reimbursed").agg(_count(states).alias("n"), _money(F.col("amount")).alias("s")).filter("n > 0")
+    untagged = states.filter(F.col("state") == "needs-tag").agg(_count(states).alias("n"), _money(F.col("amount")).alias("s")).filter("n > 0")
     late = cover.filter(~F.col("next_present") & (month_end(F.col("next_month")) < today))
     unfinished = months.filter(F.col("vouchers").isNotNull() & (F.col("booked") < F.col("vouchers")))
     held, waiting = unfinished.filter(F.coalesce("held", F.lit(False))), unfinished.filter(~F.coalesce("held", F.lit(False)))
@@ -590,8 +630,8 @@ def source_chips(
     the export's age; a source that is not there is ``missing``. ``sources`` as ``freshness`` gives them."""
     untagged = F.col("tag") == "needs-tag"
     g = ledger.agg(
-        F.count_if("reimbursed").alias("reimbursed"), F.count_if(untagged).alias("untagged"),
-        F.count_if(untagged & F.col("account").isin(*private_accounts)).alias("private"),
+        _count(ledger, F.col("reimbursed")).alias("reimbursed"), _count(ledger, untagged).alias("untagged"),
+        _count(ledger, untagged & F.col("account").isin(*private_accounts)).alias("private"),
     )
     f = flagged.agg(F.count_if(F.col("status") == "open").alias("wrong"), F.count_if(F.col("status") == "refiled").alias("refiled"))
     e = sources.filter(F.col("source") == export).agg(F.min("age_days").alias("age"), F.min("state").alias("state"))

@@ -167,3 +167,46 @@ def test_newest_snapshot_by_time(spark):
     files = spark.createDataFrame(rows, "family string, name string, modified string")
     assert {r.family: (r.stamp, r.name) for r in st.newest_snapshot(files, "family", "name").collect()} == {"a": ("2026-05-02", "x.csv"), "b": ("2026-05-03", "p_2026-05-03.csv"), "c": ("2026-05", "m_2026-05.csv")}
     assert st.newest_snapshot(files.drop("modified"), "family", "name").filter("family = 'a'").first().name == "y.csv"
+
+
+def test_board_figures_read_facts_instead_of_the_ledger(spark):
+    rows = [
+        (f"R{i}", D(2026, 5 + i % 3, 1 + i % 28), Decimal(i), ["business", "personal", "needs-tag", "skip"][i % 4], ["alfa", "beta"][i % 5 == 0], ["-1", "-2"][i % 2],
+         i % 3 == 0, i % 7 == 0, [None, "business"][i % 8 == 2], ["no-receipt", "reimbursed", "needs-tag", "ready"][i % 4], D(2026, 7, 1 + i % 9) if i % 6 == 0 else None)
+        for i in range(400)
+    ] + [("N", None, None, "business", "alfa", "-1", False, False, None, "no-receipt", None)]
+    states = spark.createDataFrame(rows, "ref string, date date, amount decimal(18,2), tag string, entity string, account string, evidence boolean, reimbursed boolean, answer string, state string, searched_on date")
+    states = states.withColumn("month", F.date_format("date", "yyyy-MM")).withColumn("answered_tag", F.coalesce("answer", "tag"))
+    facts = st.ledger_facts(states, "account")
+    assert facts.count() < states.count() and facts.agg(F.sum("row_count")).first()[0] == states.count()
+    plans = spark.createDataFrame([("2026-05", 3, 1, False, Decimal(9))], "month string, vouchers long, booked long, held boolean, plan_sek decimal(18,2)")
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    fresh = empty("source string, statement boolean, state string, age_days int")
+    flagged = empty("status string, group string, amount_sek decimal(18,2)")
+
+    def board(ledger):
+        covered = st.coverage(ledger.select("date"))
+        months = st.ledger_months(ledger, plans, "alfa")
+        tasks = st.todo(
+            flagged, empty("route string, owner string, amount_sek decimal(18,2)"), ledger, st.month_stage(months, covered), fresh,
+            empty("kind string"), empty("severity string"), covered, "alfa", F.lit(D(2026, 9, 1)),
+        )
+        chips = st.source_chips(ledger, flagged, covered, fresh, F.lit(D(2026, 9, 1)), ["-1"], "export")
+        line = st.headline(empty("has_receipt boolean"), ledger, plans, empty("kind string, amount_sek decimal(18,2)"))
+        return [sorted(map(str, df.collect())) for df in (months.select(sorted(months.columns)), tasks, chips, line)]
+
+    one, other = board(states), board(facts)
+    assert one == other and len(one[1]) > 3
+
+
+def test_star_joins_all_sides_at_once(spark):
+    """Six sides meet in one aggregate, so a ledger row is joined twice: with its sides and its month."""
+    from tallybridge.catalog import status as cs
+
+    ledger = spark.createDataFrame([("A", D(2026, 7, 1), "business")], "ref string, date date, tag string").withColumns({"entity": F.lit("alfa"), "bas_account": F.lit("5410"), "in_expense": F.lit(False)})
+    side = cs.plan_rows(spark, SF)
+    star = st.ledger_star(
+        ledger, side, side.select("ref", F.lit("f").alias("file")), side.select("ref", F.lit("r").alias("id"), F.lit("").alias("voucher")), side.select("ref", F.lit(D(2026, 8, 1)).alias("paid_on")),
+        side.select("ref", F.lit("business").alias("tag")), side.select("ref", F.lit(True).alias("has_best"), F.lit(D(2026, 7, 1)).alias("searched_on")),
+    )
+    assert star._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
